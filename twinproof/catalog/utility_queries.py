@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinproof.catalog.pairs import (
+    APPLICANT_COLUMNS,
     APPLICANT_LABELS,
     APPLICANT_SQL,
     PREDICTION_SQL,
+    SPLIT_COLUMNS,
     SPLIT_LABELS,
     SPLIT_NUMBERS,
     SPLIT_SQL,
-    APPLICANT_COLUMNS,
-    APPLICANT_ROLES,
     applicants,
     lineitem_split,
     predictions,
+    table,
 )
 from twinproof.catalog.registry import query
-from twinproof.functions.scalar import abs_log, round6
-from twinproof.operators import cdf, distributions
+from twinproof.functions.scalar import abs_log, efficacy_score, ratio, round6
+from twinproof.operators import cdf, correlation, distributions, utility
 
 
-def counts_sql(columns, cast="VARCHAR") -> str:
-    """CTEs ``vc`` (column, value, n_real, n_synth) and ``sh`` with shares."""
+def counts_sql(columns, cast="VARCHAR", mark="") -> str:
+    """CTEs ``vc`` (column, value, n_real, n_synth) and ``sh`` with shares.
+
+    ``mark`` prefixes their names when two sets appear in one query.
+    """
     branches = [
         f"SELECT '{c}' AS \"column\", CAST({c} AS {cast}) AS value, {flag} AS is_real FROM {t}"
         for c in columns
         for t, flag in (("r", 1), ("s", 0))
     ]
     return f"""
-  lv AS ({' UNION ALL '.join(branches)}),
-  vc AS (SELECT "column", value, CAST(sum(is_real) AS BIGINT) AS n_real, CAST(sum(1 - is_real) AS BIGINT) AS n_synth
-         FROM lv WHERE value IS NOT NULL GROUP BY 1, 2),
-  sh AS (SELECT *, n_real / CAST(sum(n_real) OVER w AS DOUBLE) AS p, n_synth / CAST(sum(n_synth) OVER w AS DOUBLE) AS q,
-                count(*) OVER w AS k FROM vc WINDOW w AS (PARTITION BY "column"))"""
+  {mark}lv AS ({' UNION ALL '.join(branches)}),
+  {mark}vc AS (SELECT "column", value, CAST(sum(is_real) AS BIGINT) AS n_real, CAST(sum(1 - is_real) AS BIGINT) AS n_synth
+         FROM {mark}lv WHERE value IS NOT NULL GROUP BY 1, 2),
+  {mark}sh AS (SELECT *, n_real / CAST(sum(n_real) OVER w AS DOUBLE) AS p, n_synth / CAST(sum(n_synth) OVER w AS DOUBLE) AS q,
+                count(*) OVER w AS k FROM {mark}vc WINDOW w AS (PARTITION BY "column"))"""
 
 
 @query(
@@ -88,11 +92,11 @@ def js_distance(spark, sf):
 
 def cdf_sql(columns) -> str:
     sds = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", stddev_pop({c}) AS sd FROM r" for c in columns)
-    return f"""{counts_sql(columns, 'DOUBLE')},
+    return f"""{counts_sql(columns, 'DOUBLE', 'n')},
   cd AS (SELECT "column", value, sum(n_real) OVER w / CAST(sum(n_real) OVER c AS DOUBLE) AS fr,
                 sum(n_synth) OVER w / CAST(sum(n_synth) OVER c AS DOUBLE) AS fs, lead(value) OVER w AS nx,
                 sum(n_real) OVER c AS tr, sum(n_synth) OVER c AS ts
-         FROM vc WINDOW w AS (PARTITION BY "column" ORDER BY value), c AS (PARTITION BY "column")),
+         FROM nvc WINDOW w AS (PARTITION BY "column" ORDER BY value), c AS (PARTITION BY "column")),
   sd AS ({sds}),
   dist AS (SELECT "column", sum(abs(fr - fs) * coalesce(nx - value, 0)) / (max(sd) + 1e-10) AS wasserstein,
                   max(abs(fr - fs)) AS ks, CAST(max(tr) AS BIGINT) AS n_real, CAST(max(ts) AS BIGINT) AS n_synth
@@ -181,3 +185,160 @@ def lorenz(spark, sf):
 def histogram(spark, sf):
     out = cdf.histogram(*lineitem_split(spark, sf), ("l_extendedprice", "l_quantity"))
     return out.withColumn("density", F.round("density", 9))
+
+
+def corr_sql(columns, labels=()) -> str:
+    """CTE ``cm`` (col_a, col_b, cr, cs) with codes fitted per table."""
+    ctes = []
+    for t in ("r", "s"):
+        cols = ", ".join(
+            f"dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 AS {c}" if c in labels else c for c in columns
+        )
+        ctes.append(f"e{t} AS (SELECT {cols} FROM {t})")
+        ctes.append(
+            f"c{t} AS ("
+            + " UNION ALL ".join(
+                f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS c FROM e{t}" for a in columns for b in columns
+            )
+            + ")"
+        )
+    return ", ".join(ctes) + ", cm AS (SELECT col_a, col_b, cr.c AS c_real, cs.c AS c_synth FROM cr JOIN cs USING (col_a, col_b))"
+
+
+@query(
+    "corr_matrix",
+    f"WITH {SPLIT_SQL}, {corr_sql(SPLIT_COLUMNS, SPLIT_LABELS)} "
+    "SELECT col_a, col_b, round(c_real, 6) AS corr_real, round(c_synth, 6) AS corr_synth FROM cm",
+)
+def corr_matrix(spark, sf):
+    out = correlation.correlation_pairs(*lineitem_split(spark, sf), SPLIT_LABELS, SPLIT_COLUMNS)
+    return out.select("col_a", "col_b", round6(F.col("corr_real")).alias("corr_real"), round6(F.col("corr_synth")).alias("corr_synth"))
+
+
+@query(
+    "corr_preservation",
+    f"WITH {SPLIT_SQL}, {corr_sql(SPLIT_COLUMNS, SPLIT_LABELS)}, m AS (SELECT avg(abs(c_real - c_synth)) AS d, max(abs(c_real - c_synth)) AS x FROM cm) "
+    "SELECT round(d, 6) AS mean_diff, round(x, 6) AS max_diff, round(greatest(0.0, 100 - d * 500), 4) AS score, d < 0.1 AS passed FROM m",
+)
+def corr_preservation(spark, sf):
+    out = correlation.preservation(*lineitem_split(spark, sf), SPLIT_LABELS, SPLIT_COLUMNS)
+    return out.select(
+        round6(F.col("mean_diff")).alias("mean_diff"), round6(F.col("max_diff")).alias("max_diff"), F.round("score", 4).alias("score"), "passed"
+    )
+
+
+@query(
+    "corr_by_column",
+    f"WITH {APPLICANT_SQL}, {corr_sql(APPLICANT_COLUMNS, APPLICANT_LABELS)} "
+    'SELECT col_a AS "column", round(avg(abs(c_real - c_synth)), 6) AS mean_diff FROM cm GROUP BY 1',
+)
+def corr_by_column(spark, sf):
+    out = correlation.column_preservation(*applicants(spark, sf), APPLICANT_LABELS, APPLICANT_COLUMNS)
+    return out.withColumn("mean_diff", round6(F.col("mean_diff")))
+
+
+@query(
+    "corr_offdiag",
+    f"WITH {SPLIT_SQL}, {corr_sql(SPLIT_NUMBERS)}, m AS (SELECT avg(abs(c_real - c_synth)) AS d FROM cm WHERE col_a <> col_b) "
+    "SELECT round(d, 6) AS correlation_diff, round(greatest(0.0, 100 - d * 100), 4) AS correlation_score FROM m",
+)
+def corr_offdiag(spark, sf):
+    out = correlation.offdiagonal_preservation(*lineitem_split(spark, sf), SPLIT_NUMBERS)
+    return out.select(round6(F.col("correlation_diff")).alias("correlation_diff"), F.round("correlation_score", 4).alias("correlation_score"))
+
+
+@query(
+    "stat_similarity",
+    f"""WITH {APPLICANT_SQL}, {cdf_sql(('o_totalprice', 'c_acctbal'))},
+    {counts_sql(APPLICANT_LABELS)}, {JS_SQL},
+    a AS (SELECT (SELECT avg(wasserstein) FROM dist) AS w, (SELECT avg(js_distance) FROM js) AS j)
+    SELECT round(w, 6) AS avg_wasserstein, round(j, 6) AS avg_js_distance,
+           round((CASE WHEN w < 0.2 THEN greatest(0.0, 100 - w * 500) ELSE 0.0 END) * CAST(0.6 AS DOUBLE)
+               + (CASE WHEN j < 0.2 THEN greatest(0.0, 100 - j * 500) ELSE 0.0 END) * CAST(0.4 AS DOUBLE), 4) AS score,
+           w < 0.1 AND j < 0.15 AS passed FROM a""",
+)
+def stat_similarity(spark, sf):
+    out = utility.statistical_similarity(*applicants(spark, sf), ("o_totalprice", "c_acctbal"), APPLICANT_LABELS)
+    return out.select(
+        round6(F.col("avg_wasserstein")).alias("avg_wasserstein"),
+        round6(F.col("avg_js_distance")).alias("avg_js_distance"),
+        F.round("score", 4).alias("score"),
+        "passed",
+    )
+
+
+@query(
+    "mean_std_diff",
+    f"""WITH {APPLICANT_SQL}, {counts_sql(APPLICANT_LABELS)},
+    st AS (SELECT avg(x.o_totalprice) AS a, stddev_samp(x.o_totalprice) AS b, avg(x.c_acctbal) AS c, stddev_samp(x.c_acctbal) AS d FROM r x),
+    sy AS (SELECT avg(x.o_totalprice) AS a, stddev_samp(x.o_totalprice) AS b, avg(x.c_acctbal) AS c, stddev_samp(x.c_acctbal) AS d FROM s x),
+    df AS (SELECT (abs(st.a - sy.a) / st.b + abs(st.c - sy.c) / st.d) / 2 AS md, (abs(st.b - sy.b) / st.b + abs(st.d - sy.d) / st.d) / 2 AS sd FROM st, sy),
+    tv AS (SELECT avg(t) AS tv FROM (SELECT sum(abs(p - q)) / 2 AS t FROM sh GROUP BY "column"))
+    SELECT round(md, 6) AS mean_diff, round(sd, 6) AS std_diff, round(tv, 6) AS tv_distance,
+           round(greatest(0.0, 100 - (md + sd + tv) / 3 * 100), 4) AS similarity_score FROM df, tv""",
+)
+def mean_std_diff(spark, sf):
+    out = utility.evaluator_similarity(*applicants(spark, sf), ("o_totalprice", "c_acctbal"), APPLICANT_LABELS)
+    return out.select(
+        *[round6(F.col(c)).alias(c) for c in ("mean_diff", "std_diff", "tv_distance")], F.round("similarity_score", 4).alias("similarity_score")
+    )
+
+
+@query(
+    "quality_report",
+    f"""WITH {SPLIT_SQL}, {cdf_sql(SPLIT_NUMBERS)},
+    {counts_sql(SPLIT_LABELS)}, {corr_sql(SPLIT_NUMBERS)},
+    shp AS (SELECT 1 - ks AS v FROM dist UNION ALL SELECT 1 - sum(abs(p - q)) / 2 FROM sh GROUP BY "column"),
+    a AS (SELECT avg(v) AS v FROM shp), b AS (SELECT avg(1 - abs(c_real - c_synth) / 2) AS v FROM cm WHERE col_a < col_b)
+    SELECT 'column_shapes' AS property, round(v, 6) AS score FROM a UNION ALL SELECT 'column_pair_trends', round(v, 6) FROM b
+    UNION ALL SELECT 'overall', round((a.v + b.v) / 2, 6) FROM a, b""",
+)
+def quality_report(spark, sf):
+    out = utility.quality_report(*lineitem_split(spark, sf), SPLIT_NUMBERS, SPLIT_LABELS)
+    return out.withColumn("score", round6(F.col("score")))
+
+
+@query(
+    "f1_weighted",
+    f"""WITH {PREDICTION_SQL},
+    l AS (SELECT DISTINCT grp, y AS label FROM pred UNION SELECT DISTINCT grp, y_hat FROM pred),
+    m AS (SELECT l.grp, label, count(*) FILTER (y = label) AS sup, count(*) FILTER (y_hat = label) AS called,
+                 count(*) FILTER (y = label AND y_hat = label) AS tp FROM l JOIN pred USING (grp) GROUP BY 1, 2)
+    SELECT grp, round(sum(tp) / sum(sup), 6) AS accuracy,
+           round(sum(2.0 * tp / (sup + called) * sup) / sum(sup), 6) AS weighted_f1 FROM m GROUP BY 1""",
+)
+def f1_weighted(spark, sf):
+    out = utility.classification_scores(predictions(spark, sf), "y", "y_hat", by=["grp"])
+    return out.select("grp", round6(F.col("accuracy")).alias("accuracy"), round6(F.col("weighted_f1")).alias("weighted_f1"))
+
+
+@query(
+    "regression_scores",
+    """WITH p AS (SELECT o_orderpriority AS grp, o_totalprice AS y, o_totalprice * 0.9 + o_orderkey % 1000 AS h FROM orders),
+    m AS (SELECT grp, avg((y - h) * (y - h)) AS mse, var_pop(y) AS v, max(y) - min(y) AS w FROM p GROUP BY 1)
+    SELECT grp, round((v - mse) / v, 6) AS r2, round(sqrt(mse), 4) AS rmse, round(sqrt(mse) / w, 6) AS normalized_rmse FROM m""",
+)
+def regression_scores(spark, sf):
+    o = table(spark, sf, "orders")
+    p = o.select(
+        F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * 0.9 + F.col("o_orderkey") % 1000).alias("h")
+    )
+    out = utility.regression_scores(p, "y", "h", by=["grp"])
+    return out.select("grp", round6(F.col("r2")).alias("r2"), F.round("rmse", 4).alias("rmse"), round6(F.col("normalized_rmse")).alias("normalized_rmse"))
+
+
+@query(
+    "efficacy_score",
+    f"""WITH {PREDICTION_SQL}, a AS (SELECT grp, avg(CAST(y = y_hat AS INTEGER)) AS synth, greatest(avg(y), 1 - avg(y)) AS base FROM pred GROUP BY 1),
+    q AS (SELECT grp, CASE WHEN base > 0 THEN synth / base ELSE 0 END AS ratio FROM a)
+    SELECT grp, round(ratio, 6) AS efficacy_ratio, round(CASE WHEN ratio >= 1 THEN 100 ELSE least(100, ratio * 100 / 0.7) END, 4) AS score, ratio >= 0.7 AS passed FROM q""",
+)
+def efficacy(spark, sf):
+    p = predictions(spark, sf)
+    rates = p.groupBy("grp").agg(
+        F.avg((F.col("y") == F.col("y_hat")).cast("double")).alias("synth"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("base")
+    )
+    q = ratio(F.col("synth"), F.col("base"))
+    return rates.select(
+        "grp", round6(q).alias("efficacy_ratio"), F.round(efficacy_score(q), 4).alias("score"), (q >= 0.7).alias("passed")
+    )
