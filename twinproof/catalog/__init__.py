@@ -1,6 +1,6 @@
 """Named queries over the standard test tables."""
 
-from twinproof.catalog import privacy_queries, utility_queries
+from twinproof.catalog import fairness_queries, privacy_queries, utility_queries
 from twinproof.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "privacy_queries", "utility_queries"]
+__all__ = ["ORACLES", "QUERIES", "fairness_queries", "privacy_queries", "utility_queries"]

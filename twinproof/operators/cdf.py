@@ -30,9 +30,11 @@ def ks_p_value(statistic: Column, n_real: Column, n_synth: Column, terms: int =
     """Asymptotic two-sided Kolmogorov-Smirnov p-value as a finite series."""
     n, m = n_real.cast("double"), n_synth.cast("double")
     z2 = statistic * statistic * n * m / (n + m)
-    series = F.lit(0.0)
-    for k in range(terms, 0, -1):
-        series = series + (2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * z2)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)),
+        F.lit(0.0),
+        lambda total, k: total + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * z2),
+    )
     # The series does not settle near zero, where the value is 1 anyway.
     return F.when(z2 < 0.04, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 

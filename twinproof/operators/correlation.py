@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from twinproof.operators import encoding
 
-PAIRS_IN_ONE_AGGREGATE = 300
+PAIRS_IN_ONE_AGGREGATE = 10
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(col_a, col_b, corr), both orders and the diagonal.
 
-    Narrow tables: one aggregate holds all pairs. Wide tables: each row emits
-    its column pairs, which fold on the map side into one buffer per pair.
+    A few pairs share one aggregate. More would make its generated code too
+    long to be compiled; then each row emits its column pairs, which fold on
+    the map side into one buffer per pair.
     """
     columns = list(columns)
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])

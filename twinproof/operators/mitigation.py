@@ -46,25 +46,15 @@ def _resample(synth: DataFrame, attribute: str, targets: DataFrame) -> DataFrame
     Growing groups repeat each row evenly, the remainder going to the rows
     first in hash order; shrinking groups keep the first rows.
     """
-    plan = settle(
-        targets.select(
-            attribute,
-            F.expr("target div size").alias("_each"),
-            F.expr("target % size").alias("quota"),
-        ),
-        "resample",
-    )
-    marked = hash_quota(synth, [attribute], plan.select(attribute, "quota"))
-    each = plan.select(F.col(attribute).alias("_key"), "_each")
-    times = marked.join(each, F.col(attribute) == F.col("_key")).withColumn(
-        "_times", F.col("_each") + F.col("picked").cast("int")
-    )
+    plan = targets.select(attribute, F.expr("target div size").alias("_each"), F.expr("target % size").alias("quota"))
+    marked = hash_quota(synth, [attribute], plan).where(F.col("_each").isNotNull())
+    times = marked.withColumn("_times", F.col("_each") + F.col("picked").cast("int"))
     return settle(replicate(times.select(*synth.columns, "_times"), "_times"), "resampled")
 
 
 def rebalance(real: DataFrame, synth: DataFrame, protected: Sequence[str]) -> DataFrame:
     """Match group shares to the real table, one attribute after the other."""
-    out = synth
+    out = settle(synth, "start")
     for a in protected:
         if a in out.columns and a in real.columns:
             out = _resample(out, a, group_targets(real, out, a))
@@ -113,7 +103,7 @@ def reduce_disparate_impact(
             continue
         good = F.coalesce(F.col(target) == F.lit(favorable), F.lit(False))
         quota = flips_needed(out, a, target, favorable, target_ratio).select(a, F.col("to_flip").alias("quota"))
-        marked = hash_quota(out.where(~good), [a], settle(quota, "flips"))
+        marked = hash_quota(out.where(~good), [a], quota)
         flipped = marked.withColumn(
             target, F.when(F.col("picked"), F.lit(favorable).cast(out.schema[target].dataType)).otherwise(F.col(target))
         ).drop("picked")

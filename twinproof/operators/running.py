@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinproof.session import bucket_count
+from twinproof.session import bucket_count, settle
+
+SMALL_ROWS = 200_000
 
 
 def position_in(edges: Column, value: Column, max_edges: int) -> Column:
@@ -45,18 +47,31 @@ def _text_edges(values: DataFrame, keys: Sequence[str], order: str, buckets: int
 
 
 def running_totals(
-    values: DataFrame, keys: Sequence[str], order: str, amounts: Sequence[str], buckets: int | None = None
+    values: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    amounts: Sequence[str],
+    buckets: int | None = None,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Add ``cum_<amount>`` (inclusive) and ``next_value`` per row.
 
     ``values`` has one row per (keys, order) and few key combinations, such as
-    one per table column; the edges and offsets are therefore at most
-    keys x buckets rows and are broadcast.
+    one per table column. It is written out once, since several passes read
+    it. A table of proven small size uses one window per key; otherwise the
+    edges and offsets, at most keys x buckets rows, are broadcast.
     """
+    table = settle(values, "ordered")
+    if table.count() <= small_rows:
+        whole = Window.partitionBy(*keys).orderBy(order)
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return table.withColumns(
+            {**{f"cum_{a}": F.sum(a).over(upto) for a in amounts}, "next_value": F.lead(order).over(whole)}
+        )
     buckets = buckets or bucket_count(values.sparkSession)
-    text = dict(values.dtypes)[order] == "string"
-    edges = (_text_edges if text else _numeric_edges)(values, keys, order, buckets)
-    placed = values.join(F.broadcast(edges), list(keys)).withColumn(
+    text = dict(table.dtypes)[order] == "string"
+    edges = settle((_text_edges if text else _numeric_edges)(table, keys, order, buckets), "edges")
+    placed = table.join(F.broadcast(edges), list(keys)).withColumn(
         "bucket", position_in(F.col("edges"), F.col(order), buckets)
     ).drop("edges")
 
@@ -85,6 +100,34 @@ def running_totals(
     )
 
 
+def column_quantiles(
+    counts: DataFrame, keys: Sequence[str], value: str, n: str, probabilities: Sequence[float], **options
+) -> DataFrame:
+    """(keys, p, total, quantile) of counted values; for few key combinations.
+
+    Exact with linear interpolation. ``counts`` has one row per (keys, value).
+    """
+    run = running_totals(counts.select(*keys, value, n), keys, value, [n], **options)
+    totals = run.groupBy(*keys).agg(F.sum(n).alias("total"))
+    ranked = run.join(F.broadcast(totals), list(keys)).select(
+        *keys, value, "total", (F.col(f"cum_{n}") - F.col(n)).alias("before"), F.col(f"cum_{n}").alias("upto")
+    )
+    out = []
+    for p in probabilities:
+        rank = (F.col("total") - 1) * F.lit(float(p))
+
+        def holds(k: Column) -> Column:
+            return (F.col("before") <= k) & (k < F.col("upto"))
+
+        low = F.max(F.when(holds(F.floor(rank)), F.col(value)))
+        high = F.max(F.when(holds(F.ceil(rank)), F.col(value)))
+        fraction = F.max(rank - F.floor(rank))
+        out += [(low + (high - low) * fraction).alias(f"q{len(out)}")]
+    wide = ranked.groupBy(*keys, "total").agg(*out)
+    items = [F.struct(F.lit(float(p)).alias("p"), F.col(f"q{i}").alias("quantile")) for i, p in enumerate(probabilities)]
+    return wide.select(*keys, "total", F.explode(F.array(*items)).alias("item")).select(*keys, "item.p", "total", "item.quantile")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

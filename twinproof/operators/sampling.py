@@ -16,6 +16,7 @@ from twinproof.functions.scalar import row_md5
 from twinproof.session import settle
 
 PREFIX_DIGITS = 4
+SMALL_ROWS = 200_000
 REPLICATE_BLOCK = 10_000
 
 
@@ -48,22 +49,35 @@ def replicate(df: DataFrame, times: str, number: str | None = None) -> DataFrame
     return both.select(*keep)
 
 
-def hash_quota(df: DataFrame, groups: Sequence[str], quota: DataFrame, order: Column | None = None) -> DataFrame:
+def hash_quota(
+    df: DataFrame, groups: Sequence[str], quota: DataFrame, order: Column | None = None, small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Add ``picked``: exactly ``quota`` rows per group, those first in hash order.
 
-    ``quota`` has one row per group: the group columns and ``quota``. Two
-    small aggregations find the boundary hash of each group (first its
-    4-digit prefix, then the hash itself); every other row is decided by a
-    comparison. The copies of the boundary row are identical, so the right
-    number of them is emitted from their count.
+    ``quota`` has one row per group: the group columns, ``quota`` and any
+    further columns, which are attached to the rows of that group. Rows of
+    other groups are not picked and get nulls.
+
+    Rows and their hashes are written once. A table of proven small size is
+    ranked by a window. Otherwise two small aggregations find the boundary
+    hash of each group (first its 4-digit prefix, then the hash itself) and
+    every other row is decided by a comparison. The copies of the boundary row
+    are identical, so the right number of them is emitted from their count.
     """
     groups = list(groups)
     columns = df.columns
     order = order if order is not None else row_md5(df)
-    keyed = df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
     group_key = F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(0).alias("all"))
-    keyed = keyed.withColumn("_g", group_key)
-    wanted = quota.withColumn("_g", group_key).select("_g", F.col("quota").cast("bigint").alias("_quota"))
+    keyed = settle(
+        df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS)).withColumn("_g", group_key),
+        "hashed",
+    )
+    extra = [c for c in quota.columns if c not in groups and c != "quota"]
+    wanted = quota.withColumn("_g", group_key).select("_g", F.col("quota").cast("bigint").alias("_quota"), *extra)
+    if keyed.count() <= small_rows:
+        rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
+        picked = F.coalesce(F.col("_rank") <= F.col("_quota"), F.lit(False))
+        return keyed.withColumn("_rank", rank).join(wanted, "_g", "left").select(*columns, *extra, picked.alias("picked"))
 
     def boundary(counts: DataFrame, targets: DataFrame, step: str, want: str, carry: Sequence[str] = ()) -> DataFrame:
         run = Window.partitionBy("_g").orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,38 +86,43 @@ def hash_quota(df: DataFrame, groups: Sequence[str], quota: DataFrame, order: Co
         rest = (F.col(want) - (F.col("_upto") - F.col("_n"))).alias("_rest")
         return upto.where(hit).select("_g", step, rest, *carry)
 
-    prefix_counts = keyed.groupBy("_g", "_p").agg(F.count("*").alias("_n"))
+    prefix_counts = settle(keyed.groupBy("_g", "_p").agg(F.count("*").alias("_n")), "quota-prefixes")
     sizes = prefix_counts.groupBy("_g").agg(F.sum("_n").alias("_size"))
-    capped = wanted.join(sizes, "_g").select("_g", F.least("_quota", "_size").alias("_quota"), "_size")
+    capped = wanted.join(sizes, "_g").select("_g", F.least("_quota", "_size").alias("_quota"), *extra)
+    # One row per group each, written out so that the planner knows their size.
     at_prefix = settle(boundary(prefix_counts, capped, "_p", "_quota"), "quota-prefix")
-    inner = (
+    inner = settle(
         keyed.join(at_prefix, ["_g", "_p"])
         .groupBy("_g", "_h", F.col("_rest").alias("_want"))
-        .agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_row"))
+        .agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_row")),
+        "quota-inner",
     )
-    targets = inner.select("_g", "_want").distinct()
-    at_hash = boundary(inner.drop("_want"), targets, "_h", "_want", ["_n", "_row"])
-    # One row per group, written out so that its size is known to the planner.
+    at_hash = boundary(inner.drop("_want"), inner.select("_g", "_want").distinct(), "_h", "_want", ["_n", "_row"])
     edge = settle(
         capped.join(at_hash, "_g", "left").select(
-            "_g", F.coalesce("_h", F.lit("")).alias("_edge"), F.coalesce("_rest", F.lit(0)).alias("_k"), "_n", "_row"
+            "_g",
+            F.coalesce("_h", F.lit("")).alias("_edge"),
+            F.coalesce("_rest", F.lit(0)).alias("_k"),
+            "_n",
+            "_row",
+            *extra,
         ),
         "quota-edge",
     )
     decided = (
-        keyed.join(edge.select("_g", "_edge"), "_g", "left")
+        keyed.join(edge.select("_g", "_edge", *extra), "_g", "left")
         .where(F.col("_edge").isNull() | (F.col("_h") != F.col("_edge")))
-        .select(*columns, F.coalesce(F.col("_h") < F.col("_edge"), F.lit(False)).alias("picked"))
+        .select(*columns, *extra, F.coalesce(F.col("_h") < F.col("_edge"), F.lit(False)).alias("picked"))
+    )
+    parts = F.array(
+        F.struct(F.lit(True).alias("picked"), F.col("_k").alias("times")),
+        F.struct(F.lit(False).alias("picked"), (F.col("_n") - F.col("_k")).alias("times")),
+    )
+    copies = (
+        edge.where(F.col("_row").isNotNull())
+        .select("_row.*", *extra, F.explode(parts).alias("_part"))
+        .select(*columns, *extra, "_part.picked", "_part.times")
     )
-    copies = edge.where(F.col("_row").isNotNull()).select(
-        "_row.*",
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("picked"), F.col("_k").alias("times")),
-                F.struct(F.lit(False).alias("picked"), (F.col("_n") - F.col("_k")).alias("times")),
-            )
-        ).alias("_part"),
-    ).select(*columns, "_part.picked", "_part.times")
     return decided.unionByName(replicate(copies, "times"))
 
 
