@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from twinproof.session import bucket_count, settle
 
 SMALL_ROWS = 200_000
+GROUP_ROWS = 1_000_000
 
 
 def position_in(edges: Column, value: Column, max_edges: int) -> Column:
@@ -200,9 +201,21 @@ def exact_quantiles(
     )
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], few_keys: bool = False) -> DataFrame:
-    """(keys, column, median): exact medians of several columns per key."""
+def group_medians(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """Keys, ``n`` and the exact median of each column per key combination.
+
+    The largest group is measured first. If it is small the built-in median
+    is safe; otherwise the bracketed quantiles keep big groups distributed.
+    """
+    keys = list(keys)
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= group_rows:
+        return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.median(c).alias(c) for c in columns])
     numbers = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    long = numbers.unpivot(list(keys), list(columns), "column", "value")
-    out = exact_quantiles(long, [*keys, "column"], "value", [0.5], few_keys=few_keys)
-    return out.select(*keys, "column", F.col("quantile").alias("median"))
+    long = numbers.unpivot(keys, list(columns), "column", "value")
+    found = exact_quantiles(long, [*keys, "column"], "value", [0.5])
+    picks = [F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(c) for c in columns]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.join(found.groupBy(*keys).agg(*picks), keys)
