@@ -28,38 +28,38 @@ POINT_NUMBERS = SPLIT_NUMBERS + ("l_linenumber",)
 POINT_LABELS = ("l_returnflag", "l_linestatus")
 
 
-def points_sql(n: int = 1000) -> str:
-    """CTEs ``er`` and ``es``: encoded bounded samples of ``r`` and ``s``."""
-    canon = canon_sql(*[f"d:{c}" for c in SPLIT_NUMBERS], "l_linenumber", *POINT_LABELS)
+def points_sql(numbers=POINT_NUMBERS, labels=POINT_LABELS, n: int = 1000) -> str:
+    """CTEs ``xr`` and ``xs``: encoded bounded samples of ``r`` and ``s``."""
+    canon = canon_sql(*[c if c == "l_linenumber" else f"d:{c}" for c in numbers], *labels)
     dicts = ", ".join(
         f"d_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT {c} AS v FROM r UNION SELECT {c} FROM s))"
-        for c in POINT_LABELS
+        for c in labels
     )
+    codes = "".join(f", d_{c}.code AS {c}" for c in labels)
     samples = ", ".join(
         f"""k{t} AS (SELECT *, md5({canon}) AS h FROM {t} ORDER BY h LIMIT {n}),
-        e{t} AS (SELECT row_number() OVER () AS id, {', '.join(POINT_NUMBERS)}, a.code AS l_returnflag, b.code AS l_linestatus
-                 FROM k{t} JOIN d_l_returnflag a ON k{t}.l_returnflag = a.v JOIN d_l_linestatus b ON k{t}.l_linestatus = b.v)"""
+        x{t} AS (SELECT row_number() OVER () AS id, {', '.join(numbers)}{codes}
+                 FROM k{t} {' '.join(f'JOIN d_{c} ON k{t}.{c} = d_{c}.v' for c in labels)})"""
         for t in ("r", "s")
     )
     return f"{dicts}, {samples}"
 
 
-def scaled_sql(columns, fitted_on: str, eps: str) -> str:
+def scaled_sql(columns, fitted_on: str, eps: str, every=POINT_NUMBERS + POINT_LABELS) -> str:
     """CTEs ``zr`` / ``zs`` and ``mind``: nearest distances of scaled samples."""
-    every = POINT_NUMBERS + POINT_LABELS
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) + {eps} AS v_{c}" for c in columns)
 
     def z(c):
         return f"({c} - m_{c}) / v_{c} AS {c}" if c in columns else c
 
-    zs = ", ".join(f"z{t} AS (SELECT id, {', '.join(z(c) for c in every)} FROM e{t}, fit)" for t in ("r", "s"))
+    zs = ", ".join(f"z{t} AS (SELECT id, {', '.join(z(c) for c in every)} FROM x{t}, fit)" for t in ("r", "s"))
     gap = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in every)
     return f"fit AS (SELECT {stats} FROM {fitted_on}), {zs}, mind AS (SELECT a.id, sqrt(min({gap})) AS d FROM zs a, zr b GROUP BY 1)"
 
 
 @query(
     "dcr_sampled",
-    f"""WITH {LEAKY_SQL}, {points_sql()}, {scaled_sql(POINT_NUMBERS + POINT_LABELS, 'er', '1e-10')},
+    f"""WITH {LEAKY_SQL}, {points_sql()}, {scaled_sql(POINT_NUMBERS + POINT_LABELS, 'xr', '1e-10')},
     a AS (SELECT avg(d) AS m, median(d) AS md, min(d) AS mn, count(*) FILTER (d < 1e-6) AS x, count(*) AS n FROM mind)
     SELECT round(m, 6) AS mean_dcr, round(md, 6) AS median_dcr, round(mn, 6) AS min_dcr, x AS exact_matches, round(x / n, 6) AS exact_match_rate,
            round(CASE WHEN m < 0.1 THEN least(100, m / 0.1 * 100) ELSE 100 END, 4) AS score, m >= 0.05 AND x = 0 AS passed, n AS n_compared FROM a""",
