@@ -132,7 +132,7 @@ _NUMERIC = ("order_key", "total_price", "price_band", "order_date_year", "order_
 @query("prep_full", f"WITH {_FILLED} SELECT status, priority, {', '.join(_clip(c) for c in _NUMERIC)} FROM filled")
 def prep_full(spark, sf):
     df = dirty_orders(spark, sf)
-    out = prepare.fit(df).apply(df)
+    out, _ = prepare.prepare(df)
     return out.select("status", "priority", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in _NUMERIC])
 
 
@@ -174,19 +174,26 @@ def label_decode(spark, sf):
 )
 def scale(spark, sf):
     real, synth = lineitem_split(spark, sf)
-    out = encoding.standardize(synth, encoding.scale_stats([real], ["l_quantity", "l_tax"]), ["l_quantity", "l_tax"])
+    out = encoding.standardize(synth, encoding.scale_stats(real, ["l_quantity", "l_tax"]), ["l_quantity", "l_tax"])
     return out.groupBy(round6(F.col("l_quantity")).alias("l_quantity"), round6(F.col("l_tax")).alias("l_tax")).agg(F.count("*").alias("n"))
 
 
-def fingerprint_sql(source: str, canon: str, digits: int = 6) -> str:
-    """CTE chain ending in ``fp`` (n_rows, n_distinct_rows, data_hash)."""
-    out = f"""rh AS (SELECT sha256({canon}) AS h, count(*) AS n FROM {source} GROUP BY 1),
-    k{digits} AS (SELECT left(h, {digits}) AS k, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d, sum(n) AS m, count(*) AS q FROM rh GROUP BY 1)"""
-    while digits:
-        up = max(0, digits - 2)
-        out += f""", k{up} AS (SELECT left(k, {up}) AS k, sha256(string_agg(k || ':' || d, ',' ORDER BY k || ':' || d)) AS d, sum(m) AS m, sum(q) AS q FROM k{digits} GROUP BY 1)"""
-        digits = up
-    return out + ", fp AS (SELECT CAST(m AS BIGINT) AS n_rows, CAST(q AS BIGINT) AS n_distinct_rows, d AS data_hash FROM k0)"
+def fingerprint_sql(source: str, canon: str) -> str:
+    """CTE chain ending in ``fp`` (n_rows, n_distinct_rows, data_hash).
+
+    Two leaf depths, chosen by the row count as the operator does.
+    """
+    out = f"rh AS (SELECT sha256({canon}) AS h, count(*) AS n FROM {source} GROUP BY 1), sz AS (SELECT sum(n) AS t FROM rh)"
+    for digits, low, high in ((2, 0, 65536), (4, 65536, 16777216)):
+        mark = f"d{digits}"
+        out += f""", {mark}k{digits} AS (SELECT left(h, {digits}) AS k, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d, sum(n) AS m, count(*) AS q
+        FROM rh WHERE (SELECT t > {low} AND t <= {high} FROM sz) GROUP BY 1)"""
+        while digits:
+            up = digits - 2
+            out += f""", {mark}k{up} AS (SELECT left(k, {up}) AS k, sha256(string_agg(k || ':' || d, ',' ORDER BY k || ':' || d)) AS d, sum(m) AS m, sum(q) AS q FROM {mark}k{digits} GROUP BY 1)"""
+            digits = up
+    picks = " UNION ALL ".join(f"SELECT CAST(m AS BIGINT) AS n_rows, CAST(q AS BIGINT) AS n_distinct_rows, d AS data_hash FROM {m}k0" for m in ("d2", "d4"))
+    return out + f", fp AS ({picks})"
 
 
 _ITEM_CANON = canon_sql(

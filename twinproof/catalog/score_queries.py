@@ -73,7 +73,8 @@ def full_scorecard(spark, sf):
 
 
 def _axis(spark, sf, axis):
-    metrics = scorecard.axis_metrics(axis, *applicants(spark, sf), APPLICANT_ROLES, with_models=False)
+    pair = scorecard.working_copy(*applicants(spark, sf), APPLICANT_ROLES)
+    metrics = scorecard.axis_metrics(axis, *pair, APPLICANT_ROLES, with_models=False)
     out = scorecard.axis_score(metrics, scorecard.WEIGHTS[axis])
     return out.select(F.round("score", 4).alias("score"), "passed", "missing_metrics")
 
@@ -119,9 +120,10 @@ def report_scorecard(spark, sf):
     SELECT axis, metric AS without, round(f, 4) AS full_score, round(g, 4) AS ablated_score, round(f - g, 4) AS contribution FROM a""",
 )
 def ablation(spark, sf):
+    pair = scorecard.working_copy(*applicants(spark, sf), APPLICANT_ROLES)
     metrics = None
     for axis in scorecard.WEIGHTS:
-        part = scorecard.axis_metrics(axis, *applicants(spark, sf), APPLICANT_ROLES, with_models=False)
+        part = scorecard.axis_metrics(axis, *pair, APPLICANT_ROLES, with_models=False)
         metrics = part if metrics is None else metrics.unionByName(part)
     out = scorecard.ablation(metrics)
     return out.withColumns({c: F.round(c, 4) for c in ("full_score", "ablated_score", "contribution")})
@@ -167,7 +169,7 @@ def evaluator_composite(spark, sf):
     UNION ALL SELECT 'fairness', 'All fairness checks passed. No significant bias detected.' FROM ax WHERE axis = 'fairness' AND passed""",
 )
 def recommendations(spark, sf):
-    r, s = applicants(spark, sf)
+    r, s = scorecard.working_copy(*applicants(spark, sf), APPLICANT_ROLES)
     rates = fairness.favorable_rates(r, s, PROTECTED, TARGET, GOOD)
     a = scorecard.privacy_recommendations(
         distance.dcr_sampled(r, s, APPLICANT_NUMBERS, APPLICANT_LABELS),

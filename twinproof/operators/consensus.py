@@ -11,6 +11,7 @@ from twinproof.functions.scalar import ratio, short_id, weighted_score
 from twinproof.operators.running import group_medians
 
 QUORUM = 3
+PIVOT_QUORUM = 9
 THRESHOLD = 70.0
 MAX_VARIANCE = 400.0
 MATCH_TOLERANCE = 0.01
@@ -81,16 +82,31 @@ def consensus(submissions: DataFrame, quorum: int = QUORUM, threshold: float = T
     """
     turn = F.row_number().over(Window.partitionBy("verification_id").orderBy("arrival", "verifier_id"))
     within = first_submissions(submissions).withColumn("turn", turn).where(F.col("turn") <= quorum)
-    return (
-        within.groupBy("verification_id")
-        .agg(
-            F.count("*").alias("num_verifiers"),
-            *[F.median(s).alias(s) for s in FINALS],
-            F.var_pop("overall").alias("variance"),
+    if quorum <= PIVOT_QUORUM:
+        # Closed requests have exactly one row per turn: plain maxima per turn
+        # stay in generated code, unlike percentile buffers.
+        placed = {(s, t): F.max(F.when(F.col("turn") == t, F.col(s))).alias(f"_{s}_{t}") for s in FINALS for t in range(1, quorum + 1)}
+        middle = {s: _middle([F.col(f"_{s}_{t}") for t in range(1, quorum + 1)]) for s in FINALS}
+        decided = (
+            within.groupBy("verification_id")
+            .agg(F.count("*").alias("num_verifiers"), F.var_pop("overall").alias("variance"), *placed.values())
+            .where(F.col("num_verifiers") >= quorum)
+            .select("verification_id", "num_verifiers", *[m.alias(s) for s, m in middle.items()], "variance")
         )
-        .where(F.col("num_verifiers") >= quorum)
-        .withColumn("status", _verdict(F.col("variance"), F.col("overall"), threshold))
-    )
+    else:
+        decided = (
+            within.groupBy("verification_id")
+            .agg(F.count("*").alias("num_verifiers"), *[F.median(s).alias(s) for s in FINALS], F.var_pop("overall").alias("variance"))
+            .where(F.col("num_verifiers") >= quorum)
+        )
+    return decided.withColumn("status", _verdict(F.col("variance"), F.col("overall"), threshold))
+
+
+def _middle(values: Sequence[Column]) -> Column:
+    """Median of a handful of columns."""
+    ordered = F.array_sort(F.array(*values))
+    half = len(values) // 2
+    return ordered[half] if len(values) % 2 else (ordered[half - 1] + ordered[half]) / 2
 
 
 def contract_consensus(submissions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

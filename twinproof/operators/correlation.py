@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.operators import encoding
@@ -12,60 +12,60 @@ from twinproof.operators import encoding
 PAIRS_IN_ONE_AGGREGATE = 10
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, corr), both orders and the diagonal.
+def _pair_correlations(numbers: DataFrame, columns: Sequence[str], sides: dict[str, Column]) -> DataFrame:
+    """(col_a, col_b, one correlation per side), both orders and the diagonal.
 
     A few pairs share one aggregate. More would make its generated code too
     long to be compiled; then each row emits its column pairs, which fold on
     the map side into one buffer per pair.
     """
     columns = list(columns)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    if len(pairs) <= PAIRS_IN_ONE_AGGREGATE:
-        row = numbers.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    if len(pairs) * len(sides) <= PAIRS_IN_ONE_AGGREGATE:
+        row = numbers.agg(
+            *[F.corr(F.when(on, F.col(a)), F.col(b)).alias(f"{s}_{i}") for i, (a, b) in enumerate(pairs) for s, on in sides.items()]
+        )
         items = [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
+            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), *[F.col(f"{s}_{i}").alias(s) for s in sides])
             for i, (a, b) in enumerate(pairs)
         ]
         half = row.select(F.explode(F.array(*items)).alias("p")).select("p.*")
     else:
+        flags = [on.alias(f"_on_{s}") for s, on in sides.items()]
         indexed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns])
-        left = numbers.select(indexed.alias("v")).select("v", F.posexplode("v").alias("i", "a"))
-        both = left.select("a", F.explode(F.slice("v", F.col("i") + 1, len(columns))).alias("b"))
+        left = numbers.select(*flags, indexed.alias("v")).select("*", F.posexplode("v").alias("i", "a"))
+        both = left.select(
+            *[f"_on_{s}" for s in sides], "a", F.explode(F.slice("v", F.col("i") + 1, len(columns))).alias("b")
+        )
         half = both.groupBy(F.col("a.name").alias("col_a"), F.col("b.name").alias("col_b")).agg(
-            F.corr("a.x", "b.x").alias("corr")
+            *[F.corr(F.when(F.col(f"_on_{s}"), F.col("a.x")), F.col("b.x")).alias(s) for s in sides]
         )
-    mirrored = half.where("col_a <> col_b").select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr"
-    )
+    mirrored = half.where("col_a <> col_b").select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), *sides)
     return half.unionByName(mirrored)
 
 
-def encoded_pair(
-    real: DataFrame, synth: DataFrame, categorical: Sequence[str], columns: Sequence[str], scope: str = "separate"
-) -> tuple[DataFrame, DataFrame]:
-    """Both tables with label codes, fitted per table or on their union."""
-    r, s = real.select(*columns), synth.select(*columns)
-    labels = [c for c in columns if c in categorical]
-    if not labels:
-        return r, s
-    codes = encoding.dictionary([r, s], labels, scope)
-    side = 1 if scope == "separate" else 0
-    return (
-        encoding.encode(r, encoding.side_codes(codes, 0), labels),
-        encoding.encode(s, encoding.side_codes(codes, side), labels),
-    )
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(col_a, col_b, corr) of one table of numbers."""
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return _pair_correlations(numbers, columns, {"corr": F.lit(True)})
 
 
 def correlation_pairs(
-    real: DataFrame, synth: DataFrame, categorical: Sequence[str], columns: Sequence[str]
+    real: DataFrame, synth: DataFrame, categorical: Sequence[str], columns: Sequence[str], scope: str = "separate"
 ) -> DataFrame:
-    """(col_a, col_b, corr_real, corr_synth, diff); at most one row per pair."""
-    r, s = encoded_pair(real, synth, categorical, columns)
-    a = correlation_matrix(r, columns).withColumnRenamed("corr", "corr_real")
-    b = correlation_matrix(s, columns).withColumnRenamed("corr", "corr_synth")
-    return a.join(b, ["col_a", "col_b"]).withColumn("diff", F.abs(F.col("corr_real") - F.col("corr_synth")))
+    """(col_a, col_b, corr_real, corr_synth, diff); at most one row per pair.
+
+    Both tables run through one aggregation. Label codes are fitted per table
+    ("separate", as the score is defined) or on the union.
+    """
+    labels = [c for c in columns if c in categorical]
+    both = real.select(F.lit(0).alias("_s"), *columns).unionByName(synth.select(F.lit(1).alias("_s"), *columns))
+    if labels:
+        codes = encoding.dictionary([real, synth], labels, scope)
+        both = encoding.encode(both, codes, labels, side="_s" if scope == "separate" else None)
+    numbers = both.select("_s", *[F.col(c).cast("double").alias(c) for c in columns])
+    out = _pair_correlations(numbers, columns, {"corr_real": F.col("_s") == 0, "corr_synth": F.col("_s") == 1})
+    return out.withColumn("diff", F.abs(F.col("corr_real") - F.col("corr_synth")))
 
 
 def preservation(real: DataFrame, synth: DataFrame, categorical: Sequence[str], columns: Sequence[str]) -> DataFrame:

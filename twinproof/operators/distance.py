@@ -16,6 +16,7 @@ from twinproof.operators.sampling import bounded_sample
 from twinproof.session import settle
 
 MATCH_DISTANCE = 1e-6
+SAMPLE_TASKS = 16
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 4096
 TREE_SAMPLE_ROWS = 32768
@@ -28,13 +29,15 @@ LEAF_SAMPLE_ROWS = 8
 def _sampled_points(
     real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], n: int
 ) -> tuple[DataFrame, DataFrame]:
+    """Encoded bounded samples of both tables, written out (2 n rows at most)."""
     columns = [*numeric, *categorical]
-    r = bounded_sample(real.select(*columns), n)
-    s = bounded_sample(synth.select(*columns), n)
+    both = bounded_sample(real.select(*columns), n).withColumn("_s", F.lit(0)).unionByName(
+        bounded_sample(synth.select(*columns), n).withColumn("_s", F.lit(1))
+    )
     if categorical:
-        codes = encoding.dictionary([real, synth], categorical)
-        r, s = encoding.encode(r, codes, categorical), encoding.encode(s, codes, categorical)
-    return r, s
+        both = encoding.encode(both, encoding.dictionary([real, synth], categorical), categorical)
+    both = settle(both, "sampled")
+    return both.where("_s = 0").drop("_s"), both.where("_s = 1").drop("_s")
 
 
 def _min_distances(real_points: DataFrame, synth_points: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +60,8 @@ def _min_distances(real_points: DataFrame, synth_points: DataFrame, columns: Seq
             total = total + t
         return total
 
-    asked = synth_points.where(complete).withColumn("_others", others)
+    # A sample fits one file, hence one task; spread it over the cores again.
+    asked = synth_points.where(complete).repartition(SAMPLE_TASKS).withColumn("_others", others)
     return asked.select(F.sqrt(F.array_min(F.transform("_others", squared))).alias("distance"))
 
 
@@ -71,7 +75,7 @@ def dcr_sampled(
     """One row of distance statistics between bounded, hash-ordered samples."""
     columns = [*numeric, *categorical]
     r, s = _sampled_points(real, synth, numeric, categorical, sample_size)
-    stats = encoding.scale_stats([r], columns)
+    stats = encoding.scale_stats(r, columns)
     distances = _min_distances(
         encoding.standardize(r, stats, columns, 1e-10), encoding.standardize(s, stats, columns, 1e-10), columns
     )
@@ -110,7 +114,7 @@ def dcr_evaluator(
     """Evaluator variant: numbers scaled on the union, label codes unscaled."""
     columns = [*numeric, *categorical]
     r, s = _sampled_points(real, synth, numeric, categorical, sample_size)
-    stats = encoding.scale_stats([real, synth], numeric)
+    stats = encoding.scale_stats(real.select(*numeric).unionByName(synth.select(*numeric)), numeric)
     d = _min_distances(
         encoding.standardize(r, stats, numeric), encoding.standardize(s, stats, numeric), columns
     )
@@ -342,7 +346,7 @@ def dcr_full(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categori
     if categorical:
         codes = encoding.dictionary([real, synth], categorical)
         r, s = encoding.encode(r, codes, categorical), encoding.encode(s, codes, categorical)
-    stats = settle(encoding.scale_stats([r], columns), "scale")
+    stats = encoding.scale_stats(r, columns)
     near = nearest_distances(
         points(encoding.standardize(r, stats, columns, 1e-10), columns),
         points(encoding.standardize(s, stats, columns, 1e-10), columns),

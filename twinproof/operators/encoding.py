@@ -45,20 +45,24 @@ def dictionary(frames: Sequence[DataFrame], columns: Sequence[str], scope: str =
     return settle(ranked.select("side", "column", "value", "code"), "dictionary")
 
 
-def side_codes(codes: DataFrame, side: int) -> DataFrame:
-    return codes.where(F.col("side") == side).drop("side")
-
-
 def encode(
-    df: DataFrame, codes: DataFrame, columns: Sequence[str], unseen: int | None = None
+    df: DataFrame, codes: DataFrame, columns: Sequence[str], unseen: int | None = None, side: str | None = None
 ) -> DataFrame:
-    """Replace labels with codes; ``unseen`` labels get that code (else null)."""
+    """Replace labels with codes; ``unseen`` labels get that code (else null).
+
+    ``side`` names a column of ``df`` telling whose dictionary a row uses.
+    """
     out = df
     for c in columns:
-        part = codes.where(F.col("column") == c).select(F.col("value").alias("_label"), F.col("code").alias("_code"))
-        out = out.withColumn("_text", label_text(c)).join(part, F.col("_text") == F.col("_label"), "left")
+        part = codes.where(F.col("column") == c).select(
+            F.col("value").alias("_label"), F.col("code").alias("_code"), F.col("side").alias("_side")
+        )
+        match = F.col("_text") == F.col("_label")
+        if side is not None:
+            match = match & (F.col(side) == F.col("_side"))
+        out = out.withColumn("_text", label_text(c)).join(part, match, "left")
         code = F.col("_code") if unseen is None else F.coalesce("_code", F.lit(unseen))
-        out = out.withColumn(c, code.cast("double")).drop("_text", "_label", "_code")
+        out = out.withColumn(c, code.cast("double")).drop("_text", "_label", "_code", "_side")
     return out.select(*df.columns)
 
 
@@ -75,30 +79,25 @@ def decode(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame
     return out.select(*df.columns)
 
 
-def scale_stats(frames: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """One row of structs: mean and population deviation of each column."""
-    both = frames[0].select(*columns)
-    for df in frames[1:]:
-        both = both.unionByName(df.select(*columns))
-    return both.agg(
-        F.struct(
-            *[F.avg(c).alias(f"mean_{c}") for c in columns],
-            *[F.stddev_pop(c).alias(f"sd_{c}") for c in columns],
-        ).alias("stats")
-    )
-
+def scale_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column, as driver-side numbers."""
+    row = df.agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"sd_{c}") for c in columns]
+    ).first()
+    return {c: (row[f"mean_{c}"], row[f"sd_{c}"]) for c in columns}
 
-def standardize(df: DataFrame, stats: DataFrame, columns: Sequence[str], epsilon: float = 0.0) -> DataFrame:
-    """(x - mean) / sd with the fitted statistics, read as a scalar subquery.
 
-    With no epsilon a constant column keeps divisor 1.
-    """
-    fitted = stats.scalar()
+def standardize(
+    df: DataFrame, stats: dict[str, tuple[float, float]], columns: Sequence[str], epsilon: float = 0.0
+) -> DataFrame:
+    """(x - mean) / (sd + epsilon); with no epsilon a constant column keeps divisor 1."""
 
     def one(c: str) -> Column:
-        sd = fitted[f"sd_{c}"]
-        divisor = sd + epsilon if epsilon else F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-        return (F.col(c) - fitted[f"mean_{c}"]) / divisor
+        mean, sd = stats[c]
+        if mean is None:  # no values at all
+            return F.lit(None).cast("double")
+        divisor = sd + epsilon if epsilon else (sd or 1.0)
+        return (F.col(c) - F.lit(mean)) / F.lit(divisor)
 
     return df.withColumns({c: one(c) for c in columns})
 

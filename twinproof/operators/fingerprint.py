@@ -9,18 +9,28 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import row_sha
 
-LEAF_DIGITS = 6
 DIGITS_PER_LEVEL = 2
+LEAF_ROWS = 256
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, leaf_digits: int = LEAF_DIGITS) -> DataFrame:
+def leaf_digits_for(n_rows: int) -> int:
+    """Even number of hash digits that leaves about LEAF_ROWS rows per leaf."""
+    digits = DIGITS_PER_LEVEL
+    while LEAF_ROWS * 16**digits < n_rows:
+        digits += DIGITS_PER_LEVEL
+    return digits
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, leaf_digits: int | None = None) -> DataFrame:
     """One row: (n_rows, n_distinct_rows, data_hash) of the table's rows.
 
     A hash tree over row digests. Equal rows are counted first, so a node
     holds distinct digests only; digests spread evenly over 16^leaf_digits
-    leaves, and each level above joins at most 256 children. No task ever
-    gathers more than one node, and row order does not matter.
+    leaves, a number that follows the row count, and each level above joins
+    at most 256 children. No task ever gathers more than one node, and row
+    order does not matter.
     """
+    leaf_digits = leaf_digits or leaf_digits_for(df.count())
     rows = df.select(row_sha(df, columns).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     item = F.concat_ws(":", "h", F.col("n").cast("string"))
     level = rows.groupBy(F.substring("h", 1, leaf_digits).alias("key")).agg(

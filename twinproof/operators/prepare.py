@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from twinproof.operators.distributions import modes, unpivoted
 from twinproof.operators.running import column_quantiles
 from twinproof.roles import is_number
+from twinproof.session import settle
 
 # Date layouts tried on text columns.
 DATE_FORMATS = (
@@ -160,7 +161,12 @@ class PrepPlan:
         self.steps.append((step, column, action, detail))
 
     def apply(self, df: DataFrame) -> DataFrame:
-        out = expand_dates(rename_columns(df), self.dates).dropDuplicates().drop(*self.dropped)
+        """The fitted steps on another table of the same layout."""
+        return self.finish(expand_dates(rename_columns(df), self.dates).dropDuplicates())
+
+    def finish(self, unique: DataFrame) -> DataFrame:
+        """The steps after de-duplication."""
+        out = unique.drop(*self.dropped)
         if self.fills:
             out = out.fillna(self.fills)
         out = out.withColumns({c: F.col(c).cast("bigint") for c in self.whole if c in out.columns})
@@ -175,7 +181,15 @@ class PrepPlan:
 
 
 def fit(df: DataFrame) -> PrepPlan:
-    """Fit the preparation steps on ``df``, in order."""
+    """Fit the preparation steps on ``df``."""
+    return prepare(df)[1]
+
+
+def prepare(df: DataFrame) -> tuple[DataFrame, PrepPlan]:
+    """The prepared table and the plan fitted on it.
+
+    The de-duplicated table is written once; every later step reads that.
+    """
     plan = PrepPlan(names=normal_names(df.columns))
     for old, new in plan.names.items():
         if old != new:
@@ -184,11 +198,11 @@ def fit(df: DataFrame) -> PrepPlan:
     plan.dates = date_columns(now)
     for c in plan.dates:
         plan.note("dates", c, "date_expanded", f"{c}_year,{c}_month,{c}_day,{c}_dayofweek")
-    expanded = expand_dates(now, plan.dates)
-    now = expanded.dropDuplicates()
-    removed = expanded.count() - now.count()
+    unique = settle(expand_dates(now, plan.dates).dropDuplicates(), "unique")
+    removed = df.count() - unique.count()
     if removed:
         plan.note("duplicates", "*", "duplicates_removed", str(removed))
+    now = unique
     gaps = [r for r in null_shares(now).collect() if r["n_null"]]
     plan.dropped = [r["column"] for r in gaps if r["dropped"]]
     for r in gaps:
@@ -222,4 +236,4 @@ def fit(df: DataFrame) -> PrepPlan:
             if r["clipped"]:
                 plan.clips[r["column"]] = (r["low"], r["high"])
                 plan.note("outliers", r["column"], "clipped", f"{r['clipped']} to [{r['low']}, {r['high']}]")
-    return plan
+    return plan.finish(unique), plan

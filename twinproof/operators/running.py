@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from twinproof.session import bucket_count, settle
 
-SMALL_ROWS = 200_000
+SMALL_ROWS = 1_000_000
 GROUP_ROWS = 1_000_000
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinproof.functions.scalar import weighted_score
 from twinproof.operators import correlation, distance, fairness, models, privacy, utility
 from twinproof.roles import ColumnRoles
+from twinproof.session import build_together, settle
 
 # Metric weights of each axis.
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -50,6 +51,20 @@ def _encoded_kinds(real: DataFrame, roles: ColumnRoles) -> tuple[list[str], list
     return [c for c in roles.columns if c not in texts], texts
 
 
+def working_copy(real: DataFrame, synth: DataFrame, roles: ColumnRoles) -> tuple[DataFrame, DataFrame]:
+    """Both tables cut to the columns with a role, written to the shared folder.
+
+    Metrics then scan only these columns, and a pair that is itself the
+    result of joins is not joined again for every metric.
+    """
+    used = {*roles.columns, *roles.quasi_identifiers, *roles.protected, *roles.sensitive, roles.target}
+    columns = [c for c in real.columns if c in used]
+    both = build_together(
+        real.sparkSession, [lambda: settle(real.select(*columns), "real"), lambda: settle(synth.select(*columns), "synthetic")]
+    )
+    return both[0], both[1]
+
+
 def _rates(real: DataFrame, synth: DataFrame, roles: ColumnRoles) -> DataFrame:
     return fairness.favorable_rates(real, synth, roles.protected, roles.target, roles.favorable)
 
@@ -81,18 +96,38 @@ def axis_metrics(
 
     A metric without its target or protected columns is absent, not zero.
     """
-    out = None
+    rows = build_together(real.sparkSession, _metric_jobs(axis, real, synth, roles, with_models, skip))
+    if not rows:
+        return real.sparkSession.createDataFrame([], "axis string, metric string, weight double, score double, passed boolean")
+    return _union(rows)
+
+
+def _metric_jobs(axis: str, real: DataFrame, synth: DataFrame, roles: ColumnRoles, with_models: bool, skip: Sequence[str] = ()):
+    """Builders of the metric rows of one axis that apply to this pair."""
+    jobs = []
     for name, (weight, fn) in _REGISTRY[axis].items():
         if name in skip or (name in MODEL_METRICS and not with_models):
             continue
         if (name in _NEEDS_TARGET and roles.target is None) or (axis == "fairness" and not roles.protected):
             continue
-        row = fn(real, synth, roles).select(
-            F.lit(axis).alias("axis"), F.lit(name).alias("metric"), F.lit(float(weight)).alias("weight"), F.col("score").cast("double").alias("score"), "passed"
-        )
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        return real.sparkSession.createDataFrame([], "axis string, metric string, weight double, score double, passed boolean")
+
+        def job(name=name, weight=weight, fn=fn) -> DataFrame:
+            return fn(real, synth, roles).select(
+                F.lit(axis).alias("axis"),
+                F.lit(name).alias("metric"),
+                F.lit(float(weight)).alias("weight"),
+                F.col("score").cast("double").alias("score"),
+                "passed",
+            )
+
+        jobs.append(job)
+    return jobs
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
@@ -117,12 +152,14 @@ def scorecard(
     """(axis, metric, weight, score, passed): metrics, axis totals and trust.
 
     Axis totals have metric "overall"; the trust row weighs the axes 40/35/25.
-    Without protected attributes fairness is 100 and marked as skipped.
+    Without protected attributes fairness is 100 and marked as skipped. The
+    columns in use are written out once, as every metric reads them.
     """
-    axes = {a: axis_metrics(a, real, synth, roles, with_models) for a in WEIGHTS if a != "fairness" or roles.protected}
-    metrics = None
-    for frame in axes.values():
-        metrics = frame if metrics is None else metrics.unionByName(frame)
+    real, synth = working_copy(real, synth, roles)
+    axes = [a for a in WEIGHTS if a != "fairness" or roles.protected]
+    rows = build_together(real.sparkSession, [job for a in axes for job in _metric_jobs(a, real, synth, roles, with_models)])
+    # A dozen rows at most, written so that totals and trust do not compute them again.
+    metrics = settle(_union(rows), "metrics")
     weights = {m: w for a in axes for m, w in registered_weights(a).items()}
     totals = axis_score(metrics, weights, renormalise).select(
         "axis", F.lit("overall").alias("metric"), F.lit(None).cast("double").alias("weight"), "score", "passed"
@@ -133,7 +170,6 @@ def scorecard(
                 F.lit("fairness").alias("axis"), F.lit("skipped").alias("metric"), F.lit(None).cast("double").alias("weight"), F.lit(100.0).alias("score"), F.lit(True).alias("passed")
             )
         )
-    # Grouping sets give the metric rows, the axis totals and trust in one pass.
     axis_value = {a: F.max(F.when(F.col("axis") == a, F.col("score"))) for a in WEIGHTS}
     trust = totals.agg(
         weighted_score(axis_value["privacy"], axis_value["utility"], axis_value["fairness"]).alias("score"), F.bool_and("passed").alias("passed")
@@ -163,27 +199,33 @@ def verdict(totals: DataFrame, threshold: float = 70.0) -> DataFrame:
 
 def evaluate_all(real: DataFrame, synth: DataFrame, roles: ColumnRoles, with_models: bool = True) -> DataFrame:
     """Evaluator scores: (axis, metric, score) with plain means per axis."""
+    real, synth = working_copy(real, synth, roles)
     numbers, texts = _encoded_kinds(real, roles)
     parts = {
-        ("privacy", "dcr"): distance.dcr_evaluator(real, synth, numbers, texts).select(F.col("dcr_score").alias("score")),
-        ("privacy", "k_anonymity"): privacy.k_anonymity_evaluator(synth, roles.quasi_identifiers or texts[:3]).select(F.col("k_score").alias("score")),
-        ("utility", "statistical_similarity"): utility.evaluator_similarity(real, synth, numbers, texts).select(F.col("similarity_score").alias("score")),
-        ("utility", "correlation_preservation"): correlation.offdiagonal_preservation(real, synth, numbers).select(F.col("correlation_score").alias("score")),
+        ("privacy", "dcr"): (lambda: distance.dcr_evaluator(real, synth, numbers, texts), "dcr_score"),
+        ("privacy", "k_anonymity"): (lambda: privacy.k_anonymity_evaluator(synth, roles.quasi_identifiers or texts[:3]), "k_score"),
+        ("utility", "statistical_similarity"): (lambda: utility.evaluator_similarity(real, synth, numbers, texts), "similarity_score"),
+        ("utility", "correlation_preservation"): (lambda: correlation.offdiagonal_preservation(real, synth, numbers), "correlation_score"),
     }
     if with_models:
-        parts[("privacy", "membership_inference")] = models.membership_inference_evaluator(real, synth, numbers, texts).select(F.col("privacy_score").alias("score"))
+        parts[("privacy", "membership_inference")] = (
+            lambda: models.membership_inference_evaluator(real, synth, numbers, texts),
+            "privacy_score",
+        )
         if roles.target:
-            parts[("utility", "ml_efficacy")] = models.evaluator_efficacy(
-                real, synth, numbers, roles.target, roles.target in texts
-            ).select(F.col("ml_efficacy_score").alias("score"))
+            parts[("utility", "ml_efficacy")] = (
+                lambda: models.evaluator_efficacy(real, synth, numbers, roles.target, roles.target in texts),
+                "ml_efficacy_score",
+            )
     if roles.protected and roles.target:
         rates = fairness.outcome_rates(synth, roles.protected[0], roles.target, roles.favorable)
-        parts[("fairness", "demographic_parity")] = fairness.evaluator_parity(rates).select(F.col("dp_score").alias("score"))
-        parts[("fairness", "disparate_impact")] = fairness.evaluator_impact(rates).select(F.col("di_score").alias("score"))
-    rows = None
-    for (axis, metric), frame in parts.items():
-        one = frame.select(F.lit(axis).alias("axis"), F.lit(metric).alias("metric"), F.col("score").cast("double").alias("score"))
-        rows = one if rows is None else rows.unionByName(one)
+        parts[("fairness", "demographic_parity")] = (lambda: fairness.evaluator_parity(rates), "dp_score")
+        parts[("fairness", "disparate_impact")] = (lambda: fairness.evaluator_impact(rates), "di_score")
+
+    def job(axis: str, metric: str, build: Callable[[], DataFrame], column: str) -> Callable[[], DataFrame]:
+        return lambda: build().select(F.lit(axis).alias("axis"), F.lit(metric).alias("metric"), F.col(column).cast("double").alias("score"))
+
+    rows = settle(_union(build_together(real.sparkSession, [job(a, m, b, c) for (a, m), (b, c) in parts.items()])), "metrics")
     means = rows.groupBy("axis").agg(F.avg("score").alias("score")).select("axis", F.lit("overall").alias("metric"), "score")
     composite = means.agg(F.avg("score").alias("score")).select(F.lit("composite").alias("axis"), F.lit("overall").alias("metric"), "score")
     return rows.unionByName(means).unionByName(composite)

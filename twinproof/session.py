@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library is tuned for. Cluster sizing (shuffle partitions, split
@@ -17,6 +20,7 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+MAX_BUILDERS = 8
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -60,6 +64,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def build_together(spark: SparkSession, jobs: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Results of several plan builders, run side by side.
+
+    Building a plan may run small jobs (sizes, dictionaries, written tables);
+    independent ones then share the cluster instead of queueing.
+    """
+    jobs = list(jobs)
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=min(MAX_BUILDERS, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Range buckets for distributed running totals: follows shuffle width."""
     return max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from statistics import median, pvariance
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ VERDICT_SCHEMA = """
     verification_id bigint, num_verifiers bigint, privacy double, utility double, fairness double,
     overall double, variance double, status string
 """
+VERDICT_COLUMNS = ["verification_id", "num_verifiers", "privacy", "utility", "fairness", "overall", "variance", "status"]
 STATE_SCHEMA = "verifiers array<bigint>, privacy array<double>, utility array<double>, fairness array<double>, closed boolean"
 
 
@@ -64,31 +66,29 @@ def consensus_stream(
             state.remove()
             return
         known = state.getOption or ([], [], [], [], False)
-        verifiers, privacy, utility, fairness = (list(x or []) for x in known[:4])
-        closed = bool(known[4])
-        best = None
+        taken = list(zip(*[list(x or []) for x in known[:4]]))
+        closed, open_seats = bool(known[4]), quorum - len(known[0] or [])
+        seen = {row[0] for row in taken}
+        best: list[tuple] = []
         for pdf in chunks:
             if closed:
                 continue
-            fresh = pdf[~pdf["verifier_id"].isin(verifiers)]
-            best = _earliest(fresh if best is None else pd.concat([best, fresh]), order, quorum)
-        if best is not None and not closed:
-            take = best.head(quorum - len(verifiers))
-            verifiers += [int(v) for v in take["verifier_id"]]
-            privacy += [float(v) for v in take["privacy"]]
-            utility += [float(v) for v in take["utility"]]
-            fairness += [float(v) for v in take["fairness"]]
-        if not closed and len(verifiers) >= quorum:
-            scores = pd.DataFrame({"privacy": privacy, "utility": utility, "fairness": fairness})
-            overall = 0.4 * scores["privacy"] + 0.35 * scores["utility"] + 0.25 * scores["fairness"]
-            middle, variance = float(overall.median()), float(overall.var(ddof=0))
+            rows = zip(*[pdf[c].tolist() for c in (*order, "verifier_id", "privacy", "utility", "fairness")])
+            firsts: dict[int, tuple] = {}
+            for row in sorted([*best, *rows], key=lambda r: r[: len(order) + 1]):
+                if row[-4] not in seen:
+                    firsts.setdefault(row[-4], row)
+            best = list(firsts.values())[:open_seats]
+        taken += [row[-4:] for row in best]
+        if not closed and len(taken) >= quorum:
+            _, privacy, utility, fairness = zip(*taken)
+            overall = [0.4 * p + 0.35 * u + 0.25 * f for p, u, f in zip(privacy, utility, fairness)]
+            middle, variance = median(overall), pvariance(overall)
             status = "consensus_failed" if variance > MAX_VARIANCE else "approved" if middle >= threshold else "rejected"
-            yield pd.DataFrame(
-                [(key[0], len(scores), *scores.median(), middle, variance, status)],
-                columns=["verification_id", "num_verifiers", "privacy", "utility", "fairness", "overall", "variance", "status"],
-            )
-            closed, verifiers, privacy, utility, fairness = True, [], [], [], []
-        state.update((verifiers, privacy, utility, fairness, closed))
+            values = (key[0], len(taken), median(privacy), median(utility), median(fairness), middle, variance, status)
+            yield pd.DataFrame([values], columns=VERDICT_COLUMNS)
+            closed, taken = True, []
+        state.update((*([list(x) for x in zip(*taken)] or [[], [], [], []]), closed))
         if timeout_seconds:
             state.setTimeoutDuration(timeout_seconds * 1000)
 
