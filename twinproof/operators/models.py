@@ -24,6 +24,7 @@ from twinproof.session import settle
 TREES = 100
 SEED = 42
 MAX_BINS = 64
+ROW = "_row"
 
 
 def feature_frames(
@@ -49,7 +50,8 @@ def feature_frames(
             fills = {r["column"]: r["quantile"] for r in column_quantiles(counts, ["column"], "value", "n", [0.5]).collect()}
             one = one.fillna({c: fills.get(c, 0.0) for c in gaps})
         vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(one)
-        out.append(settle(vectors.select("features", *[F.col(f"_keep_{c}").alias(c) for c in keep]), "features"))
+        kept_now = [F.col(f"_keep_{c}").alias(c) for c in keep]
+        out.append(settle(vectors.select("features", *kept_now, F.monotonically_increasing_id().alias(ROW)), "features"))
     return out[0], out[1]
 
 
@@ -58,9 +60,19 @@ def forest(trees: int = TREES, depth: int = 5, label: str = "label", regression:
     return kind(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, seed=SEED)
 
 
+def fit(learner, rows: DataFrame):
+    """Train on rows in a fixed layout, so that the seed repeats the model.
+
+    Row numbers were stored with the features; spreading by them is even
+    whatever the data look like.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return learner.fit(rows.repartition(parts, ROW).sortWithinPartitions(ROW))
+
+
 def _attack(rows: DataFrame, depth: int) -> DataFrame:
     """Train on ``is_train`` rows; (is_real, predicted, score) of the others."""
-    model = forest(depth=depth, label="is_real").fit(rows.where("is_train"))
+    model = fit(forest(depth=depth, label="is_real"), rows.where("is_train"))
     tested = model.transform(rows.where(~F.col("is_train")))
     return settle(
         tested.select("is_real", F.col("prediction").alias("predicted"), vector_to_array("probability")[1].alias("score")), "attack"
@@ -74,7 +86,9 @@ def membership_inference(
     r, s = feature_frames(real, synth, numeric, categorical)
     arrays = [df.select(vector_to_array("features").alias("x")) for df in (r, s)]
     both = sampling.split(sampling.balanced_union(*arrays), test_share, ["is_real"])
-    rows = settle(both.select(array_to_vector("x").alias("features"), "is_real", "is_train"), "attack-rows")
+    rows = settle(
+        both.select(array_to_vector("x").alias("features"), "is_real", "is_train", F.monotonically_increasing_id().alias(ROW)), "attack-rows"
+    )
     return privacy.attack_result(_attack(rows, depth), "is_real", "predicted")
 
 
@@ -91,7 +105,9 @@ def membership_inference_evaluator(
     )
     arrays = [df.select(vector_to_array("features").alias("x")) for df in (r, s)]
     both = sampling.split(sampling.labelled_union(*arrays), 0.3)
-    rows = settle(both.select(array_to_vector("x").alias("features"), "is_real", "is_train"), "attack-rows")
+    rows = settle(
+        both.select(array_to_vector("x").alias("features"), "is_real", "is_train", F.monotonically_increasing_id().alias(ROW)), "attack-rows"
+    )
     tested = _attack(rows, depth)
     auc = privacy.roc_auc(tested, "is_real", "score").scalar()
     accuracy = F.col("attack_accuracy")
@@ -127,7 +143,7 @@ def train_on_synthetic(
     learners = {"baseline": r.where("is_train"), "synthetic": s}
     scored = None
     for name, train in learners.items():
-        model = forest(depth=depth, regression=not classification).fit(train.where(F.col("label").isNotNull()))
+        model = fit(forest(depth=depth, regression=not classification), train.where(F.col("label").isNotNull()))
         part = model.transform(test).select(F.lit(name).alias("model"), "label", "prediction")
         scored = part if scored is None else scored.unionByName(part)
     scored = settle(scored, "scored")
@@ -180,7 +196,7 @@ def evaluator_efficacy(
         r0 = real.withColumn("label", F.col(target).cast("double"))
         s0 = synth.withColumn("label", F.col(target).cast("double"))
     r, s = feature_frames(r0, s0, numbers, [], ["label"])
-    model = forest(depth=depth, regression=not classification).fit(s)
+    model = fit(forest(depth=depth, regression=not classification), s)
     tested = model.transform(r).select("label", "prediction")
     if classification:
         out = utility.classification_scores(tested, "label", "prediction")
@@ -213,7 +229,7 @@ def equal_opportunity(
     r0 = encoding.encode(real.withColumn("label", F.col(target)), codes, ["label"])
     s0 = encoding.encode(synth.withColumn("label", F.col(target)), codes, ["label"])
     r, s = feature_frames(r0, s0, numbers, labels, ["label", *protected])
-    model = forest(trees=50, depth=depth).fit(s)
+    model = fit(forest(trees=50, depth=depth), s)
     tested = settle(model.transform(r).select("label", "prediction", *protected), "predicted")
     rates = None
     for a in protected:

@@ -24,12 +24,14 @@ ENTRY_SCHEMA = """
 CORRUPT = "_corrupt_record"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A table by file ending: Parquet, JSON, ORC, or CSV with a header.
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, kind: str | None = None
+) -> DataFrame:
+    """A table of the given kind, or by file ending: Parquet, JSON, ORC, or CSV with a header.
 
     CSV types are inferred only when no schema is given.
     """
-    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "csv":
         return reader.csv(path, header=True, inferSchema=schema is None)
