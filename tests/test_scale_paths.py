@@ -145,6 +145,7 @@ def test_conditional_and_noisy_rows(spark):
 
 
 def test_nearest_distances_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(distance, "LEAF_ROWS", 20)
     monkeypatch.setattr(distance, "BLOCK_ROWS", 16)
     monkeypatch.setattr(distance, "CHUNK_ROWS", 8)
     rng = np.random.default_rng(7)

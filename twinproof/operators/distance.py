@@ -17,10 +17,13 @@ from twinproof.session import settle
 
 MATCH_DISTANCE = 1e-6
 SAMPLE_TASKS = 16
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 4096
-TREE_SAMPLE_ROWS = 32768
+LEAF_ROWS = 1024
+BLOCK_ROWS = 65536
+CHUNK_ROWS = 8192
+PAIRS_AT_ONCE = 1 << 21
+TREE_SAMPLE_ROWS = 1 << 20
 LEAF_SAMPLE_ROWS = 8
+ROUTE_ROWS = 100_000
 
 
 # ---------------------------------------------------------------- sampled DCR
@@ -170,21 +173,21 @@ class SpaceTree:
         self.cut: list[float] = []
         self.child: list[tuple[int, int]] = []
         self.n_leaves = 0
-        self._grow(sample, max(1, leaves))
+        self.top = self._grow(sample, max(1, leaves))
         self.axis_a, self.cut_a = np.array(self.axis, int), np.array(self.cut, float)
         self.child_a = np.array(self.child, int).reshape(-1, 2)
 
     def _grow(self, pts: np.ndarray, leaves: int) -> int:
         """Returns a node number, or -(leaf + 1)."""
         spread = pts.max(0) - pts.min(0) if len(pts) else np.zeros(pts.shape[1])
-        if leaves > 1 and len(pts) > LEAF_SAMPLE_ROWS and spread.max() > 0:
+        if leaves > 1 and len(pts) > LEAF_SAMPLE_ROWS:
             for axis in np.argsort(-spread):
-                cut = float(np.median(pts[:, axis]))
-                left = pts[:, axis] < cut
-                if not left.any():
-                    cut = float(pts[pts[:, axis] > cut, axis].min()) if (pts[:, axis] > cut).any() else cut
-                    left = pts[:, axis] < cut
-                if left.any() and not left.all():
+                values = pts[:, axis]
+                cut = float(np.median(values))
+                if not (values < cut).any():  # the median is the least value
+                    cut = float(values[values > cut].min()) if (values > cut).any() else cut
+                left = values < cut
+                if left.any():
                     node = len(self.axis)
                     self.axis.append(int(axis))
                     self.cut.append(cut)
@@ -197,9 +200,7 @@ class SpaceTree:
         return -self.n_leaves
 
     def leaf_of(self, pts: np.ndarray) -> np.ndarray:
-        if not self.axis:
-            return np.zeros(len(pts), int)
-        at = np.zeros(len(pts), int)
+        at = np.full(len(pts), self.top)
         live = at >= 0
         while live.any():
             rows = np.nonzero(live)[0]
@@ -209,6 +210,38 @@ class SpaceTree:
             live = at >= 0
         return -at - 1
 
+    def set_boxes(self, leaf_low: np.ndarray, leaf_high: np.ndarray) -> None:
+        """Bounding boxes of all nodes from those of the leaves (row per leaf)."""
+        dims = leaf_low.shape[1]
+        self.leaf_box = np.stack([leaf_low, leaf_high])
+        self.node_box = np.empty((2, len(self.axis), dims))
+        for node in range(len(self.axis) - 1, -1, -1):  # children come after parents
+            a, b = (self.leaf_box[:, -c - 1] if c < 0 else self.node_box[:, c] for c in self.child[node])
+            self.node_box[0, node] = np.minimum(a[0], b[0])
+            self.node_box[1, node] = np.maximum(a[1], b[1])
+
+    def leaves_within(self, pts: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf whose box is within the bound of a row."""
+        rows, nodes = np.arange(len(pts)), np.full(len(pts), self.top)
+        found_rows, found_leaves = [], []
+        while len(rows):
+            leaf = nodes < 0
+            low = np.where(leaf[:, None], self.leaf_box[0][np.where(leaf, -nodes - 1, 0)], self._inner(0, nodes, leaf))
+            high = np.where(leaf[:, None], self.leaf_box[1][np.where(leaf, -nodes - 1, 0)], self._inner(1, nodes, leaf))
+            away = np.maximum(np.maximum(low - pts[rows], pts[rows] - high), 0.0)
+            near = (away * away).sum(1) <= d2[rows] * (1 + 1e-9)
+            rows, nodes, leaf = rows[near], nodes[near], leaf[near]
+            found_rows.append(rows[leaf])
+            found_leaves.append(-nodes[leaf] - 1)
+            rows, inner = rows[~leaf], nodes[~leaf]
+            rows, nodes = np.repeat(rows, 2), self.child_a[inner].reshape(-1)
+        return np.concatenate(found_rows), np.concatenate(found_leaves)
+
+    def _inner(self, side: int, nodes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        if not len(self.axis):
+            return self.leaf_box[side][np.zeros(len(nodes), int)]
+        return self.node_box[side][np.where(leaf, 0, nodes)]
+
 
 def _matrix(points: pd.Series) -> np.ndarray:
     return np.vstack(points.to_numpy()).astype(float) if len(points) else np.zeros((0, 1))
@@ -220,13 +253,14 @@ def _nearest_in_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFr
         return pd.DataFrame({"point": [], "d2": []})
     asked, block = _matrix(left["point"]), _matrix(right["point"])
     best = np.empty(len(asked))
-    for start in range(0, len(asked), 512):
-        part = asked[start : start + 512]
+    step = max(1, PAIRS_AT_ONCE // len(block))
+    for start in range(0, len(asked), step):
+        part = asked[start : start + step]
         d2 = np.zeros((len(part), len(block)))
         for j in range(part.shape[1]):
             diff = part[:, j][:, None] - block[:, j][None, :]
             d2 += diff * diff
-        best[start : start + 512] = d2.min(1)
+        best[start : start + step] = d2.min(1)
     return pd.DataFrame({"point": left["point"], "d2": best})
 
 
@@ -266,14 +300,16 @@ def nearest_distances(real_points: DataFrame, synth_points: DataFrame) -> DataFr
     n_real = real.count()
     if n_real == 0:
         return synth.withColumn("distance", F.lit(None).cast("double"))
-    sample = real.orderBy(F.xxhash64("point")).limit(TREE_SAMPLE_ROWS).toPandas()
-    tree = SpaceTree(_matrix(sample["point"]), leaves=int(np.ceil(n_real / (BLOCK_ROWS / 4))))
+    wanted = int(np.ceil(n_real / LEAF_ROWS))
+    size = min(TREE_SAMPLE_ROWS, 4 * LEAF_SAMPLE_ROWS * wanted)
+    sample = real.orderBy(F.xxhash64("point")).limit(size).toPandas()
+    tree = SpaceTree(_matrix(sample["point"]), leaves=wanted)
 
     @F.pandas_udf("int")
     def leaf_of(points: pd.Series) -> pd.Series:
         return pd.Series(tree.leaf_of(_matrix(points)), dtype="int32")
 
-    placed = real.withColumn("leaf", leaf_of("point"))
+    placed = settle(real.withColumn("leaf", leaf_of("point")), "placed")
     dims = len(sample["point"].iloc[0])
     boxes = (
         placed.groupBy("leaf")
@@ -284,15 +320,13 @@ def nearest_distances(real_points: DataFrame, synth_points: DataFrame) -> DataFr
         )
         .orderBy("leaf")
         .toPandas()
-    )  # one row per leaf of the sampled tree
-    leaf_ids = boxes["leaf"].to_numpy()
-    low, high = _matrix(boxes["low"]), _matrix(boxes["high"])
+    )  # one row per leaf of the sampled tree; every leaf holds sampled points
+    tree.set_boxes(_matrix(boxes["low"]), _matrix(boxes["high"]))
     per_leaf = np.ceil(boxes["m"].to_numpy() / BLOCK_ROWS).astype(int)
-    block_count = dict(zip(leaf_ids.tolist(), per_leaf.tolist()))
 
     @F.pandas_udf("int")
     def blocks_in(leaves: pd.Series) -> pd.Series:
-        return leaves.map(block_count).astype("int32")
+        return pd.Series(per_leaf[leaves.to_numpy()], dtype="int32")
 
     blocks = settle(
         placed.withColumn("block", F.pmod(F.xxhash64("point"), blocks_in("leaf")).cast("int")), "real-blocks"
@@ -303,24 +337,18 @@ def nearest_distances(real_points: DataFrame, synth_points: DataFrame) -> DataFr
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Every block of every leaf that could hold a nearer point."""
         for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start : start + 256]
-                pts = _matrix(part["point"])
-                gap = np.zeros((len(pts), len(leaf_ids)))
-                for j in range(pts.shape[1]):
-                    x = pts[:, j][:, None]
-                    away = np.maximum(np.maximum(low[None, :, j] - x, x - high[None, :, j]), 0.0)
-                    gap += away * away
-                rows, leaves = np.nonzero(gap <= part["d2"].to_numpy()[:, None] * (1 + 1e-9))
-                times = per_leaf[leaves]
-                rows, leaves = np.repeat(rows, times), np.repeat(leaves, times)
-                first = np.cumsum(times) - times
-                number = np.arange(len(rows)) - np.repeat(first, times)
+            rows, leaves = tree.leaves_within(_matrix(pdf["point"]), pdf["d2"].to_numpy())
+            times = per_leaf[leaves]
+            rows, leaves = np.repeat(rows, times), np.repeat(leaves, times)
+            first = np.cumsum(times) - times
+            number = np.arange(len(rows)) - np.repeat(first, times)
+            for start in range(0, len(rows), ROUTE_ROWS):
+                cut = slice(start, start + ROUTE_ROWS)
                 yield pd.DataFrame(
                     {
-                        "point": part["point"].to_numpy()[rows],
-                        "leaf": leaf_ids[leaves].astype("int32"),
-                        "block": number.astype("int32"),
+                        "point": pdf["point"].to_numpy()[rows[cut]],
+                        "leaf": leaves[cut].astype("int32"),
+                        "block": number[cut].astype("int32"),
                     }
                 )
 

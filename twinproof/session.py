@@ -22,6 +22,7 @@ RECOMMENDED_CONF = {
 
 MAX_BUILDERS = 8
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "twinproof", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,9 +62,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; results still
+    built on them must have been written or collected before. Returns how many."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for p in paths:
+        target = hadoop.Path(p)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def build_together(spark: SparkSession, jobs: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
     """Results of several plan builders, run side by side.
 
