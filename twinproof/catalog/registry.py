@@ -32,7 +32,7 @@ def canon_sql(*columns: str) -> str:
     for c in columns:
         kind, _, name = c.rpartition(":")
         if kind == "d":
-            text = f"CAST(CAST({name} AS DECIMAL(32,6)) AS VARCHAR)"
+            text = f"CAST(CAST(floor({name} * 1000000 + 0.5) AS BIGINT) AS VARCHAR)"
         elif kind == "t":
             text = f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')"
         else:

@@ -35,13 +35,14 @@ def weighted_score(privacy: Column, utility: Column, fairness: Column) -> Column
 def canonical_text(field: T.StructField, scale: int = 6) -> Column:
     """Engine-independent text of one column, used under every hash.
 
-    Doubles go through a fixed-scale decimal because engines print them
-    differently; values outside its range keep their own notation.
+    Engines print doubles differently, so a double becomes the whole number
+    nearest to x * 10^scale; values too large for that keep their own notation.
     """
     c = F.col(f"`{field.name}`")
     kind = field.dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = F.coalesce(c.try_cast(T.DecimalType(32, scale)).cast("string"), c.cast("string"))
+        steps = F.floor(c * float(10**scale) + 0.5)
+        text = F.when(F.abs(c) < 9e18 / 10**scale, steps.cast("string")).otherwise(c.cast("string"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, T.BinaryType):

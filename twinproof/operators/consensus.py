@@ -54,10 +54,9 @@ def first_submissions(submissions: DataFrame) -> DataFrame:
     verifier that repeats itself endlessly costs no more than any other.
     """
     firsts = submissions.groupBy("verification_id", "verifier_id").agg(
-        F.min("arrival").alias("arrival"),
-        *[F.min_by(s, "arrival").alias(s) for s in SCORES],
-        (F.count("*") - 1).alias("n_refused"),
+        F.min(F.struct("arrival", *SCORES)).alias("first"), (F.count("*") - 1).alias("n_refused")
     )
+    firsts = firsts.select("verification_id", "verifier_id", "first.*", "n_refused")
     return firsts.withColumn("overall", weighted_score(*[F.col(s) for s in SCORES]))
 
 
