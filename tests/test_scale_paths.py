@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from twinproof.operators import distance, encoding, mitigation, running, sampling
+from twinproof.operators import distance, distributions, encoding, mitigation, running, sampling
 from twinproof.operators.fingerprint import fingerprint, leaf_digits_for
 
 
@@ -197,3 +197,26 @@ def test_fingerprint_ignores_order_and_sees_every_change(spark):
     assert fingerprint(df.union(df.limit(1))).first()["data_hash"] != base["data_hash"]
     assert fingerprint(df, leaf_digits=4).first()["n_distinct_rows"] == base["n_distinct_rows"]
     assert [leaf_digits_for(n) for n in (0, 65536, 65537, 10**8)] == [2, 2, 4, 6]
+
+
+def test_codes_for_unseen_labels_and_back(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
+    codes = encoding.dictionary([df], ["s"])
+    new = spark.createDataFrame([("b",), ("zzz",)], "s string")
+    assert sorted(r["s"] for r in encoding.encode(new, codes, ["s"], unseen=0).collect()) == [0.0, 1.0]
+    near = spark.createDataFrame([(-3.0,), (0.5,), (1.5,), (9.0,)], "s double")
+    assert sorted(r["s"] for r in encoding.decode(near, codes, ["s"]).collect()) == ["a", "a", "c", "c"]
+
+
+def test_restored_types_and_fills(spark):
+    real = spark.createDataFrame([(1, 2.0)], "i int, x double")
+    made = spark.createDataFrame([("7", "oops"), ("x", "1.5")], "i string, x string")
+    out = encoding.restore_types(made, real)
+    assert dict(out.dtypes) == {"i": "int", "x": "double"} and sorted(out.collect(), key=str) == [(7, None), (None, 1.5)]
+    assert encoding.fill_missing(out, {"i": 0, "x": None}).where("i = 0").count() == 1
+
+
+def test_full_outer_alignment_of_counted_frames(spark):
+    a = spark.createDataFrame([("x", 2)], "v string, n long")
+    b = spark.createDataFrame([("y", 3)], "v string, n long")
+    assert sorted(map(tuple, distributions.full_outer_counts(a, b, ["v"]).collect())) == [("x", 2, 0), ("y", 0, 3)]

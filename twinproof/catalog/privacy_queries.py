@@ -121,7 +121,7 @@ def k_anonymity(spark, sf):
 @query(
     "k_anonymity_evaluator",
     f"""WITH {APPLICANT_SQL}, g AS (SELECT count(*) AS n FROM s GROUP BY c_mktsegment, r_name, o_orderpriority)
-    SELECT min(n) AS achieved_k, round(avg(n), 6) AS avg_group_size, count(*) AS num_groups, round(least(100, min(n) * 10.0), 4) AS k_score FROM g""",
+    SELECT min(n) AS achieved_k, round(avg(n), 6) AS avg_group_size, count(*) AS num_groups, round(CAST(least(100, min(n) * 10) AS DOUBLE), 4) AS k_score FROM g""",
 )
 def k_anonymity_evaluator(spark, sf):
     out = privacy.k_anonymity_evaluator(applicants(spark, sf)[1], APPLICANT_ROLES.quasi_identifiers)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import ratio
@@ -71,6 +71,12 @@ PROFILES: Mapping[str, tuple] = {
 }
 
 
+def rule_frame(spark: SparkSession) -> DataFrame:
+    """The rule catalogue as a table."""
+    rows = [(s, a, r, k, None if t is None else t / 100) for s, a, r, k, t, _ in RULES]
+    return spark.createDataFrame(rows, "standard string, article string, requirement string, kind string, threshold double")
+
+
 def evaluate(datasets: DataFrame) -> DataFrame:
     """(dataset, standard, article, requirement, passed, score, recommendation).
 

@@ -66,7 +66,8 @@ def fit(learner, rows: DataFrame):
     Row numbers were stored with the features; spreading by them is even
     whatever the data look like.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return learner.fit(rows.repartition(parts, ROW).sortWithinPartitions(ROW))
 
 

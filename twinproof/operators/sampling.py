@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import row_md5
-from twinproof.session import settle
+from twinproof.operators.running import position_in
+from twinproof.session import bucket_count, settle
 
 PREFIX_DIGITS = 4
 SMALL_ROWS = 200_000
@@ -177,23 +178,28 @@ def bootstrap(df: DataFrame, targets: DataFrame, strata: Sequence[str], seed: in
     Every draw picks a uniform position among the stratum's rows; positions
     are joined to rows on (stratum, salt, index), which is unique.
     """
-    salts = salts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or 4 * bucket_count(df.sparkSession)
     strata = list(strata)
     extra = [] if strata else [F.lit(0).alias("_all")]
     keys = strata or ["_all"]
     base = df.select(*df.columns, *extra)
-    wanted = targets.select(*strata, *extra, F.col("n_target").alias("_times"))
     rows, sizes = _indexed(base, keys, salts)
-    ladder = sizes.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_upto", "_m", "_salt"))).alias("_ladder"), F.sum("_m").alias("_n")
+    # Per stratum: row count, and where each salt's rows end, in salt order.
+    ladder = settle(
+        sizes.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("_upto", "_m", "_salt"))).alias("_steps"), F.sum("_m").alias("_n"))
+        .select(*keys, "_n", "_steps", F.transform("_steps", lambda s: s["_upto"]).alias("_ends")),
+        "ladder",
     )
-    plan = settle(_null_safe_join(wanted, ladder, keys), "draw-plan")
-    draws = replicate(plan, "_times", number="_draw").withColumn(
-        "_u", F.pmod(F.xxhash64(F.lit(seed), *keys, "_draw"), F.col("_n"))
+    wanted = targets.select(*strata, *extra, F.col("n_target").alias("_times"))
+    draws = replicate(_null_safe_join(wanted, ladder.select(*keys, "_n"), keys), "_times", number="_draw").select(
+        *keys, F.pmod(F.xxhash64(F.lit(seed), *keys, "_draw"), F.col("_n")).alias("_u")
     )
-    step = F.filter("_ladder", lambda s: s["_upto"] > F.col("_u"))[0]
-    placed = draws.withColumn("_s", step).select(
-        *keys, F.col("_s._salt").alias("_salt"), (F.col("_u") - (F.col("_s._upto") - F.col("_s._m"))).cast("int").alias("_i")
+    step = F.col("_steps")[position_in(F.col("_ends"), F.col("_u"), salts)]
+    placed = _null_safe_join(draws, ladder.drop("_n"), keys).select(
+        *keys,
+        step["_salt"].alias("_salt"),
+        (F.col("_u") - (step["_upto"] - step["_m"])).cast("int").alias("_i"),
     )
     return _null_safe_join(placed, rows, [*keys, "_salt", "_i"]).select(*df.columns)
 

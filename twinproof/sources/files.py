@@ -80,6 +80,18 @@ def load_audit(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col(CORRUPT).isNull()).select(F.explode("entries").alias("e")).select("e.*")
 
 
+def load_audit_text(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of one exported audit document as text, with their position.
+
+    Nested details stay JSON text, as needed to recompute stored hashes.
+    """
+    fields = ", ".join(f"`{n}`: string" for n in audit.IMPORTED_COLUMNS)
+    raw = spark.read.schema(f"entries array<struct<{fields}>>, {CORRUPT} string").option("multiLine", True).option(
+        "columnNameOfCorruptRecord", CORRUPT
+    ).json(path)
+    return raw.where(F.col(CORRUPT).isNull()).select(F.posexplode("entries").alias("seq", "e")).select("seq", "e.*")
+
+
 def _fields(schema: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema))
 
