@@ -199,7 +199,7 @@ def test_imported_chain_is_verified(spark, tmp_path):
 
 def test_text_log_lines(spark, tmp_path):
     (tmp_path / "audit.log").write_text(
-        "2025-12-17 02:58:47,760 | INFO | AuditLogger | [system_event] runner - session_started on session\nnot a log line\n"
+        "2025-12-17 02:58:47,760 | INFO | audit | [system_event] runner - session_started on session\nnot a log line\n"
     )
     rows = files.read_text_log(spark, str(tmp_path / "audit.log")).collect()
     assert rows[0]["event_type"] == "system_event" and rows[0]["action"] == "session_started" and rows[0]["resource"] == "session"

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from twinproof.catalog.pairs import (
     APPLICANT_COLUMNS,
-    APPLICANT_LABELS,
     APPLICANT_SQL,
     DIRTY_SQL,
     SPLIT_COLUMNS,

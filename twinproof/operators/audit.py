@@ -184,7 +184,7 @@ def breakdown(log: DataFrame) -> DataFrame:
     return counted.select(kind.alias("kind"), value.alias("value"), "n", "first_entry", "last_entry")
 
 
-def text_line(name: str = "AuditLogger") -> Column:
+def text_line(name: str = "audit") -> Column:
     """The one-line text form of an entry."""
     return F.format_string(
         f"%s | %s | {name} | [%s] %s - %s on %s",

@@ -116,9 +116,3 @@ def modes(real: DataFrame, columns: Sequence[str]) -> DataFrame:
     counted = unpivoted(real, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     best = counted.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("m"))
     return best.select("column", F.col("m.value").alias("mode"), (-F.col("m.neg")).alias("n"))
-
-
-def latest_first(df: DataFrame, order: str, limit: int) -> DataFrame:
-    """Newest rows first; a top-k plan, not a global sort."""
-    return df.orderBy(F.col(order).desc()).limit(limit)
-

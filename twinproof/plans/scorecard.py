@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import weighted_score
 from twinproof.operators import correlation, distance, fairness, models, privacy, utility
-from twinproof.roles import ColumnRoles
+from twinproof.roles import ColumnRoles, is_number
 from twinproof.session import build_together, settle
 
 # Metric weights of each axis.
@@ -47,7 +47,7 @@ def _over_attributes(per_attribute: DataFrame) -> DataFrame:
 
 def _encoded_kinds(real: DataFrame, roles: ColumnRoles) -> tuple[list[str], list[str]]:
     """Number and text columns by data type, for distances and models."""
-    texts = [f.name for f in real.schema if f.name in roles.columns and f.dataType.typeName() == "string"]
+    texts = [f.name for f in real.schema if f.name in roles.columns and not is_number(f.dataType)]
     return [c for c in roles.columns if c not in texts], texts
 
 

@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session, which has a single machine, may fall back to a
     temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):

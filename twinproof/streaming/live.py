@@ -174,8 +174,3 @@ def run_counters(counts: DataFrame, folder: str, keys: Sequence[str]) -> DataFra
     query.awaitTermination()
     updates = counts.sparkSession.read.parquet(f"{folder}/counts")
     return updates.groupBy("start", "end", *keys).agg(F.max_by("n", "batch").alias("n"))
-
-
-def run_sessions(counts: DataFrame, folder: str) -> DataFrame:
-    """Run session windows to files; closed sessions only (append mode)."""
-    return run_to_files(counts, folder)
