@@ -98,11 +98,26 @@ def test_histogram_density_sums_to_one(people):
     assert (h["density"] * width).sum() == pytest.approx(1) and h["n"].sum() == 500
 
 
-def test_wide_correlation_equals_narrow(people, monkeypatch):
-    a = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_matrix(people, ["age", "income", "employed"]).collect()}
-    monkeypatch.setattr(correlation, "PAIRS_IN_ONE_AGGREGATE", 0)
-    b = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_matrix(people, ["age", "income", "employed"]).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+def test_correlation_plans_agree(people, monkeypatch):
+    def matrix(df):
+        return {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_matrix(df, ["age", "income", "employed"]).collect()}
+
+    want = people.toPandas()[["age", "income", "employed"]].corr()
+    fused = matrix(people)
+    monkeypatch.setattr(correlation, "SUMS_PER_AGGREGATE", 2)
+    chunked = matrix(people)
+    monkeypatch.setattr(correlation, "FUSED_PAIRS", 0)
+    emitted = matrix(people)
+    assert len(fused) == 9
+    for (a, b), v in fused.items():
+        assert v == pytest.approx(want.loc[a, b]) == pytest.approx(chunked[(a, b)]) and v == pytest.approx(emitted[(a, b)])
+
+
+def test_correlation_uses_rows_with_both_values(people):
+    gaps = people.withColumn("income", F.when(F.col("age") % 7 != 0, F.col("income")))
+    want = gaps.toPandas()[["age", "income"]].corr().loc["age", "income"]
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_matrix(gaps, ["age", "income"]).collect()}
+    assert got[("age", "income")] == pytest.approx(want)
 
 
 def test_disparate_impact_with_group_missing_in_synthetic(spark):

@@ -9,45 +9,68 @@ from pyspark.sql import functions as F
 
 from twinproof.operators import encoding
 
-PAIRS_IN_ONE_AGGREGATE = 10
+FUSED_PAIRS = 120
+SUMS_PER_AGGREGATE = 40
 
 
-def _pair_correlations(numbers: DataFrame, columns: Sequence[str], sides: dict[str, Column]) -> DataFrame:
-    """(col_a, col_b, one correlation per side), both orders and the diagonal.
+def _pair_correlations(numbers: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(_s, col_a, col_b, corr) for a <= b in column order, per side ``_s``.
 
-    A few pairs share one aggregate. More would make its generated code too
-    long to be compiled; then each row emits its column pairs, which fold on
-    the map side into one buffer per pair.
+    A first pass takes count, mean and deviation of each column and side. If
+    nothing is missing, a correlation is the mean product of standardised
+    values: plain sums that stay in generated code (in aggregates short
+    enough to be compiled). With missing values, or very many columns, each
+    row emits its column pairs instead, which fold on the map side into one
+    buffer per pair over the rows that have both values.
     """
     columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    if len(pairs) * len(sides) <= PAIRS_IN_ONE_AGGREGATE:
-        row = numbers.agg(
-            *[F.corr(F.when(on, F.col(a)), F.col(b)).alias(f"{s}_{i}") for i, (a, b) in enumerate(pairs) for s, on in sides.items()]
-        )
+    if len(pairs) <= FUSED_PAIRS:
+        facts = numbers.groupBy("_s").agg(
+            F.count("*").alias("n"),
+            *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))],
+        ).collect()  # one row per side
+        if all(r[f"n_{c}"] == r["n"] for r in facts for c in columns):
+            return _fused_correlations(numbers, columns, pairs, facts)
+    indexed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns])
+    left = numbers.select("_s", indexed.alias("v")).select("*", F.posexplode("v").alias("i", "a"))
+    both = left.select("_s", "a", F.explode(F.slice("v", F.col("i") + 1, len(columns))).alias("b"))
+    return both.groupBy("_s", F.col("a.name").alias("col_a"), F.col("b.name").alias("col_b")).agg(
+        F.corr("a.x", "b.x").alias("corr")
+    )
+
+
+def _fused_correlations(numbers: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], facts) -> DataFrame:
+    def standard(c: str) -> Column:
+        z = F.lit(None).cast("double")
+        for r in facts:
+            if r[f"sd_{c}"]:  # a constant column has no correlation
+                z = F.when(F.col("_s") == r["_s"], (F.col(c) - r[f"mean_{c}"]) / r[f"sd_{c}"]).otherwise(z)
+        return z
+
+    scaled = numbers.select("_s", *[standard(c).alias(c) for c in columns])
+    out = None
+    for start in range(0, len(pairs), SUMS_PER_AGGREGATE):
+        part = pairs[start : start + SUMS_PER_AGGREGATE]
+        sums = scaled.groupBy("_s").agg(*[F.avg(F.col(a) * F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(part)])
         items = [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), *[F.col(f"{s}_{i}").alias(s) for s in sides])
-            for i, (a, b) in enumerate(pairs)
+            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
+            for i, (a, b) in enumerate(part)
         ]
-        half = row.select(F.explode(F.array(*items)).alias("p")).select("p.*")
-    else:
-        flags = [on.alias(f"_on_{s}") for s, on in sides.items()]
-        indexed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns])
-        left = numbers.select(*flags, indexed.alias("v")).select("*", F.posexplode("v").alias("i", "a"))
-        both = left.select(
-            *[f"_on_{s}" for s in sides], "a", F.explode(F.slice("v", F.col("i") + 1, len(columns))).alias("b")
-        )
-        half = both.groupBy(F.col("a.name").alias("col_a"), F.col("b.name").alias("col_b")).agg(
-            *[F.corr(F.when(F.col(f"_on_{s}"), F.col("a.x")), F.col("b.x")).alias(s) for s in sides]
-        )
-    mirrored = half.where("col_a <> col_b").select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), *sides)
-    return half.unionByName(mirrored)
+        rows = sums.select("_s", F.explode(F.array(*items)).alias("p")).select("_s", "p.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _mirrored(half: DataFrame, values: Sequence[str]) -> DataFrame:
+    other = half.where("col_a <> col_b").select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), *values)
+    return half.select("col_a", "col_b", *values).unionByName(other)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(col_a, col_b, corr) of one table of numbers."""
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return _pair_correlations(numbers, columns, {"corr": F.lit(True)})
+    numbers = df.select(F.lit(0).alias("_s"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return _mirrored(_pair_correlations(numbers, columns), ["corr"])
 
 
 def correlation_pairs(
@@ -64,7 +87,12 @@ def correlation_pairs(
         codes = encoding.dictionary([real, synth], labels, scope)
         both = encoding.encode(both, codes, labels, side="_s" if scope == "separate" else None)
     numbers = both.select("_s", *[F.col(c).cast("double").alias(c) for c in columns])
-    out = _pair_correlations(numbers, columns, {"corr_real": F.col("_s") == 0, "corr_synth": F.col("_s") == 1})
+    sides = _pair_correlations(numbers, columns)
+    half = sides.groupBy("col_a", "col_b").agg(
+        F.max(F.when(F.col("_s") == 0, F.col("corr"))).alias("corr_real"),
+        F.max(F.when(F.col("_s") == 1, F.col("corr"))).alias("corr_synth"),
+    )
+    out = _mirrored(half, ["corr_real", "corr_synth"])
     return out.withColumn("diff", F.abs(F.col("corr_real") - F.col("corr_synth")))
 
 
