@@ -180,8 +180,10 @@ def audit_chain(spark, sf):
     "audit_root",
     f"""{CHAIN_SQL}, hd AS (SELECT block AS idx, block // 250 AS epoch, row_number() OVER (PARTITION BY block // 250 ORDER BY block) AS k, arg_max(entry_hash, seq) AS d FROM ch GROUP BY block),
     fl AS (SELECT idx, epoch, k, sha256(sha256('genesis:1:' || epoch) || ':' || d) AS h FROM hd WHERE k = 1
-           UNION ALL SELECT hd.idx, hd.epoch, hd.k, sha256(fl.h || ':' || hd.d) FROM fl JOIN hd ON hd.epoch = fl.epoch AND hd.k = fl.k + 1)
-    SELECT arg_max(h, idx) AS root FROM fl""",
+           UNION ALL SELECT hd.idx, hd.epoch, hd.k, sha256(fl.h || ':' || hd.d) FROM fl JOIN hd ON hd.epoch = fl.epoch AND hd.k = fl.k + 1), e2 AS (SELECT epoch AS idx, epoch // 250 AS up, row_number() OVER (PARTITION BY epoch // 250 ORDER BY epoch) AS k, arg_max(h, idx) AS d FROM fl GROUP BY epoch),
+    f2 AS (SELECT idx, up, k, sha256(sha256('genesis:2:' || up) || ':' || d) AS h FROM e2 WHERE k = 1
+           UNION ALL SELECT e2.idx, e2.up, e2.k, sha256(f2.h || ':' || e2.d) FROM f2 JOIN e2 ON e2.up = f2.up AND e2.k = f2.k + 1)
+    SELECT CASE WHEN (SELECT count(*) FROM e2) = 1 THEN (SELECT arg_max(h, idx) FROM fl) ELSE (SELECT arg_max(h, idx) FROM f2) END AS root""",
 )
 def audit_root(spark, sf):
     return chain.root(chain.seal(chain.block_heads(_chained(spark, sf), "seq")))
