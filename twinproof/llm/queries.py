@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from twinproof.llm import decontamination, langid, mixing, pii, shingle_join, url_rules
+from twinproof.llm import decontamination, html_extract, langid, lm_scoring, mixing, pii, quote_links, shingle_join, url_rules, vector_dedup
 
 QUERIES = {
+    "op1_lm_score": lm_scoring.op1_lm_score,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_pseudonyms": pii.op4_pseudonyms,
+    "op5_main_text": html_extract.op5_main_text,
+    "op6_quote_links": quote_links.op6_quote_links,
+    "op7_vector_dedup": vector_dedup.op7_vector_dedup,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_shingle_join": shingle_join.op9_shingle_join,
     "op10_language": langid.op10_language,
