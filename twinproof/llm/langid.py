@@ -96,19 +96,21 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "bits"], ignore_index=True)
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in rows["bits"]]).astype(np.float32)
+    packed = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
     langs = sorted(rows["lang"].unique())
     y = np.where(rows["lang"].to_numpy()[:, None] == np.array(langs, object)[None], 1.0, -1.0)
     # landmarks spread evenly over the rows, which are in order of language
-    at = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
-    cells = np.flatnonzero(x[at].any(axis=0))
-    base = x[np.ix_(at, cells)]
-    size = np.sqrt(x.sum(axis=1))
-    marks = (base / size[at][:, None]).T.astype(np.float32)  # cells x landmarks
-    kernel = (x[:, cells] @ marks / size[:, None]).astype(np.float64)
+    at = np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).astype(int))
+    base = np.unpackbits(packed[at], axis=1)
+    cells = np.flatnonzero(base.any(axis=0))
+    marks = (base[:, cells] / np.sqrt(base.sum(axis=1, dtype=np.int64))[:, None]).T.astype(np.float32)  # cells x landmarks
+    kernel = np.empty((len(packed), len(at)))
+    for s in range(0, len(packed), BATCH):
+        part = np.unpackbits(packed[s : s + BATCH], axis=1)
+        kernel[s : s + BATCH] = part[:, cells].astype(np.float32) @ marks / np.sqrt(part.sum(axis=1, dtype=np.int64))[:, None]
     value, vector = np.linalg.eigh(kernel[at])
     root = vector / np.sqrt(np.maximum(value, 1e-6))  # the Nyström map: kernel rows times this
-    phi = np.hstack([kernel @ root, np.ones((len(x), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(packed), 1))])
     weight = 1 / np.bincount(y.argmax(axis=1), minlength=len(langs))[y.argmax(axis=1)]  # languages count alike
     gram = phi.T @ (phi * weight[:, None])
     coef = np.linalg.solve(gram + RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), phi.T @ (y * weight[:, None]))
