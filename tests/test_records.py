@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from twinproof.functions.scalar import row_sha
 from twinproof.operators import audit, chain, compliance, consensus, generation, ledger, prepare, tamper
 from twinproof.plans import api, scorecard
 from twinproof.roles import ColumnRoles
@@ -107,6 +108,29 @@ def test_ledger_append_numbers_new_entries(spark):
     assert [r["seq"] for r in out] == list(range(9)) and [r["data_hash"] for r in out[5:]] == ["n0", "n1", "n2", "n3"]
 
 
+def test_ledger_append_numbers_equal_entries_one_by_one(spark):
+    schema = "seq long, entry_id string, data_hash string, entry_type string, payload string, timestamp string"
+    old = spark.createDataFrame([(0, "a", "h", "generation", "{}", "t")], schema)
+    new = spark.createDataFrame([(None, "x", "h", "consensus", p, "t") for p in ("1", "2", "2", "2", "3")], schema)
+    out = ledger.append(old, new, ["timestamp"]).orderBy("seq").collect()
+    assert [r["seq"] for r in out] == list(range(6)) and sorted(r["payload"] for r in out[1:]) == ["1", "2", "2", "2", "3"]
+
+
+def test_row_digests_see_every_bit_and_every_border(spark):
+    numbers = spark.createDataFrame([(1, 1e-7), (2, 2e-9), (3, -1e-300), (4, 1e300), (5, None), (6, 0.1)], "k int, x double")
+    edited = numbers.withColumn("x", F.when(F.col("k") < 5, F.col("x") * (1 + 2.0**-50)).otherwise(F.col("x")))
+    assert sorted(r["k"] for r in tamper.changed_rows(numbers, edited, "k").collect()) == [1, 2, 3, 4]
+    texts = spark.createDataFrame([("a\x1fb", "c"), ("a", "b\x1fc"), ("\\N", "c"), (None, "c"), ("", "c")], "a string, b string")
+    assert texts.select(row_sha(texts).alias("d")).distinct().count() == 5
+
+
+def test_missing_scores_and_named_columns_in_the_advice(spark):
+    rows = compliance_rows(spark, privacy=None, utility=None, fairness=None, n_identifiers=2).withColumn("identifiers", F.array(F.lit("ssn"), F.lit("email")))
+    advice = {(r["standard"], r["article"]): r["recommendation"] for r in compliance.evaluate(rows).collect()}
+    assert advice["GDPR", "Article 25"] == "Run privacy verification first" and advice["EU AI Act", "Article 9"] == "Run bias detection"
+    assert advice["HIPAA", "164.514(b)(2)"] == "Remove or generalize: ssn, email" and advice["EU AI Act", "Article 14"] is None
+
+
 def test_changed_rows_sees_edits_losses_and_additions(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (4, "d")], "k int, v string")
     b = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d"), (5, "e")], "k int, v string")

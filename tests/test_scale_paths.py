@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from twinproof.functions.scalar import row_md5
 from twinproof.operators import distance, distributions, encoding, mitigation, running, sampling
 from twinproof.operators.fingerprint import fingerprint, leaf_digits_for
 
@@ -73,35 +74,46 @@ def _copies(spark):
     return spark.createDataFrame(rows, "g string, v int").repartition(6)
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_hash_quota_counts_and_copies(spark, small_rows):
+@pytest.mark.parametrize("digits", [(4, 32, 36, 64), (1, 2, 32, 33, 64)])
+def test_hash_quota_counts_and_copies(spark, monkeypatch, digits):
+    monkeypatch.setattr(sampling, "KEY_DIGITS", digits)
     df = _copies(spark)
     quota = spark.createDataFrame([("hot", 150, 9), ("g0", 0, 8), ("g1", 10**6, 7), ("g2", 100, 6)], "g string, quota long, tag int")
-    out = sampling.hash_quota(df, ["g"], quota, small_rows=small_rows).toPandas()
+    out = sampling.hash_quota(df, ["g"], quota).toPandas()
     assert len(out) == 1200
     picked = out[out["picked"]].groupby("g").size().to_dict()
     sizes = out.groupby("g").size().to_dict()
     assert picked == {"hot": 150, "g1": sizes["g1"], "g2": 100}
     assert out[out["g"] == "g2"]["tag"].unique().tolist() == [6]
+    assert out["v"].value_counts().to_dict() == df.toPandas()["v"].value_counts().to_dict()
 
 
-def test_hash_quota_paths_pick_the_same_rows(spark):
+def test_hash_quota_takes_the_first_in_hash_order(spark):
     df = _copies(spark)
     quota = df.groupBy("g").agg(F.floor(F.count("*") * 0.4).alias("quota"))
-    a = sampling.hash_quota(df, ["g"], quota, small_rows=0).groupBy("g", "v", "picked").count().toPandas()
-    b = sampling.hash_quota(df, ["g"], quota).groupBy("g", "v", "picked").count().toPandas()
-    key = ["g", "v", "picked"]
-    pd.testing.assert_frame_equal(a.sort_values(key).reset_index(drop=True), b.sort_values(key).reset_index(drop=True))
+    got = sampling.hash_quota(df, ["g"], quota).where("picked").select("g", "v").toPandas()
+    rows = df.withColumn("h", row_md5(df)).toPandas().sort_values("h")
+    want = pd.concat([p.head(int(len(p) * 0.4)) for _, p in rows.groupby("g")])[["g", "v"]]
+    key = ["g", "v"]
+    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+
+
+def test_hash_quota_never_exchanges_unlike_rows_of_one_hash(spark):
+    df = spark.createDataFrame([("a", i * 1e-9, i) for i in range(200)], "g string, x double, i int")
+    quota = spark.createDataFrame([("a", 50)], "g string, quota int")
+    for order in (None, F.md5(F.lit("same").cast("binary"))):
+        out = sampling.hash_quota(df, ["g"], quota, order).toPandas()
+        assert out["picked"].sum() == 50 and sorted(out["i"]) == list(range(200)) and out["x"].nunique() == 200
 
 
 def test_hash_quota_with_null_group_and_no_group(spark):
     df = spark.createDataFrame([(None, i) for i in range(10)] + [("a", i) for i in range(10)], "g string, v int")
-    for small_rows in (0, 100):
-        quota = spark.createDataFrame([(None, 4), ("a", 3)], "g string, quota int")
-        out = sampling.hash_quota(df, ["g"], quota, small_rows=small_rows)
-        assert out.where("picked").groupBy("g").count().orderBy("g").collect() == [(None, 4), ("a", 3)]
-        whole = sampling.hash_quota(df, [], spark.createDataFrame([(7,)], "quota int"), small_rows=small_rows)
-        assert whole.where("picked").count() == 7
+    quota = spark.createDataFrame([(None, 4), ("a", 3)], "g string, quota int")
+    out = sampling.hash_quota(df, ["g"], quota)
+    assert out.where("picked").groupBy("g").count().orderBy("g").collect() == [(None, 4), ("a", 3)]
+    whole = sampling.hash_quota(df, [], spark.createDataFrame([(7,)], "quota int"))
+    assert whole.where("picked").count() == 7
+    assert sampling.hash_quota(df.limit(0), ["g"], quota).count() == 0
 
 
 def test_replicate_small_and_blocked_counts(spark, monkeypatch):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from twinproof.operators import ledger
 from twinproof.streaming import live
 
 SCHEMA = "verification_id long, verifier_id long, privacy double, utility double, fairness double, t int"
@@ -24,20 +25,34 @@ def test_quorum_over_batches_refuses_repeats_and_late_ones(spark, tmp_path):
         [(1, 4, 0.0, 0.0, 0.0, 6)],
     )
     source = live.read_stream(spark, path, files_per_trigger=1)
-    out = live.run_to_files(live.consensus_stream(source, ["t"]), str(tmp_path / "run"))
+    out = live.run_to_files(live.consensus_stream(source, ["t"], timeout_seconds=None), str(tmp_path / "run"))
     rows = {r["verification_id"]: r for r in out.collect()}
     assert set(rows) == {1, 2}
     assert abs(rows[1]["overall"] - 80) < 1e-9 and rows[1]["status"] == "approved" and rows[1]["num_verifiers"] == 3
     assert rows[2]["status"] == "consensus_failed"
 
 
-def test_blocks_are_written_per_batch(spark, tmp_path):
+def test_blocks_do_not_depend_on_where_batches_end(spark, tmp_path):
     path = str(tmp_path / "in")
     schema = "seq long, entry_id string, data_hash string, entry_type string, payload string, timestamp string"
-    write_batches(spark, path, *[[(i * 10 + j, f"e{i}{j}", "h", "generation", "{}", "t") for j in range(10)] for i in range(3)], schema=schema)
-    live.seal_stream(live.read_stream(spark, path, 1), str(tmp_path / "run"), block_entries=5, every=None).awaitTermination()
-    blocks = live.sealed_blocks(spark, str(tmp_path / "run"))
-    assert blocks.count() == 6 and blocks.agg(F.sum("n_entries")).first()[0] == 30 and blocks.select("batch").distinct().count() == 3
+    rows = [(i, f"e{i}", "h", "generation", "{}", "t") for i in range(17)]
+    write_batches(spark, path, rows[:7], rows[7:14], rows[14:], schema=schema)
+    live.seal_stream(live.read_stream(spark, path, 1), str(tmp_path / "run"), every=None).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "run" / "entries")).select("batch").distinct().count() == 3
+    got = live.sealed_blocks(spark, str(tmp_path / "run"), block_entries=5)
+    want = ledger.blocks(spark.read.parquet(path), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+
+
+def test_open_sessions_are_added(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:10:00", "a"), ("2024-01-01 05:00:00", "a"), ("2024-01-01 05:10:00", "b")]
+    write_batches(spark, path, rows, schema="ts string, kind string")
+    read = lambda df: df.select(F.col("ts").cast("timestamp").alias("timestamp"), "kind")
+    counts = live.counters(read(live.read_stream(spark, path, 1)), F.session_window("timestamp", "1 hour"), ["kind"])
+    closed = live.run_to_files(counts, str(tmp_path / "run"))
+    out = live.with_open_sessions(closed, read(spark.read.parquet(path)), "1 hour", ["kind"])
+    assert sorted((r["kind"], str(r["start"])[11:16], r["n"]) for r in out.collect()) == [("a", "00:00", 2), ("a", "05:00", 1), ("b", "05:10", 1)]
 
 
 def test_counters_add_up_over_batches(spark, tmp_path):

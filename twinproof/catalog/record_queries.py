@@ -444,24 +444,41 @@ def datasets(spark, sf):
         (vid % 5 != 0).alias("has_audit"),
         (vid % 3).alias("n_extra_columns"),
         (vid % 12).alias("n_identifiers"),
+        F.transform(F.filter(F.sequence(F.lit(0), vid % 12), lambda i: i > 0), lambda i: F.concat(F.lit("column_"), i.cast("string"))).alias("identifiers"),
     )
 
 
-_KIND_SQL = {
-    "privacy": ("coalesce(privacy >= {t}, false)", "coalesce(privacy, 0)"),
-    "utility": ("coalesce(utility >= {t}, false)", "coalesce(utility, 0)"),
-    "fairness": ("coalesce(fairness >= {t}, false)", "coalesce(fairness, 0)"),
-    "minimization": ("n_extra_columns = 0", "CASE WHEN n_extra_columns = 0 THEN 100 ELSE 50 END"),
-    "assessment": ("has_audit AND privacy IS NOT NULL AND utility IS NOT NULL", "CASE WHEN has_audit AND privacy IS NOT NULL AND utility IS NOT NULL THEN 100 ELSE 0 END"),
-    "privacy_present": ("privacy IS NOT NULL", "coalesce(privacy, 0)"),
-    "safe_harbor": ("n_identifiers = 0", "greatest(0, 100 - n_identifiers * 10)"),
-    "audit": ("has_audit", "CASE WHEN has_audit THEN 100 ELSE 0 END"),
-    "always": ("true", "100"),
-}
-RULE_SQL = "rr AS (" + " UNION ALL ".join(
-    f"SELECT dataset, '{s}' AS standard, '{a}' AS article, {_KIND_SQL[k][0].format(t=t)} AS passed, CAST({_KIND_SQL[k][1]} AS DOUBLE) AS score, CASE WHEN NOT ({_KIND_SQL[k][0].format(t=t)}) THEN '{adv}' END AS recommendation FROM ds"
-    for s, a, _, k, t, adv in compliance.RULES
-) + ")"
+# The expected rule book, written out on its own: standard, article, what is
+# judged, least score, advice on failure, advice where the score is missing.
+RULE_SQL = """rb(standard, article, kind, least, advice, missing) AS (VALUES
+    ('GDPR', 'Article 5(1)(c)', 'columns', 0, 'Remove unnecessary columns from synthetic data', NULL),
+    ('GDPR', 'Article 5(1)(d)', 'utility', 70, 'Improve synthetic data quality', 'Run utility verification first'),
+    ('GDPR', 'Article 25', 'privacy', 70, 'Improve privacy protection measures', 'Run privacy verification first'),
+    ('GDPR', 'Article 35', 'assessed', 0, 'Complete privacy and utility assessments', NULL),
+    ('GDPR', 'Article 5(2)', 'logged', 0, 'Enable audit logging', NULL),
+    ('HIPAA', '164.514(a)', 'privacy', 70, 'Improve de-identification measures', 'Run privacy verification'),
+    ('HIPAA', '164.514(b)(1)', 'privacy', 0, NULL, 'Apply statistical methods for de-identification'),
+    ('HIPAA', '164.514(b)(2)', 'names', 0, 'Remove or generalize: ', NULL),
+    ('HIPAA', '164.312(b)', 'logged', 0, 'Implement audit logging', NULL),
+    ('HIPAA', '164.530(j)', 'logged', 0, 'Create documentation for data handling procedures', NULL),
+    ('EU AI Act', 'Article 10', 'utility', 70, 'Improve data quality', 'Run utility verification'),
+    ('EU AI Act', 'Article 13', 'logged', 0, 'Document the generation process', NULL),
+    ('EU AI Act', 'Article 9', 'fairness', 80, 'Address bias in synthetic data', 'Run bias detection'),
+    ('EU AI Act', 'Article 11', 'logged', 0, 'Create technical documentation', NULL),
+    ('EU AI Act', 'Article 14', 'always', 0, NULL, NULL)
+), rv AS (
+    SELECT *, CASE kind WHEN 'privacy' THEN privacy WHEN 'utility' THEN utility WHEN 'fairness' THEN fairness END AS v FROM ds, rb
+), rr AS (
+    SELECT dataset, standard, article,
+      CASE kind WHEN 'columns' THEN n_extra_columns = 0 WHEN 'assessed' THEN has_audit AND privacy IS NOT NULL AND utility IS NOT NULL
+           WHEN 'logged' THEN has_audit WHEN 'names' THEN n_identifiers = 0 WHEN 'always' THEN true ELSE v IS NOT NULL AND v >= least END AS passed,
+      CAST(CASE kind WHEN 'columns' THEN CASE WHEN n_extra_columns = 0 THEN 100 ELSE 50 END
+           WHEN 'assessed' THEN CASE WHEN has_audit AND privacy IS NOT NULL AND utility IS NOT NULL THEN 100 ELSE 0 END
+           WHEN 'logged' THEN CASE WHEN has_audit THEN 100 ELSE 0 END WHEN 'names' THEN greatest(0, 100 - n_identifiers * 10) WHEN 'always' THEN 100 ELSE coalesce(v, 0) END AS DOUBLE) AS score,
+      CASE WHEN passed THEN NULL WHEN kind IN ('privacy', 'utility', 'fairness') AND v IS NULL THEN missing
+           WHEN kind = 'names' THEN advice || array_to_string(list_transform(range(1, n_identifiers + 1), lambda i: 'column_' || i), ', ') ELSE advice END AS recommendation
+    FROM rv
+)"""
 
 
 @query("compliance_rules", f"WITH {DATASET_SQL}, {RULE_SQL} SELECT dataset, standard, article, passed, round(score, 6) AS score, recommendation FROM rr")

@@ -26,16 +26,28 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def exact_sql(name: str) -> str:
+    """DuckDB text of a double's exact value, as ``scalar.exact_number`` gives it."""
+    step = f"CAST({2**50} AS DOUBLE)"
+    size = f"abs({name})"
+    one = f"(({size} - floor({size})) * {step})"
+    two = f"(({one} - floor({one})) * {step})"
+    three = f"(({two} - floor({two})) * {step})"
+    whole = [f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)" for x in (size, one, two, three)]
+    parts = f"CASE WHEN {name} < 0 THEN '-' ELSE '' END || {whole[0]} || ':' || {whole[1]} || CASE WHEN {one} <> floor({one}) THEN ':' || {whole[2]} || ':' || {whole[3]} ELSE '' END"
+    return f"CASE WHEN {size} < {2.0**62!r} AND ({name} = 0 OR {size} >= {2.0**-90!r}) THEN {parts} ELSE CAST({name} AS VARCHAR) END"
+
+
 def canon_sql(*columns: str) -> str:
     """DuckDB text of the canonical row; ``d:`` marks doubles, ``t:`` timestamps."""
     parts = []
     for c in columns:
         kind, _, name = c.rpartition(":")
         if kind == "d":
-            text = f"CAST(CAST(floor({name} * 1000000 + 0.5) AS BIGINT) AS VARCHAR)"
+            text = exact_sql(f"CAST({name} AS DOUBLE)")
         elif kind == "t":
             text = f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')"
         else:
-            text = f"CAST({name} AS VARCHAR)"
+            text = f"CASE WHEN typeof({name}) = 'VARCHAR' THEN length(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR) ELSE CAST({name} AS VARCHAR) END"
         parts.append(f"coalesce({text}, '\\N')")
     return f"concat_ws(chr(31), {', '.join(parts)})"

@@ -273,7 +273,7 @@ def stream_consensus(spark, sf):
         (100 - F.col("l_tax") * 500).alias("fairness"),
         *order,
     )
-    out = live.run_to_files(live.consensus_stream(arriving, order), _folder(spark, "stream-consensus"))
+    out = live.run_to_files(live.consensus_stream(arriving, order, timeout_seconds=None), _folder(spark, "stream-consensus"))
     finals = ("privacy", "utility", "fairness", "overall")
     return out.withColumns({**{c: round6(F.col(c)) for c in finals}, "variance": F.round("variance", 4)})
 
@@ -325,14 +325,15 @@ def stream_sliding(spark, sf):
 
 @query(
     "stream_sessions",
-    f"""WITH {AUDIT_SQL}, m AS (SELECT max("timestamp") - INTERVAL '1 hour' AS wm FROM audit),
-    g AS (SELECT actor, "timestamp" AS t, CASE WHEN "timestamp" - lag("timestamp") OVER (PARTITION BY actor ORDER BY "timestamp") <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM audit),
+    f"""WITH {AUDIT_SQL}, g AS (SELECT actor, "timestamp" AS t, CASE WHEN "timestamp" - lag("timestamp") OVER (PARTITION BY actor ORDER BY "timestamp") <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM audit),
     k AS (SELECT *, sum(fresh) OVER (PARTITION BY actor ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g),
     s AS (SELECT actor, sid, min(t) AS a, max(t) + INTERVAL '6 hours' AS b, count(*) AS n FROM k GROUP BY 1, 2)
-    SELECT actor, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM s, m WHERE b <= wm""",
+    SELECT actor, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM s""",
 )
 def stream_sessions(spark, sf):
     events = audit_events(_Streams(spark), sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     counts = live.counters(events, F.session_window("timestamp", "6 hours"), ["actor"])
-    out = live.run_to_files(counts, _folder(spark, "stream-sessions"))
+    closed = live.run_to_files(counts, _folder(spark, "stream-sessions"))
+    batch = audit_events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    out = live.with_open_sessions(closed, batch, "6 hours", ["actor"])
     return out.select("actor", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

@@ -32,30 +32,55 @@ def weighted_score(privacy: Column, utility: Column, fairness: Column) -> Column
     return 0.4 * privacy + 0.35 * utility + 0.25 * fairness
 
 
-def canonical_text(field: T.StructField, scale: int = 6) -> Column:
+def exact_number(c: Column) -> Column:
+    """A double's value as text, without rounding and the same in any engine.
+
+    The magnitude is split into its whole part and binary fractions of 50
+    bits each, all exact in double arithmetic. Magnitudes outside 2^-90 to 2^62
+    keep the engine's own round-trip notation.
+    """
+    step = float(2**50)
+    size = F.abs(c)
+    whole = F.floor(size)
+    one = (size - whole) * step
+    two = (one - F.floor(one)) * step
+    three = (two - F.floor(two)) * step
+    tail = F.when(one != F.floor(one), F.concat_ws(":", F.floor(two).cast("bigint").cast("string"), F.floor(three).cast("bigint").cast("string")))
+    sign = F.when(c < 0, "-").otherwise("")
+    parts = F.concat(sign, F.concat_ws(":", whole.cast("bigint").cast("string"), F.floor(one).cast("bigint").cast("string"), tail))
+    usual = (size < float(2**62)) & ((size == 0) | (size >= 2.0**-90))
+    return F.when(usual & ~F.isnan(c), parts).otherwise(c.cast("string"))
+
+
+def canonical_text(field: T.StructField) -> Column:
     """Engine-independent text of one column, used under every hash.
 
-    Engines print doubles differently, so a double becomes the whole number
-    nearest to x * 10^scale; values too large for that keep their own notation.
+    Nothing is rounded. Texts carry their length, so no separator or null
+    mark inside a value can pass for the end of a field.
     """
     c = F.col(f"`{field.name}`")
     kind = field.dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        steps = F.floor(c * float(10**scale) + 0.5)
-        text = F.when(F.abs(c) < 9e18 / 10**scale, steps.cast("string")).otherwise(c.cast("string"))
+        text = exact_number(c.cast("double"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(kind, T.BinaryType):
         text = F.base64(c)
     elif isinstance(kind, (T.ArrayType, T.StructType)):
-        text = F.to_json(c)
+        text = measured(F.to_json(c))
     elif isinstance(kind, T.MapType):
-        text = F.to_json(F.array_sort(F.map_entries(c)))
+        text = measured(F.to_json(F.array_sort(F.map_entries(c))))
+    elif isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        text = measured(c)
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(NULL_TEXT))
 
 
+def measured(text: Column) -> Column:
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
 def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Canonical text of a whole row, columns in the given (or schema) order."""
     names = list(columns) if columns is not None else df.columns

@@ -29,6 +29,15 @@ RULES = (
     ("EU AI Act", "Article 14", "Human Oversight", "always", None, ""),
 )
 
+# What to do where the score a rule needs is missing.
+MISSING_ADVICE = {
+    ("GDPR", "Article 5(1)(d)"): "Run utility verification first",
+    ("GDPR", "Article 25"): "Run privacy verification first",
+    ("HIPAA", "164.514(a)"): "Run privacy verification",
+    ("EU AI Act", "Article 10"): "Run utility verification",
+    ("EU AI Act", "Article 9"): "Run bias detection",
+}
+
 # Identifier tokens looked for in column names.
 IDENTIFIER_TOKENS = (
     "name", "names", "first_name", "last_name", "full_name",
@@ -81,8 +90,9 @@ def evaluate(datasets: DataFrame) -> DataFrame:
     """(dataset, standard, article, requirement, passed, score, recommendation).
 
     ``datasets`` has one row per dataset: privacy, utility, fairness (null when
-    not assessed), has_audit, n_extra_columns and n_identifiers. The fixed
-    rules are exploded next to each row, so there is no join and no shuffle.
+    not assessed), has_audit, n_extra_columns and n_identifiers, and may have
+    identifiers, the names found. The fixed rules are exploded next to each
+    row, so there is no join and no shuffle.
     """
     has_audit = F.coalesce(F.col("has_audit"), F.lit(False))
 
@@ -109,6 +119,13 @@ def evaluate(datasets: DataFrame) -> DataFrame:
             return flag(has_audit)
         return flag(F.lit(True))
 
+    def advice_for(standard: str, article: str, kind: str, advice: str) -> Column:
+        if (standard, article) in MISSING_ADVICE:
+            return F.when(F.col(kind).isNull(), MISSING_ADVICE[standard, article]).otherwise(advice)
+        if kind == "safe_harbor" and "identifiers" in datasets.columns:
+            return F.concat(F.lit("Remove or generalize: "), F.array_join("identifiers", ", "))
+        return F.lit(advice)
+
     rows = []
     for standard, article, requirement, kind, threshold, advice in RULES:
         passed, score = judge(kind, threshold)
@@ -119,7 +136,7 @@ def evaluate(datasets: DataFrame) -> DataFrame:
                 F.lit(requirement).alias("requirement"),
                 passed.alias("passed"),
                 score.cast("double").alias("score"),
-                F.when(~passed, F.lit(advice)).alias("recommendation"),
+                F.when(~passed, advice_for(standard, article, kind, advice)).alias("recommendation"),
             )
         )
     return datasets.select("dataset", F.explode(F.array(*rows)).alias("r")).select("dataset", "r.*")

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.functions.scalar import row_sha, short_id, sorted_json
+from twinproof.functions.scalar import row_md5, row_sha, short_id, sorted_json
 from twinproof.operators import chain
 from twinproof.operators.running import running_totals
+from twinproof.operators.sampling import replicate
 from twinproof.session import settle
 
 VERIFICATION_KINDS = ("verification", "consensus")
@@ -30,29 +31,42 @@ def entries(source: DataFrame, seq: Column, data_hash: Column, entry_type: Colum
 
 
 def append(log: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Log with ``new`` entries numbered after the last one.
+    """Log with ``new`` entries numbered after the last one, without gaps or repeats.
 
-    Numbers come from per-prefix counts, so no single task orders all rows.
+    The order is that of ``order``, then of the entries' whole content; entries
+    that are alike in everything are counted and get a number each. Numbers
+    come from per-prefix counts, so no single task orders all rows.
     """
     last = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
-    keyed = new.withColumn("_k", F.concat_ws("|", *[F.col(c).cast("string") for c in order], "entry_id"))
-    counted = keyed.groupBy("_k").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0))
-    upto = running_totals(counted, ["_all"], "_k", ["n"]).select("_k", (F.col("cum_n") - F.col("n")).alias("_before"))
-    # Entry ids are unique, so each key is one entry.
-    numbered = keyed.drop("seq").join(upto, "_k").withColumn("seq", last + 1 + F.col("_before")).drop("_k", "_before")
+    fields = [c for c in log.columns if c != "seq"]
+    counted = new.groupBy(*fields).agg(F.count("*").alias("_n"))
+    kinds = dict(new.dtypes)
+    # whole numbers sort as numbers
+    parts = [F.lpad(F.col(c).cast("string"), 20, "0") if kinds[c] in ("int", "bigint") else F.col(c).cast("string") for c in order]
+    key = F.concat_ws("|", *parts, "entry_id", row_md5(counted, fields))
+    keyed = settle(counted.withColumn("_k", key).withColumn("_all", F.lit(0)), "new-entries")
+    upto = running_totals(keyed.select("_all", "_k", "_n"), ["_all"], "_k", ["_n"]).select("_k", (F.col("cum__n") - F.col("_n")).alias("_before"))
+    each = replicate(keyed.join(upto, "_k"), "_n", number="_copy")
+    numbered = each.withColumn("seq", last + F.col("_before") + F.col("_copy"))
     return log.unionByName(numbered.select(*log.columns))
 
 
+def digests(log: DataFrame) -> DataFrame:
+    """(seq, timestamp, digest) of each entry."""
+    return log.select("seq", "timestamp", row_sha(log, ENTRY_FIELDS).alias("digest"))
+
+
 def blocks(log: DataFrame, block_entries: int = 100) -> DataFrame:
     """(index, n_entries, first_timestamp, last_timestamp, digest) per block.
 
     Entry digests are computed in parallel; a block joins at most
     ``block_entries`` of them in order.
     """
-    digests = log.select(
-        F.floor(F.col("seq") / block_entries).alias("index"), "seq", "timestamp", row_sha(log, ENTRY_FIELDS).alias("digest")
-    )
-    return digests.groupBy("index").agg(
+    return blocks_of(digests(log), block_entries)
+
+
+def blocks_of(digested: DataFrame, block_entries: int = 100) -> DataFrame:
+    return digested.groupBy(F.floor(F.col("seq") / block_entries).alias("index")).agg(
         F.count("*").alias("n_entries"),
         F.min("timestamp").alias("first_timestamp"),
         F.max("timestamp").alias("last_timestamp"),
@@ -145,6 +159,11 @@ def history(log: DataFrame) -> DataFrame:
     )
 
 
+def full_history(log: DataFrame, kinds: Sequence[str] = ("generation", "verification", "consensus", "compliance")) -> DataFrame:
+    """Every entry of these kinds, one row each; sort by (data_hash, seq) to read it."""
+    return log.where(F.col("entry_type").isin(*kinds)).select("data_hash", "entry_type", "seq", "entry_id", "payload", "timestamp")
+
+
 def first_attestation(attestations: DataFrame) -> DataFrame:
     """First compliance record of each (data_hash, framework)."""
     rest = [c for c in attestations.columns if c not in ("data_hash", "framework", "seq")]

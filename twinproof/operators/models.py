@@ -24,7 +24,9 @@ from twinproof.session import settle
 TREES = 100
 SEED = 42
 MAX_BINS = 64
-ROW = "_row"
+DEPTH = 12  # deep trees: a weak attacker would flatter the synthetic table
+FIT_ROWS = 200_000
+DRAW = "_draw"
 
 
 def feature_frames(
@@ -51,29 +53,32 @@ def feature_frames(
             one = one.fillna({c: fills.get(c, 0.0) for c in gaps})
         vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(one)
         kept_now = [F.col(f"_keep_{c}").alias(c) for c in keep]
-        out.append(settle(vectors.select("features", *kept_now, F.monotonically_increasing_id().alias(ROW)), "features"))
+        out.append(settle(vectors.select("features", *kept_now), "features"))
     return out[0], out[1]
 
 
-def forest(trees: int = TREES, depth: int = 5, label: str = "label", regression: bool = False):
+def forest(trees: int = TREES, depth: int = DEPTH, label: str = "label", regression: bool = False):
     kind = RandomForestRegressor if regression else RandomForestClassifier
     return kind(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, seed=SEED)
 
 
-def fit(learner, rows: DataFrame):
-    """Train on rows in a fixed layout, so that the seed repeats the model.
-
-    Row numbers were stored with the features; spreading by them is even
-    whatever the data look like.
-    """
+def fit(learner, rows: DataFrame, fit_rows: int = FIT_ROWS):
+    """Train on about ``fit_rows`` rows at most, drawn and laid out by a hash of
+    their content, so that the seed repeats the model however the table is stored.
+    Only the fit is bounded; models are applied to all rows."""
     spark = rows.sparkSession
+    drawn = rows.withColumn(DRAW, F.xxhash64(vector_to_array("features")))
+    n = rows.count()
+    if n > fit_rows:
+        drawn = drawn.where(F.pmod(DRAW, F.lit(1_000_003)) < fit_rows / n * 1_000_003)
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return learner.fit(rows.repartition(parts, ROW).sortWithinPartitions(ROW))
+    order = [DRAW, *(c for c in ("is_real", "label") if c in rows.columns)]
+    return learner.fit(drawn.repartition(parts, DRAW).sortWithinPartitions(*order))
 
 
-def _attack(rows: DataFrame, depth: int) -> DataFrame:
+def _attack(rows: DataFrame, depth: int, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Train on ``is_train`` rows; (is_real, predicted, score) of the others."""
-    model = fit(forest(depth=depth, label="is_real"), rows.where("is_train"))
+    model = fit(forest(depth=depth, label="is_real"), rows.where("is_train"), fit_rows)
     tested = model.transform(rows.where(~F.col("is_train")))
     return settle(
         tested.select("is_real", F.col("prediction").alias("predicted"), vector_to_array("probability")[1].alias("score")), "attack"
@@ -81,35 +86,29 @@ def _attack(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def membership_inference(
-    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], test_share: float = 0.3, depth: int = 5
+    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], test_share: float = 0.3, depth: int = DEPTH
 ) -> DataFrame:
     """Attack result of a forest telling real rows from synthetic ones."""
     r, s = feature_frames(real, synth, numeric, categorical)
     arrays = [df.select(vector_to_array("features").alias("x")) for df in (r, s)]
     both = sampling.split(sampling.balanced_union(*arrays), test_share, ["is_real"])
     rows = settle(
-        both.select(array_to_vector("x").alias("features"), "is_real", "is_train", F.monotonically_increasing_id().alias(ROW)), "attack-rows"
+        both.select(array_to_vector("x").alias("features"), "is_real", "is_train"), "attack-rows"
     )
     return privacy.attack_result(_attack(rows, depth), "is_real", "predicted")
 
 
 def membership_inference_evaluator(
-    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], sample_size: int = 1000, depth: int = 5
+    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fit_rows: int = FIT_ROWS, depth: int = DEPTH
 ) -> DataFrame:
-    """Evaluator variant on bounded samples: accuracy, AUC and score."""
-    columns = [*numeric, *categorical]
-    r, s = feature_frames(
-        sampling.bounded_sample(real.select(*columns), sample_size),
-        sampling.bounded_sample(synth.select(*columns), sample_size),
-        numeric,
-        categorical,
-    )
+    """Evaluator variant: accuracy, AUC and score over all rows that were not trained on."""
+    r, s = feature_frames(real, synth, numeric, categorical)
     arrays = [df.select(vector_to_array("features").alias("x")) for df in (r, s)]
     both = sampling.split(sampling.labelled_union(*arrays), 0.3)
     rows = settle(
-        both.select(array_to_vector("x").alias("features"), "is_real", "is_train", F.monotonically_increasing_id().alias(ROW)), "attack-rows"
+        both.select(array_to_vector("x").alias("features"), "is_real", "is_train"), "attack-rows"
     )
-    tested = _attack(rows, depth)
+    tested = _attack(rows, depth, fit_rows)
     auc = privacy.roc_auc(tested, "is_real", "score").scalar()
     accuracy = F.col("attack_accuracy")
     return privacy.attack_result(tested, "is_real", "predicted").select(
@@ -125,7 +124,7 @@ def train_on_synthetic(
     target: str,
     classification: bool = True,
     test_share: float = 0.3,
-    depth: int = 5,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Train on synthetic, test on real, against a model trained on real rows."""
     numbers = [c for c in numeric if c != target]
@@ -185,7 +184,7 @@ def _as_label(codes: DataFrame, target: str) -> DataFrame:
 
 
 def evaluator_efficacy(
-    real: DataFrame, synth: DataFrame, numeric: Sequence[str], target: str, classification: bool, depth: int = 5
+    real: DataFrame, synth: DataFrame, numeric: Sequence[str], target: str, classification: bool, depth: int = DEPTH
 ) -> DataFrame:
     """Evaluator variant: number features only, trained on all synthetic rows and tested on all real ones."""
     numbers = [c for c in numeric if c != target]
@@ -214,7 +213,7 @@ def equal_opportunity(
     protected: Sequence[str],
     target: str,
     positive_code: int = 1,
-    depth: int = 5,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """Equal opportunity of a 50-tree model trained on the synthetic table.
 

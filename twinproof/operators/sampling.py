@@ -2,7 +2,7 @@
 
 Order comes from a hash of the whole row, so results repeat across runs and
 partition layouts. Rows that are copies of each other share a hash; they are
-counted and split by number, never gathered.
+counted and split by their place, never gathered.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from twinproof.functions.scalar import row_md5
 from twinproof.operators.running import position_in
 from twinproof.session import bucket_count, settle
 
-PREFIX_DIGITS = 4
-SMALL_ROWS = 200_000
+# Digits of (32 of the row's hash, 32 of its place) that are fixed step by step.
+KEY_DIGITS = (4, 32, 36, 64)
 REPLICATE_BLOCK = 10_000
 
 
@@ -38,7 +38,8 @@ def replicate(df: DataFrame, times: str, number: str | None = None) -> DataFrame
     blocks = large.withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / REPLICATE_BLOCK)))
     )
-    spread = blocks.repartition("_block").withColumn(
+    # by row and block: the same block of many rows does not meet in one task
+    spread = blocks.repartition(F.xxhash64(*large.columns), "_block").withColumn(
         times, F.least(F.lit(REPLICATE_BLOCK), F.col(times) - F.col("_block") * REPLICATE_BLOCK)
     )
     copy = F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias("_copy")
@@ -50,81 +51,52 @@ def replicate(df: DataFrame, times: str, number: str | None = None) -> DataFrame
     return both.select(*keep)
 
 
-def hash_quota(
-    df: DataFrame, groups: Sequence[str], quota: DataFrame, order: Column | None = None, small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def hash_quota(df: DataFrame, groups: Sequence[str], quota: DataFrame, order: Column | None = None) -> DataFrame:
     """Add ``picked``: exactly ``quota`` rows per group, those first in hash order.
 
     ``quota`` has one row per group: the group columns, ``quota`` and any
     further columns, which are attached to the rows of that group. Rows of
     other groups are not picked and get nulls.
 
-    Rows and their hashes are written once. A table of proven small size is
-    ranked by a window. Otherwise two small aggregations find the boundary
-    hash of each group (first its 4-digit prefix, then the hash itself) and
-    every other row is decided by a comparison. The copies of the boundary row
-    are identical, so the right number of them is emitted from their count.
+    Rows are written once with their hash; their place in the written table
+    (file and row) goes on where hashes are equal, so copies are told apart and
+    every row is decided by one comparison. The boundary of a group is found
+    from counts, first by a few digits of the key, then by more of them inside
+    the bucket that holds the boundary. Longer keys are looked at only where a
+    bucket has to be split, so unlike rows of one hash are never exchanged.
     """
     groups = list(groups)
     columns = df.columns
     order = order if order is not None else row_md5(df)
     group_key = F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(0).alias("all"))
-    keyed = settle(
-        df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS)).withColumn("_g", group_key),
-        "hashed",
-    )
+    written = settle(df.withColumn("_h", order).withColumn("_g", group_key), "hashed")
+    place = [F.lpad(F.hex(F.xxhash64(F.lit(i), "_metadata.file_path", "_metadata.row_index")), 16, "0") for i in (0, 1)]
+    keyed = written.select("*", F.concat("_h", *place).alias("_k"))
     extra = [c for c in quota.columns if c not in groups and c != "quota"]
-    wanted = quota.withColumn("_g", group_key).select("_g", F.col("quota").cast("bigint").alias("_quota"), *extra)
-    if keyed.count() <= small_rows:
-        rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
-        picked = F.coalesce(F.col("_rank") <= F.col("_quota"), F.lit(False))
-        return keyed.withColumn("_rank", rank).join(wanted, "_g", "left").select(*columns, *extra, picked.alias("picked"))
-
-    def boundary(counts: DataFrame, targets: DataFrame, step: str, want: str, carry: Sequence[str] = ()) -> DataFrame:
-        run = Window.partitionBy("_g").orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = counts.withColumn("_upto", F.sum("_n").over(run)).join(targets, "_g")
-        hit = (F.col("_upto") >= F.col(want)) & (F.col("_upto") - F.col("_n") < F.col(want))
-        rest = (F.col(want) - (F.col("_upto") - F.col("_n"))).alias("_rest")
-        return upto.where(hit).select("_g", step, rest, *carry)
-
-    prefix_counts = settle(keyed.groupBy("_g", "_p").agg(F.count("*").alias("_n")), "quota-prefixes")
-    sizes = prefix_counts.groupBy("_g").agg(F.sum("_n").alias("_size"))
-    capped = wanted.join(sizes, "_g").select("_g", F.least("_quota", "_size").alias("_quota"), *extra)
-    # One row per group each, written out so that the planner knows their size.
-    at_prefix = settle(boundary(prefix_counts, capped, "_p", "_quota"), "quota-prefix")
-    inner = settle(
-        keyed.join(at_prefix, ["_g", "_p"])
-        .groupBy("_g", "_h", F.col("_rest").alias("_want"))
-        .agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_row")),
-        "quota-inner",
-    )
-    at_hash = boundary(inner.drop("_want"), inner.select("_g", "_want").distinct(), "_h", "_want", ["_n", "_row"])
-    edge = settle(
-        capped.join(at_hash, "_g", "left").select(
-            "_g",
-            F.coalesce("_h", F.lit("")).alias("_edge"),
-            F.coalesce("_rest", F.lit(0)).alias("_k"),
-            "_n",
-            "_row",
-            *extra,
-        ),
-        "quota-edge",
-    )
-    decided = (
-        keyed.join(edge.select("_g", "_edge", *extra), "_g", "left")
-        .where(F.col("_edge").isNull() | (F.col("_h") != F.col("_edge")))
-        .select(*columns, *extra, F.coalesce(F.col("_h") < F.col("_edge"), F.lit(False)).alias("picked"))
-    )
-    parts = F.array(
-        F.struct(F.lit(True).alias("picked"), F.col("_k").alias("times")),
-        F.struct(F.lit(False).alias("picked"), (F.col("_n") - F.col("_k")).alias("times")),
-    )
-    copies = (
-        edge.where(F.col("_row").isNotNull())
-        .select("_row.*", *extra, F.explode(parts).alias("_part"))
-        .select(*columns, *extra, "_part.picked", "_part.times")
-    )
-    return decided.unionByName(replicate(copies, "times"))
+    wanted = quota.withColumn("_g", group_key).select("_g", F.col("quota").cast("bigint").alias("_want"), *extra)
+
+    # Open groups: what is still wanted behind the key digits fixed so far.
+    opened = wanted.select("_g", "_want", F.lit("").alias("_edge")).where("_want > 0")
+    closed = []
+    run = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for digits in KEY_DIGITS:
+        inside = keyed.join(opened, "_g").where(F.substring("_k", 1, F.length("_edge")) == F.col("_edge"))
+        counts = inside.groupBy("_g", "_want", F.substring("_k", 1, digits).alias("_s")).agg(F.count("*").alias("_n"))
+        upto = counts.withColumn("_upto", F.sum("_n").over(run))
+        last = F.max("_upto").over(Window.partitionBy("_g"))
+        # the first bucket that reaches the quota; the last one where the group is too small
+        hit = (F.col("_upto") - F.col("_n") < F.col("_want")) & ((F.col("_upto") >= F.col("_want")) | (F.col("_upto") == F.col("_last")))
+        edges = settle(upto.withColumn("_last", last).where(hit).select("_g", F.col("_s").alias("_edge"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_want"), "_n"), "quota-edge")
+        closed.append(edges.where("_n <= _want").select("_g", "_edge"))
+        opened = edges.where("_n > _want").select("_g", "_want", "_edge")
+        if not opened.head(1):
+            break
+    edge = closed[0]
+    for more in closed[1:]:
+        edge = edge.unionByName(more)
+    table = settle(wanted.join(edge, "_g", "left").select("_g", "_edge", *extra), "quota-edges")
+    picked = F.coalesce(F.substring("_k", 1, F.length("_edge")) <= F.col("_edge"), F.lit(False))
+    return keyed.join(table, "_g", "left").select(*columns, *extra, picked.alias("picked"))
 
 
 def labelled_union(real: DataFrame, synth: DataFrame, label: str = "is_real") -> DataFrame:

@@ -19,6 +19,7 @@ VERDICT_SCHEMA = """
     overall double, variance double, status string
 """
 VERDICT_COLUMNS = ["verification_id", "num_verifiers", "privacy", "utility", "fairness", "overall", "variance", "status"]
+IDLE_SECONDS = 604_800  # state of a request that nothing has come for in a week goes
 STATE_SCHEMA = "verifiers array<bigint>, privacy array<double>, utility array<double>, fairness array<double>, closed boolean"
 
 
@@ -44,7 +45,7 @@ def consensus_stream(
     order: Sequence[str],
     quorum: int = QUORUM,
     threshold: float = THRESHOLD,
-    timeout_seconds: int | None = None,
+    timeout_seconds: int | None = IDLE_SECONDS,
 ) -> DataFrame:
     """Verdicts as requests reach their quorum; later submissions are refused.
 
@@ -53,7 +54,8 @@ def consensus_stream(
     that can still matter per request, so a request flooded with submissions
     sends a handful of rows per task through the shuffle. State holds at most
     ``quorum`` submissions per open request and a mark for a closed one. With
-    a timeout, state idle for that long is dropped.
+    a timeout (a week unless set), state idle for that long is dropped. A run that is
+    to stop when its input is used up takes None: timeouts ask for further batches for ever.
     """
     columns = ["verification_id", "verifier_id", "privacy", "utility", "fairness", *order]
 
@@ -115,27 +117,27 @@ def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def seal_stream(
-    entries: DataFrame, folder: str, block_entries: int = 100, every: str | None = "5 seconds"
-) -> StreamingQuery:
-    """Seal the entries of each micro-batch into blocks.
+def seal_stream(entries: DataFrame, folder: str, every: str | None = "5 seconds") -> StreamingQuery:
+    """Digest the entries of each micro-batch for sealing.
 
     A batch writes its own folder, named by its number and overwritten on a
-    retry, so no block is written twice. Entry digests are computed in
-    parallel. ``every=None`` processes what is available and stops.
+    retry, so no entry is counted twice. Digests, the costly part, are computed
+    once, as entries come; ``sealed_blocks`` joins them to blocks by number, so a
+    batch may end anywhere inside a block. ``every=None`` processes what is
+    available and stops.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        ledger.blocks(batch, block_entries).write.mode("overwrite").parquet(f"{folder}/blocks/batch={number}")
+        ledger.digests(batch).write.mode("overwrite").parquet(f"{folder}/entries/batch={number}")
 
     writer = entries.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def sealed_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks written so far, batch by batch."""
-    return spark.read.parquet(f"{folder}/blocks")
+def sealed_blocks(spark: SparkSession, folder: str, block_entries: int = 100) -> DataFrame:
+    """Blocks of the entries that came so far; the last one may still be open."""
+    return ledger.blocks_of(spark.read.parquet(f"{folder}/entries"), block_entries)
 
 
 def counters(
@@ -174,3 +176,16 @@ def run_counters(counts: DataFrame, folder: str, keys: Sequence[str]) -> DataFra
     query.awaitTermination()
     updates = counts.sparkSession.read.parquet(f"{folder}/counts")
     return updates.groupBy("start", "end", *keys).agg(F.max_by("n", "batch").alias("n"))
+
+
+def with_open_sessions(closed: DataFrame, events: DataFrame, gap: str, keys: Sequence[str], time: str = "timestamp") -> DataFrame:
+    """Closed sessions of a stream that has ended, and those it still held open.
+
+    Sessions close in time order, so what is open is made of the events from
+    the end of each key's last closed session on; ``events`` is the same source, read once more.
+    """
+    keys = list(keys)
+    ends = closed.groupBy(*keys).agg(F.max("end").alias("_end"))
+    rest = events.join(ends, keys, "left").where(F.col("_end").isNull() | (F.col(time) >= F.col("_end")))
+    still = rest.groupBy(F.session_window(time, gap).alias("span"), *keys).agg(F.count("*").alias("n"))
+    return closed.unionByName(still.select(F.col("span.start").alias("start"), F.col("span.end").alias("end"), *keys, "n"))
