@@ -361,6 +361,15 @@ def audit_history(spark, sf):
     return ledger.history(ledger_log(spark, sf))
 
 
+@query(
+    "audit_history_entries",
+    f"""WITH {LEDGER_SQL} SELECT data_hash, entry_type, seq, entry_id, payload, "timestamp" FROM led
+    WHERE entry_type IN ('generation', 'verification', 'consensus', 'compliance')""",
+)
+def audit_history_entries(spark, sf):
+    return ledger.full_history(ledger_log(spark, sf))
+
+
 @query(
     "history_flatten",
     """WITH g AS (SELECT o_orderkey, 'd' || o_orderkey AS data_hash, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders),

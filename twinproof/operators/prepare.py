@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from twinproof.operators.distributions import modes, unpivoted
 from twinproof.operators.running import column_quantiles
-from twinproof.roles import is_number
+from twinproof.roles import distinct_profile, is_number
 from twinproof.session import settle
 
 # Date layouts tried on text columns.
@@ -28,7 +28,7 @@ DATE_FORMATS = (
     "dd-MM-yyyy",
     "dd.MM.yyyy",
 )
-DATE_PROBE_ROWS = 100
+DATE_SHAPE = r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
 DATE_SHARE = 0.8
 MAX_NULL_PERCENT = 50
 CATEGORY_SHARE = 0.05
@@ -50,20 +50,18 @@ def parse_date(text: Column) -> Column:
 
 
 def date_columns(df: DataFrame) -> list[str]:
-    """Text columns of whose first non-null values over 80 % parse as dates."""
+    """Text columns of whose non-null values over 80 % parse as dates; all rows count."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    probes = [
-        df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).alias("value")).limit(DATE_PROBE_ROWS)
-        for c in texts
-    ]
-    if not probes:
+    if not texts:
         return []
-    both = probes[0]
-    for p in probes[1:]:
-        both = both.unionByName(p)
-    rows = both.groupBy("column").agg(F.avg(parse_date(F.col("value")).isNotNull().cast("double")).alias("share")).collect()
-    good = {r["column"] for r in rows if r["share"] > DATE_SHARE}
-    return [c for c in texts if c in good]
+
+    def share(c: Column) -> Column:
+        # what has not even the shape of a date is not given to the parsers
+        is_date = F.when(c.rlike(DATE_SHAPE), parse_date(c).isNotNull()).otherwise(False)
+        return F.avg(F.when(c.isNotNull(), is_date.cast("double")))
+
+    row = df.agg(*[share(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+    return [c for i, c in enumerate(texts) if row[i] is not None and row[i] > DATE_SHARE]
 
 
 def expand_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -221,10 +219,10 @@ def prepare(df: DataFrame) -> tuple[DataFrame, PrepPlan]:
         now = now.fillna(plan.fills)
     texts = [f.name for f in now.schema if isinstance(f.dataType, T.StringType)]
     if texts:
-        row = now.agg(F.count("*").alias("_n"), *[F.approx_count_distinct(c).alias(c) for c in texts]).first()
-        plan.categories = [c for c in texts if row[c] < CATEGORY_COUNT or row[c] < CATEGORY_SHARE * row["_n"]]
+        found = {r["column"]: r for r in distinct_profile(now, texts).select("column", "n_distinct", "n_rows").collect()}
+        plan.categories = [c for c in texts if c in found and (found[c]["n_distinct"] < CATEGORY_COUNT or found[c]["n_distinct"] < CATEGORY_SHARE * found[c]["n_rows"])]
         for c in plan.categories:
-            plan.note("types", c, "converted_to_category", str(row[c]))
+            plan.note("types", c, "converted_to_category", str(found[c]["n_distinct"]))
     if any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in now.schema):
         plan.whole = [r["column"] for r in whole_number_columns(now).collect() if r["converted"]]
     for c in plan.whole:
