@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinproof.catalog.pairs import (
     APPLICANT_LABELS,
+    APPLICANT_NUMBERS,
     APPLICANT_ROLES,
     APPLICANT_SQL,
     LEAKY_SQL,
@@ -94,6 +95,28 @@ def dcr_full(spark, sf):
     return distance.dcr_full(*leaky_split(spark, sf), POINT_NUMBERS, POINT_LABELS)
 
 
+_APPLICANT_POINTS = APPLICANT_NUMBERS + APPLICANT_LABELS
+
+
+@query(
+    "dcr_full_applicants",
+    f"""WITH {APPLICANT_SQL}, {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS, n=10**12)}, {scaled_sql(_APPLICANT_POINTS, 'xr', '1e-10', _APPLICANT_POINTS)},
+    a AS (SELECT avg(d) AS m, median(d) AS md, min(d) AS mn, count(*) FILTER (d < 1e-6) AS x, count(*) AS n FROM mind)
+    SELECT round(m, 6) AS mean_dcr, round(md, 6) AS median_dcr, round(mn, 6) AS min_dcr, x AS exact_matches, round(x / n, 6) AS exact_match_rate,
+           round(CASE WHEN m < 0.1 THEN least(100, m / 0.1 * 100) ELSE 100 END, 4) AS score, m >= 0.05 AND x = 0 AS passed, n AS n_compared FROM a""",
+)
+def dcr_full_applicants(spark, sf):
+    """Nearest real record of every synthetic applicant, over whole tables."""
+    out = distance.dcr_full(*applicants(spark, sf), APPLICANT_NUMBERS, APPLICANT_LABELS)
+    return out.select(
+        *[round6(F.col(c)).alias(c) for c in ("mean_dcr", "median_dcr", "min_dcr", "exact_match_rate")],
+        F.col("exact_matches").cast("bigint").alias("exact_matches"),
+        F.round("score", 4).alias("score"),
+        "passed",
+        "n_compared",
+    )
+
+
 @query(
     "exact_match_semi",
     f"""WITH {LEAKY_SQL} SELECT (SELECT count(*) FROM s) AS n_synth,
