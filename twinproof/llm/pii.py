@@ -36,7 +36,7 @@ PATTERN = "|".join(
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
         r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         r"(?<![\d+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)",
-        r"(?<![\d+])\+(?!1[ .\-(])\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)",
+        r"(?<![\d+])\+(?!1[ .\-(])\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,8}(?:[ .\-]\d{2,4})?(?!\d)",
         r"(?<![\d+])\+\d{8,15}(?!\d)",
         r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])",
         r"(?<![\d/.])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.)\d{4}(?![\d/]|\.\d)",
@@ -237,8 +237,8 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[0-9 \-]+$"), "card")
-        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$") & ~m.rlike("^[0-9A-F]+$"), "iban")
-        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$") & _iban(m, key).isNotNull(), "iban")
+        # up to 34 characters of this shape are an IBAN or nothing, even where all are hexadecimal
+        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){1,30}$"), "iban")
         .when(m.rlike(r"^[0-9A-Fa-f]{16,128}$"), "secret")
     )
     makers = {"email": _email, "phone": _phone, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "card": _card, "iban": _iban, "secret": _secret}
