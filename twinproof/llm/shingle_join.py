@@ -3,15 +3,17 @@
 Exact throughout. One pass turns each text into its sorted set of 64-bit shingle
 hashes, a bitmap of about two bits per shingle and the keys of its prefix: two
 sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles in any
-common order. The order puts shingles that a sample of rows shows to be frequent
-last; it changes the cost only, never the result.
-
-Equal sets are one class from then on, so copies cost nothing. Members of a key
-meet in tiles: a group of m members is cut into ceil(m / TILE) pieces, and each
-pair of pieces is a tile of at most 2 TILE rows, so no task or group is unbounded
-however popular a key is. Inside a tile, sizes outside the band t are skipped, and
-the bit count of the two bitmaps' difference bounds the overlap from above; only
-pairs within the bound are emitted, and their texts are intersected exactly.
+common order. The order is rarest first by a frequency sketch of fixed size over all
+texts; how good the sketch is changes the cost only, never the result.
+
+Equal sets are one class from then on, so copies cost nothing. The members of a key
+are first compared with its two outermost members, which joins the large groups of
+near copies at linear cost. Members left in different components meet in tiles: a
+group of m members is cut into ceil(m / TILE) pieces, and each pair of pieces is a
+tile of at most 2 TILE rows, so no task or group is unbounded however popular a key
+is. Inside a tile, sizes outside the band t are skipped, and the bit count of the two
+bitmaps' difference bounds the overlap from above; pairs within the bound are
+intersected exactly, text by text. Pairs inside a component need no test.
 
 Defined results: null and empty texts and texts without words have an empty set,
 link with nothing and are their own component; a text of fewer words than a
@@ -22,6 +24,7 @@ by its smallest id (null ids are larger than any); extra columns pass through.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,9 @@ from twinproof.session import settle
 WORDS, PERCENT = 3, 90
 TILE = 1024
 FEW = 16  # rows of a tile that are compared one by one
-SAMPLE = 16  # one row of so many shows which shingles are frequent
-HOT_MOST = 1 << 18  # no more shingles than this can be called frequent
-CACHE = 1 << 19  # words whose hash a task remembers
+SKETCH_BITS = 24  # cells of the frequency sketch: its size in bytes, fixed
+SEGMENTS = 64  # parts in which the sketch is added up
+CACHE = 1 << 17  # words whose hash a task remembers
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 S29, S32 = np.uint64(29), np.uint64(32)
@@ -90,47 +93,65 @@ def may_link(na: int, nb: int, a: int, la: int, b: int, lb: int, percent: int) -
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def _count_sample(words):
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _count_cells(words):
+    """A task's counts by cell, as packed segments."""
+
     def run(batches):
         seen: dict = {}
+        total = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
-            sets = [shingles(t, words, seen) for t in batch.column(0).to_pylist()]
-            value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            total = int(n.sum())
-            value, n = value[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(value, 0).view(np.int64)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(n), np.int64), total))], names=["shingle", "n", "total"])
+            for text in batch.column(0):
+                cell = _cells(shingles(text.as_py(), words, seen))
+                now = total[cell]
+                total[cell] = now + (now < 255)
+        for i, part in enumerate(total.reshape(SEGMENTS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["segment", "counts"])
 
     return run
 
 
-def frequent(docs: DataFrame, place: str, words: int) -> np.ndarray:
-    """Sorted shingles that a share of the rows shows to be frequent, at most
-    ``HOT_MOST``: each has at least that share of all shingles counted."""
-    part = docs.where(F.pmod(F.col(place), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text"))
-    counts = settle(part.mapInArrow(_count_sample(words), "shingle bigint, n bigint, total bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "shingle-counts")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    hot = counts.where(F.col("n") >= max(4, -(-total // HOT_MOST))).select("shingle").toPandas()["shingle"]
-    return np.sort(hot.to_numpy(np.int64).view(np.uint64))
+def _add_cells(batches):
+    total: dict = {}
+    for batch in batches:
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(zlib.decompress(data), np.uint8)
+            total[i] = np.minimum(total[i] + part.astype(np.uint16), 255) if i in total else part.astype(np.uint16)
+    for i, part in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(np.uint8).tobytes()], pa.binary())], names=["segment", "counts"])
 
 
-def _profile(words, percent, hot):
+def sketch(docs: DataFrame, words: int) -> np.ndarray:
+    """How often the shingles of each hashed cell occur, over all texts, up to 255.
+    Its size is fixed (2 ** SKETCH_BITS bytes), whatever the corpus."""
+    made = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count_cells(words), "segment int, counts binary")
+    out = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.uint8)
+    for r in made.repartition("segment").mapInArrow(_add_cells, "segment int, counts binary").collect():
+        out[r[0]] = np.frombuffer(r[1], np.uint8)
+    return out.ravel()
+
+
+def _profile(words, percent, sent):
     def run(batches):
         seen: dict = {}
-        late = hot.value
+        counts = sent.value
         for batch in batches:
             n, d1, d2, maps, keys = [], [], [], [], []
-            for text in batch.column(0).to_pylist():
-                own = shingles(text, words, seen)
+            for text in batch.column(0):
+                own = shingles(text.as_py(), words, seen)
                 n.append(len(own))
                 if not len(own):
                     d1.append(None), d2.append(None), maps.append(None), keys.append(None)
                     continue
                 whole = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
                 d1.append(int(whole[0])), d2.append(int(whole[1])), maps.append(bitmap(own))
-                if len(late):
-                    k = np.minimum(np.searchsorted(late, own), len(late) - 1)
-                    common = late[k] == own
-                    own = np.concatenate([own[~common], own[common]])
+                # rare shingles first, then by hash: the prefix of a text that shares
+                # much with others holds what is its own
+                own = own[np.argsort(counts[_cells(own)], kind="stable")]
                 keys.append(own[: prefix_size(len(own), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(batch.column(c) for c in (1, 2, 3))],
@@ -145,18 +166,18 @@ def _tiles(percent):
 
     def few(mine, out):
         """``mine`` by size: a partner outside the band ends the inner loop."""
-        mine = [(u, n, int.from_bytes(bits, "little"), 8 * len(bits), s) for u, n, bits, s in mine]
-        for i, (u, n, x, lx, s) in enumerate(mine):
-            for v, m, y, ly, t in mine[i + 1 :]:
+        mine = [(u, n, int.from_bytes(bits, "little"), 8 * len(bits), s, r) for u, n, bits, s, r in mine]
+        for i, (u, n, x, lx, s, r) in enumerate(mine):
+            for v, m, y, ly, t, q in mine[i + 1 :]:
                 if 100 * n < percent * m:
                     break
                 # pieces i < j: members of one piece meet in their own tile
-                if (s == 2 or s != t) and may_link(n, m, x, lx, y, ly, percent):
+                if r != q and (s == 2 or s != t) and may_link(n, m, x, lx, y, ly, percent):
                     out.append((min(u, v), max(u, v)))
 
     def many(mine, out):
         """The same with whole arrays; lengths never fall as sizes rise, and inside the band they double at most once for t > 1/2."""
-        uid, n, side = (np.array([r[k] for r in mine]) for k in (0, 1, 3))
+        uid, n, side, root = (np.array([r[k] for r in mine]) for k in (0, 1, 3, 4))
         length = np.array([len(r[2]) // 8 for r in mine])
         blocks = {w: np.frombuffer(b"".join(r[2] for r in mine if len(r[2]) == 8 * w), np.uint64).reshape(-1, w) for w in set(length.tolist())}
         start = {w: int(np.searchsorted(length, w)) for w in blocks}
@@ -172,7 +193,7 @@ def _tiles(percent):
                     continue
                 apart = np.bitwise_count(own[lo - at : hi - at] ^ x).sum(axis=1, dtype=np.int64)
                 overlap = (n[i] + n[lo:hi] - apart) // 2
-                ok = (100 * overlap >= percent * (n[i] + n[lo:hi] - overlap)) & ((side[i] == 2) | (side[lo:hi] != side[i]))
+                ok = (100 * overlap >= percent * (n[i] + n[lo:hi] - overlap)) & ((side[i] == 2) | (side[lo:hi] != side[i])) & (root[lo:hi] != root[i])
                 out += [(min(int(uid[i]), int(v)), max(int(uid[i]), int(v))) for v in uid[lo:hi][ok]]
 
     def pairs(rows, out):
@@ -185,11 +206,11 @@ def _tiles(percent):
         for batch in batches:
             out: list = []
             cols = [c.to_pylist() for c in batch.columns]
-            for key, i, j, side, uid, n, bits in zip(*cols):
+            for key, i, j, side, uid, n, bits, root in zip(*cols):
                 if (key, i, j) != now:
                     pairs(rows, out)
                     now, rows = (key, i, j), []
-                rows.append((uid, n, bits, side))
+                rows.append((uid, n, bits, side, root))
             out = list(set(out))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["u", "v"])
         out = []
@@ -199,13 +220,25 @@ def _tiles(percent):
     return run
 
 
+def _bounded(percent):
+    """Pairs (u, v) whose sizes and bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            _, _, na, nb, a, b = (c.to_pylist() for c in batch.columns)
+            keep = pa.array([may_link(n, m, int.from_bytes(x, "little"), 8 * len(x), int.from_bytes(y, "little"), 8 * len(y), percent) for n, m, x, y in zip(na, nb, a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return run
+
+
 def _verify(words, percent):
     def run(batches):
         seen: dict = {}
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = shingles(x, words, seen), shingles(y, words, seen)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = shingles(x.as_py(), words, seen), shingles(y.as_py(), words, seen)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             keep = pa.array(ok, pa.bool_())
@@ -216,40 +249,60 @@ def _verify(words, percent):
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(located docs, rows, edges). rows: uid, doc_id, a, b (the row's place), n_shingles,
-    component_id, kept (one row of each component). edges: pairs (u, v) of uids that stand for classes of equal sets."""
+    component_id, kept (one row of each component). edges: links (u, v) that span the components, of uids that stand for classes of equal sets."""
     spark = docs.sparkSession
     docs, a, b = located(docs)
-    hot = spark.sparkContext.broadcast(frequent(docs, a, words))
+    counts = spark.sparkContext.broadcast(sketch(docs, words))
     slim = docs.select(F.col("text").cast("binary").alias("text"), "doc_id", F.col(a).alias("a"), F.col(b).alias("b"))
     kind = dict(slim.dtypes)["doc_id"]
-    profile = slim.mapInArrow(_profile(words, percent, hot), f"n bigint, d1 bigint, d2 bigint, bits binary, keys array<bigint>, doc_id {kind}, a bigint, b bigint")
+    profile = slim.mapInArrow(_profile(words, percent, counts), f"n bigint, d1 bigint, d2 bigint, bits binary, keys array<bigint>, doc_id {kind}, a bigint, b bigint")
     profile = settle(profile.withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     classes = settle(profile.where("n > 0").groupBy("d1", "d2").agg(first).select("d1", "d2", F.col("first.uid").alias("uid"), "first"), "shingle-classes")
     own = profile.join(classes.select("uid"), "uid", "left_semi")
     keyed = own.select("uid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = settle(keyed.join(shared, "key"), "shingle-members")
+    # keys with the same members say the same: one of them stays (members are told by 128 bits)
+    who = (F.bit_xor(F.xxhash64("uid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("x2"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *who).where("m > 1").groupBy("m", "x1", "x2").agg(F.min(F.struct("key", "lo", "hi")).alias("k"))
+    members = settle(keyed.join(settle(shared.select("k.*", "m"), "shingle-keys"), "key"), "shingle-members")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts overlap enough, by exact intersection."""
+        wanted = pairs.select(F.col("u").alias("uid")).union(pairs.select(F.col("v").alias("uid"))).distinct()
+        places = profile.join(wanted, "uid").select("uid", F.col("a").alias("pa"), F.col("b").alias("pb"))
+        found = slim.select("text", "a", "b").join(places, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")))
+        texts = settle(found.select("uid", "text"), "shingle-texts")
+        left = texts.select(F.col("uid").alias("u"), F.col("text").alias("x"))
+        right = texts.select(F.col("uid").alias("v"), F.col("text").alias("y"))
+        return settle(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_verify(words, percent), "u bigint, v bigint"), "shingle-links")
+
+    # First, all members of a key against its two outermost ones: as many pairs as members.
+    inner = members.where("uid <> lo and uid <> hi")
+    stars = members.where("uid <> lo").select(F.col("lo").alias("u"), F.col("uid").alias("v")).union(inner.select(F.col("uid").alias("u"), F.col("hi").alias("v"))).distinct()
+    sizes = own.select("uid", "n", "bits")
+    ends = stars.join(sizes.select(F.col("uid").alias("u"), F.col("n").alias("na"), F.col("bits").alias("x")), "u").join(sizes.select(F.col("uid").alias("v"), F.col("n").alias("nb"), F.col("bits").alias("y")), "v")
+    near = settle(ends.select("u", "v", "na", "nb", "x", "y").mapInArrow(_bounded(percent), "u bigint, v bigint"), "shingle-pairs")
+    edges = verified(near)
+    tree = settle(components(edges).withColumnRenamed("id", "uid"), "shingle-trees")
+
+    # Then, members that are still in different components, tile by tile.
+    placed = inner.join(tree, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    opened = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     pieces = F.ceil(F.col("m") / TILE).cast("int")
     piece = F.pmod(F.xxhash64("uid"), pieces).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    tiles = members.select("key", "uid", pieces.alias("pieces"), piece.alias("piece")).select("key", "uid", "piece", other.alias("other"))
+    tiles = placed.join(opened, "key", "left_semi").select("key", "uid", "root", pieces.alias("pieces"), piece.alias("piece")).select("key", "uid", "root", "piece", other.alias("other"))
     side = F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") < F.col("other"), 0).otherwise(1)
-    tiles = tiles.join(own.select("uid", "n", "bits"), "uid").select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), side.alias("side"), "uid", "n", "bits")
+    tiles = tiles.join(sizes, "uid").select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), side.alias("side"), "uid", "n", "bits", "root")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = settle(tiles.mapInArrow(_tiles(percent), "u bigint, v bigint").distinct(), "shingle-pairs")
-
-    wanted = near.select(F.col("u").alias("uid")).union(near.select(F.col("v").alias("uid"))).distinct()
-    places = profile.join(wanted, "uid").select("uid", F.col("a").alias("pa"), F.col("b").alias("pb"))
-    texts = settle(docs.join(places, (F.col(a) == F.col("pa")) & (F.col(b) == F.col("pb"))).select("uid", F.col("text").cast("binary").alias("text")), "shingle-texts")
-    left = texts.select(F.col("uid").alias("u"), F.col("text").alias("x"))
-    right = texts.select(F.col("uid").alias("v"), F.col("text").alias("y"))
-    edges = settle(near.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_verify(words, percent), "u bigint, v bigint"), "shingle-links")
+    more = settle(tiles.mapInArrow(_tiles(percent), "u bigint, v bigint").distinct().join(near, ["u", "v"], "left_anti"), "shingle-pairs")
+    if more.head(1):
+        edges = edges.union(verified(more))
+        tree = components(edges).withColumnRenamed("id", "uid")
 
     # classes by component: the smallest first row names it and is the one kept
-    tree = components(edges)
-    rooted = classes.join(tree.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    rooted = classes.join(tree, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     best = rooted.groupBy("root").agg(F.min("first").alias("head"))
     named = rooted.join(best, "root").select("d1", "d2", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head"))
     out = profile.drop("bits", "keys").join(named, ["d1", "d2"], "left")
