@@ -182,6 +182,36 @@ def test_model_learns(spark, data):
     assert per_word > 1.15 * held.base_score.sum() / held.n_tokens.sum()
 
 
+def test_model_is_taught_every_training_document_once(spark, monkeypatch):
+    rows = [(i, f"some words here w{i}", "en", "s") for i in range(300)]
+    docs, ranks = docs_of(spark, rows), lm_scoring.read_tokenizer(lm_scoring.TOKENIZER)
+    sent = spark.sparkContext.broadcast(ranks)
+    taught, real = spark.sparkContext.accumulator(0), lm_scoring._train
+
+    def counted(*args):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    taught.add(b.num_rows)
+                    yield b
+
+            yield from real(*args)(seen())
+
+        return run
+
+    monkeypatch.setattr(lm_scoring, "_train", counted)
+    lm_scoring.learn(docs, sent)
+    assert taught.value == len(rows)
+
+
+def test_model_is_as_good_as_the_base(spark):
+    docs = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(docs):
+        pytest.skip("test tables are not here")
+    got = lm_scoring.score(spark.read.parquet(docs)).where("held_out").selectExpr("sum(score) / sum(base_score) as worse").first()
+    assert got["worse"] <= 1
+
+
 def test_subword_ids_do_not_depend_on_the_cache(monkeypatch):
     ranks, pattern = lm_scoring.read_tokenizer(lm_scoring.TOKENIZER)
     texts = [lm_scoring.words_of(t.encode()) for t in ("The mer  été", "x y z ", "", "日本 語")]
