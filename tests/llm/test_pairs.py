@@ -129,3 +129,32 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert found >= 0.9 * n.sum() and all(g[1] <= w[1] for g, w in zip(got, want))
     assert sum(g == w for g, w in zip(got, want)) >= 0.97 * len(rows)
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_audit_sees_lost_pairs_beside_a_large_family(spark):
+    """A family counted exactly does not hide that all pairs are missed."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    rows = [centre + 0.02 * rng.standard_normal(32) for _ in range(200)]
+    for _ in range(60):
+        x = rng.standard_normal(32)
+        rows += [x, x + 0.02 * rng.standard_normal(32)]
+    nodes = spark.createDataFrame([(i, "a", i, i, 1, bytearray(x.tobytes())) for i, x in enumerate(rows)], "u bigint, g string, d1 bigint, d2 bigint, n bigint, vec binary")
+    family, pairs = [(i, 199) for i in range(200)], [(i, 1) for i in range(200, 320)]
+    of = lambda x: spark.createDataFrame(x, "u bigint, links bigint")
+    assert vector_dedup.audit(nodes, of(family)) < vector_dedup.RECALL
+    assert vector_dedup.audit(nodes, of(family + pairs)) == 1
+
+
+def test_vectors_that_the_search_misses_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "TILE", 16)
+    monkeypatch.setattr(vector_dedup, "_start", lambda nodes, seed: spark.createDataFrame([], "u bigint, v bigint, sim float"))
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (1, 2, 3, 40):
+        x = rng.standard_normal(16)
+        rows += [(len(rows) + i, (x + 0.01 * rng.standard_normal(16)).tolist(), 1, size) for i in range(size)]
+    frame = spark.createDataFrame([r[:3] for r in rows], "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(frame).collect())
+    first = {size: min(r[0] for r in rows if r[3] == size) for size in (1, 2, 3, 40)}
+    assert got == [(i, size - 1, first[size]) for i, _, _, size in rows]

@@ -9,8 +9,10 @@ lists stop changing. Edges are checked in double precision against the threshold
 A list whose entries all reach the threshold is saturated: more links may exist
 than it holds. The lists of its component are then enlarged to the component's
 size: members meet in tiles of bounded size and links are counted exactly, without
-emitting pairs. An audit compares a bounded sample of nodes with all vectors; below
-``RECALL`` the search goes on with further hyperplanes.
+emitting pairs. An audit compares a sample of nodes with all vectors: the mean recall
+of nodes with few links, and that of nodes with many, must both reach ``RECALL``. Else
+the search goes on with further hyperplanes, and after ``TRIES`` (or where the largest
+sample holds too few nodes with links to tell) all vectors of a label meet in tiles.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without label, link with nothing and are their own component;
@@ -38,7 +40,9 @@ OFFERS = 4  # new neighbours a middle node may offer to each of its neighbours
 ROUNDS = 6
 SETTLED = 0.002  # stop when the sum of similarities grows by less than this share
 TILE = 512
-AUDIT = 256  # nodes
+AUDIT = 256  # nodes of the first sample
+ENOUGH = 64  # nodes with few links that a sample has to hold
+AUDIT_MOST = 1 << 13  # nodes of the largest sample
 RECALL = 0.95
 TRIES = 3
 SLACK = 1e-4  # single precision may be off by less
@@ -130,30 +134,33 @@ def _buckets(batches):
 
 
 def _meet(batches):
-    """Neighbours of one node (rows m, x, low, unit in runs of m) that are nearer than their lists' ends."""
+    """Neighbours of one node (rows m, x, low, unit, known in runs of m) that are nearer than their lists' ends."""
     held = None
     for batch in batches:
         m = batch.column(0).to_numpy()
         x, low = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        unit = batch.column(3).to_pylist()
+        unit, known = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         if held is not None:
-            m, x, low, unit = np.append(held[0], m), np.append(held[1], x), np.append(held[2], low), held[3] + unit
+            m, x, low, unit, known = np.append(held[0], m), np.append(held[1], x), np.append(held[2], low), held[3] + unit, held[4] + known
         cuts = np.flatnonzero(np.diff(m)) + 1
         end = int(cuts[-1]) if len(cuts) else 0
-        yield _met(m[:end], x[:end], low[:end], unit[:end])
-        held = (m[end:], x[end:], low[end:], unit[end:])
+        yield _met(m[:end], x[:end], low[:end], unit[:end], known[:end])
+        held = (m[end:], x[end:], low[end:], unit[end:], known[end:])
     if held is not None:
         yield _met(*held)
 
 
-def _met(m, x, low, unit):
+def _met(m, x, low, unit, known):
     out = ([], [], [])
     cuts = (np.flatnonzero(np.diff(m)) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(m)]):
         if b - a > 1:
             v = _rows(unit[a:b], np.float32)
             mine = ([], [], [])
-            _best(x[a:b], v @ v.T, OFFERS, mine)
+            sim, place = v @ v.T, {i: n for n, i in enumerate(x[a:b].tolist())}
+            for row, own in enumerate(known[a:b]):
+                sim[row, [place[i] for i in own if i in place]] = -2
+            _best(x[a:b], sim, OFFERS, mine)
             better = mine[2][0] > np.repeat(low[a:b], len(mine[2][0]) // (b - a))
             for o, n in zip(out, mine):
                 o.append(n[0][better])
@@ -175,8 +182,23 @@ def _check(threshold):
     return run
 
 
-def _tile(threshold):
-    """Links of each member of a tile with the other piece (or within one), weighted by counts."""
+def _spanning(near: np.ndarray, u: np.ndarray, out) -> None:
+    """Links that connect what the links of a tile connect."""
+    left = near.any(axis=1)
+    for first in range(len(u)):
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & left)
+            left[new] = False
+            out[0].append(np.repeat(u[i], len(new))), out[1].append(u[new])
+            todo.extend(new.tolist())
+
+
+def _tile(threshold, connect: bool = False):
+    """Links of each member of a tile with the other piece (or within one), weighted by
+    counts; with ``connect`` also links (u, v) that span the tile's components."""
 
     def counted(rows, out):
         side = np.array([r[0] for r in rows])
@@ -187,22 +209,31 @@ def _tile(threshold):
         near &= (side[:, None] == 2) | (side[:, None] != side[None])
         np.fill_diagonal(near, False)
         out[0].append(u), out[1].append(near @ n)
+        if connect:
+            _spanning(near, u, out[2:])
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
-            out = ([], [])
+            out = ([], [], [], [])
             for c, i, j, *row in zip(*(x.to_pylist() for x in batch.columns)):
                 if (c, i, j) != now:
                     if rows:
                         counted(rows, out)
                     now, rows = (c, i, j), []
                 rows.append(row)
-            yield _sums(out)
-        out = ([], [])
+            yield result(out)
+        out = ([], [], [], [])
         if rows:
             counted(rows, out)
-        yield _sums(out)
+        yield result(out)
+
+    def result(out):
+        if not connect:
+            return _sums(out)
+        u, links, a, b = (np.concatenate(x or [[]]).astype(np.int64) for x in out)
+        v = pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(b)])
+        return pa.RecordBatch.from_arrays([pa.array(np.append(u, a)), v, pa.array(np.append(links, np.zeros(len(a), np.int64)))], names=["u", "v", "links"])
 
     return run
 
@@ -227,10 +258,13 @@ def _audit(sent, threshold):
             for name, at in own.items():
                 if name in by:
                     q, a = by[name]
-                    b = _rows([vec[i] for i in at], np.float64)
-                    near = (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]) >= threshold
-                    near &= q[:, None] != np.array([u[i] for i in at])[None]
-                    us.append(q), ns.append(near @ np.array([n[i] for i in at]))
+                    total, norm = np.zeros(len(q), np.int64), np.sqrt((a * a).sum(1))[:, None]
+                    for part in (at[s : s + TILE] for s in range(0, len(at), TILE)):
+                        b = _rows([vec[i] for i in part], np.float64)
+                        near = (a @ b.T) / (norm * np.sqrt((b * b).sum(1))[None]) >= threshold
+                        near &= q[:, None] != np.array([u[i] for i in part])[None]
+                        total += near @ np.array([n[i] for i in part])
+                    us.append(q), ns.append(total)
             yield _sums((us, ns))
 
     return run
@@ -257,9 +291,9 @@ def _refined(nodes: DataFrame, units: DataFrame, graph: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("m").orderBy(F.desc("sim"), "x"))
     back = back.withColumn("place", place).where(F.col("place") <= LIST).select("m", "x")
     around = graph.select(F.col("u").alias("m"), F.col("v").alias("x")).union(back).distinct()
-    low = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
-    ends = units.join(low, "u", "left").select(F.col("u").alias("x"), F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"), "unit")
-    met = around.join(ends, "x").select("m", "x", "low", "unit").repartition("m").sortWithinPartitions("m").mapInArrow(_meet, "u bigint, v bigint, sim float")
+    low = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("low"), F.collect_list("v").alias("known"))
+    ends = units.join(low, "u", "left").select(F.col("u").alias("x"), F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"), "unit", F.coalesce("known", F.array().cast("array<bigint>")).alias("known"))
+    met = around.join(ends, "x").select("m", "x", "low", "unit", "known").repartition("m").sortWithinPartitions("m").mapInArrow(_meet, "u bigint, v bigint, sim float")
     return settle(_top(graph.union(met), LIST), "nn-graph")
 
 
@@ -270,6 +304,25 @@ def _single(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["u", "unit"])
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """(root, i, j, side, u, n, vec): rows (root, id, n, vec) so that all of a root meet in tiles."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    inside = members.join(sizes, "root").withColumn("pieces", F.ceil(F.col("size") / TILE).cast("int"))
+    inside = inside.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    spread = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") < F.col("other"), 0).otherwise(1)
+    tiles = spread.select("root", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), side.alias("side"), F.col("id").alias("u"), "n", "vec")
+    return tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+
+def _exact(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What ``_links`` gives, from all pairs of a label."""
+    tiles = _tiles(nodes.select(F.col("g").alias("root"), F.col("u").alias("id"), "n", "vec"))
+    met = settle(tiles.mapInArrow(_tile(threshold, connect=True), "u bigint, v bigint, links bigint"), "nn-tiles")
+    counts = met.where("v is null and links > 0").groupBy("u").agg(F.sum("links").alias("links"))
+    return settle(counts, "nn-counts"), settle(components(met.where("v is not null").select("u", "v")), "nn-components")
+
+
 def _links(nodes: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(u, links) of nodes with links, and (id, root) of their components."""
     near = graph.where(F.col("sim") >= threshold - SLACK)
@@ -280,14 +333,8 @@ def _links(nodes: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFr
     full = near.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LIST).select(F.col("u").alias("id"))
     wide = settle(full.join(tree, "id").select("root").distinct(), "nn-saturated")
 
-    sizes = tree.join(wide, "root").groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    inside = tree.join(sizes, "root").join(nodes.select(F.col("u").alias("id"), "n", "vec"), "id")
-    pieces = F.ceil(F.col("size") / TILE).cast("int")
-    inside = inside.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    spread = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    side = F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") < F.col("other"), 0).otherwise(1)
-    tiles = spread.select("root", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), side.alias("side"), F.col("id").alias("u"), "n", "vec")
-    tiles = tiles.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_tile(threshold), "u bigint, links bigint")
+    members = tree.join(wide, "root").join(nodes.select(F.col("u").alias("id"), "n", "vec"), "id")
+    tiles = _tiles(members).mapInArrow(_tile(threshold), "u bigint, links bigint")
 
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     outside = both.join(tree.withColumnRenamed("id", "u"), "u").join(wide, "root", "left_anti")
@@ -319,6 +366,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         links, tree = _links(nodes, graph, threshold)
         if audit(nodes, links, threshold) >= RECALL:
             break
+    else:
+        links, tree = _exact(nodes, threshold)
     rooted = nodes.join(tree.withColumnRenamed("id", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     named = rooted.groupBy("root").agg(F.min("head").alias("first"))
     own = rooted.join(named, "root").join(links, "u", "left").select("g", "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("first.vec_id").alias("component_id"))
@@ -328,17 +377,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> float:
-    """Share of the links of a sample of nodes, counted against all vectors, that were found."""
+    """The lower of two mean recalls, of sampled nodes with few links and with many,
+    counted against all vectors. Samples grow until ``ENOUGH`` nodes with few links are
+    in or all nodes are; 0 where the largest sample cannot tell."""
     spark = nodes.sparkSession
     count = nodes.count()
     draw = F.pmod(F.xxhash64("d1", "d2"), F.lit(1_000_003)) / 1_000_003
-    rows = nodes.where(draw < size / max(count, 1)).select("u", "g", "vec").limit(4 * size).collect()
-    if not rows:
-        return 1.0
-    sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], [bytes(r[2]) for r in rows]))
-    exact = nodes.select("u", "g", "n", "vec").mapInArrow(_audit(sent, threshold), "u bigint, links bigint").groupBy("u").agg(F.sum("links").alias("exact"))
-    met = exact.join(links, "u", "left").agg(F.sum("exact"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return (met[1] or 0) / met[0] if met[0] else 1.0
+    while True:
+        rows = nodes.where(draw < size / max(count, 1)).select("u", "g", "vec").collect()
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], [bytes(r[2]) for r in rows]))
+        exact = nodes.select("u", "g", "n", "vec").mapInArrow(_audit(sent, threshold), "u bigint, links bigint").groupBy("u").agg(F.sum("links").alias("exact")).where("exact > 0")
+        own = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("exact"))
+        means = exact.join(links, "u", "left").groupBy((F.col("exact") <= LIST).alias("few")).agg(F.avg(own).alias("recall"), F.count(F.lit(1)).alias("n")).collect()
+        if size >= count or sum(r["n"] for r in means if r["few"]) >= ENOUGH:
+            return min((r["recall"] for r in means), default=1.0)
+        if size >= AUDIT_MOST:
+            return 0.0
+        size = min(8 * size, AUDIT_MOST)
 
 
 def op7_vector_dedup(spark, sf_dir):
