@@ -1,6 +1,7 @@
 """From raw documents to a training mixture, each stage a Parquet table.
 
-Stages: language ID (texts without a language go), near duplicates (five-word
+Stages: language ID (texts without a letter go; without any labelled row to learn
+from, the others keep their ``lang`` as it is), near duplicates (five-word
 shingles, Jaccard 0.8; the smallest id of each group stays), benchmark
 decontamination (documents with a hit go), pseudonyms for personal data, and the
 mix of sources (rows are repeated or left out by their source's rate).
@@ -24,7 +25,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
+    model = langid.fit(docs)
+    if model is None:  # nothing labelled to learn from: only texts without a letter go
+        return langid.with_letters(docs)
+    found = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.select(*[F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tools.check import plain
 from twinproof.llm import attention, decontamination, langid, lm_scoring, mixing
 from twinproof.llm.queries import ORACLES, QUERIES
@@ -119,6 +120,17 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(docs_of(spark, []), None).count() == 0
 
 
+def test_pipeline_keeps_unlabelled_documents(spark, data, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{w:x}q" for w in rng.integers(0, 10**9, 12)), None, "s") for i in range(40)] + [(90, None, None, "s"), (91, "12 34 !!", None, "s")]
+    docs_of(spark, rows).drop("row", "cut_text", "copy").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = corpus_pipeline.language(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in first.collect()) == list(range(40))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == set(range(40)) and {r["lang"] for r in out} == {None}
+
+
 def test_attention_is_a_distribution_and_its_gradients_hold():
     rng = np.random.default_rng(5)
     counts = np.append(rng.integers(0, 50, 1500), 9).astype(float)

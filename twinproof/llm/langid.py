@@ -53,6 +53,18 @@ def letters(text: str | None) -> np.ndarray:
     return np.concatenate([[np.uint64(32)], c[keep], [np.uint64(32)]]).astype(np.uint64)
 
 
+def _lettered(batches):
+    """Whether each text has a letter, as ``letters`` sees it."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(letters(t)) > 0 for t in batch.column(1).to_pylist()], pa.bool_())], names=["row", "lettered"])
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+    kept = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return kept.mapInArrow(_lettered, f"row {kept.schema['row'].dataType.simpleString()}, lettered boolean").where("lettered").select("row.*")
+
+
 def mark(c: np.ndarray, row: np.ndarray) -> None:
     """Sets the cells of all n-grams of ``c``."""
     h = np.zeros(len(c), np.uint64)
