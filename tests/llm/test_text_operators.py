@@ -107,6 +107,19 @@ def test_language_of_held_out_rows(spark, data):
     assert (held.lang == held.lang_pred).mean() > 0.95
 
 
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(80):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)]
+        rows += [(100 * k + i, " ".join(rng.choice(own, 12)), f"l{k}", "s") for i in range(12 if k < 70 else 6)]
+    docs = docs_of(spark, rows)
+    model = langid.fit(docs)
+    assert sorted(model["langs"]) == sorted({r[2] for r in rows})
+    got = langid.identify(docs, model).selectExpr("row.lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(rows)
+
+
 def test_language_of_odd_rows(spark):
     taught = [(i, w * 6, lang, "s") for i in range(40) for w, lang in (("the thing of the ", "en"), ("le chat où été ", "fr"))]
     docs = docs_of(spark, taught + ODD)

@@ -5,8 +5,9 @@ in both, over the square root of what each has: a blended-spectrum presence
 kernel. ``LANDMARKS`` labelled texts give a Nyström map, kernel ridge regression
 learns one score per language, and texts are scored by matrix products in batches.
 
-The fit uses at most about ``FIT_ROWS`` labelled rows, drawn by a hash with a share
-per language (a documented bound of the classifier alone); each gives its whole
+The fit uses at most about ``FIT_ROWS`` labelled rows (or ``FIT_EACH`` per language,
+where that is more), drawn by a hash with a share per language (a documented bound of
+the classifier alone); every language with a label takes part. Each row gives its whole
 text and one passage of it, as short texts have to be told apart too. Scoring
 reads every whole text.
 
@@ -28,7 +29,7 @@ SPECTRUM = 3
 BITS = 16  # n-grams are counted in so many hashed cells
 FIT_ROWS = 3000
 LANDMARKS = 256
-LANGUAGES = 64  # languages learned at most: those with the most labelled rows
+FIT_EACH = 16  # rows that a language gives at least, where it has them
 PASSAGE = 60  # characters
 RIDGE = 0.01
 SHARPNESS = 4.0
@@ -98,13 +99,13 @@ def _presence(batches):
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> dict | None:
     """Learns from labelled rows outside ``held_out``; None without any."""
     taught = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = taught.groupBy("lang").count().collect()
     if not counts:
         return None
-    each = fit_rows / len(counts)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
+    each = max(fit_rows / len(counts), FIT_EACH)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003
-    rows = taught.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(_presence, "lang string, bits binary").toPandas()
+    rows = taught.select("text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("text", "lang").mapInArrow(_presence, "lang string, bits binary").toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["lang", "bits"], ignore_index=True)
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -
     langs = sorted(rows["lang"].unique())
     y = np.where(rows["lang"].to_numpy()[:, None] == np.array(langs, object)[None], 1.0, -1.0)
     # landmarks spread evenly over the rows, which are in order of language
-    at = np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).astype(int))
+    at = np.unique(np.linspace(0, len(packed) - 1, min(max(landmarks, len(langs)), len(packed))).astype(int))
     base = np.unpackbits(packed[at], axis=1)
     cells = np.flatnonzero(base.any(axis=0))
     marks = (base[:, cells] / np.sqrt(base.sum(axis=1, dtype=np.int64))[:, None]).T.astype(np.float32)  # cells x landmarks
