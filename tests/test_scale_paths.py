@@ -3,10 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import row_md5
-from twinproof.operators import distance, distributions, encoding, mitigation, running, sampling
+from twinproof.operators import distance, distributions, encoding, mitigation, models, running, sampling
 from twinproof.operators.fingerprint import fingerprint, leaf_digits_for
 
 
@@ -232,3 +233,19 @@ def test_full_outer_alignment_of_counted_frames(spark):
     a = spark.createDataFrame([("x", 2)], "v string, n long")
     b = spark.createDataFrame([("y", 3)], "v string, n long")
     assert sorted(map(tuple, distributions.full_outer_counts(a, b, ["v"]).collect())) == [("x", 2, 0), ("y", 0, 3)]
+
+
+def test_forest_draw_takes_its_share_of_a_popular_vector(spark):
+    """A vector in a third of the rows is neither left out nor taken whole."""
+    for hot in range(4):
+        rows = spark.range(9000).select(
+            F.when(F.col("id") % 3 == 0, F.array(F.lit(float(hot)), F.lit(-1.0))).otherwise(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("x"),
+            (F.col("id") % 2).cast("double").alias("label"),
+        )
+        vectors = rows.select(array_to_vector("x").alias("features"), "label")
+        drawn = models.fit_sample(vectors, 900).select("features", "label").collect()
+        popular = [r for r in drawn if r["features"][1] == -1]
+        assert len(popular) in (299, 300, 301, 302) and abs(len(drawn) - 900) < 120
+        assert {sum(r["label"] == v for r in popular) for v in (0.0, 1.0)} <= {149, 150, 151}
+    again = models.fit_sample(vectors.repartition(7), 900).select("features", "label").collect()
+    assert sorted(map(str, again)) == sorted(map(str, drawn))

@@ -62,15 +62,27 @@ def forest(trees: int = TREES, depth: int = DEPTH, label: str = "label", regress
     return kind(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, seed=SEED)
 
 
+def fit_sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """About ``fit_rows`` rows at most, with their place in the layout. Of n equal rows
+    n times the share stay, rounded up or down by a hash of their content, so copies are
+    neither all in nor all out, and the draw does not depend on how the table is stored."""
+    n = rows.count()
+    if n <= fit_rows:
+        return rows.withColumn(DRAW, F.xxhash64(vector_to_array("features")))
+    others = [c for c in rows.columns if c != "features"]
+    counted = rows.select(vector_to_array("features").alias("_x"), *others).groupBy("_x", *others).agg(F.count("*").alias("_n"))
+    spot = F.pmod(F.xxhash64("_x", *others), F.lit(1_000_003)) / 1_000_003
+    kept = counted.withColumn("_n", F.floor(F.col("_n") * F.lit(fit_rows / n) + spot).cast("int")).where("_n > 0")
+    copies = kept.select("_x", *others, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    return copies.select(array_to_vector("_x").alias("features"), *others, F.xxhash64("_x", "_copy").alias(DRAW))
+
+
 def fit(learner, rows: DataFrame, fit_rows: int = FIT_ROWS):
-    """Train on about ``fit_rows`` rows at most, drawn and laid out by a hash of
-    their content, so that the seed repeats the model however the table is stored.
+    """Train on about ``fit_rows`` rows at most (see ``fit_sample``), laid out by a hash
+    of their content, so that the seed repeats the model however the table is stored.
     Only the fit is bounded; models are applied to all rows."""
     spark = rows.sparkSession
-    drawn = rows.withColumn(DRAW, F.xxhash64(vector_to_array("features")))
-    n = rows.count()
-    if n > fit_rows:
-        drawn = drawn.where(F.pmod(DRAW, F.lit(1_000_003)) < fit_rows / n * 1_000_003)
+    drawn = fit_sample(rows, fit_rows)
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     order = [DRAW, *(c for c in ("is_real", "label") if c in rows.columns)]
     return learner.fit(drawn.repartition(parts, DRAW).sortWithinPartitions(*order))
