@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from twinproof.llm import decontamination, html_extract, langid, lm_scoring, mixing, pii, quote_links, shingle_join, url_rules, vector_dedup
+from twinproof.llm import (
+    centroid_clusters,
+    decontamination,
+    html_extract,
+    langid,
+    lm_scoring,
+    mixing,
+    pii,
+    piece_encoding,
+    quote_links,
+    shingle_join,
+    token_alignment,
+    url_rules,
+    vector_dedup,
+)
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -15,10 +29,14 @@ QUERIES = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_shingle_join": shingle_join.op9_shingle_join,
     "op10_language": langid.op10_language,
+    "op11_alignment": token_alignment.op11_alignment,
+    "op12_centroids": centroid_clusters.op12_centroids,
+    "op13_pieces": piece_encoding.op13_pieces,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
     "op8_url_rules": url_rules.OP8_SQL,
+    "op12_centroids": centroid_clusters.OP12_SQL,
 }
