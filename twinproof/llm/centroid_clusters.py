@@ -213,7 +213,7 @@ def _sql() -> str:
         r"""
 kept AS MATERIALIZED (
   SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
 ), v AS MATERIALIZED (
   SELECT r, d, CAST(floor(256 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x
   FROM kept, range(1, 65) AS g(d)
