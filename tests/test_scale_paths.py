@@ -158,9 +158,8 @@ def test_conditional_and_noisy_rows(spark):
 
 
 def test_nearest_distances_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(distance, "LEAF_ROWS", 20)
-    monkeypatch.setattr(distance, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(distance, "CHUNK_ROWS", 8)
+    for name, value in {"BUCKET_ROWS": 20, "BLOCK_ROWS": 16, "PART_ROWS": 5, "CHUNK_ROWS": 8, "PAIRS_AT_ONCE": 64, "WINDOWS": (1, 2, 4), "WINDOW": 3}.items():
+        monkeypatch.setattr(distance, name, value)
     rng = np.random.default_rng(7)
     real = np.vstack([rng.normal(size=(300, 3)), rng.integers(0, 3, (300, 3)), np.zeros((200, 3))]).astype(float)
     synth = np.vstack([rng.normal(size=(200, 3)) * 2, real[:50], np.zeros((150, 3)), [[50.0, 50.0, 50.0]]]).astype(float)
@@ -169,7 +168,7 @@ def test_nearest_distances_against_brute_force(spark, monkeypatch):
         return spark.createDataFrame([(r.tolist(),) for r in m], "point array<double>")
 
     got = distance.nearest_distances(frame(real), frame(synth)).toPandas()
-    assert got["n"].sum() == len(synth)
+    assert got["n"].sum() == len(synth) and len(got) == len(np.unique(synth, axis=0))
     found = {tuple(p): d for p, d in zip(got["point"], got["distance"])}
     want = np.sqrt(((synth[:, None, :] - real[None, :, :]) ** 2).sum(-1)).min(1)
     for p, d in zip(synth, want):

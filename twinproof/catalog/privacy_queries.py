@@ -29,6 +29,9 @@ POINT_NUMBERS = SPLIT_NUMBERS + ("l_linenumber",)
 POINT_LABELS = ("l_returnflag", "l_linestatus")
 
 
+ALL_ROWS = 10**12
+
+
 def points_sql(numbers=POINT_NUMBERS, labels=POINT_LABELS, n: int = 1000) -> str:
     """CTEs ``xr`` and ``xs``: encoded bounded samples of ``r`` and ``s``."""
     canon = canon_sql(*[c if c == "l_linenumber" else f"d:{c}" for c in numbers], *labels)
@@ -89,25 +92,15 @@ def dcr_evaluator(spark, sf):
     )
 
 
-@query("dcr_full")
-def dcr_full(spark, sf):
-    """Exact nearest real record of every synthetic row (no SQL twin: quadratic there)."""
-    return distance.dcr_full(*leaky_split(spark, sf), POINT_NUMBERS, POINT_LABELS)
-
-
-_APPLICANT_POINTS = APPLICANT_NUMBERS + APPLICANT_LABELS
-
-
-@query(
-    "dcr_full_applicants",
-    f"""WITH {APPLICANT_SQL}, {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS, n=10**12)}, {scaled_sql(_APPLICANT_POINTS, 'xr', '1e-10', _APPLICANT_POINTS)},
+def _full_sql(pair: str, numbers, labels) -> str:
+    every = tuple(numbers) + tuple(labels)
+    return f"""WITH {pair}, {points_sql(numbers, labels, n=ALL_ROWS)}, {scaled_sql(every, 'xr', '1e-10', every)},
     a AS (SELECT avg(d) AS m, median(d) AS md, min(d) AS mn, count(*) FILTER (d < 1e-6) AS x, count(*) AS n FROM mind)
     SELECT round(m, 6) AS mean_dcr, round(md, 6) AS median_dcr, round(mn, 6) AS min_dcr, x AS exact_matches, round(x / n, 6) AS exact_match_rate,
-           round(CASE WHEN m < 0.1 THEN least(100, m / 0.1 * 100) ELSE 100 END, 4) AS score, m >= 0.05 AND x = 0 AS passed, n AS n_compared FROM a""",
-)
-def dcr_full_applicants(spark, sf):
-    """Nearest real record of every synthetic applicant, over whole tables."""
-    out = distance.dcr_full(*applicants(spark, sf), APPLICANT_NUMBERS, APPLICANT_LABELS)
+           round(CASE WHEN m < 0.1 THEN least(100, m / 0.1 * 100) ELSE 100 END, 4) AS score, m >= 0.05 AND x = 0 AS passed, n AS n_compared FROM a"""
+
+
+def _rounded_full(out):
     return out.select(
         *[round6(F.col(c)).alias(c) for c in ("mean_dcr", "median_dcr", "min_dcr", "exact_match_rate")],
         F.col("exact_matches").cast("bigint").alias("exact_matches"),
@@ -117,6 +110,31 @@ def dcr_full_applicants(spark, sf):
     )
 
 
+@query("dcr_full", _full_sql(LEAKY_SQL, POINT_NUMBERS, POINT_LABELS))
+def dcr_full(spark, sf):
+    """Exact nearest real record of every synthetic row."""
+    return _rounded_full(distance.dcr_full(*leaky_split(spark, sf), POINT_NUMBERS, POINT_LABELS))
+
+
+@query(
+    "dcr_evaluator_full",
+    f"""WITH {SPLIT_SQL}, {points_sql(n=ALL_ROWS)}, u AS (SELECT * FROM r UNION ALL SELECT * FROM s), {scaled_sql(POINT_NUMBERS, 'u', '0')}
+    SELECT round(avg(d), 6) AS mean_dcr, round(median(d), 6) AS median_dcr, round(min(d), 6) AS min_dcr, round(max(d), 6) AS max_dcr,
+           round(stddev_pop(d), 6) AS std_dcr, round(least(100, avg(d) * 100), 4) AS dcr_score FROM mind""",
+)
+def dcr_evaluator_full(spark, sf):
+    out = distance.dcr_evaluator_full(*lineitem_split(spark, sf), POINT_NUMBERS, POINT_LABELS)
+    return out.select(
+        *[round6(F.col(c)).alias(c) for c in ("mean_dcr", "median_dcr", "min_dcr", "max_dcr", "std_dcr")], F.round("dcr_score", 4).alias("dcr_score")
+    )
+
+
+@query("dcr_full_applicants", _full_sql(APPLICANT_SQL, APPLICANT_NUMBERS, APPLICANT_LABELS))
+def dcr_full_applicants(spark, sf):
+    """Nearest real record of every synthetic applicant, over whole tables."""
+    return _rounded_full(distance.dcr_full(*applicants(spark, sf), APPLICANT_NUMBERS, APPLICANT_LABELS))
+
+
 @query(
     "exact_match_semi",
     f"""WITH {LEAKY_SQL} SELECT (SELECT count(*) FROM s) AS n_synth,

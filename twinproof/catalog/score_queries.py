@@ -23,7 +23,7 @@ from twinproof.catalog.pairs import (
     submissions,
     table,
 )
-from twinproof.catalog.privacy_queries import POINT_LABELS, POINT_NUMBERS, points_sql, scaled_sql
+from twinproof.catalog.privacy_queries import ALL_ROWS, POINT_LABELS, POINT_NUMBERS, points_sql, scaled_sql
 from twinproof.catalog.record_queries import BLOCK_SQL, CONSENSUS_SQL, ledger_log
 from twinproof.catalog.registry import query
 from twinproof.catalog.utility_queries import JS_SQL, cdf_sql, corr_sql, counts_sql
@@ -37,7 +37,7 @@ _QI = ", ".join(APPLICANT_ROLES.quasi_identifiers)
 
 # CTE ``mt`` (axis, metric, weight, score, passed): every metric without a model.
 METRIC_SQL = f"""{APPLICANT_SQL},
-  {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS)}, {scaled_sql(APPLICANT_NUMBERS + APPLICANT_LABELS, 'xr', '1e-10', APPLICANT_NUMBERS + APPLICANT_LABELS)},
+  {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS, ALL_ROWS)}, {scaled_sql(APPLICANT_NUMBERS + APPLICANT_LABELS, 'xr', '1e-10', APPLICANT_NUMBERS + APPLICANT_LABELS)},
   dc AS (SELECT avg(d) AS m, count(*) FILTER (d < 1e-6) AS x FROM mind),
   ka AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM s GROUP BY {_QI})),
   {counts_sql(APPLICANT_LABELS)}, {JS_SQL}, {cdf_sql(APPLICANT_NUMBERS)},
@@ -131,21 +131,21 @@ def ablation(spark, sf):
 
 @query(
     "evaluator_composite",
-    f"""WITH {APPLICANT_SQL}, {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS)}, u AS (SELECT * FROM r UNION ALL SELECT * FROM s),
+    f"""WITH {APPLICANT_SQL}, {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS, ALL_ROWS)}, u AS (SELECT * FROM r UNION ALL SELECT * FROM s),
     {scaled_sql(APPLICANT_NUMBERS, 'u', '0', APPLICANT_NUMBERS + APPLICANT_LABELS)}, {counts_sql(APPLICANT_LABELS)},
     st AS (SELECT avg(x.o_totalprice) AS a, stddev_samp(x.o_totalprice) AS b, avg(x.c_acctbal) AS c, stddev_samp(x.c_acctbal) AS d FROM r x),
     sy AS (SELECT avg(x.o_totalprice) AS a, stddev_samp(x.o_totalprice) AS b, avg(x.c_acctbal) AS c, stddev_samp(x.c_acctbal) AS d FROM s x),
     df AS (SELECT (abs(st.a - sy.a) / st.b + abs(st.c - sy.c) / st.d) / 2 AS md, (abs(st.b - sy.b) / st.b + abs(st.d - sy.d) / st.d) / 2 AS sd FROM st, sy),
     tv AS (SELECT avg(t) AS tv FROM (SELECT sum(abs(p - q)) / 2 AS t FROM sh GROUP BY "column")), {corr_sql(APPLICANT_NUMBERS)},
-    g AS (SELECT avg(CAST({TARGET} = '{GOOD}' AS INTEGER)) AS rate FROM s GROUP BY c_mktsegment),
-    e AS (SELECT 'privacy' AS axis, 'dcr' AS metric, (SELECT CAST(least(100, avg(d) * 100) AS DOUBLE) FROM mind) AS score
-      UNION ALL SELECT 'privacy', 'k_anonymity', (SELECT least(100, min(n) * 10) FROM (SELECT count(*) AS n FROM s GROUP BY {_QI}))
-      UNION ALL SELECT 'utility', 'statistical_similarity', (SELECT greatest(0, 100 - (md + sd + tv) / 3 * 100) FROM df, tv)
-      UNION ALL SELECT 'utility', 'correlation_preservation', (SELECT greatest(0, 100 - avg(abs(c_real - c_synth)) * 100) FROM cm WHERE col_a <> col_b)
-      UNION ALL SELECT 'fairness', 'demographic_parity', (SELECT greatest(0, 100 - (max(rate) - min(rate)) * 100) FROM g)
-      UNION ALL SELECT 'fairness', 'disparate_impact', (SELECT CASE WHEN min(rate) / max(rate) >= 0.8 THEN 100 ELSE min(rate) / max(rate) * 100 / 0.8 END FROM g)),
+    g AS (SELECT attribute, max(rate) AS hi, min(rate) AS lo FROM ({' UNION ALL '.join(f"SELECT '{c}' AS attribute, avg(CAST({TARGET} = '{GOOD}' AS INTEGER)) AS rate FROM s GROUP BY {c}" for c in PROTECTED)}) GROUP BY 1),
+    e AS (SELECT 'privacy' AS axis, 'dcr' AS metric, CAST(NULL AS VARCHAR) AS attribute, (SELECT CAST(least(100, avg(d) * 100) AS DOUBLE) FROM mind) AS score
+      UNION ALL SELECT 'privacy', 'k_anonymity', NULL, (SELECT least(100, min(n) * 10) FROM (SELECT count(*) AS n FROM s GROUP BY {_QI}))
+      UNION ALL SELECT 'utility', 'statistical_similarity', NULL, (SELECT greatest(0, 100 - (md + sd + tv) / 3 * 100) FROM df, tv)
+      UNION ALL SELECT 'utility', 'correlation_preservation', NULL, (SELECT greatest(0, 100 - avg(abs(c_real - c_synth)) * 100) FROM cm WHERE col_a <> col_b)
+      UNION ALL SELECT 'fairness', 'demographic_parity', attribute, greatest(0, 100 - (hi - lo) * 100) FROM g
+      UNION ALL SELECT 'fairness', 'disparate_impact', attribute, CASE WHEN lo / hi >= 0.8 THEN 100 ELSE lo / hi * 100 / 0.8 END FROM g),
     m AS (SELECT axis, avg(score) AS score FROM e GROUP BY 1)
-    SELECT axis, metric, round(score, 4) AS score FROM e UNION ALL SELECT axis, 'overall', round(score, 4) FROM m UNION ALL SELECT 'composite', 'overall', round(avg(score), 4) FROM m""",
+    SELECT axis, metric, attribute, round(score, 4) AS score FROM e UNION ALL SELECT axis, 'overall', NULL, round(score, 4) FROM m UNION ALL SELECT 'composite', 'overall', NULL, round(avg(score), 4) FROM m""",
 )
 def evaluator_composite(spark, sf):
     out = scorecard.evaluate_all(*applicants(spark, sf), APPLICANT_ROLES, with_models=False)
@@ -172,7 +172,7 @@ def recommendations(spark, sf):
     r, s = scorecard.working_copy(*applicants(spark, sf), APPLICANT_ROLES)
     rates = fairness.favorable_rates(r, s, PROTECTED, TARGET, GOOD)
     a = scorecard.privacy_recommendations(
-        distance.dcr_sampled(r, s, APPLICANT_NUMBERS, APPLICANT_LABELS),
+        distance.dcr_full(r, s, APPLICANT_NUMBERS, APPLICANT_LABELS),
         privacy.k_anonymity(s, APPLICANT_ROLES.quasi_identifiers),
         privacy.disclosure(r, s, APPLICANT_LABELS),
     )

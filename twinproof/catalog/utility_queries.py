@@ -118,6 +118,20 @@ _KS_SERIES = " + ".join(
 )
 
 
+@query(
+    "distances_with_missing",
+    f"""WITH {SPLIT_SQL.replace('l_discount', 'CASE WHEN l_partkey % 3 > 0 AND l_suppkey % 5 > 0 THEN l_discount END AS l_discount')}, {cdf_sql(SPLIT_NUMBERS)}
+    SELECT "column", round(wasserstein, 6) AS wasserstein, round(ks, 6) AS ks, n_real, n_synth FROM dist""",
+)
+def distances_with_missing(spark, sf):
+    """Distances of columns that hold NaN and null: both are missing values, neither is counted."""
+    discount = F.when(F.col("l_partkey") % 3 == 0, F.lit(float("nan"))).when(F.col("l_suppkey") % 5 > 0, F.col("l_discount")).alias("l_discount")
+    items = table(spark, sf, "lineitem").select("l_orderkey", *[discount if c == "l_discount" else c for c in SPLIT_NUMBERS])
+    real, synth = items.where("l_orderkey % 2 = 0"), items.where("l_orderkey % 2 = 1")
+    out = cdf.numeric_distances(real, synth, SPLIT_NUMBERS)
+    return out.select("column", round6(F.col("wasserstein")).alias("wasserstein"), round6(F.col("ks")).alias("ks"), "n_real", "n_synth")
+
+
 @query(
     "ks",
     f"""WITH {APPLICANT_SQL}, {cdf_sql(('o_totalprice', 'c_acctbal'))},

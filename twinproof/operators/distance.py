@@ -1,29 +1,38 @@
-"""Distance of synthetic rows to their closest real record."""
+"""Distance of synthetic rows to their closest real record.
+
+Whole tables are compared through a bucket index that Spark builds: quantile edges cut
+the axes into a grid, one aggregation gives the bounding box of each bucket, and points ask
+their nearest buckets first, a bounded number a round. A point whose best distance is
+below the next box leaves; the others go on. The minimum is exact.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import ratio
 from twinproof.operators import encoding
-from twinproof.operators.running import running_totals
+from twinproof.operators.running import position_in, running_totals
 from twinproof.operators.sampling import bounded_sample
 from twinproof.session import settle
 
 MATCH_DISTANCE = 1e-6
 SAMPLE_TASKS = 16
-LEAF_ROWS = 1024
-BLOCK_ROWS = 65536
+BUCKET_ROWS = 512  # real points a bucket should hold
+BUCKETS = 1 << 14  # boxes sent to the tasks, at most
+AXIS_EDGES = 64
+BLOCK_ROWS = 8192  # larger buckets are cut along their widest axis, BLOCK_EDGES parts at most
+BLOCK_EDGES = 256
+PART_ROWS = 65536  # what has one value on that axis is dealt by hash
 CHUNK_ROWS = 8192
 PAIRS_AT_ONCE = 1 << 21
-TREE_SAMPLE_ROWS = 1 << 20
-LEAF_SAMPLE_ROWS = 8
-ROUTE_ROWS = 100_000
+WINDOWS = (1, 5, 21)  # buckets a point has asked after each round, then WINDOW more a round
+WINDOW = 64
 
 
 # ---------------------------------------------------------------- sampled DCR
@@ -43,29 +52,42 @@ def _sampled_points(
     return both.where("_s = 0").drop("_s"), both.where("_s = 1").drop("_s")
 
 
+def _nearest(asked: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Least squared distance of each asked point, a bounded number of pairs at a time."""
+    best = np.full(len(asked), np.inf)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(others)))
+    for start in range(0, len(asked) if len(others) else 0, step):
+        part = asked[start : start + step]
+        d2 = np.zeros((len(part), len(others)))
+        for j in range(part.shape[1]):
+            away = part[:, j][:, None] - others[:, j][None, :]
+            d2 += away * away
+        best[start : start + step] = d2.min(1)
+    return best
+
+
+def _matrix(points: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    points = points.combine_chunks() if isinstance(points, pa.ChunkedArray) else points
+    return points.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
 def _min_distances(real_points: DataFrame, synth_points: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nearest distance per synthetic row of two *bounded* samples.
 
-    The real sample (at most the sample size) becomes one array value read by
-    a scalar subquery, so no join is planned. Rows with a null feature have
-    no distance; they are left out here and counted by the callers.
+    The real sample (at most the sample size) goes to the tasks as one matrix.
+    Rows with a null feature have no distance; they are left out here and
+    counted by the callers.
     """
-    complete = F.lit(True)
-    for c in columns:
-        complete = complete & F.col(c).isNotNull()
-    vector = F.array(*[F.col(c).cast("double") for c in columns])
-    others = real_points.where(complete).agg(F.collect_list(vector)).scalar()
+    dims = len(columns)
+    rows = points(real_points, columns).collect()
+    others = real_points.sparkSession.sparkContext.broadcast(np.array([r["point"] for r in rows], float).reshape(-1, dims))
 
-    def squared(r):
-        terms = [(r[i] - F.col(c)) * (r[i] - F.col(c)) for i, c in enumerate(columns)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
+    def run(batches):
+        for batch in batches:
+            best = np.sqrt(_nearest(_matrix(batch.column(0), dims), others.value))
+            yield pa.RecordBatch.from_arrays([pa.array(best, mask=np.isinf(best))], names=["distance"])
 
-    # A sample fits one file, hence one task; spread it over the cores again.
-    asked = synth_points.where(complete).repartition(SAMPLE_TASKS).withColumn("_others", others)
-    return asked.select(F.sqrt(F.array_min(F.transform("_others", squared))).alias("distance"))
+    return points(synth_points, columns).mapInArrow(run, "distance double")
 
 
 def dcr_sampled(
@@ -162,223 +184,189 @@ def matching_rows(real: DataFrame, synth: DataFrame, columns: Sequence[str]) ->
 # ------------------------------------------------------------- full-table DCR
 
 
-class SpaceTree:
-    """Axis splits found on a bounded sample; only a way to partition points.
-
-    Results do not depend on the splits: they are exact for any tree.
-    """
-
-    def __init__(self, sample: np.ndarray, leaves: int):
-        self.axis: list[int] = []
-        self.cut: list[float] = []
-        self.child: list[tuple[int, int]] = []
-        self.n_leaves = 0
-        self.top = self._grow(sample, max(1, leaves))
-        self.axis_a, self.cut_a = np.array(self.axis, int), np.array(self.cut, float)
-        self.child_a = np.array(self.child, int).reshape(-1, 2)
-
-    def _grow(self, pts: np.ndarray, leaves: int) -> int:
-        """Returns a node number, or -(leaf + 1)."""
-        spread = pts.max(0) - pts.min(0) if len(pts) else np.zeros(pts.shape[1])
-        if leaves > 1 and len(pts) > LEAF_SAMPLE_ROWS:
-            for axis in np.argsort(-spread):
-                values = pts[:, axis]
-                cut = float(np.median(values))
-                if not (values < cut).any():  # the median is the least value
-                    cut = float(values[values > cut].min()) if (values > cut).any() else cut
-                left = values < cut
-                if left.any():
-                    node = len(self.axis)
-                    self.axis.append(int(axis))
-                    self.cut.append(cut)
-                    self.child.append((0, 0))
-                    a = self._grow(pts[left], leaves // 2)
-                    b = self._grow(pts[~left], leaves - leaves // 2)
-                    self.child[node] = (a, b)
-                    return node
-        self.n_leaves += 1
-        return -self.n_leaves
-
-    def leaf_of(self, pts: np.ndarray) -> np.ndarray:
-        at = np.full(len(pts), self.top)
-        live = at >= 0
-        while live.any():
-            rows = np.nonzero(live)[0]
-            node = at[rows]
-            right = pts[rows, self.axis_a[node]] >= self.cut_a[node]
-            at[rows] = self.child_a[node, right.astype(int)]
-            live = at >= 0
-        return -at - 1
-
-    def set_boxes(self, leaf_low: np.ndarray, leaf_high: np.ndarray) -> None:
-        """Bounding boxes of all nodes from those of the leaves (row per leaf)."""
-        dims = leaf_low.shape[1]
-        self.leaf_box = np.stack([leaf_low, leaf_high])
-        self.node_box = np.empty((2, len(self.axis), dims))
-        for node in range(len(self.axis) - 1, -1, -1):  # children come after parents
-            a, b = (self.leaf_box[:, -c - 1] if c < 0 else self.node_box[:, c] for c in self.child[node])
-            self.node_box[0, node] = np.minimum(a[0], b[0])
-            self.node_box[1, node] = np.maximum(a[1], b[1])
-
-    def leaves_within(self, pts: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for every leaf whose box is within the bound of a row."""
-        rows, nodes = np.arange(len(pts)), np.full(len(pts), self.top)
-        found_rows, found_leaves = [], []
-        while len(rows):
-            leaf = nodes < 0
-            low = np.where(leaf[:, None], self.leaf_box[0][np.where(leaf, -nodes - 1, 0)], self._inner(0, nodes, leaf))
-            high = np.where(leaf[:, None], self.leaf_box[1][np.where(leaf, -nodes - 1, 0)], self._inner(1, nodes, leaf))
-            away = np.maximum(np.maximum(low - pts[rows], pts[rows] - high), 0.0)
-            near = (away * away).sum(1) <= d2[rows] * (1 + 1e-9)
-            rows, nodes, leaf = rows[near], nodes[near], leaf[near]
-            found_rows.append(rows[leaf])
-            found_leaves.append(-nodes[leaf] - 1)
-            rows, inner = rows[~leaf], nodes[~leaf]
-            rows, nodes = np.repeat(rows, 2), self.child_a[inner].reshape(-1)
-        return np.concatenate(found_rows), np.concatenate(found_leaves)
-
-    def _inner(self, side: int, nodes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        if not len(self.axis):
-            return self.leaf_box[side][np.zeros(len(nodes), int)]
-        return self.node_box[side][np.where(leaf, 0, nodes)]
-
-
-def _matrix(points: pd.Series) -> np.ndarray:
-    return np.vstack(points.to_numpy()).astype(float) if len(points) else np.zeros((0, 1))
-
-
-def _nearest_in_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Squared distance from each asked point to the nearest point of one block."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"point": [], "d2": []})
-    asked, block = _matrix(left["point"]), _matrix(right["point"])
-    best = np.empty(len(asked))
-    step = max(1, PAIRS_AT_ONCE // len(block))
-    for start in range(0, len(asked), step):
-        part = asked[start : start + step]
-        d2 = np.zeros((len(part), len(block)))
-        for j in range(part.shape[1]):
-            diff = part[:, j][:, None] - block[:, j][None, :]
-            d2 += diff * diff
-        best[start : start + step] = d2.min(1)
-    return pd.DataFrame({"point": left["point"], "d2": best})
+def _bins(spread: Sequence[float], most: Sequence[int], wanted: int) -> list[int]:
+    """Bins of each axis, at most ``most``, about ``wanted`` cells in all: the axis with the widest bins is cut next."""
+    bins = [1] * len(spread)
+    while True:
+        cells = int(np.prod(bins, dtype=float))
+        # an axis of few values is cut into all of them at once
+        to = [m if m <= 8 else min(m, 2 * b) for b, m in zip(bins, most)]
+        able = [j for j in range(len(bins)) if to[j] > bins[j] and cells // bins[j] * to[j] <= wanted]
+        if not able:
+            return bins
+        j = max(able, key=lambda i: (spread[i] / bins[i], -i))
+        bins[j] = to[j]
+
+
+def _boxes(dims: int) -> list[Column]:
+    low = F.array(*[F.min(F.col("point")[j]) for j in range(dims)]).alias("low")
+    return [F.count("*").alias("m"), low, F.array(*[F.max(F.col("point")[j]) for j in range(dims)]).alias("high")]
+
+
+def _bucketed(real: DataFrame, dims: int, n: int) -> DataFrame:
+    """Real points with their bucket, a cell of the grid of quantile edges."""
+    wanted = max(1, min(BUCKETS, n // BUCKET_ROWS))
+    cuts = [i / AXIS_EDGES for i in range(1, AXIS_EDGES)]
+    row = real.agg(*[F.percentile_approx(F.col("point")[j], cuts, 10000).alias(f"q{j}") for j in range(dims)]).first()
+    quantiles = [np.array(row[f"q{j}"], float) for j in range(dims)]
+    values = [np.unique(q) for q in quantiles]
+    bins = _bins([float(q[-1] - q[0]) for q in quantiles], [len(v) for v in values], wanted)
+    bucket, stride = F.lit(0).cast("long"), 1
+    for j, b in enumerate(bins):
+        if b > 1:
+            v = values[j]
+            edges = v[1:] if b == len(v) else np.unique(quantiles[j][np.arange(1, b) * AXIS_EDGES // b - 1])
+            at = position_in(F.array(*[F.lit(float(e)) for e in edges]), F.col("point")[j], len(edges))
+            bucket = bucket + at * F.lit(stride)
+            stride *= len(edges) + 1
+    return real.withColumn("bucket", bucket)
+
+
+def _blocked(placed: DataFrame, dims: int) -> DataFrame:
+    """Buckets of more than ``BLOCK_ROWS`` points cut along their widest axis."""
+    boxes = placed.groupBy("bucket").agg(*_boxes(dims))
+    widths = F.zip_with("high", "low", lambda a, b: a - b)
+    large = settle(
+        boxes.where(F.col("m") > BLOCK_ROWS).select(
+            "bucket", F.array_position(widths, F.array_max(widths)).cast("int").alias("axis"), F.least(F.lit(BLOCK_EDGES), F.ceil(F.col("m") / BLOCK_ROWS)).alias("blocks")
+        ),
+        "large-buckets",
+    )
+    cuts = [i / BLOCK_EDGES for i in range(1, BLOCK_EDGES)]
+    value = F.element_at("point", F.col("axis"))
+    edges = placed.join(large, "bucket").groupBy("bucket", "axis", "blocks").agg(F.percentile_approx(value, cuts, 10000).alias("edges"))
+    met = placed.join(edges, "bucket", "left")
+    block = F.floor(position_in(F.col("edges"), value, BLOCK_EDGES) * F.col("blocks") / BLOCK_EDGES)
+    return met.select("point", "bucket", F.coalesce(block, F.lit(0)).cast("int").alias("block"))
 
 
-def _ask(requests: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(point, d2) for every request (point, leaf, block).
+def _ask(asks: DataFrame, placed: DataFrame, dims: int) -> DataFrame:
+    """(id, point, n, best, d2) for every ask (id, point, n, best, bucket, block, parts).
 
-    A popular block is copied for several chunks of its requests, so neither
-    side of a group grows with the data: at most BLOCK_ROWS x CHUNK_ROWS.
+    A popular block is copied for several chunks of its asks, a large one is met
+    in parts, so neither side of a group grows with the data: at most about
+    PART_ROWS x CHUNK_ROWS.
     """
-    counts = requests.groupBy("leaf", "block").agg(F.count("*").alias("asked"))
-    chunks = settle(
-        counts.select("leaf", "block", F.ceil(F.col("asked") / CHUNK_ROWS).cast("int").alias("chunks")), "chunks"
-    )
-    left = requests.join(chunks, ["leaf", "block"]).withColumn(
-        "chunk", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int")
-    )
-    right = blocks.join(chunks, ["leaf", "block"]).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    )
-    keys = ["leaf", "block", "chunk"]
-    return left.select(*keys, "point").groupBy(*keys).cogroup(right.select(*keys, "point").groupBy(*keys)).applyInPandas(
-        _nearest_in_block, "point array<double>, d2 double"
+    counts = asks.groupBy("bucket", "block", "parts").agg(F.count("*").alias("asked"))
+    chunks = settle(counts.select("bucket", "block", "parts", F.ceil(F.col("asked") / CHUNK_ROWS).cast("int").alias("chunks")), "chunks")
+    keys = ["bucket", "block", "part", "chunk"]
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = asks.drop("parts").join(chunks, ["bucket", "block"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    left = left.withColumn("part", numbers("parts"))
+    right = placed.join(chunks, ["bucket", "block"]).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
+    right = right.withColumn("chunk", numbers("chunks"))
+
+    def nearest(asked: pa.Table, block: pa.Table) -> pa.Table:
+        best = _nearest(_matrix(asked.column("point"), dims), _matrix(block.column("point"), dims)) if len(asked) else np.zeros(0)
+        return asked.select(["id", "point", "n", "best"]).append_column("d2", pa.array(best, mask=np.isinf(best)))
+
+    return (
+        left.select(*keys, "id", "point", "n", "best")
+        .groupBy(*keys)
+        .cogroup(right.select(*keys, "point").groupBy(*keys))
+        .applyInArrow(nearest, "id bigint, point array<double>, n bigint, best double, d2 double")
     )
 
 
+def _route(boxes, low: int, high: int, dims: int):
+    """Asks of the buckets that are ``low`` to ``high`` in order of distance from a
+    point and nearer than its best; bucket -1 where there is none, the point is done."""
+
+    def run(batches):
+        buckets, lows, highs = boxes.value
+        step = max(1, PAIRS_AT_ONCE // len(buckets))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                asked, best = _matrix(batch.column(1), dims), batch.column(3).to_numpy(zero_copy_only=False)
+                away = np.zeros((len(asked), len(buckets)))
+                for j in range(dims):  # in the order of the distances, so that no box is farther than its points
+                    p = asked[:, j][:, None]
+                    gap = np.maximum(np.maximum(lows[None, :, j] - p, p - highs[None, :, j]), 0.0)
+                    away += gap * gap
+                order = np.argsort(away, axis=1, kind="stable")[:, low:high]
+                near = np.take_along_axis(away, order, axis=1)
+                hit = near < best[:, None]
+                rows, at = np.nonzero(hit)
+                done = np.flatnonzero(~hit.any(axis=1))
+                take = np.concatenate([rows, done])
+                goal = np.concatenate([buckets[order[rows, at]], np.full(len(done), -1)])
+                out = batch.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(goal.astype(np.int64))], names=["id", "point", "n", "best", "bucket"])
+
+    return run
+
+
 def nearest_distances(real_points: DataFrame, synth_points: DataFrame) -> DataFrame:
     """(point, n, distance): exact nearest real distance of every synthetic point.
 
     Input frames have one ``point array<double>`` column. Copies are merged
-    first. Space is cut into leaves by a tree grown on a bounded sample; each
-    point asks one block of its own leaf for an upper bound, then every block
-    of every leaf whose bounding box is within that bound. Nothing outside
-    can be nearer, so the minimum is exact without comparing all pairs.
+    first. Each round asks, for every point still open, its next nearest
+    buckets, 64 at most; the boxes of a bucket's blocks leave out more.
     """
+    spark = real_points.sparkSession
     real = settle(real_points.distinct(), "real-points")
     synth = settle(synth_points.groupBy("point").agg(F.count("*").alias("n")), "synth-points")
-    n_real = real.count()
-    if n_real == 0:
+    n, dims = real.agg(F.count("*"), F.max(F.size("point"))).first()
+    if not n:
         return synth.withColumn("distance", F.lit(None).cast("double"))
-    wanted = int(np.ceil(n_real / LEAF_ROWS))
-    size = min(TREE_SAMPLE_ROWS, 4 * LEAF_SAMPLE_ROWS * wanted)
-    sample = real.orderBy(F.xxhash64("point")).limit(size).toPandas()
-    tree = SpaceTree(_matrix(sample["point"]), leaves=wanted)
-
-    @F.pandas_udf("int")
-    def leaf_of(points: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaf_of(_matrix(points)), dtype="int32")
-
-    placed = settle(real.withColumn("leaf", leaf_of("point")), "placed")
-    dims = len(sample["point"].iloc[0])
-    boxes = (
-        placed.groupBy("leaf")
-        .agg(
-            F.count("*").alias("m"),
-            F.array(*[F.min(F.col("point")[j]) for j in range(dims)]).alias("low"),
-            F.array(*[F.max(F.col("point")[j]) for j in range(dims)]).alias("high"),
-        )
-        .orderBy("leaf")
-        .toPandas()
-    )  # one row per leaf of the sampled tree; every leaf holds sampled points
-    tree.set_boxes(_matrix(boxes["low"]), _matrix(boxes["high"]))
-    per_leaf = np.ceil(boxes["m"].to_numpy() / BLOCK_ROWS).astype(int)
-
-    @F.pandas_udf("int")
-    def blocks_in(leaves: pd.Series) -> pd.Series:
-        return pd.Series(per_leaf[leaves.to_numpy()], dtype="int32")
-
-    blocks = settle(
-        placed.withColumn("block", F.pmod(F.xxhash64("point"), blocks_in("leaf")).cast("int")), "real-blocks"
+    placed = settle(_blocked(_bucketed(real, dims, n), dims), "placed")
+    blocks = settle(placed.groupBy("bucket", "block").agg(*_boxes(dims)).withColumn("parts", F.ceil(F.col("m") / PART_ROWS).cast("int")).drop("m"), "blocks")
+    over = [F.array(*[f(F.col(c)[j]) for j in range(dims)]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+    box = blocks.groupBy("bucket").agg(*over).orderBy("bucket").collect()  # one row per bucket, BUCKETS at most
+    boxes = spark.sparkContext.broadcast(
+        (np.array([r["bucket"] for r in box]), np.array([r["low"] for r in box]), np.array([r["high"] for r in box]))
+    )
+    gaps = F.zip_with(
+        F.zip_with("low", "point", lambda a, p: F.greatest(a - p, F.lit(0.0))), F.zip_with("point", "high", lambda p, b: F.greatest(p - b, F.lit(0.0))), lambda x, y: F.greatest(x, y)
     )
-    home = synth.select("point", leaf_of("point").alias("leaf"), F.lit(0).alias("block"))
-    bound = settle(_ask(home, blocks), "bounds")
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Every block of every leaf that could hold a nearer point."""
-        for pdf in batches:
-            rows, leaves = tree.leaves_within(_matrix(pdf["point"]), pdf["d2"].to_numpy())
-            times = per_leaf[leaves]
-            rows, leaves = np.repeat(rows, times), np.repeat(leaves, times)
-            first = np.cumsum(times) - times
-            number = np.arange(len(rows)) - np.repeat(first, times)
-            for start in range(0, len(rows), ROUTE_ROWS):
-                cut = slice(start, start + ROUTE_ROWS)
-                yield pd.DataFrame(
-                    {
-                        "point": pdf["point"].to_numpy()[rows[cut]],
-                        "leaf": leaves[cut].astype("int32"),
-                        "block": number[cut].astype("int32"),
-                    }
-                )
-
-    # An empty home block gives no bound; such points ask everywhere.
-    limits = synth.join(bound, "point", "left").select("point", F.coalesce("d2", F.lit(float("inf"))).alias("d2"))
-    requests = settle(limits.mapInPandas(route, "point array<double>, leaf int, block int"), "requests")
-    nearest = _ask(requests, blocks).groupBy("point").agg(F.min("d2").alias("d2"))
-    return synth.join(nearest, "point").select("point", "n", F.sqrt("d2").alias("distance"))
+    away = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
+    active = synth.select(F.monotonically_increasing_id().alias("id"), "point", "n", F.lit(float("inf")).alias("best"))
+    finished, low, turn = [], 0, 0
+    while low < len(box):
+        high = WINDOWS[turn] if turn < len(WINDOWS) else low + WINDOW
+        routed = active.mapInArrow(_route(boxes, low, high, dims), "id bigint, point array<double>, n bigint, best double, bucket bigint")
+        met = routed.join(blocks, "bucket", "left").withColumn("block", F.when(away < F.col("best"), F.col("block")))
+        asked = settle(met.select("id", "point", "n", "best", "bucket", "block", "parts"), "asked")
+        finished.append(asked.where("bucket < 0").select("point", "n", "best"))
+        open_ = asked.where("bucket >= 0")
+        if not open_.head(1):
+            active = None
+            break
+        answers = _ask(open_.where("block is not null"), placed, dims)
+        # a point none of whose blocks is near enough stays, without an answer
+        kept = open_.where("block is null").select("id", "point", "n", "best", F.lit(None).cast("double").alias("d2"))
+        best = F.least(F.min("best"), F.min("d2")).alias("best")  # nulls are skipped
+        active = settle(answers.unionByName(kept).groupBy("id").agg(F.any_value("point").alias("point"), F.any_value("n").alias("n"), best), "nearest")
+        low, turn = high, turn + 1
+    if active is not None:  # every bucket was asked
+        finished.append(active.select("point", "n", "best"))
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out.select("point", "n", F.sqrt("best").alias("distance"))
 
 
 def points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One ``point`` array per row; rows with a null feature are left out."""
+    """One ``point`` array per row; rows with a null or NaN feature are left out."""
     complete = F.lit(True)
     for c in columns:
-        complete = complete & F.col(c).isNotNull()
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     return df.where(complete).select(F.array(*[F.col(c).cast("double") for c in columns]).alias("point"))
 
 
-def dcr_full(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """The distance statistics over whole tables, scaled by the whole real table."""
+def _whole_points(real, synth, numeric, categorical, scaled: Sequence[str], fit_on: str, epsilon: float) -> tuple[DataFrame, DataFrame]:
     columns = [*numeric, *categorical]
     r, s = real.select(*columns), synth.select(*columns)
     if categorical:
         codes = encoding.dictionary([real, synth], categorical)
         r, s = encoding.encode(r, codes, categorical), encoding.encode(s, codes, categorical)
-    stats = encoding.scale_stats(r, columns)
-    near = nearest_distances(
-        points(encoding.standardize(r, stats, columns, 1e-10), columns),
-        points(encoding.standardize(s, stats, columns, 1e-10), columns),
-    )
+    stats = encoding.scale_stats(r if fit_on == "real" else r.unionByName(s), scaled)
+    return tuple(points(encoding.standardize(df, stats, scaled, epsilon), columns) for df in (r, s))
+
+
+def distance_stats(near: DataFrame) -> DataFrame:
+    """One row over (distance, n): mean, median, least, greatest and deviation, all exact."""
     by_distance = settle(near.groupBy("distance").agg(F.sum("n").alias("n")), "distances").withColumn("all", F.lit(0))
     total = by_distance.agg(F.sum("n")).scalar()
     run = running_totals(by_distance, ["all"], "distance", ["n"])
@@ -387,14 +375,27 @@ def dcr_full(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categori
         return (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
 
     k0, k1 = F.floor((total - 1) / 2), F.ceil((total - 1) / 2)
-    return dcr_summary(
-        run.agg(
-            (F.sum(F.col("distance") * F.col("n")) / F.sum("n")).alias("mean_dcr"),
-            ((F.max(F.when(holds(k0), F.col("distance"))) + F.max(F.when(holds(k1), F.col("distance")))) / 2).alias(
-                "median_dcr"
-            ),
-            F.min("distance").alias("min_dcr"),
-            F.coalesce(F.sum(F.when(F.col("distance") < MATCH_DISTANCE, F.col("n"))), F.lit(0)).alias("exact_matches"),
-            F.sum("n").alias("n_compared"),
-        )
+    d, n = F.col("distance"), F.col("n")
+    mean = F.sum(d * n) / F.sum("n")
+    return run.agg(
+        mean.alias("mean_dcr"),
+        ((F.max(F.when(holds(k0), d)) + F.max(F.when(holds(k1), d))) / 2).alias("median_dcr"),
+        F.min("distance").alias("min_dcr"),
+        F.max("distance").alias("max_dcr"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum(d * d * n) / F.sum("n") - mean * mean)).alias("std_dcr"),
+        F.coalesce(F.sum(F.when(d < MATCH_DISTANCE, n)), F.lit(0)).alias("exact_matches"),
+        F.sum("n").alias("n_compared"),
     )
+
+
+def dcr_full(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """The distance statistics over whole tables, scaled by the whole real table."""
+    columns = [*numeric, *categorical]
+    return dcr_summary(distance_stats(nearest_distances(*_whole_points(real, synth, numeric, categorical, columns, "real", 1e-10))))
+
+
+def dcr_evaluator_full(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Evaluator variant over whole tables: numbers scaled on the union, label codes unscaled."""
+    stats = distance_stats(nearest_distances(*_whole_points(real, synth, numeric, categorical, list(numeric), "union", 0.0)))
+    out = stats.select("mean_dcr", "median_dcr", "min_dcr", "max_dcr", "std_dcr")
+    return out.withColumn("dcr_score", F.least(F.lit(100.0), F.col("mean_dcr") * 100))

@@ -16,15 +16,21 @@ from twinproof.functions.scalar import ratio
 EPSILON = 1e-10
 
 
+def without_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns, with null in place of NaN: both are missing values."""
+    floats = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+    return df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if c in floats else F.col(f"`{c}`") for c in columns])
+
+
 def unpivoted(df: DataFrame, columns: Sequence[str], value_type: str = "string", is_real: int = 1) -> DataFrame:
     """(is_real, column, value): the non-null values of one table.
 
-    Values that do not parse as ``value_type`` become null and leave as well.
+    Values that do not parse as ``value_type`` become null and leave as well,
+    as does NaN, a missing number.
     """
-    typed = df.select(
-        F.lit(is_real).alias("is_real"),
-        *[F.col(f"`{c}`").try_cast(value_type).alias(c) for c in columns],
-    )
+    typed = without_nan(df, columns).select(*[F.col(f"`{c}`").try_cast(value_type).alias(c) for c in columns])
+    # a text "NaN" becomes one only as a number
+    typed = without_nan(typed, columns).withColumn("is_real", F.lit(is_real))
     return typed.unpivot(["is_real"], list(columns), "column", "value").where(F.col("value").isNotNull())
 
 

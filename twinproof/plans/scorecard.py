@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import weighted_score
 from twinproof.operators import correlation, distance, fairness, models, privacy, utility
+from twinproof.operators.distributions import without_nan
 from twinproof.roles import ColumnRoles, is_number
 from twinproof.session import build_together, settle
 
@@ -55,12 +56,13 @@ def working_copy(real: DataFrame, synth: DataFrame, roles: ColumnRoles) -> tuple
     """Both tables cut to the columns with a role, written to the shared folder.
 
     Metrics then scan only these columns, and a pair that is itself the
-    result of joins is not joined again for every metric.
+    result of joins is not joined again for every metric. A NaN is a missing
+    value: it becomes null here, once.
     """
     used = {*roles.columns, *roles.quasi_identifiers, *roles.protected, *roles.sensitive, roles.target}
     columns = [c for c in real.columns if c in used]
     both = build_together(
-        real.sparkSession, [lambda: settle(real.select(*columns), "real"), lambda: settle(synth.select(*columns), "synthetic")]
+        real.sparkSession, [lambda: settle(without_nan(real, columns), "real"), lambda: settle(without_nan(synth, columns), "synthetic")]
     )
     return both[0], both[1]
 
@@ -69,7 +71,7 @@ def _rates(real: DataFrame, synth: DataFrame, roles: ColumnRoles) -> DataFrame:
     return fairness.favorable_rates(real, synth, roles.protected, roles.target, roles.favorable)
 
 
-register_metric("privacy", "dcr", 0.3, lambda r, s, ro: distance.dcr_sampled(r, s, *_encoded_kinds(r, ro)))
+register_metric("privacy", "dcr", 0.3, lambda r, s, ro: distance.dcr_full(r, s, *_encoded_kinds(r, ro)))
 register_metric("privacy", "k_anonymity", 0.2, lambda r, s, ro: privacy.k_anonymity(s, ro.quasi_identifiers))
 register_metric("privacy", "membership_inference", 0.3, lambda r, s, ro: models.membership_inference(r, s, *_encoded_kinds(r, ro)))
 register_metric("privacy", "attribute_disclosure", 0.2, lambda r, s, ro: privacy.disclosure(r, s, ro.sensitive or ro.columns))
@@ -198,36 +200,41 @@ def verdict(totals: DataFrame, threshold: float = 70.0) -> DataFrame:
 
 
 def evaluate_all(real: DataFrame, synth: DataFrame, roles: ColumnRoles, with_models: bool = True) -> DataFrame:
-    """Evaluator scores: (axis, metric, score) with plain means per axis."""
+    """Evaluator scores: (axis, metric, attribute, score) with plain means per axis.
+
+    Fairness has one row per metric and protected attribute; the other metrics have no attribute.
+    """
     real, synth = working_copy(real, synth, roles)
     numbers, texts = _encoded_kinds(real, roles)
     parts = {
-        ("privacy", "dcr"): (lambda: distance.dcr_evaluator(real, synth, numbers, texts), "dcr_score"),
-        ("privacy", "k_anonymity"): (lambda: privacy.k_anonymity_evaluator(synth, roles.quasi_identifiers or texts[:3]), "k_score"),
-        ("utility", "statistical_similarity"): (lambda: utility.evaluator_similarity(real, synth, numbers, texts), "similarity_score"),
-        ("utility", "correlation_preservation"): (lambda: correlation.offdiagonal_preservation(real, synth, numbers), "correlation_score"),
+        ("privacy", "dcr", None): (lambda: distance.dcr_evaluator_full(real, synth, numbers, texts), "dcr_score"),
+        ("privacy", "k_anonymity", None): (lambda: privacy.k_anonymity_evaluator(synth, roles.quasi_identifiers or texts), "k_score"),
+        ("utility", "statistical_similarity", None): (lambda: utility.evaluator_similarity(real, synth, numbers, texts), "similarity_score"),
+        ("utility", "correlation_preservation", None): (lambda: correlation.offdiagonal_preservation(real, synth, numbers), "correlation_score"),
     }
     if with_models:
-        parts[("privacy", "membership_inference")] = (
+        parts[("privacy", "membership_inference", None)] = (
             lambda: models.membership_inference_evaluator(real, synth, numbers, texts),
             "privacy_score",
         )
         if roles.target:
-            parts[("utility", "ml_efficacy")] = (
+            parts[("utility", "ml_efficacy", None)] = (
                 lambda: models.evaluator_efficacy(real, synth, numbers, roles.target, roles.target in texts),
                 "ml_efficacy_score",
             )
-    if roles.protected and roles.target:
-        rates = fairness.outcome_rates(synth, roles.protected[0], roles.target, roles.favorable)
-        parts[("fairness", "demographic_parity")] = (lambda: fairness.evaluator_parity(rates), "dp_score")
-        parts[("fairness", "disparate_impact")] = (lambda: fairness.evaluator_impact(rates), "di_score")
-
-    def job(axis: str, metric: str, build: Callable[[], DataFrame], column: str) -> Callable[[], DataFrame]:
-        return lambda: build().select(F.lit(axis).alias("axis"), F.lit(metric).alias("metric"), F.col(column).cast("double").alias("score"))
-
-    rows = settle(_union(build_together(real.sparkSession, [job(a, m, b, c) for (a, m), (b, c) in parts.items()])), "metrics")
-    means = rows.groupBy("axis").agg(F.avg("score").alias("score")).select("axis", F.lit("overall").alias("metric"), "score")
-    composite = means.agg(F.avg("score").alias("score")).select(F.lit("composite").alias("axis"), F.lit("overall").alias("metric"), "score")
+    for attribute in roles.protected if roles.target else ():
+        rates = fairness.outcome_rates(synth, attribute, roles.target, roles.favorable)
+        parts[("fairness", "demographic_parity", attribute)] = (lambda rates=rates: fairness.evaluator_parity(rates), "dp_score")
+        parts[("fairness", "disparate_impact", attribute)] = (lambda rates=rates: fairness.evaluator_impact(rates), "di_score")
+
+    def job(key: tuple, build: Callable[[], DataFrame], column: str) -> Callable[[], DataFrame]:
+        names = [F.lit(k).cast("string").alias(n) for k, n in zip(key, ("axis", "metric", "attribute"))]
+        return lambda: build().select(*names, F.col(column).cast("double").alias("score"))
+
+    rows = settle(_union(build_together(real.sparkSession, [job(k, b, c) for k, (b, c) in parts.items()])), "metrics")
+    overall = [F.lit("overall").alias("metric"), F.lit(None).cast("string").alias("attribute"), "score"]
+    means = rows.groupBy("axis").agg(F.avg("score").alias("score")).select("axis", *overall)
+    composite = means.agg(F.avg("score").alias("score")).select(F.lit("composite").alias("axis"), *overall)
     return rows.unionByName(means).unionByName(composite)
 
 
@@ -305,12 +312,12 @@ def privacy_recommendations(dcr: DataFrame, k: DataFrame, disclosure: DataFrame,
     return recommendations("privacy", findings)
 
 
-def utility_recommendations(similarity: DataFrame, preservation: DataFrame, by_column: DataFrame, order: Sequence[str], efficacy: DataFrame | None = None) -> DataFrame:
-    """The correlation advice names the first three columns beyond 0.15."""
+def utility_recommendations(similarity: DataFrame, preservation: DataFrame, by_column: DataFrame, order: Sequence[str], efficacy: DataFrame | None = None, most_names: int | None = None) -> DataFrame:
+    """The correlation advice names the columns beyond 0.15 in ``order``, ``most_names`` of them if given."""
     place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("column"))
-    far = by_column.where(F.col("mean_diff") > 0.15).agg(
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(place.alias("p"), "column"))), 1, 3), lambda x: x["column"]), ", ").alias("names")
-    )
+    found = F.array_sort(F.collect_list(F.struct(place.alias("p"), "column")))  # at most one item per column
+    named = F.slice(found, 1, most_names) if most_names else found
+    far = by_column.where(F.col("mean_diff") > 0.15).agg(F.array_join(F.transform(named, lambda x: x["column"]), ", ").alias("names"))
     bad = ~F.col("passed")
     named = preservation.withColumn("names", far.scalar())
     findings = {

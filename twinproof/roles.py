@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -16,7 +16,6 @@ PROTECTED_TOKENS_SHORT = ("sex", "gender", "race", "age")
 
 CATEGORICAL_BELOW = 20
 QUASI_UP_TO = 50
-QUASI_COLUMNS = 6
 TARGET_UP_TO = 10
 EXACT_RECHECK_BAND = 0.25
 
@@ -128,17 +127,25 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict
     return counts
 
 
-def infer_roles(real: DataFrame, protected_tokens: Sequence[str] = PROTECTED_TOKENS) -> ColumnRoles:
-    """All roles by name, type and cardinality. The driver sees counts only."""
-    counts = distinct_counts(real)
+def quasi_identifiers(columns: Sequence[str], text: set[str], counts: Mapping[str, int], most: int | None = None) -> tuple[str, ...]:
+    """Every text or low-cardinality column, or every column where there is none;
+    the first ``most`` of them if given."""
+    found = [c for c in columns if c in text or counts[c] <= QUASI_UP_TO]
+    return tuple((found or list(columns))[:most])
+
+
+def infer_roles(real: DataFrame, protected_tokens: Sequence[str] = PROTECTED_TOKENS, most_quasi: int | None = None, counts: Mapping[str, int] | None = None) -> ColumnRoles:
+    """All roles by name, type and cardinality. The driver sees counts only.
+
+    ``counts`` are distinct counts already known, such as those of a stored profile."""
+    counts = dict(counts) if counts is not None else distinct_counts(real)
     text = set(text_columns(real))
     categorical = tuple(c for c in real.columns if c in text or counts[c] < CATEGORICAL_BELOW)
-    quasi = [c for c in real.columns if c in text or counts[c] <= QUASI_UP_TO][:QUASI_COLUMNS]
     target = next((c for c in reversed(real.columns) if counts[c] <= TARGET_UP_TO), None)
     return ColumnRoles(
         categorical=categorical,
         numeric=tuple(c for c in real.columns if c not in categorical and c not in text),
-        quasi_identifiers=tuple(quasi or real.columns[:4]),
+        quasi_identifiers=quasi_identifiers(real.columns, text, counts, most_quasi),
         protected=tuple(protected_columns(real.columns, protected_tokens)),
         target=target,
         distinct=counts,
