@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import os
 import re
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from twinproof.llm.piece_encoding import MARK, ChunkTable, Pieces, model_path, read, slices
+from twinproof.llm.piece_encoding import MARK, Pieces, model_path, read, slices
 from twinproof.llm.tables import table
 from twinproof.session import settle
 
@@ -52,7 +53,10 @@ BITS = 28  # of an id in a key
 LOW = (1 << 2 * BITS) - 1
 ENTRIES, BYTES = 1 << 18, 1 << 24
 # Between these, neither tokenizer joins what stands left and right of the cut.
-CUT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\u2060\\ufeff])(?= )")
+SPACE = "\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\u2060\\ufeff"
+CUT = re.compile(f"(?<=[^{SPACE}])(?= )")
+OPEN = re.compile(f"[{SPACE}]$|^[^ ]")  # what must not stand beside other chunks
+PACK = 1024  # chunks encoded as one text
 HEAD = "doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string"
 
 
@@ -76,17 +80,13 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(MARK, " ").encode()
 
 
-class Chunk:
-    """Tokens of one chunk: how many, their groups, their links as keys a << BITS | b."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links")
-
-    def __init__(self, n_a, n_b, n_groups, groups, links):
-        self.n_a, self.n_b, self.n_groups, self.groups, self.links = n_a, n_b, n_groups, groups, links
-
-
 class Aligner:
-    """Both tokenizers, and what a task knows of chunks."""
+    """Both tokenizers, and what a task knows of distinct chunks.
+
+    A chunk's code is its place in arrays of its facts: how many A and B tokens
+    and groups it has (-1 A tokens: its bytes are not those of the tokens), the text
+    of its groups with ``;`` after each, and where its links stand in one flat array.
+    """
 
     def __init__(self, a: str, b: bytes, entries: int = ENTRIES, size: int = BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -101,57 +101,119 @@ class Aligner:
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b = Pieces(b)
         self.b_bytes = [piece_bytes(self.b.model.id_to_piece(i)) for i in range(self.b.model.get_piece_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        # how an id is written where a comma, a bar or a semicolon follows it
+        self.written = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
         spec = json.loads(a)
         split = spec.get("pre_tokenizer") or {}
         # Cutting is right for words that a byte-level pattern splits before a single space, with nothing added or normalised.
         self.separable = self.b.separable and spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        self.known = ChunkTable(self.learn, entries, size)
+        self.entries, self.size = entries, size
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.held = 0
+        self.groups: list[str] = []
+        self.n_a = self.n_b = self.n_groups = self.links = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
 
     def chunks(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.separable else [" " + text]
 
-    def learn(self, chunks: list[str]) -> list[Chunk | None]:
-        """None where the bytes of the tokens are not those of the chunk."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.learn(chunks)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        out = []
-        for chunk, ours, theirs in zip(chunks, a, b):
-            left, right = [a_bytes[i] for i in ours], [b_bytes[i] for i in theirs]
-            whole = chunk.encode()
-            out.append(self.align(ours, theirs, left, right) if b"".join(left) == whole and b"".join(right) == whole else None)
-        return out
-
-    @staticmethod
-    def align(ours, theirs, left, right) -> Chunk:
-        groups, links, i, j, a_from, b_from = [], [], 0, 0, 0, 0
-        a_end, b_end = len(left[0]), len(right[0])
-        while True:
-            links.append(ours[i] << BITS | theirs[j])
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, ours[a_from : i + 1]))}|{','.join(map(str, theirs[b_from : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(ours):
-                    break
-                a_from, b_from = i, j
-                a_end, b_end = a_end + len(left[i]), b_end + len(right[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(left[i])
-            else:
-                j += 1
-                b_end += len(right[j])
-        return Chunk(len(ours), len(theirs), len(groups), ";".join(groups), np.array(links, np.int64))
-
-    def texts(self, raw: list[bytes | None]) -> list[list[Chunk]]:
-        """Chunks of each text; none where it has no tokens."""
+    def a_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A ids of all chunks in a row, and how many each has. Chunks that may stand
+        side by side, as in a text, are encoded together and told apart by their bytes."""
+        safe = [self.separable and OPEN.search(c) is None for c in chunks]
+        together = [c for c, s in zip(chunks, safe) if s]
+        packs = ["".join(together[i : i + PACK]) for i in range(0, len(together), PACK)]
+        ids = np.concatenate([np.zeros(0, np.int64), *[np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(packs, add_special_tokens=False)]])
+        ends = np.cumsum([len(c.encode()) for c in together])
+        upto = np.searchsorted(np.cumsum(self.a_size[ids]), ends, "right")
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[np.array(safe, bool)] = np.diff(upto, prepend=0)
+        if len(together) < len(chunks):
+            alone = [e.ids for e in self.a.encode_batch_fast([c for c, s in zip(chunks, safe) if not s], add_special_tokens=False)]
+            sizes[~np.array(safe, bool)] = [len(x) for x in alone]
+            parts, rest = iter(np.split(ids, upto[:-1]) if len(together) else []), iter(alone)
+            ids = np.concatenate([np.zeros(0, np.int64), *[next(parts) if s else np.array(next(rest), np.int64) for s in safe]])
+        return ids, sizes
+
+    def learn(self, chunks: list[str]) -> None:
+        raw = [c.encode() for c in chunks]
+        a, a_sizes = self.a_ids(chunks)
+        theirs = self.b.learn(chunks)
+        b, b_sizes = np.fromiter(itertools.chain.from_iterable(theirs), np.int64), np.array([len(x) for x in theirs])
+        whole = b"".join(raw)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != whole or b"".join([self.b_bytes[i] for i in b.tolist()]) != whole:
+            a_parts, b_parts = (np.split(ids, np.cumsum(sizes)[:-1]) for ids, sizes in ((a, a_sizes), (b, b_sizes)))
+            same = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a_parts, b_parts, raw)]
+            self.add([c for c, s in zip(chunks, same) if not s], None)
+            kept = np.array(same, bool)
+            chunks, raw = [c for c, s in zip(chunks, same) if s], [r for r, s in zip(raw, same) if s]
+            a, b = a[np.repeat(kept, a_sizes)], b[np.repeat(kept, b_sizes)]
+            a_sizes, b_sizes = a_sizes[kept], b_sizes[kept]
+        if chunks:
+            self.add(chunks, self.aligned(raw, a, a_sizes, b, b_sizes))
+
+    def aligned(self, raw: list[bytes], a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray):
+        """Facts of chunks that stand in a row: between two neighbouring token ends of
+        either side lies exactly one link; where both sides end, a group does."""
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        cuts = np.union1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, cuts)] << BITS | b[np.searchsorted(b_ends, cuts)]
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        chunk_ends = np.cumsum([len(r) for r in raw])
+        n_links, n_groups = (np.diff(np.searchsorted(x, chunk_ends, "right"), prepend=0) for x in (cuts, both))
+        # the text: tokens by group, A before B; a bar behind the last A, a semicolon behind the last B of a group
+        group = np.concatenate([np.searchsorted(both, a_ends) * 2, np.searchsorted(both, b_ends) * 2 + 1])
+        order = np.argsort(group, kind="stable")
+        group, ids = group[order], np.concatenate([a, b])[order]
+        last = np.append(np.diff(group) > 0, True)
+        marks = np.where(last, 1 + group % 2, 0)
+        parts = list(map(self.written.__getitem__, (ids * 3 + marks).tolist()))
+        ends = np.cumsum(a_sizes + b_sizes).tolist()
+        groups = ["".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
+        return a_sizes, b_sizes, n_groups, groups, links, n_links
+
+    def add(self, chunks: list[str], facts) -> None:
+        """Facts None: chunks without tokens."""
+        none = np.zeros(len(chunks), np.int64)
+        a_sizes, b_sizes, n_groups, groups, links, n_links = facts or (none - 1, none, none, [""] * len(chunks), none[:0], none)
+        self.codes.update(zip(chunks, range(len(self.codes), len(self.codes) + len(chunks))))
+        self.held += sum(map(len, chunks))
+        self.groups += groups
+        self.n_a, self.n_b = np.concatenate([self.n_a, a_sizes]), np.concatenate([self.n_b, b_sizes])
+        self.n_groups = np.concatenate([self.n_groups, n_groups])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n_links)])
+        self.links = np.concatenate([self.links, links])
+
+    def texts(self, raw: list[bytes | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """(A tokens, B tokens, groups, their text, links) of each text."""
         split = []
         for t in raw:
             try:
                 split.append(self.chunks(t.decode()) if t else [])
             except UnicodeDecodeError:
                 split.append([])
-        return [own if None not in own else [] for own in self.known.values(split)]
+        new = set().union(*split).difference(self.codes)
+        if self.codes and (len(self.codes) + len(new) > self.entries or self.held + sum(map(len, new)) > self.size):
+            self.forget()
+            new = set().union(*split)
+        if new:
+            self.learn(list(new))
+        for own in split:
+            places = list(map(self.codes.__getitem__, own))
+            codes = np.array(places, np.int64)
+            n_a = self.n_a[codes]
+            if not len(codes) or n_a.min() < 0:
+                yield 0, 0, 0, "", np.zeros(0, np.int64)
+                continue
+            start, size = self.first[codes], self.first[codes + 1] - self.first[codes]
+            ends = np.cumsum(size)
+            links = self.links[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+            text = "".join(map(self.groups.__getitem__, places))[:-1]
+            yield int(n_a.sum()), int(self.n_b[codes].sum()), int(self.n_groups[codes].sum()), text, links
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -229,12 +291,10 @@ def _runs(sent, radix, run_docs, run_links, digest, doc_id):
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, stop in slices(raw):
-                for doc, own in zip(ids[start:stop], aligner.texts(raw[start:stop])):
-                    links = np.concatenate([c.links for c in own]) if own else np.zeros(0, np.int64)
-                    groups = ";".join([c.groups for c in own])
+                for doc, (n_a, n_b, n_groups, groups, links) in zip(ids[start:stop], aligner.texts(raw[start:stop])):
                     if digest and groups:
                         groups = hashlib.sha256(groups.encode()).hexdigest()
-                    writer.add((doc, sum(c.n_a for c in own), sum(c.n_b for c in own), sum(c.n_groups for c in own), len(links), groups), links)
+                    writer.add((doc, n_a, n_b, n_groups, len(links), groups), links)
                     if len(writer.heads) >= run_docs or writer.n >= run_links:
                         yield from rows()
         if writer.heads:
