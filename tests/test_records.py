@@ -60,13 +60,13 @@ def test_contract_takes_every_submission(spark):
 
 
 def test_collusion_needs_a_majority(spark):
-    s = submissions(spark, (1, 1, 85, 80, 75), (1, 2, 85, 80, 75), (1, 3, 85, 80, 75))
-    grid = {(r["n"], r["f"]): r for r in consensus.collusion(consensus.consensus(s), panels=(3, 4, 5)).collect()}
+    s = submissions(spark, *[(1, w, 75, 75, 75) for w in range(5)])
+    grid = {(r["n"], r["f"]): r for r in consensus.collusion(s, panels=(3, 4, 5, 7)).collect()}
+    assert {n for n, _ in grid} == {3, 4, 5} and len(grid) == 15  # no request has seven verifiers
     for (n, f), r in grid.items():
-        if f <= (n - 1) // 2:
-            assert r["within_tolerance"] and r["moved"] == 0
-        elif 2 * f > n:
-            assert not r["within_tolerance"] and r["moved"] == 1
+        # a split panel fails on its variance, a whole one moves
+        assert (r["moved"], r["disputed"]) == ((1, 0) if f == n else (0, int(f > 0))), (n, f)
+        assert r["within_tolerance"] == (f <= (n - 1) // 2)
 
 
 def log_rows(spark, n=1000):

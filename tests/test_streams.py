@@ -1,58 +1,117 @@
-"""Streams give what their batch twins give, over several micro-batches."""
+"""Streams give what their batch twins give, over several runs from one checkpoint."""
 
-from pyspark.sql import functions as F
+from datetime import datetime, timedelta
 
-from twinproof.operators import ledger
-from twinproof.streaming import live
+from pyspark.sql import functions as F
 
-SCHEMA = "verification_id long, verifier_id long, privacy double, utility double, fairness double, t int"
+from twinproof.operators import consensus, ledger
+from twinproof.streaming import live, stateful
 
 
-def write_batches(spark, path, *batches, schema=SCHEMA):
-    for i, rows in enumerate(batches):
+def write_batches(spark, path, *batches, schema):
+    for rows in batches:
         # One file per folder write; file times order the micro-batches.
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_quorum_over_batches_refuses_repeats_and_late_ones(spark, tmp_path):
-    path = str(tmp_path / "in")
-    write_batches(
+def at(minute):
+    return datetime(2024, 1, 1, minute // 60, minute % 60)
+
+
+def request(rid, minute):
+    return (rid, at(minute), "request", None, None, None, None, None)
+
+
+def sent(rid, minute, verifier, score, place=0):
+    return (rid, at(minute), "submission", place, verifier, score, score, score)
+
+
+def run(spark, tmp_path, *batches, progress=False, **options):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    options = {"deadline": timedelta(minutes=30), **options}
+    with stateful.watched(spark, f"{folder}/progress"):
+        for rows in batches:
+            write_batches(spark, path, rows, schema=stateful.EVENT_SCHEMA)
+            stateful.advance(stateful.judged_stream(live.read_stream(spark, path), **options), folder, "output")
+    return stateful.results(spark, folder, stateful.JUDGED_SCHEMA).collect(), stateful.progress(spark, f"{folder}/progress")
+
+
+def test_quorum_over_runs_refuses_with_reasons(spark, tmp_path):
+    rows, _ = run(
         spark,
-        path,
-        [(1, 1, 90.0, 90.0, 90.0, 1), (1, 1, 0.0, 0.0, 0.0, 2), (2, 1, 100.0, 100.0, 100.0, 1)],
-        [(1, 2, 80.0, 80.0, 80.0, 3), (1, 1, 0.0, 0.0, 0.0, 4), (2, 2, 0.0, 0.0, 0.0, 2), (2, 3, 50.0, 50.0, 50.0, 3)],
-        [(1, 3, 60.0, 60.0, 60.0, 5), (3, 9, 10.0, 10.0, 10.0, 1)],
-        [(1, 4, 0.0, 0.0, 0.0, 6)],
+        tmp_path,
+        [request(1, 0), request(2, 0), sent(1, 1, 1, 90.0), sent(1, 2, 1, 0.0), sent(2, 1, 1, 100.0), sent(9, 2, 1, 5.0)],
+        [sent(1, 3, 2, 80.0), sent(1, 4, 1, 0.0), sent(2, 5, 2, 0.0), sent(2, 6, 3, 50.0), sent(1, 6, 7, None)],
+        [sent(1, 7, 3, 60.0), request(3, 8), sent(3, 9, 9, 10.0)],
+        [sent(1, 10, 4, 0.0), sent(3, 60, 8, 10.0)],
+        [sent(3, 70, 7, 1.0), request(3, 70), sent(3, 71, 7, 1.0)],
     )
-    source = live.read_stream(spark, path, files_per_trigger=1)
-    out = live.run_to_files(live.consensus_stream(source, ["t"], timeout_seconds=None), str(tmp_path / "run"))
-    rows = {r["verification_id"]: r for r in out.collect()}
-    assert set(rows) == {1, 2}
-    assert abs(rows[1]["overall"] - 80) < 1e-9 and rows[1]["status"] == "approved" and rows[1]["num_verifiers"] == 3
-    assert rows[2]["status"] == "consensus_failed"
+    verdicts = {r["verification_id"]: r for r in rows if r["output"] == "verdict"}
+    assert set(verdicts) == {1, 2, 3}
+    assert abs(verdicts[1]["overall"] - 80) < 1e-9 and verdicts[1]["status"] == "approved" and verdicts[1]["num_verifiers"] == 3
+    assert verdicts[2]["status"] == "consensus_failed"
+    assert (verdicts[3]["status"], verdicts[3]["num_verifiers"]) == ("expired", 1)  # and a later request event does not reopen it
+    reasons = sorted((r["verification_id"], r["verifier_id"], r["reason"]) for r in rows if r["output"] == "reject")
+    assert reasons == [(1, 1, "duplicate"), (1, 1, "duplicate"), (1, 4, "closed"), (1, 7, "invalid"), (3, 7, "expired"), (3, 7, "expired"), (3, 8, "expired"), (9, 1, "unknown")]
 
 
-def test_blocks_do_not_depend_on_where_batches_end(spark, tmp_path):
-    path = str(tmp_path / "in")
-    schema = "seq long, entry_id string, data_hash string, entry_type string, payload string, timestamp string"
-    rows = [(i, f"e{i}", "h", "generation", "{}", "t") for i in range(17)]
-    write_batches(spark, path, rows[:7], rows[7:14], rows[14:], schema=schema)
-    live.seal_stream(live.read_stream(spark, path, 1), str(tmp_path / "run"), every=None).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "run" / "entries")).select("batch").distinct().count() == 3
-    got = live.sealed_blocks(spark, str(tmp_path / "run"), block_entries=5)
-    want = ledger.blocks(spark.read.parquet(path), 5)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+def test_closed_requests_are_forgotten_and_then_unknown(spark, tmp_path):
+    rows, _ = run(spark, tmp_path, [request(1, 0), sent(1, 1, 1, 50.0)], [sent(5, 200, 1, 1.0)], [sent(5, 201, 1, 1.0)], [sent(1, 400, 2, 1.0)], keep=timedelta(minutes=60))
+    assert [r["status"] for r in rows if r["verification_id"] == 1 and r["output"] == "verdict"] == ["expired"]
+    assert [r["reason"] for r in rows if r["verification_id"] == 1 and r["output"] == "reject"] == ["unknown"]
 
 
-def test_open_sessions_are_added(spark, tmp_path):
-    path = str(tmp_path / "in")
-    rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:10:00", "a"), ("2024-01-01 05:00:00", "a"), ("2024-01-01 05:10:00", "b")]
-    write_batches(spark, path, rows, schema="ts string, kind string")
-    read = lambda df: df.select(F.col("ts").cast("timestamp").alias("timestamp"), "kind")
-    counts = live.counters(read(live.read_stream(spark, path, 1)), F.session_window("timestamp", "1 hour"), ["kind"])
-    closed = live.run_to_files(counts, str(tmp_path / "run"))
-    out = live.with_open_sessions(closed, read(spark.read.parquet(path)), "1 hour", ["kind"])
-    assert sorted((r["kind"], str(r["start"])[11:16], r["n"]) for r in out.collect()) == [("a", "00:00", 2), ("a", "05:00", 1), ("b", "05:10", 1)]
+def test_rows_behind_the_watermark_are_reported(spark, tmp_path):
+    _, progress = run(spark, tmp_path, [request(1, 0), sent(1, 50, 1, 1.0)], [sent(1, 20, 2, 1.0), sent(1, 30, 3, 1.0), sent(1, 51, 4, 1.0)], late="10 minutes")
+    assert tuple(progress.agg(F.sum("rows_in"), F.sum("rows_dropped")).first()) == (5, 2)
+
+
+def test_batch_judgement_of_odd_rows(spark):
+    requests = spark.createDataFrame([(1, at(5)), (1, at(9)), (2, at(0))], "verification_id long, created_at timestamp")
+    schema = "verification_id long, verifier_id long, event_time timestamp, place long, privacy double, utility double, fairness double"
+    rows = [(1, 1, at(4), 0, 1.0, 1.0, 1.0), (1, 1, at(6), 0, 90.0, 90.0, 90.0), (1, 2, at(6), 1, float("nan"), 1.0, 1.0), (1, 2, at(6), 2, 80.0, 80.0, 80.0), (1, None, at(6), 3, 1.0, 1.0, 1.0)]
+    out = consensus.judged(requests, spark.createDataFrame(rows, schema), "'30' MINUTE", F.lit(at(35)), quorum=2).collect()
+    assert sorted((r["verification_id"], r["status"], r["num_verifiers"]) for r in out if r["output"] == "verdict") == [(1, "approved", 2), (2, "expired", 0)]
+    assert sorted((r["place"], r["reason"]) for r in out if r["output"] == "reject") == [(0, "unknown"), (1, "invalid"), (3, "closed")]
+    none = spark.createDataFrame([], schema)
+    assert consensus.judged(requests.limit(0), none, "'30' MINUTE", F.lit(at(35))).count() == 0
+
+
+ENTRIES = "seq long, entry_id string, data_hash string, entry_type string, payload string, timestamp string"
+
+
+def test_blocks_do_not_depend_on_where_runs_end(spark, tmp_path):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    rows = [(i, f"e{i}", "h", "generation", "{}", f"t{i:02}") for i in range(17)]
+    seen = []
+    # out of order, and an entry that comes twice
+    for part in ([rows[3], *rows[:3], *rows[4:7]], rows[8:14], [rows[7], rows[2], *rows[14:]]):
+        write_batches(spark, path, part, schema=ENTRIES)
+        stateful.advance(stateful.sealed_stream(live.read_stream(spark, path), block_entries=5, epoch_blocks=2), folder)
+        seen.append(stateful.results(spark, folder, stateful.SEALED_SCHEMA).count())
+    assert seen == [1, 1, 3]
+    batch = ledger.seal(spark.createDataFrame(rows, ENTRIES), 5, 2).where("level = 1 and n_entries = 5").select("index", "previous_hash", "hash", "digest")
+    out = stateful.results(spark, folder, stateful.SEALED_SCHEMA)
+    assert sorted(map(tuple, out.select("index", "previous_hash", "hash", "digest").collect())) == sorted(map(tuple, batch.collect()))
+    last = out.agg(F.max("batch")).first()[0]
+    assert stateful.results(spark, folder, stateful.SEALED_SCHEMA, after=last - 1).count() == 2
+
+
+def test_stream_join_is_the_batch_match(spark, tmp_path):
+    asked, pending = "request_id long, data_hash string, requested_at timestamp", "verification_id string, data_hash string, created_at timestamp"
+    a = [[(1, "x", at(0)), (2, "y", at(1))], [(3, "x", at(30))], [(4, "z", at(70))]]
+    p = [[("v1", "x", at(5)), ("v0", "x", at(5))], [("v2", "y", at(40)), ("v3", "x", at(31))], [("v4", "z", at(200))]]
+    folder = str(tmp_path)
+    for i, (x, y) in enumerate(zip(a, p)):
+        write_batches(spark, f"{folder}/a", x, schema=asked)
+        write_batches(spark, f"{folder}/p", y, schema=pending)
+        if i == 2:
+            for name, time in (("a", "requested_at"), ("p", "created_at")):
+                stateful.closing_rows(spark.read.parquet(f"{folder}/{name}"), time, datetime(2100, 1, 1), data_hash=f"end {name}").write.mode("append").parquet(f"{folder}/{name}")
+        stateful.advance(stateful.first_matches(live.read_stream(spark, f"{folder}/a"), live.read_stream(spark, f"{folder}/p"), "'60' MINUTE", window="1 hour"), f"{folder}/run")
+    got = stateful.results(spark, f"{folder}/run", "request_id bigint, data_hash string, verification_id string").drop("batch")
+    want = consensus.first_match(spark.createDataFrame(sum(a, []), asked), spark.createDataFrame(sum(p, []), pending), "'60' MINUTE")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "x", "v0"), (2, "y", "v2"), (3, "x", "v3")]
 
 
 def test_counters_add_up_over_batches(spark, tmp_path):

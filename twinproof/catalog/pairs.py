@@ -190,7 +190,10 @@ SUBMISSION_SQL = f"""
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table in audit-log shape."""
-    e = table(spark, sf_dir, "events")
+    return audit_shape(table(spark, sf_dir, "events"))
+
+
+def audit_shape(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     mapped = F.create_map(*[F.lit(x) for pair in EVENT_KINDS.items() for x in pair])
     return e.select(

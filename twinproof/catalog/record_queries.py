@@ -147,13 +147,17 @@ def agreement_rate(spark, sf):
 
 @query(
     "collusion_grid",
-    f"""WITH {SUBMISSION_SQL}, g AS (SELECT n, f FROM (SELECT unnest([3, 5, 7]) AS n), range(0, 8) t(f) WHERE f <= n),
-    c AS (SELECT CAST(n AS INTEGER) AS n, CAST(f AS INTEGER) AS f, overall AS h, CASE WHEN overall >= 70 THEN 0 ELSE 100 END AS a FROM verdict, g)
-    SELECT n, f, count(*) AS verifications, count(*) FILTER ((CASE WHEN 2 * f > n THEN a ELSE h END >= 70) <> (h >= 70)) AS moved,
-           count(*) FILTER (f / CAST(n AS DOUBLE) * (1 - f / CAST(n AS DOUBLE)) * (a - h) * (a - h) > 400) AS disputed, f <= (n - 1) // 2 AS within_tolerance FROM c GROUP BY n, f""",
+    f"""WITH {SUBMISSION_SQL}, p AS (SELECT n, verification_id, turn, overall FROM quorum, (SELECT unnest([3, 5, 7]) AS n) WHERE turn <= n AND received >= n),
+    h AS (SELECT n, verification_id, CASE WHEN round(var_pop(overall), 9) > 400 THEN 'consensus_failed' WHEN median(overall) >= 70 THEN 'approved' ELSE 'rejected' END AS honest FROM p GROUP BY 1, 2),
+    a AS (SELECT n, CAST(f AS INTEGER) AS f, verification_id, honest, CASE WHEN turn <= n - f THEN overall WHEN honest = 'approved' THEN 0.0 ELSE 100.0 END AS o
+          FROM p JOIN h USING (n, verification_id), range(0, 8) t(f) WHERE f <= n),
+    v AS (SELECT n, f, verification_id, honest, CASE WHEN round(var_pop(o), 9) > 400 THEN 'consensus_failed' WHEN median(o) >= 70 THEN 'approved' ELSE 'rejected' END AS status FROM a GROUP BY 1, 2, 3, 4)
+    SELECT n, f, count(*) AS verifications, count(*) FILTER (status = CASE WHEN honest = 'approved' THEN 'rejected' ELSE 'approved' END) AS moved,
+           count(*) FILTER (status = 'consensus_failed' AND honest <> 'consensus_failed') AS disputed, f <= (n - 1) // 2 AS within_tolerance FROM v GROUP BY n, f""",
 )
 def collusion_grid(spark, sf):
-    return consensus.collusion(consensus.consensus(submissions(spark, sf)))
+    """Verdicts of altered panels, each found by the consensus operator."""
+    return consensus.collusion(submissions(spark, sf))
 
 
 # ------------------------------------------------------------------ audit log
@@ -271,7 +275,10 @@ LEDGER_KINDS = {"signup": "generation", "view": "verification", "purchase": "con
 
 
 def ledger_log(spark, sf):
-    e = table(spark, sf, "events")
+    return ledger_shape(table(spark, sf, "events"))
+
+
+def ledger_shape(e):
     kinds = F.create_map(*[F.lit(x) for pair in LEDGER_KINDS.items() for x in pair])
     return ledger.entries(
         e,

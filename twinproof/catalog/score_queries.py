@@ -1,9 +1,7 @@
-"""Scorecards, reports, ablation, trials, model and streaming queries."""
+"""Scorecards, reports, ablation, trials and model queries."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from twinproof.catalog.fairness_queries import GOOD, PROTECTED, RATES_SQL, TARGET
@@ -13,25 +11,19 @@ from twinproof.catalog.pairs import (
     APPLICANT_NUMBERS,
     APPLICANT_ROLES,
     APPLICANT_SQL,
-    AUDIT_SQL,
     SPLIT_ROLES,
-    SUBMISSION_ORDER,
     SUBMISSION_SQL,
     applicants,
-    audit_events,
     lineitem_split,
     submissions,
     table,
 )
 from twinproof.catalog.privacy_queries import ALL_ROWS, POINT_LABELS, POINT_NUMBERS, points_sql, scaled_sql
-from twinproof.catalog.record_queries import BLOCK_SQL, CONSENSUS_SQL, ledger_log
 from twinproof.catalog.registry import query
 from twinproof.catalog.utility_queries import JS_SQL, cdf_sql, corr_sql, counts_sql
 from twinproof.functions.scalar import round6
-from twinproof.operators import chain, consensus, correlation, distance, fairness, models, privacy, utility
+from twinproof.operators import consensus, correlation, distance, fairness, models, privacy, utility
 from twinproof.plans import scorecard, trials
-from twinproof.session import shared_dir
-from twinproof.streaming import live
 
 _QI = ", ".join(APPLICANT_ROLES.quasi_identifiers)
 
@@ -252,88 +244,3 @@ def rf_tstr_evaluator(spark, sf):
 @query("rf_eod")
 def rf_eod(spark, sf):
     return models.equal_opportunity(*applicants(spark, sf), APPLICANT_NUMBERS, APPLICANT_LABELS, PROTECTED, TARGET)
-
-
-# ------------------------------------------------------------------- streaming
-
-
-def _folder(spark, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-@query("stream_consensus", CONSENSUS_SQL)
-def stream_consensus(spark, sf):
-    items = live.read_stream(spark, f"{sf}/lineitem.parquet")
-    order = (*SUBMISSION_ORDER, "l_suppkey")
-    arriving = items.select(
-        F.col("l_orderkey").alias("verification_id"),
-        F.col("l_suppkey").alias("verifier_id"),
-        (F.col("l_quantity") * 2).alias("privacy"),
-        (F.col("l_discount") * 1000).alias("utility"),
-        (100 - F.col("l_tax") * 500).alias("fairness"),
-        *order,
-    )
-    out = live.run_to_files(live.consensus_stream(arriving, order, timeout_seconds=None), _folder(spark, "stream-consensus"))
-    finals = ("privacy", "utility", "fairness", "overall")
-    return out.withColumns({**{c: round6(F.col(c)) for c in finals}, "variance": F.round("variance", 4)})
-
-
-@query("stream_blocks", f'{BLOCK_SQL} SELECT idx AS "index", n_entries, previous_hash, hash FROM sl')
-def stream_blocks(spark, sf):
-    folder = _folder(spark, "stream-blocks")
-    entries = ledger_log(_Streams(spark), sf)
-    live.seal_stream(entries, folder, every=None).awaitTermination()
-    blocks = live.sealed_blocks(spark, folder)
-    sealed = chain.seal(blocks.select("index", "digest")).where("level = 1")
-    return sealed.join(blocks.select("index", "n_entries"), "index").select("index", "n_entries", "previous_hash", "hash")
-
-
-class _Streams:
-    """Reads tables as streams where a table builder expects a session."""
-
-    def __init__(self, spark):
-        self._spark = spark
-        self.read = self
-
-    def parquet(self, path: str):
-        return live.read_stream(self._spark, path)
-
-
-_WINDOWED = f"""WITH {AUDIT_SQL} SELECT strftime(time_bucket(INTERVAL '1 day', "timestamp"), '%Y-%m-%d %H:%M') AS start, event_type, level, count(*) AS n FROM audit GROUP BY 1, 2, 3"""
-
-
-@query("stream_counters", _WINDOWED)
-def stream_counters(spark, sf):
-    events = audit_events(_Streams(spark), sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    keys = ["event_type", "level"]
-    counts = live.counters(events, F.window("timestamp", "1 day"), keys)
-    out = live.run_counters(counts, _folder(spark, "stream-counters"), keys)
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), *keys, "n")
-
-
-@query(
-    "stream_sliding",
-    f"""WITH {AUDIT_SQL}, w AS (SELECT time_bucket(INTERVAL '12 hours', "timestamp") - o * INTERVAL '12 hours' AS st, event_type FROM audit, range(0, 2) t(o))
-    SELECT strftime(st, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""",
-)
-def stream_sliding(spark, sf):
-    events = audit_events(_Streams(spark), sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    counts = live.counters(events, F.window("timestamp", "24 hours", "12 hours"), ["event_type"])
-    out = live.run_counters(counts, _folder(spark, "stream-sliding"), ["event_type"])
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
-
-
-@query(
-    "stream_sessions",
-    f"""WITH {AUDIT_SQL}, g AS (SELECT actor, "timestamp" AS t, CASE WHEN "timestamp" - lag("timestamp") OVER (PARTITION BY actor ORDER BY "timestamp") <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM audit),
-    k AS (SELECT *, sum(fresh) OVER (PARTITION BY actor ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g),
-    s AS (SELECT actor, sid, min(t) AS a, max(t) + INTERVAL '6 hours' AS b, count(*) AS n FROM k GROUP BY 1, 2)
-    SELECT actor, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM s""",
-)
-def stream_sessions(spark, sf):
-    events = audit_events(_Streams(spark), sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    counts = live.counters(events, F.session_window("timestamp", "6 hours"), ["actor"])
-    closed = live.run_to_files(counts, _folder(spark, "stream-sessions"))
-    batch = audit_events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    out = live.with_open_sessions(closed, batch, "6 hours", ["actor"])
-    return out.select("actor", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

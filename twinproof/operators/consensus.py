@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import ratio, short_id, weighted_score
 from twinproof.operators.running import group_medians
+from twinproof.session import settle
 
 QUORUM = 3
 PIVOT_QUORUM = 9
@@ -67,8 +68,9 @@ def signed(submissions: DataFrame) -> DataFrame:
 
 
 def _verdict(variance: Column, overall: Column, threshold: float) -> Column:
+    # nine digits: the order in which a variance is summed does not decide
     return (
-        F.when(variance > MAX_VARIANCE, "consensus_failed").when(overall >= threshold, "approved").otherwise("rejected")
+        F.when(F.round(variance, 9) > MAX_VARIANCE, "consensus_failed").when(overall >= threshold, "approved").otherwise("rejected")
     )
 
 
@@ -188,35 +190,92 @@ def agreement_rate(submissions: DataFrame, within: float = AGREEMENT) -> DataFra
     )
 
 
-def collusion(records: DataFrame, panels: Sequence[int] = (3, 5, 7), threshold: float = THRESHOLD) -> DataFrame:
-    """Can f colluding verifiers of n move a verdict? Counted over all records.
+def judged(requests: DataFrame, submissions: DataFrame, deadline: str, as_of: Column, quorum: int = QUORUM, threshold: float = THRESHOLD) -> DataFrame:
+    """Verdicts and rejects of requests and submissions (``output`` tells which).
 
-    Honest verifiers repeat the recorded overall score, colluders push towards
-    the opposite verdict with 0 or 100. The panel scenarios are a fixed array
-    next to each record. The median is the honest score while colluders are a
-    minority, theirs when they are a majority, and halfway on a tie.
+    ``requests`` has (verification_id, created_at), ``submissions`` (verification_id,
+    verifier_id, event_time, place, scores); they count by time, then place. The first
+    ``quorum`` verifiers up to ``deadline`` (an interval text) after the request
+    have a seat. Every other submission is a reject with its reason: ``unknown``
+    (no request before it), ``closed`` (quorum reached), ``expired`` (after the deadline),
+    ``duplicate`` (the verifier has a seat), ``invalid`` (no verifier, or a score is missing). A request without quorum whose deadline has passed
+    by ``as_of`` has the verdict ``expired``.
     """
-    grid = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n in panels for f in range(n + 1)])
+    opened = requests.groupBy("verification_id").agg(F.min("created_at").alias("created_at"))
+    opened = opened.withColumn("deadline", F.expr(f"created_at + INTERVAL {deadline}"))
+    known = submissions.join(opened, "verification_id", "left").withColumn("at", F.struct("event_time", "place"))
+    asked = F.coalesce(F.col("created_at") <= F.col("event_time"), F.lit(False))
+    whole = F.lit(True)
+    for c in ("verifier_id", *SCORES):
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    timely = known.where(asked & (F.col("event_time") <= F.col("deadline")) & whole)
+    first = F.min(F.struct("at", *SCORES)).alias("first")
+    order = Window.partitionBy("verification_id").orderBy("first.at", "verifier_id")
+    seats = timely.groupBy("verification_id", "verifier_id").agg(first).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= quorum)
+    seats = seats.select("verification_id", "verifier_id", "first.*", "turn").withColumn("overall", weighted_score(*[F.col(s) for s in SCORES]))
+    panels = seats.groupBy("verification_id").agg(
+        F.count("*").alias("num_verifiers"), F.max("at").alias("closed_at"), F.var_pop("overall").alias("variance"), *[F.median(s).alias(s) for s in FINALS]
     )
-    honest = F.col("overall")
-    attack = F.when(honest >= threshold, F.lit(0.0)).otherwise(F.lit(100.0))
-    twice, n = F.col("f") * 2, F.col("n")
-    final = F.when(twice > n, attack).when(twice == n, (attack + honest) / 2).otherwise(honest)
-    share = F.col("f") / F.col("n")
-    variance = share * (1 - share) * (attack - honest) * (attack - honest)
-    cases = records.select("overall", grid.alias("g")).select("overall", "g.*")
-    judged = cases.select(
-        "n",
-        "f",
-        ((final >= threshold) != (honest >= threshold)).alias("moved"),
-        (variance > MAX_VARIANCE).alias("disputed"),
+    full = panels.where(F.col("num_verifiers") == quorum)
+    nothing = {c: F.lit(None).cast(t) for c, t in (("verifier_id", "bigint"), ("place", "bigint"), ("reason", "string"), ("status", "string"), ("num_verifiers", "bigint"), *[(s, "double") for s in FINALS], ("variance", "double"))}
+    shape = ["output", "verification_id", "verifier_id", "place", "reason", "num_verifiers", *FINALS, "variance", "status"]
+
+    def rows(frame: DataFrame, output: str) -> DataFrame:
+        return frame.withColumns({c: x for c, x in nothing.items() if c not in frame.columns}).withColumn("output", F.lit(output)).select(*shape)
+
+    decided = full.withColumn("status", _verdict(F.col("variance"), F.col("overall"), threshold))
+    open_ = opened.where(F.col("deadline") <= as_of).join(panels.select("verification_id", "num_verifiers"), "verification_id", "left")
+    open_ = open_.withColumn("num_verifiers", F.coalesce("num_verifiers", F.lit(0))).where(F.col("num_verifiers") < quorum).withColumn("status", F.lit("expired"))
+    met = known.join(full.select("verification_id", "closed_at"), "verification_id", "left")
+    met = met.join(seats.select("verification_id", "verifier_id", F.col("at").alias("seat_at")), ["verification_id", "verifier_id"], "left")
+    reason = (
+        F.when(~asked, "unknown")
+        .when(F.col("at") > F.col("closed_at"), "closed")
+        .when(F.col("event_time") > F.col("deadline"), "expired")
+        .when(F.col("at") > F.col("seat_at"), "duplicate")
+        .when(~whole, "invalid")
     )
-    return judged.groupBy("n", "f").agg(
-        F.count("*").alias("verifications"),
-        F.count(F.when(F.col("moved"), 1)).alias("moved"),
-        F.count(F.when(F.col("disputed"), 1)).alias("disputed"),
-    ).withColumn("within_tolerance", F.col("f") <= F.floor((F.col("n") - 1) / 2))
+    refused = met.select("verification_id", "verifier_id", "place", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return rows(decided.drop("closed_at"), "verdict").unionByName(rows(open_, "verdict")).unionByName(rows(refused, "reject"))
+
+
+def collusion(submissions: DataFrame, panels: Sequence[int] = (3, 5, 7), threshold: float = THRESHOLD) -> DataFrame:
+    """(n, f, verifications, moved, disputed): do f colluding verifiers of n move a verdict?
+
+    Every request with n verifiers is judged by ``consensus`` twice: as it came, and with
+    the last f of its first n submissions altered to 0 or 100, whichever is the
+    opposite verdict. ``moved`` counts verdicts that changed to the opposite one, ``disputed``
+    those that failed on their variance instead.
+    """
+    firsts = first_submissions(submissions)
+    turn = F.row_number().over(Window.partitionBy("verification_id").orderBy("arrival", "verifier_id"))
+    placed = settle(firsts.withColumn("turn", turn).where(F.col("turn") <= max(panels)), "panels")
+    out = None
+    for n in panels:
+        panel = placed.where(F.col("turn") <= n)
+        honest = consensus(panel, n, threshold).select("verification_id", F.col("status").alias("honest"))
+        judged_ = panel.join(honest, "verification_id").withColumn("f", F.explode(F.array(*[F.lit(f) for f in range(n + 1)])))
+        push = F.when(F.col("honest") == "approved", F.lit(0.0)).otherwise(F.lit(100.0))
+        bad = F.col("turn") > n - F.col("f")
+        key = F.struct("verification_id", "f")
+        altered = judged_.select(key.alias("verification_id"), "verifier_id", "arrival", *[F.when(bad, push).otherwise(F.col(s)).alias(s) for s in SCORES])
+        after = consensus(altered, n, threshold).select("verification_id.*", "status").join(honest, "verification_id")
+        opposite = F.when(F.col("honest") == "approved", "rejected").otherwise("approved")
+        counts = after.groupBy(F.lit(n).alias("n"), "f").agg(
+            F.count("*").alias("verifications"),
+            F.count(F.when(F.col("status") == opposite, 1)).alias("moved"),
+            F.count(F.when((F.col("status") == "consensus_failed") & (F.col("honest") != "consensus_failed"), 1)).alias("disputed"),
+        )
+        out = counts if out is None else out.unionByName(counts)
+    return out.withColumn("within_tolerance", F.col("f") <= F.floor((F.col("n") - 1) / 2))
+
+
+def first_match(requests: DataFrame, pending: DataFrame, within: str) -> DataFrame:
+    """(request_id, data_hash, verification_id): the earliest pending verification of a request's
+    data hash that was created from the request on, up to ``within`` (an interval text) after it."""
+    left = requests.select("request_id", F.col("data_hash").alias("wanted"), "requested_at")
+    met = left.join(pending, F.expr(f"wanted = data_hash AND created_at >= requested_at AND created_at <= requested_at + INTERVAL {within}"))
+    return met.groupBy("request_id", "data_hash").agg(F.min_by("verification_id", F.struct("created_at", "verification_id")).alias("verification_id"))
 
 
 def first_pending_request(pending: DataFrame, request_column: str = "data_hash") -> DataFrame:

@@ -1,26 +1,10 @@
-"""Streaming twins of consensus, block sealing and audit counters."""
+"""Tables read as streams, and live counters over them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from statistics import median, pvariance
-
-import pandas as pd
+from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from twinproof.operators import ledger
-from twinproof.operators.consensus import MAX_VARIANCE, QUORUM, THRESHOLD
-
-VERDICT_SCHEMA = """
-    verification_id bigint, num_verifiers bigint, privacy double, utility double, fairness double,
-    overall double, variance double, status string
-"""
-VERDICT_COLUMNS = ["verification_id", "num_verifiers", "privacy", "utility", "fairness", "overall", "variance", "status"]
-IDLE_SECONDS = 604_800  # state of a request that nothing has come for in a week goes
-STATE_SCHEMA = "verifiers array<bigint>, privacy array<double>, utility array<double>, fairness array<double>, closed boolean"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,76 +17,6 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path[:-1] + f"[{path[-1]}]")
 
 
-def _earliest(rows: pd.DataFrame, order: Sequence[str], quorum: int) -> pd.DataFrame:
-    """The first submission of each verifier, the first ``quorum`` verifiers of each request."""
-    ranked = rows.sort_values([*order, "verifier_id"], kind="stable")
-    firsts = ranked.drop_duplicates(["verification_id", "verifier_id"])
-    return firsts.groupby("verification_id", sort=False).head(quorum)
-
-
-def consensus_stream(
-    submissions: DataFrame,
-    order: Sequence[str],
-    quorum: int = QUORUM,
-    threshold: float = THRESHOLD,
-    timeout_seconds: int | None = IDLE_SECONDS,
-) -> DataFrame:
-    """Verdicts as requests reach their quorum; later submissions are refused.
-
-    Inside a micro-batch submissions count in ``order``; across batches in
-    the order of the batches. Each input batch first keeps only the few rows
-    that can still matter per request, so a request flooded with submissions
-    sends a handful of rows per task through the shuffle. State holds at most
-    ``quorum`` submissions per open request and a mark for a closed one. With
-    a timeout (a week unless set), state idle for that long is dropped. A run that is
-    to stop when its input is used up takes None: timeouts ask for further batches for ever.
-    """
-    columns = ["verification_id", "verifier_id", "privacy", "utility", "fairness", *order]
-
-    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _earliest(pdf, order, quorum)
-
-    def decide(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = state.getOption or ([], [], [], [], False)
-        taken = list(zip(*[list(x or []) for x in known[:4]]))
-        closed, open_seats = bool(known[4]), quorum - len(known[0] or [])
-        seen = {row[0] for row in taken}
-        best: list[tuple] = []
-        for pdf in chunks:
-            if closed:
-                continue
-            rows = zip(*[pdf[c].tolist() for c in (*order, "verifier_id", "privacy", "utility", "fairness")])
-            firsts: dict[int, tuple] = {}
-            for row in sorted([*best, *rows], key=lambda r: r[: len(order) + 1]):
-                if row[-4] not in seen:
-                    firsts.setdefault(row[-4], row)
-            best = list(firsts.values())[:open_seats]
-        taken += [row[-4:] for row in best]
-        if not closed and len(taken) >= quorum:
-            _, privacy, utility, fairness = zip(*taken)
-            overall = [0.4 * p + 0.35 * u + 0.25 * f for p, u, f in zip(privacy, utility, fairness)]
-            middle, variance = median(overall), pvariance(overall)
-            status = "consensus_failed" if variance > MAX_VARIANCE else "approved" if middle >= threshold else "rejected"
-            values = (key[0], len(taken), median(privacy), median(utility), median(fairness), middle, variance, status)
-            yield pd.DataFrame([values], columns=VERDICT_COLUMNS)
-            closed, taken = True, []
-        state.update((*([list(x) for x in zip(*taken)] or [[], [], [], []]), closed))
-        if timeout_seconds:
-            state.setTimeoutDuration(timeout_seconds * 1000)
-
-    few = submissions.select(*columns)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_seconds else GroupStateTimeout.NoTimeout
-    return (
-        few.mapInPandas(reduce_batches, few.schema)
-        .groupBy("verification_id")
-        .applyInPandasWithState(decide, VERDICT_SCHEMA, STATE_SCHEMA, "append", timeout)
-    )
-
-
 def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
     """Process all available input into Parquet files and read them back."""
     query = (
@@ -117,29 +31,6 @@ def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def seal_stream(entries: DataFrame, folder: str, every: str | None = "5 seconds") -> StreamingQuery:
-    """Digest the entries of each micro-batch for sealing.
-
-    A batch writes its own folder, named by its number and overwritten on a
-    retry, so no entry is counted twice. Digests, the costly part, are computed
-    once, as entries come; ``sealed_blocks`` joins them to blocks by number, so a
-    batch may end anywhere inside a block. ``every=None`` processes what is
-    available and stops.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        ledger.digests(batch).write.mode("overwrite").parquet(f"{folder}/entries/batch={number}")
-
-    writer = entries.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
-
-
-def sealed_blocks(spark: SparkSession, folder: str, block_entries: int = 100) -> DataFrame:
-    """Blocks of the entries that came so far; the last one may still be open."""
-    return ledger.blocks_of(spark.read.parquet(f"{folder}/entries"), block_entries)
-
-
 def counters(
     events: DataFrame, window: Column | Callable[[], Column], keys: Sequence[str], time: str = "timestamp", late: str = "1 hour"
 ) -> DataFrame:
@@ -176,16 +67,3 @@ def run_counters(counts: DataFrame, folder: str, keys: Sequence[str]) -> DataFra
     query.awaitTermination()
     updates = counts.sparkSession.read.parquet(f"{folder}/counts")
     return updates.groupBy("start", "end", *keys).agg(F.max_by("n", "batch").alias("n"))
-
-
-def with_open_sessions(closed: DataFrame, events: DataFrame, gap: str, keys: Sequence[str], time: str = "timestamp") -> DataFrame:
-    """Closed sessions of a stream that has ended, and those it still held open.
-
-    Sessions close in time order, so what is open is made of the events from
-    the end of each key's last closed session on; ``events`` is the same source, read once more.
-    """
-    keys = list(keys)
-    ends = closed.groupBy(*keys).agg(F.max("end").alias("_end"))
-    rest = events.join(ends, keys, "left").where(F.col("_end").isNull() | (F.col(time) >= F.col("_end")))
-    still = rest.groupBy(F.session_window(time, gap).alias("span"), *keys).agg(F.count("*").alias("n"))
-    return closed.unionByName(still.select(F.col("span.start").alias("start"), F.col("span.end").alias("end"), *keys, "n"))
