@@ -132,8 +132,16 @@ def test_bootstrap_draws_exact_counts_of_known_rows(spark):
     assert out.groupby("g").size().to_dict() == {"hot": 500, "g0": 20}
     known = set(map(tuple, df.toPandas().to_numpy().tolist()))
     assert set(map(tuple, out.to_numpy().tolist())) <= known
-    again = sampling.bootstrap(df, targets, ["g"]).toPandas()
-    assert len(again) == len(out)
+    again = sampling.bootstrap(df.repartition(2), targets, ["g"])
+    other = sampling.bootstrap(df.repartition(7), targets, ["g"])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, other.collect())) == sorted(map(tuple, out.to_numpy().tolist()))
+
+
+def test_places_are_numbers_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 5)  # two digits of the hash
+    df = _copies(spark).withColumn("h", F.when(F.col("g") != "g2", F.col("g")))
+    out = sampling.placed(df, ["h"]).groupBy("_g").agg(F.sort_array(F.collect_list("_place")).alias("p")).collect()
+    assert all(list(r["p"]) == list(range(len(r["p"]))) for r in out) and sum(len(r["p"]) for r in out) == df.count()
 
 
 def test_bootstrap_is_uniform_over_rows(spark):
@@ -153,8 +161,28 @@ def test_conditional_and_noisy_rows(spark):
     assert sampling.conditional_rows(df, "g", "g1", 30).select("g").distinct().collect() == [("g1",)]
     noisy = sampling.gaussian_noise(df.withColumn("x", F.lit(0.0)), ["x"], 0.1).agg(F.stddev("x")).first()[0]
     assert 0.08 < noisy < 0.12
-    made = sampling.marginal_rows(spark, 1000, ["c"], ["x"])
+    again = [sampling.gaussian_noise(df.withColumn("x", F.lit(1.0)).repartition(n), ["x"], 0.1, 7).orderBy("x").collect() for n in (2, 7)]
+    assert again[0] == again[1] and len({r["x"] for r in again[0]}) == df.count()  # copies differ
+    made = sampling.mock_rows(spark, 1000, ["c"], ["x"])
     assert made.count() == 1000 and made.select("c").distinct().count() == 5
+    assert made.agg(F.avg("x"), F.stddev("x")).first()[0] == pytest.approx(50, abs=1.5)
+
+
+@pytest.mark.parametrize("buckets", [3, 64])
+def test_marginals_follow_their_columns(spark, buckets):
+    rng = np.random.default_rng(3)
+    rows = [(float(x) if i % 9 else None, "hot" if i % 3 == 0 else f"v{i % 40}", None) for i, x in enumerate(rng.normal(size=3000).round(2))]
+    rows += [(0.5, "hot", None)] * 1500  # one value holds a third
+    df = spark.createDataFrame(rows, "x double, c string, nothing string")
+    made = [sampling.marginal_rows(df.repartition(n), 4000, ["c", "nothing"], ["x"], buckets=buckets) for n in (2, 5)]
+    a, b = (m.toPandas() for m in made)
+    assert len(a) == 4000 and sorted(map(str, a.to_numpy().tolist())) == sorted(map(str, b.to_numpy().tolist()))
+    assert a["nothing"].isna().all() and a["x"].notna().all()
+    real = np.sort([r[0] for r in rows if r[0] is not None])
+    gap = np.abs(np.searchsorted(np.sort(a["x"]), real, "right") / 4000 - np.searchsorted(real, real, "right") / len(real)).max()
+    assert gap < 1.95 / np.sqrt(4000)  # Kolmogorov bound at one in a thousand
+    share = sum(r[1] == "hot" for r in rows) / len(rows)
+    assert abs((a["c"] == "hot").mean() - share) < 0.03
 
 
 def test_nearest_distances_against_brute_force(spark, monkeypatch):

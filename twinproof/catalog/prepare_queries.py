@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from twinproof.catalog.pairs import (
     APPLICANT_COLUMNS,
+    APPLICANT_LABELS,
+    APPLICANT_NUMBERS,
     APPLICANT_SQL,
     DIRTY_SQL,
     SPLIT_COLUMNS,
+    SPLIT_LABELS,
     SPLIT_NUMBERS,
     SPLIT_SQL,
     applicants,
@@ -315,11 +318,63 @@ def strat_bootstrap(spark, sf):
     )
 
 
-@query("bootstrap_rows")
+_ROW_CANON = canon_sql("d:o_totalprice", "d:c_acctbal", *APPLICANT_COLUMNS[2:])
+_STRATA = ("c_mktsegment", "r_name")
+
+
+def _draw_sql(text: str, size: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) % {size}"
+
+
+BOOTSTRAP_SQL = f"""{APPLICANT_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, r_name ORDER BY md5({_ROW_CANON})) - 1 AS place, row_number() OVER (ORDER BY md5({_ROW_CANON})) - 1 AS anywhere FROM r),
+  g AS (SELECT c_mktsegment, r_name, {canon_sql(*_STRATA)} AS text, count(*) AS n, greatest(1, CAST(round_even(count(*) * 7400 / CAST((SELECT count(*) FROM r) AS DOUBLE), 0) AS BIGINT)) AS target FROM r GROUP BY 1, 2),
+  d AS (SELECT c_mktsegment, r_name, {_draw_sql("'42:' || text || ':' || i", 'n')} AS place FROM (SELECT *, unnest(range(1, target + 1)) AS i FROM g)),
+  md AS (SELECT {', '.join(f'k.{c}' for c in APPLICANT_COLUMNS)} FROM d JOIN k USING (c_mktsegment, r_name, place)),
+  x AS (SELECT {_draw_sql("'43::' || i", '(SELECT count(*) FROM r)')} AS anywhere FROM range(1, CAST(7401 - least(7400, (SELECT sum(target) FROM g)) AS BIGINT)) t(i)),
+  al AS (SELECT * FROM md UNION ALL SELECT {', '.join(APPLICANT_COLUMNS)} FROM x JOIN k USING (anywhere))"""
+
+
+@query("bootstrap_rows", f"WITH {BOOTSTRAP_SQL} SELECT * FROM al ORDER BY md5({_ROW_CANON}) LIMIT 7400")
 def bootstrap_rows(spark, sf):
-    """As many generated rows as real ones, stratified by the protected columns."""
-    real = applicants(spark, sf)[0]
-    return sampling.stratified_bootstrap(real, 7500, ["c_mktsegment", "r_name"])
+    """Generated rows, stratified by the protected columns, row by row those of the SQL."""
+    return sampling.stratified_bootstrap(applicants(spark, sf)[0], 7400, list(_STRATA))
+
+
+@query(
+    "conditional_rows",
+    f"""WITH {APPLICANT_SQL}, k AS (SELECT *, row_number() OVER (ORDER BY md5({_ROW_CANON})) - 1 AS place, count(*) OVER () AS n FROM r WHERE o_orderstatus = 'F'),
+    d AS (SELECT {_draw_sql("'42::' || i", "(SELECT max(n) FROM k)")} AS place FROM range(1, 3001) t(i))
+    SELECT {', '.join(APPLICANT_COLUMNS)} FROM d JOIN k USING (place)""",
+)
+def conditional_rows(spark, sf):
+    return sampling.conditional_rows(applicants(spark, sf)[0], "o_orderstatus", "F", 3000)
+
+
+def _normal_sql(text: str) -> str:
+    bits = "CAST('0x' || substr(md5({0}), {1}, 13) AS BIGINT)"
+    return f"sqrt(-2 * ln(({bits.format(text, 1)} + 1) / {2.0**52!r})) * cos(2 * pi() * ({bits.format(text, 14)} / {2.0**52!r}))"
+
+
+@query(
+    "noise_rows",
+    f"""WITH {SPLIT_SQL}, k AS (SELECT *, md5({_SPLIT_CANON}) AS h, row_number() OVER (PARTITION BY {', '.join(SPLIT_COLUMNS)}) AS copy FROM r)
+    SELECT {', '.join(f"round({c} + {_normal_sql(f"'42:{c}:' || h || ':' || copy")} * 0.1, 6) AS {c}" for c in SPLIT_NUMBERS)}, {', '.join(SPLIT_LABELS)} FROM k""",
+)
+def noise_rows(spark, sf):
+    """The real rows with normal noise on their numbers."""
+    out = sampling.gaussian_noise(lineitem_split(spark, sf)[0], SPLIT_NUMBERS, 0.1)
+    return out.withColumns({c: round6(F.col(c)) for c in SPLIT_NUMBERS})
+
+
+@query(
+    "marginal_rows",
+    f"""WITH {APPLICANT_SQL}, {', '.join(f"""p_{c} AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS place FROM r WHERE {c} IS NOT NULL),
+      d_{c} AS (SELECT i, {_draw_sql(f"'42:{c}:' || i", f"(SELECT count(*) FROM p_{c})")} AS place FROM range(1, 5001) t(i))""" for c in APPLICANT_COLUMNS)}
+    SELECT {', '.join(APPLICANT_COLUMNS)} FROM range(1, 5001) t(i) {' '.join(f"JOIN (SELECT i, {c} FROM d_{c} JOIN p_{c} USING (place)) USING (i)" for c in APPLICANT_COLUMNS)}""",
+)
+def marginal_rows(spark, sf):
+    """Rows whose columns are drawn one by one from the columns' own distributions."""
+    return sampling.marginal_rows(applicants(spark, sf)[0], 5000, APPLICANT_LABELS, APPLICANT_NUMBERS).select(*APPLICANT_COLUMNS)
 
 
 _QUALITY = f"{DIRTY_SQL}, tot AS (SELECT count(*) AS n FROM dirty)"

@@ -7,23 +7,38 @@ counted and split by their place, never gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinproof.functions.scalar import row_md5
-from twinproof.operators.running import position_in
+from twinproof.functions.scalar import row_md5, row_text
+from twinproof.operators.distributions import unpivoted
+from twinproof.operators.running import running_totals
 from twinproof.session import bucket_count, settle
 
 # Digits of (32 of the row's hash, 32 of its place) that are fixed step by step.
 KEY_DIGITS = (4, 32, 36, 64)
 REPLICATE_BLOCK = 10_000
+SAMPLE_DIGITS = 4
+BUCKET_ROWS = 100_000  # distinct rows of a stratum whose places are counted together, about
 
 
 def bounded_sample(df: DataFrame, n: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """At most ``n`` rows in hash order: per-partition top-n, then a merge."""
-    return df.orderBy(row_md5(df, columns)).limit(n)
+    """At most ``n`` rows in hash order.
+
+    Rows are counted by the first digits of their hash; only those up to the
+    digits that hold the n-th row are ordered, so the merge sees about ``n``
+    rows and one bucket instead of ``n`` of every partition.
+    """
+    name = "_hash"
+    hashed = df.withColumn(name, row_md5(df, columns))
+    prefix = F.substring(name, 1, SAMPLE_DIGITS)
+    counts = hashed.groupBy(prefix.alias("p")).agg(F.count("*").alias("m"))  # 16 ** SAMPLE_DIGITS rows at most
+    upto = counts.withColumn("upto", F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edge = upto.where(F.col("upto") >= n).agg(F.coalesce(F.min("p"), F.lit("g"))).scalar()
+    return hashed.where(prefix <= edge).orderBy(name).limit(n).drop(name)
 
 
 def replicate(df: DataFrame, times: str, number: str | None = None) -> DataFrame:
@@ -130,60 +145,58 @@ def stratum_targets(df: DataFrame, strata: Sequence[str], n: int) -> DataFrame:
     return sizes.select(*strata, "n_source", F.greatest(F.lit(1), share.cast("bigint")).alias("n_target"))
 
 
-def _indexed(df: DataFrame, strata: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with an index inside (stratum, salt), and cumulative salt sizes.
+def md5_bits(text: Column, start: int = 1, digits: int = 15) -> Column:
+    """A whole number from hex digits of the text's MD5 (15 digits: 60 bits)."""
+    return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("bigint")
 
-    The salt ignores content, so copies of one row spread over all salts. The
-    indexed rows are written once; both results read that same table.
-    """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    inside = Window.partitionBy(*strata, "_salt").orderBy(F.lit(0))
-    rows = settle(salted.withColumn("_i", F.row_number().over(inside) - 1), "indexed")
-    run = Window.partitionBy(*strata).orderBy("_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = rows.groupBy(*strata, "_salt").agg(F.count("*").alias("_m")).withColumn("_upto", F.sum("_m").over(run))
-    return rows, sizes
 
+def numbered(df: DataFrame, name: str = "_copy") -> DataFrame:
+    """Every row with its number among its exact copies, from 1; no order of files or partitions matters."""
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_times"))
+    return replicate(counted, "_times", number=name)
 
-def bootstrap(df: DataFrame, targets: DataFrame, strata: Sequence[str], seed: int = 42, salts: int | None = None) -> DataFrame:
+
+def placed(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Rows with ``_g`` (their stratum) and ``_place``, their number inside it from 0, in hash order.
+
+    Copies are counted first, so a row that fills a third of the table is one
+    row until the end. The uniform hash cuts a stratum into buckets by its first
+    digits: places are counted inside a bucket, and bucket totals are added up.
+    """
+    columns = df.columns
+    counted = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    key = F.struct(*[F.col(c) for c in strata]) if strata else F.struct(F.lit(0).alias("all"))
+    rows = settle(counted.withColumn("_h", row_md5(df)).withColumn("_g", key), "counted-rows")
+    digits, buckets = 1, 16
+    total = rows.count()
+    while total > buckets * BUCKET_ROWS and digits < 6:
+        digits, buckets = digits + 1, buckets * 16
+    rows = rows.withColumn("_b", F.substring("_h", 1, digits))
+    over = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_g", "_b").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(over), F.lit(0)))
+    inside = Window.partitionBy("_g", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_within", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets.drop("_m"), ["_g", "_b"])
+    each = replicate(found, "_n", number="_copy")
+    return each.select(*columns, "_g", (F.col("_before") + F.col("_within") + F.col("_copy") - 1).alias("_place"))
+
+
+def bootstrap(df: DataFrame, targets: DataFrame, strata: Sequence[str], seed: int = 42) -> DataFrame:
     """Rows drawn with replacement, ``n_target`` per stratum of ``targets``.
 
-    Every draw picks a uniform position among the stratum's rows; positions
-    are joined to rows on (stratum, salt, index), which is unique.
+    Draw i of a stratum takes the row at place md5(seed, stratum, i) modulo the
+    stratum's rows; draws and rows meet in an equi-join on (stratum, place), which is unique on
+    the side of the rows. The result depends on rows and seed alone, not on
+    files or partitions.
     """
-    salts = salts or 4 * bucket_count(df.sparkSession)
     strata = list(strata)
-    extra = [] if strata else [F.lit(0).alias("_all")]
-    keys = strata or ["_all"]
-    base = df.select(*df.columns, *extra)
-    rows, sizes = _indexed(base, keys, salts)
-    # Per stratum: row count, and where each salt's rows end, in salt order.
-    ladder = settle(
-        sizes.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_upto", "_m", "_salt"))).alias("_steps"), F.sum("_m").alias("_n"))
-        .select(*keys, "_n", "_steps", F.transform("_steps", lambda s: s["_upto"]).alias("_ends")),
-        "ladder",
-    )
-    wanted = targets.select(*strata, *extra, F.col("n_target").alias("_times"))
-    draws = replicate(_null_safe_join(wanted, ladder.select(*keys, "_n"), keys), "_times", number="_draw").select(
-        *keys, F.pmod(F.xxhash64(F.lit(seed), *keys, "_draw"), F.col("_n")).alias("_u")
-    )
-    step = F.col("_steps")[position_in(F.col("_ends"), F.col("_u"), salts)]
-    placed = _null_safe_join(draws, ladder.drop("_n"), keys).select(
-        *keys,
-        step["_salt"].alias("_salt"),
-        (F.col("_u") - (step["_upto"] - step["_m"])).cast("int").alias("_i"),
-    )
-    return _null_safe_join(placed, rows, [*keys, "_salt", "_i"]).select(*df.columns)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r{k}")
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(renamed[f"_r{k}"])
-    return left.join(renamed, condition).drop(*[f"_r{k}" for k in keys])
+    rows = settle(placed(df, strata), "placed-rows")
+    key = F.struct(*[F.col(c) for c in strata]) if strata else F.struct(F.lit(0).alias("all"))
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_size"))
+    text = row_text(targets, strata) if strata else F.lit("")
+    wanted = targets.select(key.alias("_g"), text.alias("_text"), F.col("n_target").alias("_times")).join(sizes, "_g")
+    draws = replicate(wanted, "_times", number="_draw")
+    place = F.pmod(md5_bits(F.concat_ws(":", F.lit(str(seed)), "_text", F.col("_draw").cast("string"))), F.col("_size"))
+    return draws.select("_g", place.alias("_place")).join(rows, ["_g", "_place"]).select(*df.columns)
 
 
 def stratified_bootstrap(df: DataFrame, n: int, strata: Sequence[str], seed: int = 42) -> DataFrame:
@@ -201,20 +214,74 @@ def stratified_bootstrap(df: DataFrame, n: int, strata: Sequence[str], seed: int
     return made
 
 
+def normal(text: Column) -> Column:
+    """A standard normal number that is a function of the text: Box-Muller over 104 bits of its MD5."""
+    scale = float(2**52)
+    u = (md5_bits(text, 1, 13).cast("double") + 1) / scale
+    v = md5_bits(text, 14, 13).cast("double") / scale
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
+
+
 def gaussian_noise(df: DataFrame, columns: Sequence[str], sigma: float = 0.1, seed: int = 42) -> DataFrame:
-    """Add normal noise to number columns."""
-    return df.withColumns({c: F.col(c) + F.randn(seed + i) * sigma for i, c in enumerate(columns)})
-
-
-def marginal_rows(spark, n: int, categorical: Sequence[str], numeric: Sequence[str], seed: int = 42) -> DataFrame:
-    """Independent columns: five labels drawn evenly, numbers from N(50, 10)."""
-    out = spark.range(n)
-    labels = [
-        F.concat(F.lit(f"{c}_val_"), F.floor(F.rand(seed + i) * 5).cast("string")).alias(c)
-        for i, c in enumerate(categorical)
-    ]
-    numbers = [(F.randn(seed + 1000 + i) * 10 + 50).alias(c) for i, c in enumerate(numeric)]
-    return out.select(*labels, *numbers)
+    """Normal noise added to number columns, drawn from (row, copy, column, seed).
+
+    Copies of a row get noise of their own; the rows that come out do not depend
+    on files or partitions.
+    """
+    keyed = numbered(df).withColumn("_h", row_md5(df))
+
+    def noise(c: str) -> Column:
+        return normal(F.concat_ws(":", F.lit(str(seed)), F.lit(c), "_h", F.col("_copy").cast("string"))) * sigma
+
+    return keyed.withColumns({c: F.col(c) + noise(c) for c in columns}).select(*df.columns)
+
+
+def marginal_rows(df: DataFrame, n: int, categorical: Sequence[str], numeric: Sequence[str], seed: int = 42, buckets: int | None = None) -> DataFrame:
+    """``n`` rows whose columns follow the columns of ``df``, each drawn on its own.
+
+    Inverse distribution functions: draw i of a column takes the value at place
+    md5(seed, column, i) modulo its values, in value order. Values with their
+    running totals and the draws are cut into the same ranges of places; inside
+    a range a draw takes the last value that starts at or before it, and a value that reaches
+    over a range is carried into the next. Missing values are not drawn; a
+    column without values is null throughout.
+    """
+    ids = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "_i")
+    parts = [_drawn(df, ids, list(c), kind, seed, buckets) for c, kind in ((categorical, "string"), (numeric, "double")) if c]
+    out = ids
+    for p in parts:
+        out = out.join(p, "_i", "left")
+    kinds = dict(df.dtypes)
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in (*categorical, *numeric)])
+
+
+def _drawn(df: DataFrame, ids: DataFrame, columns: list[str], kind: str, seed: int, buckets: int | None) -> DataFrame:
+    """(_i, one column per name): the values drawn for each row."""
+    buckets = buckets or bucket_count(df.sparkSession)
+    counts = unpivoted(df, columns, kind).groupBy("column", "value").agg(F.count("*").alias("n"))
+    runs = running_totals(counts, ["column"], "value", ["n"]).select("column", "value", (F.col("cum_n") - F.col("n")).alias("place"), "cum_n")
+    runs = settle(runs, "value-runs")
+    sizes = runs.groupBy("column").agg(F.max("cum_n").alias("size"))  # one row per schema column
+    names = ids.select("_i", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")).join(sizes, "column")
+    bits = md5_bits(F.concat_ws(":", F.lit(str(seed)), "column", F.col("_i").cast("string")))
+    draws = names.select("column", F.pmod(bits, F.col("size")).alias("place"), F.col("_i"), F.lit(None).cast(kind).alias("value"))
+    starts = runs.select("column", "place", F.lit(None).cast("bigint").alias("_i"), "value")
+    wide = F.ceil(F.col("size") / buckets)
+    both = starts.unionByName(draws).join(sizes, "column").withColumn("range", F.floor(F.col("place") / wide))
+    before = Window.partitionBy("column", "range").orderBy("place", F.col("_i").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = both.withColumn("own", F.last("value", ignorenulls=True).over(before)).where(F.col("_i").isNotNull())
+    tails = both.groupBy("column", "range").agg(F.max_by("value", F.when(F.col("_i").isNull(), F.col("place"))).alias("tail"))
+    earlier = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("column", "range", F.last("tail", ignorenulls=True).over(earlier).alias("carried"))  # at most ``buckets`` rows per column
+    found = hit.join(carried, ["column", "range"]).select("_i", "column", F.coalesce("own", "carried").alias("value"))
+    return found.groupBy("_i").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns])
+
+
+def mock_rows(spark: SparkSession, n: int, categorical: Sequence[str], numeric: Sequence[str], seed: int = 42) -> DataFrame:
+    """Independent columns without a table: five labels drawn evenly, numbers from N(50, 10)."""
+    text = lambda c: F.concat_ws(":", F.lit(str(seed)), F.lit(c), F.col("id").cast("string"))
+    labels = [F.concat(F.lit(f"{c}_val_"), F.pmod(md5_bits(text(c)), F.lit(5)).cast("string")).alias(c) for c in categorical]
+    return spark.range(1, n + 1).select(*labels, *[(normal(text(c)) * 10 + 50).alias(c) for c in numeric])
 
 
 def conditional_rows(df: DataFrame, column: str, value, n: int, seed: int = 42) -> DataFrame:
