@@ -1,5 +1,6 @@
 """Consensus, chains, ledger, compliance, files and reports."""
 
+import datetime
 import hashlib
 import json
 import os
@@ -7,11 +8,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from twinproof.functions.canonical_json import sorted_text
 from twinproof.functions.scalar import row_sha
 from twinproof.operators import audit, chain, compliance, consensus, generation, ledger, prepare, tamper
 from twinproof.plans import api, scorecard
 from twinproof.roles import ColumnRoles
-from twinproof.sources import files
+from twinproof.sources import chained, files
 
 SUBMISSION = "verification_id long, verifier_id long, privacy double, utility double, fairness double, arrival struct<t:int>"
 
@@ -116,6 +118,45 @@ def test_ledger_append_numbers_equal_entries_one_by_one(spark):
     assert [r["seq"] for r in out] == list(range(6)) and sorted(r["payload"] for r in out[1:]) == ["1", "2", "2", "2", "3"]
 
 
+def test_chained_log_goes_on_and_repeats_are_safe(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "entry_id string, at timestamp, text string"
+    rows = [(f"e{i}", datetime.datetime(2024, 1, 1 + i // 10, 0, i % 60), "x") for i in range(37)]
+    make = lambda a, b: spark.createDataFrame(rows[a:b], schema)
+    empty = chained.append(make(0, 0), path, "none", ["at"], 5)
+    assert (empty["last"], empty["folder"]) == (-1, "")
+    heads = [chained.append(make(*part), path, name, ["at"], 5, "at") for name, part in (("a", (0, 12)), ("b", (12, 20)), ("b", (12, 20)), ("none", (0, 0)), ("c", (20, 37)))]
+    assert heads[1] == heads[2] and [h["number"] for h in heads] == [1, 2, 2, 0, 3] and heads[-1]["last"] == 36
+    whole = chain.build(ledger.numbered(make(0, 37), ["at"], F.lit(-1)), "seq", ["seq", "entry_id", "at", "text"], 5)
+    pick = lambda df: sorted(map(tuple, df.select("seq", "entry_id", "previous_hash", "entry_hash").collect()))
+    assert pick(chained.read(spark, path)) == pick(whole) and chained.verify(spark, path).count() == 0
+    assert chained.read(spark, path, after=19).count() == 17
+    # entries of a writer that died before its claim are not read
+    whole.withColumn("day", F.to_date("at")).write.partitionBy("day").parquet(f"{path}/entries/commit=left")
+    assert chained.read(spark, path).count() == 37
+    with pytest.raises(ValueError):
+        chained.append(make(0, 1), path, "d", ["at"], 7)
+
+
+def test_chained_log_with_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    make = lambda *ids: spark.createDataFrame([(i,) for i in ids], "entry_id string")
+    claim, lost = chained._claim, []
+
+    def slower(spark_, path_, head):
+        if not lost:  # another writer takes the number first
+            lost.append(head)
+            monkeypatch.setattr(chained, "_claim", claim)
+            chained.append(make("other"), path, "other", ["entry_id"])
+            return claim(spark_, path_, head)
+        return claim(spark_, path_, head)
+
+    monkeypatch.setattr(chained, "_claim", slower)
+    assert chained.append(make("mine"), path, "mine", ["entry_id"])["number"] == 1
+    assert sorted((r["seq"], r["entry_id"]) for r in chained.read(spark, path).collect()) == [(0, "other"), (1, "mine")]
+    assert chained.verify(spark, path).count() == 0
+
+
 def test_row_digests_see_every_bit_and_every_border(spark):
     numbers = spark.createDataFrame([(1, 1e-7), (2, 2e-9), (3, -1e-300), (4, 1e300), (5, None), (6, 0.1)], "k int, x double")
     edited = numbers.withColumn("x", F.when(F.col("k") < 5, F.col("x") * (1 + 2.0**-50)).otherwise(F.col("x")))
@@ -221,6 +262,18 @@ def test_imported_chain_is_verified(spark, tmp_path):
     assert found == [(2, "hash_mismatch"), (4, "chain_break"), (4, "hash_mismatch")]
 
 
+def test_sorted_json_text_is_that_of_the_exporter(spark):
+    values = [
+        None, {}, [], {"b": 1, "a": {"z": [1, 2.5, -3e-07, 1e+22, {"y": None, "x": True}], "": "e"}}, [[], [{}], [[1], "a,b:{}[]"]], "plain", 7, {"é": 1, "z": 2, "Z": 3, "日": 4, "😀": 5, "a\"b\\": 6},
+        {"t": "tab\t nl\n cr\r bs\b ff\f \x00\x1f\x7f / ü 日本 😀 \u2028", "k,:": "}{]["}, {"deep": [{"a": [{"b": [{"d": 1, "c": 2}]}]}]},
+    ]
+    rows = [(i, json.dumps(v, ensure_ascii=a, indent=d, separators=s)) for i, v in enumerate(values) for a, d, s in ((True, None, None), (False, 2, None), (False, None, (",", ":")))]
+    got = spark.createDataFrame(rows, "i int, doc string").select("i", "doc", sorted_text(F.col("doc")).alias("t")).collect()
+    assert [r["t"] for r in got] == [json.dumps(values[r["i"]], sort_keys=True) for r in got]
+    bad = spark.createDataFrame([(None,), ("{",), ("[1}",), ("]",)], "doc string").select(sorted_text(F.col("doc")).alias("t")).collect()
+    assert all(r["t"] is None for r in bad)
+
+
 def test_text_log_lines(spark, tmp_path):
     (tmp_path / "audit.log").write_text(
         "2025-12-17 02:58:47,760 | INFO | audit | [system_event] runner - session_started on session\nnot a log line\n"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinproof.catalog.pairs import AUDIT_SQL, SUBMISSION_SQL, audit_events, submissions, table
 from twinproof.catalog.registry import canon_sql, query
 from twinproof.functions.scalar import round6
 from twinproof.operators import audit, chain, compliance, consensus, ledger, tamper
+from twinproof.session import shared_dir
+from twinproof.sources import chained
 from twinproof.sources import files as sources
 
 FINAL_COLUMNS = ("privacy", "utility", "fairness", "overall")
@@ -175,6 +179,29 @@ def _chained(spark, sf):
     return chain.build(audit_events(spark, sf), "seq", PAYLOAD)
 
 
+def _appended(spark, sf, name: str) -> str:
+    """Path of a log that grew by three commits, one of them sent twice."""
+    events = audit_events(spark, sf)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for batch, keep in (("a", "seq < 333"), ("b", "seq between 333 and 611"), ("b", "seq between 333 and 611"), ("c", "seq > 611")):
+        chained.append(events.where(keep).drop("seq"), path, batch, ["timestamp"], partition_by="timestamp")
+    return path
+
+
+@query("append_chain", f"{CHAIN_SQL} SELECT seq, block, previous_hash, entry_hash FROM ch")
+def append_chain(spark, sf):
+    """Entries appended in commits, with the numbers and hashes of the whole log built at once."""
+    return chained.read(spark, _appended(spark, sf, "append-chain")).select("seq", "block", "previous_hash", "entry_hash")
+
+
+@query("append_verify", "SELECT count(*) AS total_entries, 3 AS commits, CAST(0 AS BIGINT) AS issues FROM events")
+def append_verify(spark, sf):
+    path = _appended(spark, sf, "append-verify")
+    issues = chained.verify(spark, path).agg(F.count("*")).scalar()
+    commits = chained.heads(spark, path).agg(F.count("*").cast("int")).scalar()
+    return chained.read(spark, path).agg(F.count("*").alias("total_entries")).select("total_entries", commits.alias("commits"), issues.alias("issues"))
+
+
 @query("audit_chain", f"{CHAIN_SQL} SELECT seq, block, previous_hash, entry_hash FROM ch")
 def audit_chain(spark, sf):
     return _chained(spark, sf).select("seq", "block", "previous_hash", "entry_hash")
@@ -348,13 +375,27 @@ def latest_blocks(spark, sf):
     "data_integrity",
     f"""WITH {LEDGER_SQL}, d AS (SELECT DISTINCT user_id FROM events), c AS (SELECT 'h' || (user_id % 60) AS data_hash, user_id FROM d),
     n AS (SELECT data_hash, count(*) AS k FROM led GROUP BY 1)
-    SELECT user_id AS dataset, user_id % 9 <> 0 AS data_matches, k IS NOT NULL AS hash_recorded, coalesce(k, 0) AS num_audit_entries FROM c LEFT JOIN n USING (data_hash)""",
+    SELECT user_id AS dataset, user_id % 9 <> 0 AS data_matches, k IS NOT NULL AS hash_recorded, coalesce(k, 0) AS num_audit_entries, true AS chain_valid FROM c LEFT JOIN n USING (data_hash)""",
 )
 def data_integrity(spark, sf):
     users = table(spark, sf, "events").select(F.col("user_id").alias("dataset")).distinct()
     expected = users.withColumn("data_hash", F.concat(F.lit("h"), (F.col("dataset") % 60).cast("string")))
     changed = expected.withColumn("data_hash", F.when(F.col("dataset") % 9 == 0, F.lit("changed")).otherwise(F.col("data_hash")))
-    return ledger.data_integrity(changed, expected, ledger_log(spark, sf))
+    log = ledger_log(spark, sf)
+    return ledger.data_integrity(changed, expected, log, ledger.verify(log, ledger.seal(log)))
+
+
+@query(
+    "data_integrity_tampered",
+    f"""WITH {LEDGER_SQL} SELECT data_hash AS dataset, true AS data_matches, true AS hash_recorded, count(*) AS num_audit_entries, false AS chain_valid FROM led GROUP BY 1""",
+)
+def data_integrity_tampered(spark, sf):
+    """One edited entry anywhere makes the chain of every dataset invalid."""
+    log = ledger_log(spark, sf)
+    sealed = ledger.seal(log)
+    edited = log.withColumn("payload", F.when(F.col("seq") == 311, F.lit("{}")).otherwise(F.col("payload")))
+    known = log.select(F.col("data_hash").alias("dataset"), "data_hash").distinct()
+    return ledger.data_integrity(known, known, edited, ledger.verify(edited, sealed))
 
 
 @query(

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from twinproof.functions.canonical_json import ascii_string, sorted_object, sorted_text
 from twinproof.functions.scalar import short_id, sorted_json
 
 ENTRY_COLUMNS = (
@@ -218,20 +214,14 @@ IMPORTED_COLUMNS = (*HASHED_COLUMNS, "entry_hash")
 _NESTED = ("details", "metadata")
 
 
-@F.pandas_udf(T.StringType())
-def stored_entry_hash(entries: pd.DataFrame) -> pd.Series:
+def stored_entry_hash() -> Column:
     """SHA-256 of an entry's JSON text with sorted keys, as exported logs store it.
 
     Only imported documents need this form of JSON; own chains hash canonical
-    row text inside Spark.
+    row text.
     """
-
-    def digest(row: dict) -> str:
-        body = {k: json.loads(v) if k in _NESTED and v is not None else v for k, v in row.items()}
-        return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
-
-    clean = entries.astype(object).where(entries.notna(), None)
-    return pd.Series([digest(r) for r in clean.to_dict("records")])
+    fields = {c: sorted_text(F.col(c)) if c in _NESTED else ascii_string(F.col(c)) for c in HASHED_COLUMNS}
+    return F.sha2(sorted_object(fields), 256)
 
 
 def verify_imported(log: DataFrame) -> DataFrame:
@@ -240,7 +230,7 @@ def verify_imported(log: DataFrame) -> DataFrame:
     Each entry meets its predecessor by an equi join on the position.
     """
     before = log.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before"))
-    checked = log.withColumn("_now", stored_entry_hash(F.struct(*HASHED_COLUMNS))).join(before, "seq", "left")
+    checked = log.withColumn("_now", stored_entry_hash()).join(before, "seq", "left")
     problems = F.array(
         F.when(~F.col("entry_hash").eqNullSafe(F.col("_now")), F.lit("hash_mismatch")),
         F.when((F.col("seq") > 0) & ~F.col("previous_entry_hash").eqNullSafe(F.col("_before")), F.lit("chain_break")),

@@ -29,15 +29,19 @@ def link(previous: Column, digest: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit(":"), digest), 256)
 
 
-def fold(nodes: DataFrame, group: str, order: str, digest: str, level: int) -> DataFrame:
+def fold(nodes: DataFrame, group: str, order: str, digest: str, level: int, after: tuple[int, str] | None = None) -> DataFrame:
     """(group, order, digest, previous_hash, hash): chain inside each group.
 
-    Groups hold a fixed number of nodes at most, by construction.
+    Groups hold a fixed number of nodes at most, by construction. ``after`` is a group
+    that goes on behind a hash it has already.
     """
+    start = seed(level, F.col(group))
+    if after is not None:
+        start = F.when(F.col(group) == after[0], F.lit(after[1])).otherwise(start)
     items = nodes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, digest))).alias("items"))
     hashes = F.aggregate(
         "items",
-        F.array(seed(level, F.col(group))),
+        F.array(start),
         lambda done, item: F.concat(done, F.array(link(F.element_at(done, -1), item[digest]))),
     )
     zipped = items.withColumn("hashes", hashes).select(group, F.posexplode("items").alias("i", "item"), "hashes")
@@ -50,13 +54,17 @@ def fold(nodes: DataFrame, group: str, order: str, digest: str, level: int) -> D
     )
 
 
-def build(entries: DataFrame, seq: str, payload: Sequence[str], block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+def build(entries: DataFrame, seq: str, payload: Sequence[str], block_entries: int = BLOCK_ENTRIES, after: tuple[int, str] | None = None) -> DataFrame:
     """Entries with ``block``, ``previous_hash`` and ``entry_hash``.
 
-    ``seq`` numbers the log from 0 without repeats.
+    ``seq`` numbers the log from 0 without repeats. ``after`` is the last number
+    and hash of a log that these entries go on with.
     """
+    goes_on = None if after is None else (after[0] // block_entries, after[1])
     keyed = entries.withColumn("block", F.floor(F.col(seq) / block_entries)).withColumn("_digest", row_sha(entries, payload))
-    chained = fold(keyed, "block", seq, "_digest", 0).select(seq, "previous_hash", F.col("hash").alias("entry_hash"))
+    if after is not None and (after[0] + 1) % block_entries == 0:
+        goes_on = None  # its last block is full
+    chained = fold(keyed, "block", seq, "_digest", 0, goes_on).select(seq, "previous_hash", F.col("hash").alias("entry_hash"))
     return keyed.drop("_digest").join(chained, seq)
 
 

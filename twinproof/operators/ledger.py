@@ -31,24 +31,35 @@ def entries(source: DataFrame, seq: Column, data_hash: Column, entry_type: Colum
 
 
 def append(log: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Log with ``new`` entries numbered after the last one, without gaps or repeats.
+    """Log with ``new`` entries numbered after the last one, without gaps or repeats."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
+    numbered_ = numbered(new.select(*[c for c in log.columns if c != "seq"]), order, last)
+    return log.unionByName(numbered_.select(*log.columns))
+
+
+def numbered(new: DataFrame, order: Sequence[str], last: Column) -> DataFrame:
+    """``new`` with ``seq``, counting on from ``last``.
 
     The order is that of ``order``, then of the entries' whole content; entries
     that are alike in everything are counted and get a number each. Numbers
     come from per-prefix counts, so no single task orders all rows.
     """
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
-    fields = [c for c in log.columns if c != "seq"]
+    fields = new.columns
     counted = new.groupBy(*fields).agg(F.count("*").alias("_n"))
     kinds = dict(new.dtypes)
-    # whole numbers sort as numbers
-    parts = [F.lpad(F.col(c).cast("string"), 20, "0") if kinds[c] in ("int", "bigint") else F.col(c).cast("string") for c in order]
-    key = F.concat_ws("|", *parts, "entry_id", row_md5(counted, fields))
+
+    def sortable(c: str) -> Column:  # as text of one width
+        if kinds[c] in ("int", "bigint"):
+            return F.lpad(F.col(c).cast("string"), 20, "0")
+        if kinds[c].startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.col(c).cast("string")
+
+    key = F.concat_ws("|", *[sortable(c) for c in order], *(["entry_id"] if "entry_id" in fields else []), row_md5(counted, fields))
     keyed = settle(counted.withColumn("_k", key).withColumn("_all", F.lit(0)), "new-entries")
     upto = running_totals(keyed.select("_all", "_k", "_n"), ["_all"], "_k", ["_n"]).select("_k", (F.col("cum__n") - F.col("_n")).alias("_before"))
     each = replicate(keyed.join(upto, "_k"), "_n", number="_copy")
-    numbered = each.withColumn("seq", last + F.col("_before") + F.col("_copy"))
-    return log.unionByName(numbered.select(*log.columns))
+    return each.select("*", (last + F.col("_before") + F.col("_copy")).cast("bigint").alias("seq")).select("seq", *fields)
 
 
 def digests(log: DataFrame) -> DataFrame:
@@ -95,8 +106,12 @@ def verification_history(log: DataFrame, data_hash: str) -> DataFrame:
     return log.where((F.col("data_hash") == data_hash) & F.col("entry_type").isin(*VERIFICATION_KINDS))
 
 
-def data_integrity(current: DataFrame, expected: DataFrame, log: DataFrame) -> DataFrame:
-    """Per dataset: does its hash match, is it recorded, and how often."""
+def data_integrity(current: DataFrame, expected: DataFrame, log: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per dataset: does its hash match, is it recorded, how often, and is the chain whole.
+
+    ``issues`` is what ``verify`` found; any issue makes the chain invalid.
+    """
+    broken = issues.agg(F.count("*")).scalar()
     counts = log.groupBy("data_hash").agg(F.count("*").alias("_n"))
     joined = current.select("dataset", F.col("data_hash").alias("current_hash")).join(
         expected.select("dataset", F.col("data_hash").alias("data_hash")), "dataset"
@@ -106,6 +121,7 @@ def data_integrity(current: DataFrame, expected: DataFrame, log: DataFrame) -> D
         (F.col("current_hash") == F.col("data_hash")).alias("data_matches"),
         F.col("_n").isNotNull().alias("hash_recorded"),
         F.coalesce("_n", F.lit(0)).alias("num_audit_entries"),
+        (broken == 0).alias("chain_valid"),
     )
 
 
