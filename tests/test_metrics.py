@@ -107,17 +107,20 @@ def test_correlation_plans_agree(people, monkeypatch):
     monkeypatch.setattr(correlation, "SUMS_PER_AGGREGATE", 2)
     chunked = matrix(people)
     monkeypatch.setattr(correlation, "FUSED_PAIRS", 0)
-    emitted = matrix(people)
+    by_matrix = matrix(people)
     assert len(fused) == 9
     for (a, b), v in fused.items():
-        assert v == pytest.approx(want.loc[a, b]) == pytest.approx(chunked[(a, b)]) and v == pytest.approx(emitted[(a, b)])
+        assert v == pytest.approx(want.loc[a, b]) == pytest.approx(chunked[(a, b)]) and v == pytest.approx(by_matrix[(a, b)])
 
 
-def test_correlation_uses_rows_with_both_values(people):
-    gaps = people.withColumn("income", F.when(F.col("age") % 7 != 0, F.col("income")))
+@pytest.mark.parametrize("fused_pairs", [120, 0])
+def test_correlation_uses_rows_with_both_values(people, monkeypatch, fused_pairs):
+    monkeypatch.setattr(correlation, "FUSED_PAIRS", fused_pairs)
+    gaps = people.withColumn("income", F.when(F.col("age") % 7 != 0, F.col("income"))).withColumn("flat", F.lit(3.0))
     want = gaps.toPandas()[["age", "income"]].corr().loc["age", "income"]
-    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_matrix(gaps, ["age", "income"]).collect()}
-    assert got[("age", "income")] == pytest.approx(want)
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_matrix(gaps, ["age", "income", "flat"]).collect()}
+    assert got[("age", "income")] == pytest.approx(want) and got[("income", "income")] == pytest.approx(1)
+    assert got[("age", "flat")] is None and len(got) == 9
 
 
 def test_disparate_impact_with_group_missing_in_synthetic(spark):

@@ -19,8 +19,11 @@ from twinproof.operators import fairness, mitigation
 PROTECTED = ("c_mktsegment", "r_name")
 TARGET, GOOD = "o_orderstatus", "F"
 
-RATES_SQL = f"""
-  fr AS ({' UNION ALL '.join(f"SELECT '{a}' AS attribute, {a} AS grp, {flag} AS is_real, CAST({TARGET} = '{GOOD}' AS INTEGER) AS good FROM {t}" for a in PROTECTED for t, flag in (("r", 1), ("s", 0)))}),
+
+def rates_sql(target: str = TARGET, good: str = GOOD) -> str:
+    """CTEs ``rt`` (favourable rates per attribute and group) and ``ex`` (their extremes)."""
+    return f"""
+  fr AS ({' UNION ALL '.join(f"SELECT '{a}' AS attribute, {a} AS grp, {flag} AS is_real, CAST({target} = '{good}' AS INTEGER) AS good FROM {t}" for a in PROTECTED for t, flag in (("r", 1), ("s", 0)))}),
   rt AS (SELECT attribute, grp, CAST(sum(is_real) AS BIGINT) AS n_real, CAST(sum(1 - is_real) AS BIGINT) AS n_synth,
                 coalesce(sum(is_real * good) / nullif(sum(is_real), 0), 0) AS rate_real,
                 coalesce(sum((1 - is_real) * good) / nullif(sum(1 - is_real), 0), 0) AS rate_synth
@@ -29,6 +32,9 @@ RATES_SQL = f"""
          FROM rt GROUP BY 1 HAVING count(*) >= 2)"""
 
 
+RATES_SQL = rates_sql()
+
+
 def _rates(spark, sf):
     return fairness.favorable_rates(*applicants(spark, sf), PROTECTED, TARGET, GOOD)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from twinproof import profiles
 from twinproof.catalog.pairs import (
     APPLICANT_COLUMNS,
     APPLICANT_LABELS,
@@ -22,7 +25,8 @@ from twinproof.catalog.pairs import (
 from twinproof.catalog.registry import canon_sql, query
 from twinproof.functions.scalar import clamp, row_sha, round6, short_id
 from twinproof.operators import distributions, encoding, fingerprint, generation, prepare, quality, sampling
-from twinproof.roles import role_table
+from twinproof.roles import common_columns, dataset_summary, distinct_profile, infer_roles, is_classification, is_number, number_columns, role_table, text_columns
+from twinproof.session import shared_dir
 
 _PLAIN = "order_key, total_price, priority, mostly_empty, order_date, price_band, status"
 _EXPANDED = """order_key, total_price, priority, mostly_empty, price_band, status,
@@ -51,6 +55,73 @@ def column_roles(spark, sf):
     )
 
 
+def _role_rows(spark, df, found):
+    """One row per column of the roles that were found."""
+    rows = [
+        (c, is_number(df.schema[c].dataType), c in found.categorical, c in found.numeric, c in found.quasi_identifiers, c in found.protected, c == found.target, is_classification(df, c, found.distinct))
+        for c in df.columns
+    ]
+    names = ("is_number", "is_categorical", "is_numeric", "is_quasi", "is_protected", "is_target", "is_class")
+    return spark.createDataFrame(rows, "column string, " + ", ".join(f"{n} boolean" for n in names))
+
+
+# Customers under names that mark protected attributes.
+_PEOPLE = (("c_custkey", "person"), ("c_mktsegment", "Gender"), ("c_acctbal", "average_balance"), ("c_nationkey", "race_code"), ("c_nationkey % 25 + 30", "zone"), ("c_custkey % 7", "rating"))
+_PEOPLE_SQL = f"""people AS (SELECT {', '.join(f'{e} AS {n}' for e, n in _PEOPLE)} FROM customer),
+  d AS ({' UNION ALL '.join(f"SELECT {i} AS i, '{n}' AS c, count(DISTINCT {n}) AS n, {str(n == 'Gender').lower()} AS t FROM people" for i, (_, n) in enumerate(_PEOPLE))}),
+  f AS (SELECT c AS "column", NOT t AS is_number, t OR n < 20 AS is_categorical, NOT t AND n >= 20 AS is_numeric, t OR n <= 50 AS is_quasi,
+        regexp_matches(lower(c), 'sex|gender|race|ethnicity|age|religion') AS is_protected, i = (SELECT max(i) FROM d WHERE n <= 10) AS is_target, t OR n <= 10 AS is_class FROM d)"""
+
+
+def _people(spark, sf):
+    return table(spark, sf, "customer").select(*[F.expr(e).alias(n) for e, n in _PEOPLE])
+
+
+@query("role_inference", f"WITH {_PEOPLE_SQL} SELECT * FROM f")
+def role_inference(spark, sf):
+    """The roles of all columns, as a user without a schema gets them."""
+    people = _people(spark, sf)
+    return _role_rows(spark, people, infer_roles(people))
+
+
+@query("profile_roles", f"WITH {_PEOPLE_SQL} SELECT * FROM f")
+def profile_roles(spark, sf):
+    """The same roles from a stored profile: two parts, and a third that came later."""
+    people = _people(spark, sf)
+    path = f"{shared_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
+    for part in (0, 1, 1, 2):  # one part is sent twice
+        profiles.add(people.where(F.col("person") % 3 == part), path, str(part))
+    return _role_rows(spark, people, profiles.roles(spark, path, people))
+
+
+@query(
+    "profile_facts",
+    f"""WITH {_PEOPLE_SQL} {' UNION ALL '.join(f"SELECT '{n}' AS column, count(*) AS n_rows, count(*) - count({n}) AS n_null, {'NULL::DOUBLE' if n == 'Gender' else f'min({n})::DOUBLE'} AS low, {'NULL::DOUBLE' if n == 'Gender' else f'max({n})::DOUBLE'} AS high, true AS distinct_close FROM people" for _, n in _PEOPLE)}""",
+)
+def profile_facts(spark, sf):
+    """Merged counts and ranges; estimates of distinct values within three hundredths."""
+    people = _people(spark, sf)
+    path = f"{shared_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
+    for part in range(3):
+        profiles.add(people.where(F.col("person") % 3 == part), path, str(part))
+    exact = distinct_profile(people).select("column", F.col("n_distinct").alias("exact"))
+    out = profiles.merged(spark, path).join(exact, "column")
+    return out.select("column", "n_rows", "n_null", "low", "high", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact") + 0.5).alias("distinct_close"))
+
+
+@query(
+    "table_summary",
+    """SELECT count(*) AS n_rows, 6 AS n_columns, 2 AS n_categorical, 4 AS n_numeric, 'c_acctbal,c_custkey,c_nationkey' AS common, 'c_mktsegment' AS text_columns FROM customer""",
+)
+def table_summary(spark, sf):
+    """Sizes of a table, the columns it shares with another one, in its own order, and its text columns."""
+    df = table(spark, sf, "customer").select("c_acctbal", "c_custkey", "c_mktsegment", "c_nationkey", (F.col("c_custkey") % 3).alias("a"), (F.col("c_custkey") % 4).alias("b"))
+    other = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal", F.lit(1).alias("z"))
+    one = dataset_summary(df, ["a", "b"])
+    numbers = F.lit(len(number_columns(df)) - 1).alias("n_numeric")
+    return one.select("n_rows", "n_columns", "n_categorical", numbers, F.lit(",".join(common_columns(df, other))).alias("common"), F.lit(",".join(text_columns(df))).alias("text_columns"))
+
+
 @query("prep_names", f"WITH {DIRTY_SQL} SELECT {_PLAIN} FROM dirty")
 def prep_names(spark, sf):
     return prepare.rename_columns(dirty_orders(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinproof.catalog.fairness_queries import GOOD, PROTECTED, RATES_SQL, TARGET
+from twinproof.catalog.fairness_queries import GOOD, PROTECTED, TARGET, rates_sql
 from twinproof.catalog.pairs import (
     APPLICANT_COLUMNS,
     APPLICANT_LABELS,
@@ -27,16 +27,19 @@ from twinproof.plans import scorecard, trials
 
 _QI = ", ".join(APPLICANT_ROLES.quasi_identifiers)
 
-# CTE ``mt`` (axis, metric, weight, score, passed): every metric without a model.
-METRIC_SQL = f"""{APPLICANT_SQL},
-  {points_sql(APPLICANT_NUMBERS, APPLICANT_LABELS, ALL_ROWS)}, {scaled_sql(APPLICANT_NUMBERS + APPLICANT_LABELS, 'xr', '1e-10', APPLICANT_NUMBERS + APPLICANT_LABELS)},
+def metric_sql(pair: str = APPLICANT_SQL, labels=APPLICANT_LABELS, target: str = TARGET, good: str = GOOD, models: str = "") -> str:
+    """CTEs ``mt`` (axis, metric, weight, score, passed): every metric without a model and what
+    ``models`` adds, and ``ax``, the axis totals."""
+    every = APPLICANT_NUMBERS + tuple(labels)
+    return f"""{pair},
+  {points_sql(APPLICANT_NUMBERS, labels, ALL_ROWS)}, {scaled_sql(every, 'xr', '1e-10', every)},
   dc AS (SELECT avg(d) AS m, count(*) FILTER (d < 1e-6) AS x FROM mind),
   ka AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM s GROUP BY {_QI})),
-  {counts_sql(APPLICANT_LABELS)}, {JS_SQL}, {cdf_sql(APPLICANT_NUMBERS)},
+  {counts_sql(labels)}, {JS_SQL}, {cdf_sql(APPLICANT_NUMBERS)},
   tv AS (SELECT avg(t) AS a FROM (SELECT sum(abs(p - q)) / 2 AS t FROM sh GROUP BY "column")),
   sm2 AS (SELECT (SELECT avg(wasserstein) FROM dist) AS w, (SELECT avg(js_distance) FROM js) AS j),
-  {corr_sql(APPLICANT_COLUMNS, APPLICANT_LABELS)}, cd2 AS (SELECT avg(abs(c_real - c_synth)) AS d FROM cm),
-  {counts_sql(PROTECTED, mark='p')}, {RATES_SQL},
+  {corr_sql(every, labels)}, cd2 AS (SELECT avg(abs(c_real - c_synth)) AS d FROM cm),
+  {counts_sql(PROTECTED, mark='p')}, {rates_sql(target, good)},
   dp AS (SELECT avg(greatest(0, 100 - d * 500)) AS score, bool_and(d < 0.1) AS passed FROM (SELECT max(abs(p - q)) AS d FROM psh GROUP BY "column")),
   di AS (SELECT avg(CASE WHEN ls / hs >= 0.8 THEN 100 ELSE ls / hs / 0.8 * 100 END) AS score, bool_and(ls / hs >= 0.8) AS passed FROM ex),
   sp AS (SELECT avg(greatest(0, 100 - (hs - ls) * 500)) AS score, bool_and(hs - ls < 0.1) AS passed FROM ex),
@@ -48,22 +51,82 @@ METRIC_SQL = f"""{APPLICANT_SQL},
     UNION ALL SELECT 'utility', 'correlation_preservation', 0.3, greatest(0, 100 - d * 500), d < 0.1 FROM cd2
     UNION ALL SELECT 'fairness', 'demographic_parity', 0.25, score, passed FROM dp
     UNION ALL SELECT 'fairness', 'disparate_impact', 0.25, score, passed FROM di
-    UNION ALL SELECT 'fairness', 'statistical_parity', 0.25, score, passed FROM sp),
+    UNION ALL SELECT 'fairness', 'statistical_parity', 0.25, score, passed FROM sp{models}),
   ax AS (SELECT axis, sum(score * weight) AS score, bool_and(passed) AS passed FROM mt GROUP BY 1)"""
 
-SCORECARD_SQL = f"""WITH {METRIC_SQL},
+
+METRIC_SQL = metric_sql()
+def scorecard_sql(metrics: str) -> str:
+    return f"""WITH {metrics},
   al AS (SELECT * FROM mt UNION ALL SELECT axis, 'overall', NULL, score, passed FROM ax
     UNION ALL SELECT 'trust', 'overall', NULL, 0.4::DOUBLE * max(score) FILTER (axis = 'privacy') + 0.35::DOUBLE * max(score) FILTER (axis = 'utility')
         + 0.25::DOUBLE * max(score) FILTER (axis = 'fairness'), bool_and(passed) FROM ax)
   SELECT axis, metric, weight, round(score, 4) AS score, passed FROM al"""
 
 
+SCORECARD_SQL = scorecard_sql(METRIC_SQL)
+
+
 @query("scorecard", SCORECARD_SQL)
 def full_scorecard(spark, sf):
     """Flagship: every deterministic metric, axis totals and the trust score."""
     return scorecard.scorecard(*applicants(spark, sf), APPLICANT_ROLES).withColumn("score", F.round("score", 4))
 
 
+# A pair whose model metrics are known: the synthetic order status is told from the real one
+# by its name, and urgency follows from the order priority, so every attack hits and every model is right.
+_URGENT = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'low' END AS urgency"
+_MARKED_SQL = f"""{APPLICANT_SQL.replace('  r AS (', '  r0 AS (').replace('  s AS (', '  s0 AS (')},
+  r AS (SELECT *, {_URGENT} FROM r0), s AS (SELECT * REPLACE ('S-' || o_orderstatus AS o_orderstatus), {_URGENT} FROM s0)"""
+_MARKED_LABELS = (*APPLICANT_LABELS, "urgency")
+_MARKED_ROLES = APPLICANT_ROLES.but(categorical=_MARKED_LABELS, target="urgency", favorable="high", sensitive=_MARKED_LABELS)
+_MODEL_ROWS = """ UNION ALL SELECT 'privacy', 'membership_inference', 0.3, 0.0, false UNION ALL SELECT 'utility', 'ml_efficacy', 0.3, 100.0, true
+    UNION ALL SELECT 'fairness', 'equal_opportunity', 0.25, 100.0, true"""
+
+
+def _marked(spark, sf):
+    real, synth = applicants(spark, sf)
+    urgent = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").otherwise("low")
+    return tuple(df.withColumn("urgency", urgent) for df in (real, synth.withColumn("o_orderstatus", F.concat(F.lit("S-"), "o_orderstatus"))))
+
+
+@query("scorecard_models", scorecard_sql(metric_sql(_MARKED_SQL, _MARKED_LABELS, "urgency", "high", _MODEL_ROWS)))
+def scorecard_models(spark, sf):
+    """All eleven metrics, three of them by forests, with totals and trust."""
+    card = scorecard.scorecard(*_marked(spark, sf), _MARKED_ROLES, with_models=True)
+    return card.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "model_facts",
+    f"""WITH {_MARKED_SQL}, c AS (SELECT (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM s) AS ns),
+    hv AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey % 2)),
+    t AS (SELECT least(nr, ns) AS m, CAST(ceil(nr * CAST(0.3 AS DOUBLE)) AS BIGINT) AS held, nr FROM c)
+    SELECT 'attack' AS model, 2 * CAST(ceil(m * CAST(0.3 AS DOUBLE)) AS BIGINT) AS n_tested, 1.0::DOUBLE AS hit_rate FROM t
+    UNION ALL SELECT 'attack on halves', 2 * CAST(ceil(m * CAST(0.3 AS DOUBLE)) AS BIGINT), 0.5::DOUBLE FROM hv
+    UNION ALL SELECT 'trained on synthetic', held, 1.0::DOUBLE FROM t UNION ALL SELECT 'trained on real', held, 1.0::DOUBLE FROM t
+    UNION ALL SELECT 'evaluator', nr, 1.0::DOUBLE FROM t""",
+)
+def model_facts(spark, sf):
+    """Rows that the forests judge and their hit rates, where both are known: a pair told apart by one
+    label, two halves of one table (to one decimal), and a target that one feature decides."""
+    real, synth = _marked(spark, sf)
+    rows = [
+        ("attack", models.attack_predictions(real, synth, APPLICANT_NUMBERS, APPLICANT_LABELS), "is_real", "predicted"),
+        ("attack on halves", models.attack_predictions(*lineitem_split(spark, sf), POINT_NUMBERS, POINT_LABELS), "is_real", "predicted"),
+    ]
+    scored = models.efficacy_predictions(real, synth, APPLICANT_NUMBERS, APPLICANT_LABELS, "urgency")
+    rows += [(name, scored.where(F.col("model") == kind), "label", "prediction") for name, kind in (("trained on synthetic", "synthetic"), ("trained on real", "baseline"))]
+    coded = [df.withColumn("priority", F.substring("o_orderpriority", 1, 1).cast("double")) for df in (real, synth)]
+    rows.append(("evaluator", models.evaluator_predictions(*coded, ("priority", *APPLICANT_NUMBERS), "urgency", True), "label", "prediction"))
+    out = None
+    for name, frame, label, guess in rows:
+        hit = F.avg((F.col(label) == F.col(guess)).cast("double"))
+        part = frame.agg(F.count("*").alias("n_tested"), (F.round(hit, 1) if "halves" in name else hit).alias("hit_rate")).select(F.lit(name).alias("model"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _axis(spark, sf, axis):
     pair = scorecard.working_copy(*applicants(spark, sf), APPLICANT_ROLES)
     metrics = scorecard.axis_metrics(axis, *pair, APPLICANT_ROLES, with_models=False)

@@ -97,17 +97,24 @@ def _attack(rows: DataFrame, depth: int, fit_rows: int = FIT_ROWS) -> DataFrame:
     )
 
 
-def membership_inference(
+def attack_predictions(
     real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], test_share: float = 0.3, depth: int = DEPTH
 ) -> DataFrame:
-    """Attack result of a forest telling real rows from synthetic ones."""
+    """(is_real, predicted, score) of the held-out rows of a forest telling real rows from synthetic ones."""
     r, s = feature_frames(real, synth, numeric, categorical)
     arrays = [df.select(vector_to_array("features").alias("x")) for df in (r, s)]
     both = sampling.split(sampling.balanced_union(*arrays), test_share, ["is_real"])
     rows = settle(
         both.select(array_to_vector("x").alias("features"), "is_real", "is_train"), "attack-rows"
     )
-    return privacy.attack_result(_attack(rows, depth), "is_real", "predicted")
+    return _attack(rows, depth)
+
+
+def membership_inference(
+    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], test_share: float = 0.3, depth: int = DEPTH
+) -> DataFrame:
+    """Attack result of that forest."""
+    return privacy.attack_result(attack_predictions(real, synth, numeric, categorical, test_share, depth), "is_real", "predicted")
 
 
 def membership_inference_evaluator(
@@ -128,7 +135,7 @@ def membership_inference_evaluator(
     )
 
 
-def train_on_synthetic(
+def efficacy_predictions(
     real: DataFrame,
     synth: DataFrame,
     numeric: Sequence[str],
@@ -138,7 +145,8 @@ def train_on_synthetic(
     test_share: float = 0.3,
     depth: int = DEPTH,
 ) -> DataFrame:
-    """Train on synthetic, test on real, against a model trained on real rows."""
+    """(model, label, prediction) of the held-out real rows: by a model trained on
+    synthetic rows, and by one trained on the other real rows ("baseline")."""
     numbers = [c for c in numeric if c != target]
     labels = [c for c in categorical if c != target]
     parts = sampling.split(real, test_share)
@@ -158,7 +166,21 @@ def train_on_synthetic(
         model = fit(forest(depth=depth, regression=not classification), train.where(F.col("label").isNotNull()))
         part = model.transform(test).select(F.lit(name).alias("model"), "label", "prediction")
         scored = part if scored is None else scored.unionByName(part)
-    scored = settle(scored, "scored")
+    return settle(scored, "scored")
+
+
+def train_on_synthetic(
+    real: DataFrame,
+    synth: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    target: str,
+    classification: bool = True,
+    test_share: float = 0.3,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """Train on synthetic, test on real, against a model trained on real rows."""
+    scored = efficacy_predictions(real, synth, numeric, categorical, target, classification, test_share, depth)
 
     def of(measure: str, name: str):
         return F.max(F.when(F.col("model") == name, F.col(measure)))
@@ -195,10 +217,10 @@ def _as_label(codes: DataFrame, target: str) -> DataFrame:
     return codes.withColumn("column", F.when(F.col("column") == target, F.lit("label")).otherwise(F.col("column")))
 
 
-def evaluator_efficacy(
+def evaluator_predictions(
     real: DataFrame, synth: DataFrame, numeric: Sequence[str], target: str, classification: bool, depth: int = DEPTH
 ) -> DataFrame:
-    """Evaluator variant: number features only, trained on all synthetic rows and tested on all real ones."""
+    """(label, prediction) of all real rows by a model of number features trained on all synthetic rows."""
     numbers = [c for c in numeric if c != target]
     if classification:
         codes = _as_label(encoding.dictionary([real, synth], [target]), target)
@@ -209,7 +231,14 @@ def evaluator_efficacy(
         s0 = synth.withColumn("label", F.col(target).cast("double"))
     r, s = feature_frames(r0, s0, numbers, [], ["label"])
     model = fit(forest(depth=depth, regression=not classification), s)
-    tested = model.transform(r).select("label", "prediction")
+    return settle(model.transform(r).select("label", "prediction"), "scored")
+
+
+def evaluator_efficacy(
+    real: DataFrame, synth: DataFrame, numeric: Sequence[str], target: str, classification: bool, depth: int = DEPTH
+) -> DataFrame:
+    """Evaluator variant: number features only, trained on all synthetic rows and tested on all real ones."""
+    tested = evaluator_predictions(real, synth, numeric, target, classification, depth)
     if classification:
         out = utility.classification_scores(tested, "label", "prediction")
         return out.select("accuracy", F.col("weighted_f1").alias("f1_score"), (F.col("accuracy") * 100).alias("ml_efficacy_score"))
