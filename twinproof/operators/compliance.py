@@ -80,10 +80,24 @@ PROFILES: Mapping[str, tuple] = {
 }
 
 
+# What each kind of rule asks for.
+KIND_TEXT = {
+    "minimization": "The synthetic table has no column the real one lacks",
+    "utility": "The utility score reaches the threshold",
+    "privacy": "The privacy score reaches the threshold",
+    "fairness": "The fairness score reaches the threshold",
+    "assessment": "Privacy and utility were assessed and an audit log is kept",
+    "audit": "An audit log is kept",
+    "privacy_present": "Privacy was assessed by statistical methods",
+    "safe_harbor": "No column name holds one of the identifier tokens",
+    "always": "Holds by the design of the process",
+}
+
+
 def rule_frame(spark: SparkSession) -> DataFrame:
-    """The rule catalogue as a table."""
-    rows = [(s, a, r, k, None if t is None else t / 100) for s, a, r, k, t, _ in RULES]
-    return spark.createDataFrame(rows, "standard string, article string, requirement string, kind string, threshold double")
+    """The rule catalogue as a table; thresholds are shares of 1."""
+    rows = [(s, a, r, KIND_TEXT[k], k, None if t is None else t / 100, advice) for s, a, r, k, t, advice in RULES]
+    return spark.createDataFrame(rows, "standard string, article string, requirement string, description string, kind string, threshold double, advice string")
 
 
 def evaluate(datasets: DataFrame) -> DataFrame:
@@ -212,8 +226,13 @@ def identifier_hits(columns: DataFrame, tokens: Sequence[str] = IDENTIFIER_TOKEN
 
 
 def safe_harbor(columns: DataFrame) -> DataFrame:
-    """(dataset, columns_checked, n_identifiers, score, passed)."""
-    hits = identifier_hits(columns).groupBy("dataset").agg(F.count("*").alias("n_identifiers"))
+    """(dataset, columns_checked, n_identifiers, score, passed, identifiers).
+
+    ``identifiers`` names the column each token was found in, in the order of the tokens.
+    """
+    place = F.array_position(F.array(*[F.lit(t) for t in IDENTIFIER_TOKENS]), F.col("token"))
+    found = F.array_sort(F.collect_list(F.struct(place.alias("place"), "column")))  # one item per token at most
+    hits = identifier_hits(columns).groupBy("dataset").agg(F.count("*").alias("n_identifiers"), F.transform(found, lambda x: x["column"]).alias("identifiers"))
     n = F.coalesce("n_identifiers", F.lit(0))
     return columns.groupBy("dataset").agg(F.count("*").alias("columns_checked")).join(hits, "dataset", "left").select(
         "dataset",
@@ -221,9 +240,18 @@ def safe_harbor(columns: DataFrame) -> DataFrame:
         n.alias("n_identifiers"),
         F.greatest(F.lit(0.0), 100.0 - n * 10).alias("score"),
         (n == 0).alias("passed"),
+        F.coalesce("identifiers", F.array().cast("array<string>")).alias("identifiers"),
     )
 
 
+def dataset_rows(real_columns: DataFrame, synth_columns: DataFrame, scores: DataFrame) -> DataFrame:
+    """What ``evaluate`` takes, from column frames and (dataset, privacy, utility, fairness,
+    has_audit): the scan's findings go to the rules with the names of the columns."""
+    extra = minimization(real_columns, synth_columns).select("dataset", F.col("n_extra").alias("n_extra_columns"))
+    names = safe_harbor(synth_columns).select("dataset", "n_identifiers", "identifiers")
+    return scores.join(extra, "dataset").join(names, "dataset")
+
+
 def column_frame(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(dataset, position, column, n_values): the columns of several tables.
 

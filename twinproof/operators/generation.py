@@ -48,11 +48,19 @@ def generator_is_reusable(log: DataFrame, real: DataFrame, categorical: Sequence
     return log.select("generation_id", same.alias("cache_valid"))
 
 
+def generation_list(log: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, place, id, timestamp, rows, hash): every generation as a row, 1 for the newest of its group."""
+    order = Window.partitionBy(*by).orderBy(F.col("timestamp").desc(), "generation_id")
+    return log.select(
+        *by, F.row_number().over(order).alias("place"), F.col("generation_id").alias("id"), "timestamp", F.col("num_rows").alias("rows"), F.substring("output_hash", 1, 16).alias("hash")
+    )
+
+
 def generation_summary(log: DataFrame, by: Sequence[str] = (), latest: int = 100) -> DataFrame:
-    """Generations and rows made, with the latest records newest first.
+    """Generations and rows made, with the newest ``latest`` records in a list.
 
-    The list is the report's bounded head: one window keeps the newest
-    ``latest`` records per group before anything is collected.
+    Totals count all records; ``generation_list`` gives all of them as rows.
+    One window keeps the records of the list per group before anything is collected.
     """
     totals = log.groupBy(*by).agg(F.count("*").alias("total_generations"), F.sum("num_rows").alias("total_rows_generated"))
     order = [F.col("timestamp").desc(), F.col("generation_id")]

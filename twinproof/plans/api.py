@@ -58,14 +58,12 @@ def check_compliance(
     real: DataFrame, synth: DataFrame, roles: ColumnRoles, privacy: float | None, utility: float | None, fairness: float | None, has_audit: bool
 ) -> DataFrame:
     """The rule results of one dataset from its scores and column names."""
-    names = [(c.lower().replace(" ", "_")) for c in synth.columns]
-    hits = sum(any(token in c for c in names) for token in compliance.IDENTIFIER_TOKENS)
-    extra = len(set(synth.columns) - set(real.columns))
-    row = real.sparkSession.createDataFrame(
-        [("dataset", privacy, utility, fairness, has_audit, extra, hits)],
-        "dataset string, privacy double, utility double, fairness double, has_audit boolean, n_extra_columns int, n_identifiers int",
-    )
-    return compliance.evaluate(row)
+    spark = real.sparkSession
+    frames = [
+        spark.createDataFrame([("dataset", i, c) for i, c in enumerate(df.columns)], "dataset string, position int, column string") for df in (real, synth)
+    ]
+    scores = spark.createDataFrame([("dataset", privacy, utility, fairness, has_audit)], "dataset string, privacy double, utility double, fairness double, has_audit boolean")
+    return compliance.evaluate(compliance.dataset_rows(*frames, scores))
 
 
 def log_event(log_rows: DataFrame, **spec) -> DataFrame:

@@ -71,10 +71,13 @@ def export_audit(log: DataFrame, path: str, kind: str = "json", mode: str = "ove
         raise ValueError(f"unknown export format {kind!r}")
 
 
-def load_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of exported audit documents; a damaged document gives no rows."""
+def load_audit(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of exported audit documents; a damaged document gives no rows.
+
+    A document is a file, or with ``lines`` a line: files of many documents are split over tasks then.
+    """
     doc = f"entries array<struct<{_fields(ENTRY_SCHEMA)}>>, {CORRUPT} string"
-    raw = spark.read.schema(doc).option("multiLine", True).option("mode", "PERMISSIVE").option(
+    raw = spark.read.schema(doc).option("multiLine", not lines).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", CORRUPT
     ).json(path)
     return raw.where(F.col(CORRUPT).isNull()).select(F.explode("entries").alias("e")).select("e.*")
