@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from twinproof.catalog.pairs import (
     APPLICANT_COLUMNS,
+    APPLICANT_ROLES,
     APPLICANT_SQL,
     PREDICTION_SQL,
     applicants,
     predictions,
 )
-from twinproof.catalog.registry import canon_sql, query
+from twinproof.catalog.registry import ORACLES, canon_sql, query
 from twinproof.catalog.utility_queries import counts_sql
 from twinproof.functions.scalar import round6
 from twinproof.operators import fairness, mitigation
+from twinproof.plans import api
 
 PROTECTED = ("c_mktsegment", "r_name")
 TARGET, GOOD = "o_orderstatus", "F"
@@ -202,6 +204,12 @@ def mitigate_all(spark, sf):
     return rounded_rows(mitigation.apply_all(*applicants(spark, sf), PROTECTED, TARGET, GOOD))
 
 
+@query("post_process", ORACLES["mitigate_all"])
+def post_process(spark, sf):
+    """The one-call form of all mitigation steps."""
+    return rounded_rows(api.post_process_for_fairness(*applicants(spark, sf), APPLICANT_ROLES))
+
+
 @query(
     "improvement_report",
     f"""WITH {APPLICANT_SQL}, {_REBALANCED},

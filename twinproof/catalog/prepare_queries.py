@@ -209,6 +209,65 @@ def prep_full(spark, sf):
     return out.select("status", "priority", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in _NUMERIC])
 
 
+@query(
+    "prep_report",
+    f"""WITH {_STEPS}, n AS (SELECT count(*) AS n FROM ex), d AS (SELECT count(*) - (SELECT n FROM n) AS d FROM dirty)
+    SELECT 'column_names' AS step, unnest(['order_key', 'total_price', 'mostly_empty', 'order_date', 'price_band']) AS "column", 'renamed' AS action, unnest([' order key ', 'total price', 'mostly empty', 'order date', 'price band']) AS detail
+    UNION ALL SELECT 'dates', 'order_date', 'date_expanded', 'order_date_year,order_date_month,order_date_day,order_date_dayofweek'
+    UNION ALL SELECT 'duplicates', '*', 'duplicates_removed', CAST(d AS VARCHAR) FROM d
+    UNION ALL SELECT 'missing', 'mostly_empty', 'dropped', printf('%.1f%% missing values', (count(*) - count(mostly_empty)) * 100.0 / count(*)) FROM ex
+    UNION ALL SELECT 'missing', 'total_price', 'imputed_median', NULL UNION ALL SELECT 'missing', 'priority', 'imputed_mode', (SELECT priority FROM ex WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+    UNION ALL SELECT 'types', 'priority', 'converted_to_category', CAST(count(DISTINCT priority) AS VARCHAR) FROM ex UNION ALL SELECT 'types', 'status', 'converted_to_category', CAST(count(DISTINCT status) AS VARCHAR) FROM ex
+    UNION ALL SELECT 'types', 'price_band', 'converted_float_to_int', '' UNION ALL SELECT 'outliers', unnest(['price_band', 'total_price', 'order_key']), 'clipped', NULL""",
+)
+def prep_report(spark, sf):
+    """What the preparation did, step by step; the numbers of medians and clip ranges are in the queries of those steps."""
+    _, plan = prepare.prepare(dirty_orders(spark, sf))
+    numbers = F.col("action").isin("imputed_median", "clipped")
+    return plan.report(spark).withColumn("detail", F.when(~numbers, F.col("detail")))
+
+
+@query(
+    "encode_unseen",
+    f"""WITH {SPLIT_SQL}, d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT l_returnflag AS v FROM r WHERE l_returnflag <> 'N'))
+    SELECT CAST(coalesce(code, 0) AS DOUBLE) AS code, count(*) AS n FROM s LEFT JOIN d ON v = l_returnflag GROUP BY 1""",
+)
+def encode_unseen(spark, sf):
+    """Labels the dictionary has not seen get the code 0."""
+    real, synth = lineitem_split(spark, sf)
+    codes = encoding.dictionary([real.where("l_returnflag <> 'N'")], ["l_returnflag"])
+    out = encoding.encode(synth.select("l_returnflag"), codes, ["l_returnflag"], unseen=0)
+    return out.groupBy(F.col("l_returnflag").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "restore_types",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice, 6) END AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
+)
+def restore_types(spark, sf):
+    """Generated rows of text columns get the real table's types back; what does not fit becomes null."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    texts = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
+    broken = texts.withColumn("o_totalprice", F.when(F.col("o_orderkey").cast("bigint") % 5 > 0, F.col("o_totalprice")).otherwise("n/a"))
+    out = encoding.restore_types(broken, orders)
+    return out.select("o_orderkey", round6(F.col("o_totalprice")).alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+
+
+@query(
+    "number_coercion",
+    """WITH x AS (SELECT o_orderkey % 2 AS side, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 11 = 0 THEN 'NaN' WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_custkey % 100 AS VARCHAR) END AS v FROM orders),
+    c AS (SELECT side, CASE WHEN v NOT IN ('unknown', 'NaN', '') THEN CAST(v AS DOUBLE) END AS v FROM x)
+    SELECT v AS value, count(*) FILTER (side = 0) AS n_real, count(*) FILTER (side = 1) AS n_synth FROM c WHERE v IS NOT NULL GROUP BY 1""",
+)
+def number_coercion(spark, sf):
+    """Numbers out of a text column; what is no number is missing."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 7 == 0, "unknown").when(key % 11 == 0, "NaN").when(key % 13 == 0, "").otherwise((F.col("o_custkey") % 100).cast("string")).alias("v")
+    orders = table(spark, sf, "orders")
+    out = distributions.value_counts(orders.where(key % 2 == 0).select(text), orders.where(key % 2 == 1).select(text), ["v"], "double")
+    return out.select("value", "n_real", "n_synth")
+
+
 @query(
     "favorable_value",
     """SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1""",
@@ -478,16 +537,16 @@ def quality_uniqueness(spark, sf):
     return quality.uniqueness(dirty_orders(spark, sf)).select(round6(F.col("uniqueness")).alias("uniqueness"))
 
 
-@query(
-    "synthetic_only_score",
-    f"""WITH {_CQ_SQL}, f AS (SELECT ({' + '.join(f'count({c})' for c in _Q_COLUMNS)}) * 100.0::DOUBLE / (count(*) * {len(_Q_COLUMNS)}) AS c FROM dirty),
+SYNTHETIC_ONLY_SQL = f"""WITH {_CQ_SQL}, f AS (SELECT ({' + '.join(f'count({c})' for c in _Q_COLUMNS)}) * 100.0::DOUBLE / (count(*) * {len(_Q_COLUMNS)}) AS c FROM dirty),
     u AS (SELECT count(*) * 100.0::DOUBLE / (SELECT n FROM tot) AS u FROM (SELECT DISTINCT * FROM dirty)),
     a AS (SELECT c, u, (SELECT avg(validity) FROM cq) AS v, (SELECT avg(distribution) FROM cq) AS d FROM f, u),
     s AS (SELECT *, least(100, c * 0.5 + u * 0.5) AS p, least(100, v * 0.5 + d * 0.5) AS t, least(100, d) AS b FROM a),
     o AS (SELECT *, CAST(0.4 AS DOUBLE) * p + CAST(0.35 AS DOUBLE) * t + CAST(0.25 AS DOUBLE) * b AS overall FROM s)
     SELECT round(c, 2) AS completeness, round(u, 2) AS uniqueness, round(v, 2) AS validity, round(d, 2) AS distribution, round(p, 2) AS privacy_score,
-           round(t, 2) AS utility_score, round(b, 2) AS bias_score, round(overall, 2) AS overall_score, CASE WHEN overall >= 70 THEN 'approved' ELSE 'rejected' END AS status FROM o""",
-)
+           round(t, 2) AS utility_score, round(b, 2) AS bias_score, round(overall, 2) AS overall_score, CASE WHEN overall >= 70 THEN 'approved' ELSE 'rejected' END AS status FROM o"""
+
+
+@query("synthetic_only_score", SYNTHETIC_ONLY_SQL)
 def synthetic_only_score(spark, sf):
     out = quality.synthetic_only(prepare.rename_columns(dirty_orders(spark, sf)), ["priority", "status", "mostly_empty"])
     return out.select(*[F.round(c, 2).alias(c) if c != "status" else c for c in out.columns])

@@ -129,6 +129,26 @@ def consensus_integrity(spark, sf):
     return consensus.verify_integrity(records, expected, consensus.signatures_valid(forged))
 
 
+@query(
+    "consensus_integrity_strict",
+    f"""WITH {SUBMISSION_SQL}, sg AS (SELECT verification_id, bool_and(verification_id % 211 <> 0 AND NOT (verification_id % 307 = 5 AND verifier_id % 2 = 0)) AS ok FROM firsts GROUP BY 1)
+    SELECT verification_id, verification_id % 101 <> 0 AS scores_match, ok AS signatures_valid, verification_id % 101 <> 0 AND ok AS valid FROM verdict JOIN sg USING (verification_id)""",
+)
+def consensus_integrity_strict(spark, sf):
+    """Signatures are computed again: one of the right form over another score is found, too; scores may differ by the tolerance itself."""
+    sub = submissions(spark, sf)
+    records = consensus.consensus(sub)
+    vid = F.col("verification_id")
+    shifted = F.col("privacy") + F.when(vid % 101 == 0, 1.0).otherwise(0.25)
+    expected = records.withColumn("privacy", shifted)
+    signed = consensus.signed(consensus.first_submissions(sub))
+    other = F.substring(F.sha2(F.col("signature"), 256), 1, 32)
+    forged = signed.withColumn(
+        "signature", F.when(vid % 211 == 0, F.lit("short!")).when((vid % 307 == 5) & (F.col("verifier_id") % 2 == 0), other).otherwise(F.col("signature"))
+    )
+    return consensus.verify_integrity(records, expected, consensus.signatures_valid(forged, recompute=True), tolerance=0.25, inclusive=True)
+
+
 @query(
     "consensus_stats",
     f"""WITH {SUBMISSION_SQL} SELECT count(*) AS total_completed, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'rejected') AS rejected,
@@ -615,6 +635,10 @@ _COLUMNS_SQL = "cl AS (" + " UNION ALL ".join(
 ) + "), tk AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in compliance.IDENTIFIER_TOKENS) + "]) AS token), ht AS (SELECT dataset, token, arg_min(col, position) AS col FROM cl JOIN tk ON contains(col, token) GROUP BY 1, 2)"
 
 
+# The names found, in the order of the tokens.
+_NAMES_SQL = "SELECT dataset, string_agg(col, ', ' ORDER BY list_position([" + ", ".join(f"'{t}'" for t in compliance.IDENTIFIER_TOKENS) + "], token)) AS names FROM ht GROUP BY 1"
+
+
 def _columns(spark, sf):
     return compliance.column_frame({t: table(spark, sf, t) for t in TABLE_NAMES})
 
@@ -622,15 +646,31 @@ def _columns(spark, sf):
 @query(
     "safe_harbor",
     f"""WITH {_COLUMNS_SQL}, h AS (SELECT dataset, count(*) AS n FROM ht GROUP BY 1), v AS (SELECT dataset, CAST(sum(n_values) AS BIGINT) AS e FROM cl WHERE (dataset, col) IN (SELECT (dataset, col) FROM ht) GROUP BY 1)
-    SELECT dataset, count(*) AS columns_checked, coalesce(max(n), 0) AS n_identifiers, CAST(greatest(0, 100 - coalesce(max(n), 0) * 10) AS DOUBLE) AS score, coalesce(max(n), 0) = 0 AS passed, coalesce(max(e), 0) AS exposed_values
-    FROM cl LEFT JOIN h USING (dataset) LEFT JOIN v USING (dataset) GROUP BY 1""",
+    SELECT dataset, count(*) AS columns_checked, coalesce(max(n), 0) AS n_identifiers, CAST(greatest(0, 100 - coalesce(max(n), 0) * 10) AS DOUBLE) AS score, coalesce(max(n), 0) = 0 AS passed, coalesce(max(e), 0) AS exposed_values,
+           coalesce(max(names), '') AS identifiers FROM cl LEFT JOIN h USING (dataset) LEFT JOIN v USING (dataset) LEFT JOIN ({_NAMES_SQL}) nm USING (dataset) GROUP BY 1""",
 )
 def safe_harbor(spark, sf):
     columns = _columns(spark, sf)
     hit = compliance.identifier_hits(columns).select("dataset", "column").distinct()
     exposed = columns.join(hit, ["dataset", "column"], "left_semi").groupBy("dataset").agg(F.sum("n_values").alias("e"))
     out = compliance.safe_harbor(columns).join(exposed, "dataset", "left")
-    return out.withColumn("exposed_values", F.coalesce("e", F.lit(0))).drop("e")
+    return out.withColumns({"exposed_values": F.coalesce("e", F.lit(0)), "identifiers": F.array_join("identifiers", ", ")}).drop("e")
+
+
+@query(
+    "compliance_scan",
+    f"""WITH {_COLUMNS_SQL}, nm AS ({_NAMES_SQL}), n AS (SELECT dataset, count(*) AS k FROM ht GROUP BY 1), d AS (SELECT DISTINCT dataset FROM cl)
+    SELECT dataset, '164.514(b)(2)' AS article, k IS NULL AS passed, CAST(greatest(0, 100 - coalesce(k, 0) * 10) AS DOUBLE) AS score, 'Remove or generalize: ' || names AS recommendation FROM d LEFT JOIN n USING (dataset) LEFT JOIN nm USING (dataset)
+    UNION ALL SELECT dataset, 'Article 5(1)(c)', dataset <> 'orders', CASE WHEN dataset = 'orders' THEN 50.0::DOUBLE ELSE 100.0::DOUBLE END, CASE WHEN dataset = 'orders' THEN 'Remove unnecessary columns from synthetic data' END FROM d""",
+)
+def compliance_scan(spark, sf):
+    """The columns found by the scan of the tables go to the rules and into their advice."""
+    real = {t: table(spark, sf, t) for t in TABLE_NAMES}
+    synth = {t: df.withColumn("extra_column", F.lit(1)) if t == "orders" else df for t, df in real.items()}
+    columns = [compliance.column_frame(x) for x in (real, synth)]
+    scores = columns[0].select("dataset").distinct().select("dataset", *[F.lit(90.0).alias(c) for c in ("privacy", "utility", "fairness")], F.lit(True).alias("has_audit"))
+    out = compliance.evaluate(compliance.dataset_rows(*columns, scores))
+    return out.where(F.col("article").isin("164.514(b)(2)", "Article 5(1)(c)")).select("dataset", "article", "passed", "score", "recommendation")
 
 
 @query(

@@ -14,16 +14,18 @@ from twinproof.catalog.pairs import (
     SPLIT_ROLES,
     SUBMISSION_SQL,
     applicants,
+    dirty_orders,
     lineitem_split,
     submissions,
     table,
 )
 from twinproof.catalog.privacy_queries import ALL_ROWS, POINT_LABELS, POINT_NUMBERS, points_sql, scaled_sql
+from twinproof.catalog.prepare_queries import SYNTHETIC_ONLY_SQL
 from twinproof.catalog.registry import query
 from twinproof.catalog.utility_queries import JS_SQL, cdf_sql, corr_sql, counts_sql
 from twinproof.functions.scalar import round6
-from twinproof.operators import consensus, correlation, distance, fairness, models, privacy, utility
-from twinproof.plans import scorecard, trials
+from twinproof.operators import consensus, correlation, distance, fairness, models, prepare, privacy, utility
+from twinproof.plans import api, scorecard, trials
 
 _QI = ", ".join(APPLICANT_ROLES.quasi_identifiers)
 
@@ -105,11 +107,11 @@ def scorecard_models(spark, sf):
     SELECT 'attack' AS model, 2 * CAST(ceil(m * CAST(0.3 AS DOUBLE)) AS BIGINT) AS n_tested, 1.0::DOUBLE AS hit_rate FROM t
     UNION ALL SELECT 'attack on halves', 2 * CAST(ceil(m * CAST(0.3 AS DOUBLE)) AS BIGINT), 0.5::DOUBLE FROM hv
     UNION ALL SELECT 'trained on synthetic', held, 1.0::DOUBLE FROM t UNION ALL SELECT 'trained on real', held, 1.0::DOUBLE FROM t
-    UNION ALL SELECT 'evaluator', nr, 1.0::DOUBLE FROM t""",
+    UNION ALL SELECT 'evaluator', nr, 1.0::DOUBLE FROM t UNION ALL SELECT 'evaluator, numbers', nr, 1.0::DOUBLE FROM t""",
 )
 def model_facts(spark, sf):
     """Rows that the forests judge and their hit rates, where both are known: a pair told apart by one
-    label, two halves of one table (to one decimal), and a target that one feature decides."""
+    label, two halves of one table (to one decimal), and a target that one feature decides (to two)."""
     real, synth = _marked(spark, sf)
     rows = [
         ("attack", models.attack_predictions(real, synth, APPLICANT_NUMBERS, APPLICANT_LABELS), "is_real", "predicted"),
@@ -119,10 +121,12 @@ def model_facts(spark, sf):
     rows += [(name, scored.where(F.col("model") == kind), "label", "prediction") for name, kind in (("trained on synthetic", "synthetic"), ("trained on real", "baseline"))]
     coded = [df.withColumn("priority", F.substring("o_orderpriority", 1, 1).cast("double")) for df in (real, synth)]
     rows.append(("evaluator", models.evaluator_predictions(*coded, ("priority", *APPLICANT_NUMBERS), "urgency", True), "label", "prediction"))
+    regression = [df.withColumn("tens", F.col("priority") * 10) for df in coded]
+    rows.append(("evaluator, numbers", models.evaluator_predictions(*regression, ("tens", *APPLICANT_NUMBERS), "priority", False), "label", "prediction"))
     out = None
     for name, frame, label, guess in rows:
-        hit = F.avg((F.col(label) == F.col(guess)).cast("double"))
-        part = frame.agg(F.count("*").alias("n_tested"), (F.round(hit, 1) if "halves" in name else hit).alias("hit_rate")).select(F.lit(name).alias("model"), "*")
+        hit = F.avg((F.abs(F.col(label) - F.col(guess)) < 0.5).cast("double"))
+        part = frame.agg(F.count("*").alias("n_tested"), F.round(hit, 1 if "halves" in name else 2).alias("hit_rate")).select(F.lit(name).alias("model"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -304,6 +308,29 @@ def rf_tstr_evaluator(spark, sf):
     return models.evaluator_efficacy(*lineitem_split(spark, sf), SPLIT_ROLES.numeric, "l_linestatus", True)
 
 
+@query("rf_tstr_evaluator_regression")
+def rf_tstr_evaluator_regression(spark, sf):
+    return models.evaluator_efficacy(*lineitem_split(spark, sf), SPLIT_ROLES.numeric, "l_extendedprice", False)
+
+
+@query(
+    "run_modes",
+    f"""WITH {METRIC_SQL}, t AS (SELECT 0.4::DOUBLE * max(score) FILTER (axis = 'privacy') + 0.35::DOUBLE * max(score) FILTER (axis = 'utility') + 0.25::DOUBLE * max(score) FILTER (axis = 'fairness') AS trust FROM ax)
+    SELECT unnest(['generate', 'upload']) AS mode, round(trust, 2) AS score FROM t UNION ALL SELECT 'synthetic_only', overall_score FROM ({SYNTHETIC_ONLY_SQL})""",
+)
+def run_modes(spark, sf):
+    """The overall score of the three ways to run a verification."""
+    pair = dict(zip(("real", "synthetic"), applicants(spark, sf)))
+    out = None
+    for mode in ("generate", "upload"):
+        card = api.verify(mode, pair, APPLICANT_ROLES, with_models=False).where("axis = 'trust'")
+        part = card.select(F.lit(mode).alias("mode"), F.round("score", 2).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    lone = prepare.rename_columns(dirty_orders(spark, sf))
+    alone = api.verify("synthetic_only", {"synthetic": lone}, APPLICANT_ROLES.but(categorical=("priority", "status", "mostly_empty")))
+    return out.unionByName(alone.select(F.lit("synthetic_only").alias("mode"), F.round("overall_score", 2).alias("score")))
+
+
 @query("rf_eod")
 def rf_eod(spark, sf):
     return models.equal_opportunity(*applicants(spark, sf), APPLICANT_NUMBERS, APPLICANT_LABELS, PROTECTED, TARGET)

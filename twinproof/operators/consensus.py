@@ -143,18 +143,26 @@ def progress(submissions: DataFrame, quorum: int = QUORUM, threshold: float = TH
     )
 
 
-def signatures_valid(submissions: DataFrame) -> DataFrame:
-    """(verification_id, signatures_valid): every signature has the right form."""
+def signatures_valid(submissions: DataFrame, recompute: bool = False) -> DataFrame:
+    """(verification_id, signatures_valid): every signature has the right form, or with
+    ``recompute`` is that of its verifier and score."""
     good = F.coalesce(F.col("signature").rlike("^[0-9a-zA-Z]{32}$"), F.lit(False))
+    if recompute:
+        submissions = signed(submissions.withColumn("_stored", F.col("signature")))
+        good = F.col("_stored").eqNullSafe(F.col("signature"))
     return submissions.groupBy("verification_id").agg(F.bool_and(good).alias("signatures_valid"))
 
 
-def verify_integrity(records: DataFrame, expected: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Compare recorded finals with expected ones; both keyed by verification."""
+def verify_integrity(records: DataFrame, expected: DataFrame, signatures: DataFrame, tolerance: float = MATCH_TOLERANCE, inclusive: bool = False) -> DataFrame:
+    """Compare recorded finals with expected ones; both keyed by verification.
+
+    They match below ``tolerance``, or with ``inclusive`` up to it.
+    """
     other = expected.select("verification_id", *[F.col(s).alias(f"_e_{s}") for s in FINALS])
     close = F.lit(True)
     for s in FINALS:
-        close = close & (F.abs(F.col(s) - F.coalesce(f"_e_{s}", F.lit(0.0))) < MATCH_TOLERANCE)
+        away = F.abs(F.col(s) - F.coalesce(f"_e_{s}", F.lit(0.0)))
+        close = close & (away <= tolerance if inclusive else away < tolerance)
     joined = records.join(other, "verification_id").join(signatures, "verification_id", "left")
     return joined.select(
         "verification_id", close.alias("scores_match"), F.coalesce("signatures_valid", F.lit(True)).alias("signatures_valid")
