@@ -84,9 +84,28 @@ def test_long_text_and_tile_arrays_agree():
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=list("kijsunbr"))
-    many = {tuple(p.values()) for b in shingle_join._tiles(90)(iter([batch])) for p in b.to_pylist()}
+    many = {r["uid"] for b in shingle_join._tiles(90)(iter([batch])) for r in b.to_pylist()}
     few = {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 7 != j % 7 and shingle_join.may_link(rows[i][5], rows[j][5], int.from_bytes(rows[i][6], "little"), 8 * len(rows[i][6]), int.from_bytes(rows[j][6], "little"), 8 * len(rows[j][6]), 90)}
-    assert many == few and few
+    assert many == {x for p in few for x in p} and few
+
+
+@pytest.mark.parametrize("postings", [5, 1 << 22])
+def test_tiles_decide_exactly_and_emit_what_spans(monkeypatch, postings):
+    import pyarrow as pa
+
+    monkeypatch.setattr(shingle_join, "POSTINGS", postings)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(150, 300), replace=False), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(60)]
+    for sides, tile in (([2] * 60, (1, 0, 0)), ([k % 2 for k in range(60)], (1, 0, 1))):
+        rows = [(*tile, side, u, len(x), u if u % 9 else 0, x.tobytes()) for u, (x, side) in enumerate(zip(sets, sides))]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=list("kijsunre"))
+        got = [tuple(r.values()) for b in shingle_join._decide(60)(iter([batch.slice(0, 25), batch.slice(25)])) for r in b.to_pylist()]
+        both = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
+        true = {(x, y) for x in range(60) for y in range(x + 1, 60) if (sides[x] == 2 or sides[x] != sides[y]) and 100 * both(x, y) >= 60 * (len(sets[x]) + len(sets[y]) - both(x, y))}
+        known = [(0, u) for u in range(0, 60, 9)]
+        assert set(got) <= true and len(got) < 60
+        assert roots_of(60, known + got) == roots_of(60, known + list(true))
 
 
 def vectors_fixture():

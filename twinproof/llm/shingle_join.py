@@ -7,13 +7,15 @@ common order. The order is rarest first by a frequency sketch of fixed size over
 texts; how good the sketch is changes the cost only, never the result.
 
 Equal sets are one class from then on, so copies cost nothing. The members of a key
-are first compared with its two outermost members, which joins the large groups of
+are first compared, text by text, with its two outermost members, which joins the large groups of
 near copies at linear cost. Members left in different components meet in tiles: a
 group of m members is cut into ceil(m / TILE) pieces, and each pair of pieces is a
 tile of at most 2 TILE rows, so no task or group is unbounded however popular a key
 is. Inside a tile, sizes outside the band t are skipped, and the bit count of the two
-bitmaps' difference bounds the overlap from above; pairs within the bound are
-intersected exactly, text by text. Pairs inside a component need no test.
+bitmaps' difference bounds the overlap from above. Rows with a partner within the
+bound meet once more, with their whole sets: sorted arrays are intersected exactly in the
+tile, rows already connected need no test, and only links that connect something
+leave it, fewer than a tile has rows. So no pair of a large group is ever a row.
 
 Defined results: null and empty texts and texts without words have an empty set,
 link with nothing and are their own component; a text of fewer words than a
@@ -39,6 +41,7 @@ from twinproof.session import settle
 WORDS, PERCENT = 3, 90
 TILE = 1024
 FEW = 16  # rows of a tile that are compared one by one
+POSTINGS = 1 << 22  # postings of a set that are counted at once
 SKETCH_BITS = 24  # cells of the frequency sketch: its size in bytes, fixed
 SEGMENTS = 64  # parts in which the sketch is added up
 CACHE = 1 << 17  # words whose hash a task remembers
@@ -162,27 +165,31 @@ def _profile(words, percent, sent):
 
 
 def _tiles(percent):
-    """Pairs of a tile that may link; a tile's rows follow one another."""
+    """The rows of each tile that have a partner in it whose size and bitmap allow a link; a tile's rows follow one another."""
 
-    def few(mine, out):
+    def few(mine):
         """``mine`` by size: a partner outside the band ends the inner loop."""
-        mine = [(u, n, int.from_bytes(bits, "little"), 8 * len(bits), s, r) for u, n, bits, s, r in mine]
-        for i, (u, n, x, lx, s, r) in enumerate(mine):
-            for v, m, y, ly, t, q in mine[i + 1 :]:
+        mine = [(n, int.from_bytes(bits, "little"), 8 * len(bits), s, r) for _, n, bits, s, r in mine]
+        near = [False] * len(mine)
+        for i, (n, x, lx, s, r) in enumerate(mine):
+            for j in range(i + 1, len(mine)):
+                m, y, ly, t, q = mine[j]
                 if 100 * n < percent * m:
                     break
                 # pieces i < j: members of one piece meet in their own tile
-                if r != q and (s == 2 or s != t) and may_link(n, m, x, lx, y, ly, percent):
-                    out.append((min(u, v), max(u, v)))
+                if not (near[i] and near[j]) and r != q and (s == 2 or s != t) and may_link(n, m, x, lx, y, ly, percent):
+                    near[i] = near[j] = True
+        return near
 
-    def many(mine, out):
+    def many(mine):
         """The same with whole arrays; lengths never fall as sizes rise, and inside the band they double at most once for t > 1/2."""
-        uid, n, side, root = (np.array([r[k] for r in mine]) for k in (0, 1, 3, 4))
+        n, side, root = (np.array([r[k] for r in mine]) for k in (1, 3, 4))
         length = np.array([len(r[2]) // 8 for r in mine])
         blocks = {w: np.frombuffer(b"".join(r[2] for r in mine if len(r[2]) == 8 * w), np.uint64).reshape(-1, w) for w in set(length.tolist())}
         start = {w: int(np.searchsorted(length, w)) for w in blocks}
         folded = {w // 2: b[:, : w // 2] | b[:, w // 2 :] for w, b in blocks.items() if w > 1}
         end = np.searchsorted(n, 100 * n // percent, side="right")
+        near = np.zeros(len(mine), bool)
         for i, w in enumerate(length.tolist()):
             x = blocks[w][i - start[w]]
             for at, own in ((start[w], blocks[w]), (start.get(2 * w, 0), folded.get(w))):
@@ -194,28 +201,104 @@ def _tiles(percent):
                 apart = np.bitwise_count(own[lo - at : hi - at] ^ x).sum(axis=1, dtype=np.int64)
                 overlap = (n[i] + n[lo:hi] - apart) // 2
                 ok = (100 * overlap >= percent * (n[i] + n[lo:hi] - overlap)) & ((side[i] == 2) | (side[lo:hi] != side[i])) & (root[lo:hi] != root[i])
-                out += [(min(int(uid[i]), int(v)), max(int(uid[i]), int(v))) for v in uid[lo:hi][ok]]
+                near[lo:hi] |= ok
+                near[i] |= ok.any()
+        return near.tolist()
 
-    def pairs(rows, out):
-        if len(rows) > 1:
-            rows.sort(key=lambda r: (r[1], r[0]))
-            (few if len(rows) <= FEW else many)(rows, out)
+    def found(tile, rows):
+        rows.sort(key=lambda r: (r[1], r[0]))
+        near = (few if len(rows) <= FEW else many)(rows) if len(rows) > 1 else [False] * len(rows)
+        return [(*tile, r[3], r[0], r[1], r[4]) for r, ok in zip(rows, near) if ok]
+
+    def out(made):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k in (1, 2, 3) else pa.int64()) for k, c in enumerate(zip(*made))] if made else [pa.array([], pa.int32() if k in (1, 2, 3) else pa.int64()) for k in range(7)], names=["key", "i", "j", "side", "uid", "n", "root"])
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
-            out: list = []
+            made: list = []
             cols = [c.to_pylist() for c in batch.columns]
             for key, i, j, side, uid, n, bits, root in zip(*cols):
                 if (key, i, j) != now:
-                    pairs(rows, out)
+                    made += found(now, rows)
                     now, rows = (key, i, j), []
                 rows.append((uid, n, bits, side, root))
-            out = list(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["u", "v"])
+            yield out(made)
+        yield out(found(now, rows))
+
+    return run
+
+
+def overlaps(sets: list[np.ndarray], i: int, postings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many elements set ``i`` shares with each set: its elements' postings, counted by row."""
+    first, rows, codes = postings
+    own = codes[i]
+    total = np.zeros(len(sets), np.int64)
+    size = first[own + 1] - first[own]
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(own):  # a bounded number of postings at a time
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + POSTINGS, "right")))
+        part, own_size = first[own[at:stop]], size[at:stop]
+        ends = np.cumsum(own_size)
+        total += np.bincount(rows[np.repeat(part - ends + own_size, own_size) + np.arange(ends[-1])], minlength=len(sets))
+        at = stop
+    return total
+
+
+def _decide(percent):
+    """Links of each tile that span what they connect, found by exact intersection of the sets. Rows that are
+    connected, by links found before or in the tile, need no test; a tile emits fewer links than rows."""
+
+    def links(rows):
+        rows.sort(key=lambda r: (r[2], r[1]))
+        side, uid, n, root = (np.array([r[k] for r in rows]) for k in range(4))
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in sets])[:-1]
+        codes = np.split(flat, cuts)
+        order = np.argsort(flat, kind="stable")
+        first = np.searchsorted(flat[order], np.arange(flat.max() + 2 if len(flat) else 1))
+        postings = first, np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], codes
+        end = np.searchsorted(n, 100 * n // percent, side="right")
+        group = np.unique(root, return_inverse=True)[1]
         out = []
-        pairs(rows, out)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["u", "v"])
+        for i in range(len(rows)):
+            lo, hi = i + 1, int(end[i])
+            may = ((side[i] == 2) | (side[lo:hi] != side[i])) & (group[lo:hi] != group[i])
+            if not may.any():
+                continue
+            both = overlaps(sets, i, postings)[lo:hi]
+            for k in np.flatnonzero(may & (100 * both >= percent * (n[i] + n[lo:hi] - both))) + lo:
+                if group[k] != group[i]:
+                    group[group == group[k]] = group[i]
+                    out.append((min(uid[i], uid[k]), max(uid[i], uid[k])))
+        return out
+
+    def run(batches):
+        now, rows = None, []
+
+        def done():
+            found = links(rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                key, i, j, *row = (c[at].as_py() for c in batch.columns)
+                if (key, i, j) != now:
+                    yield done()
+                    now, rows = (key, i, j), []
+                rows.append(row)
+        yield done()
+
+    return run
+
+
+def _sets(words):
+    def run(batches):
+        seen: dict = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words, seen).tobytes() for t in batch.column(1)], pa.binary())], names=["uid", "elements"])
 
     return run
 
@@ -267,12 +350,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *who).where("m > 1").groupBy("m", "x1", "x2").agg(F.min(F.struct("key", "lo", "hi")).alias("k"))
     members = settle(keyed.join(settle(shared.select("k.*", "m"), "shingle-keys"), "key"), "shingle-members")
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        places = profile.join(wanted, "uid").select("uid", F.col("a").alias("pa"), F.col("b").alias("pb"))
+        return slim.select("text", "a", "b").join(places, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb"))).select("uid", "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose texts overlap enough, by exact intersection."""
-        wanted = pairs.select(F.col("u").alias("uid")).union(pairs.select(F.col("v").alias("uid"))).distinct()
-        places = profile.join(wanted, "uid").select("uid", F.col("a").alias("pa"), F.col("b").alias("pb"))
-        found = slim.select("text", "a", "b").join(places, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")))
-        texts = settle(found.select("uid", "text"), "shingle-texts")
+        texts = settle(texts_of(pairs.select(F.col("u").alias("uid")).union(pairs.select(F.col("v").alias("uid"))).distinct()), "shingle-texts")
         left = texts.select(F.col("uid").alias("u"), F.col("text").alias("x"))
         right = texts.select(F.col("uid").alias("v"), F.col("text").alias("y"))
         return settle(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_verify(words, percent), "u bigint, v bigint"), "shingle-links")
@@ -296,9 +380,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     side = F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") < F.col("other"), 0).otherwise(1)
     tiles = tiles.join(sizes, "uid").select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), side.alias("side"), "uid", "n", "bits", "root")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = settle(tiles.mapInArrow(_tiles(percent), "u bigint, v bigint").distinct().join(near, ["u", "v"], "left_anti"), "shingle-pairs")
-    if more.head(1):
-        edges = edges.union(verified(more))
+    rest = settle(tiles.mapInArrow(_tiles(percent), "key bigint, i int, j int, side int, uid bigint, n bigint, root bigint"), "shingle-tiles")
+    if rest.head(1):
+        elements = settle(texts_of(rest.select("uid").distinct()).mapInArrow(_sets(words), "uid bigint, elements binary"), "shingle-elements")
+        whole = rest.join(elements, "uid").select("key", "i", "j", "side", "uid", "n", "root", "elements")
+        whole = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = settle(whole.mapInArrow(_decide(percent), "u bigint, v bigint").distinct(), "shingle-links")
+        edges = edges.union(more)
         tree = components(edges).withColumnRenamed("id", "uid")
 
     # classes by component: the smallest first row names it and is the one kept
