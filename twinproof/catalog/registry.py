@@ -27,15 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def exact_sql(name: str) -> str:
-    """DuckDB text of a double's exact value, as ``scalar.exact_number`` gives it."""
-    step = f"CAST({2**50} AS DOUBLE)"
-    size = f"abs({name})"
-    one = f"(({size} - floor({size})) * {step})"
-    two = f"(({one} - floor({one})) * {step})"
-    three = f"(({two} - floor({two})) * {step})"
-    whole = [f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)" for x in (size, one, two, three)]
-    parts = f"CASE WHEN {name} < 0 THEN '-' ELSE '' END || {whole[0]} || ':' || {whole[1]} || CASE WHEN {one} <> floor({one}) THEN ':' || {whole[2]} || ':' || {whole[3]} ELSE '' END"
-    return f"CASE WHEN {size} < {2.0**62!r} AND ({name} = 0 OR {size} >= {2.0**-90!r}) THEN {parts} ELSE CAST({name} AS VARCHAR) END"
+    """DuckDB text of a double's bits, as ``scalar.exact_number`` gives it."""
+    return f"CAST(CAST(CAST({name} + CAST(0 AS DOUBLE) AS BIT) AS BIGINT) AS VARCHAR)"
 
 
 def canon_sql(*columns: str) -> str:

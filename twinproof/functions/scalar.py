@@ -33,23 +33,9 @@ def weighted_score(privacy: Column, utility: Column, fairness: Column) -> Column
 
 
 def exact_number(c: Column) -> Column:
-    """A double's value as text, without rounding and the same in any engine.
-
-    The magnitude is split into its whole part and binary fractions of 50
-    bits each, all exact in double arithmetic. Magnitudes outside 2^-90 to 2^62
-    keep the engine's own round-trip notation.
-    """
-    step = float(2**50)
-    size = F.abs(c)
-    whole = F.floor(size)
-    one = (size - whole) * step
-    two = (one - F.floor(one)) * step
-    three = (two - F.floor(two)) * step
-    tail = F.when(one != F.floor(one), F.concat_ws(":", F.floor(two).cast("bigint").cast("string"), F.floor(three).cast("bigint").cast("string")))
-    sign = F.when(c < 0, "-").otherwise("")
-    parts = F.concat(sign, F.concat_ws(":", whole.cast("bigint").cast("string"), F.floor(one).cast("bigint").cast("string"), tail))
-    usual = (size < float(2**62)) & ((size == 0) | (size >= 2.0**-90))
-    return F.when(usual & ~F.isnan(c), parts).otherwise(c.cast("string"))
+    """A double's 64 bits as a whole number in text: every value has one text, the same
+    in any engine. Zero has one sign."""
+    return F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c + F.lit(0.0))
 
 
 def canonical_text(field: T.StructField) -> Column:

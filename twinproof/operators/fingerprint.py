@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import row_sha
+from twinproof.session import settle
 
 DIGITS_PER_LEVEL = 2
 LEAF_ROWS = 256
@@ -30,8 +31,8 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, leaf_digits
     at most 256 children. No task ever gathers more than one node, and row
     order does not matter.
     """
-    leaf_digits = leaf_digits or leaf_digits_for(df.count())
-    rows = df.select(row_sha(df, columns).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    rows = settle(df.select(row_sha(df, columns).alias("h")).groupBy("h").agg(F.count("*").alias("n")), "row-digests")
+    leaf_digits = leaf_digits or leaf_digits_for(rows.agg(F.sum("n")).first()[0] or 0)
     item = F.concat_ws(":", "h", F.col("n").cast("string"))
     level = rows.groupBy(F.substring("h", 1, leaf_digits).alias("key")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(item)), ","), 256).alias("digest"),

@@ -1,28 +1,72 @@
-"""Fairness post-processing of a synthetic table."""
+"""Fairness post-processing of a synthetic table.
+
+All steps work on the distinct rows and how often each stands in the table
+(``_n``), so resampling is arithmetic on counts: a row that fills a third of the table
+is one row, nothing is repeated or written in full between the steps, and rows
+are multiplied once, at the end.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinproof.functions.scalar import ratio
+from twinproof.functions.scalar import ratio, row_md5
 from twinproof.operators.distributions import unpivoted
-from twinproof.operators.sampling import hash_quota, replicate
+from twinproof.operators.sampling import replicate
 from twinproof.roles import favorable_value
 from twinproof.session import settle
 
+PREFIX = 4  # hash digits by which the rows of a group are counted
+
+
+def counted(rows: DataFrame, times: str | None = None) -> DataFrame:
+    """Distinct rows with ``_n``, how often each stands there, and ``_h``, its hash."""
+    columns = [c for c in rows.columns if c not in (times, "_h")]
+    n = F.sum(times) if times else F.count("*")
+    distinct = rows.groupBy(*columns).agg(n.cast("bigint").alias("_n"))
+    return settle(distinct.withColumn("_h", row_md5(distinct, columns)), "counted-rows")
+
+
+def _plain(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("_n", "_h")]
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Each row as often as it counts."""
+    return replicate(rows.drop("_h"), "_n")
 
-def group_targets(real: DataFrame, synth: DataFrame, attribute: str) -> DataFrame:
-    """(attribute, size, target, max_gap) for groups present in both tables.
 
-    target is the truncated real share of the whole synthetic row count.
+def pick(rows: DataFrame, attribute: str, quota: DataFrame) -> DataFrame:
+    """Rows of the groups of ``quota`` (attribute, quota, ...) with its columns and
+    ``_picked``: how many of a row's copies are among the group's first ``quota`` in hash order.
+
+    Groups are counted by the first digits of the uniform hash; only the bucket in which a
+    quota ends is put in order.
+    """
+    keyed = rows.withColumn("_b", F.substring("_h", 1, PREFIX))
+    over = Window.partitionBy(attribute).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = keyed.groupBy(attribute, "_b").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(over), F.lit(0)))
+    met = keyed.join(buckets.join(quota, attribute), [attribute, "_b"])
+    left = F.col("quota") - F.col("_before")
+    inside = Window.partitionBy(attribute, "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    edge = met.where((left > 0) & (left < F.col("_m"))).withColumn("_upto", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    edge = edge.withColumn("_picked", F.greatest(F.lit(0), F.least(F.col("_n"), left - F.col("_upto")))).drop("_upto")
+    rest = met.where((left <= 0) | (left >= F.col("_m"))).withColumn("_picked", F.when(left > 0, F.col("_n")).otherwise(0))
+    return rest.unionByName(edge).withColumn("_picked", F.col("_picked").cast("bigint")).drop("_b", "_m", "_before")
+
+
+def group_targets(real: DataFrame, rows: DataFrame, attribute: str) -> DataFrame:
+    """(attribute, size, target, gap) for groups present in both tables.
+
+    ``rows`` are counted; target is the truncated real share of all their copies.
     """
-    both = real.select(F.col(attribute), F.lit(1).alias("is_real")).unionByName(
-        synth.select(F.col(attribute), F.lit(0).alias("is_real"))
+    both = real.select(F.col(attribute), F.lit(1).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("s")).unionByName(
+        rows.select(F.col(attribute), F.lit(0).cast("bigint").alias("r"), F.col("_n").alias("s"))
     )
-    sizes = both.groupBy(attribute).agg(F.sum("is_real").alias("r"), F.sum(1 - F.col("is_real")).alias("size"))
+    sizes = both.groupBy(attribute).agg(F.sum("r").alias("r"), F.sum("s").alias("size"))
     totals = sizes.agg(
         F.struct(
             F.sum(F.when(F.col(attribute).isNotNull(), F.col("r"))).alias("r"),
@@ -40,47 +84,52 @@ def group_targets(real: DataFrame, synth: DataFrame, attribute: str) -> DataFram
     )
 
 
-def _resample(synth: DataFrame, attribute: str, targets: DataFrame) -> DataFrame:
+def _resample(rows: DataFrame, attribute: str, targets: DataFrame) -> DataFrame:
     """Bring every listed group to its target size; other groups leave.
 
     Growing groups repeat each row evenly, the remainder going to the rows
     first in hash order; shrinking groups keep the first rows.
     """
     plan = targets.select(attribute, F.expr("target div size").alias("_each"), F.expr("target % size").alias("quota"))
-    marked = hash_quota(synth, [attribute], plan).where(F.col("_each").isNotNull())
-    times = marked.withColumn("_times", F.col("_each") + F.col("picked").cast("int"))
-    return settle(replicate(times.select(*synth.columns, "_times"), "_times"), "resampled")
+    marked = pick(rows, attribute, plan).withColumn("_n", F.col("_n") * F.col("_each") + F.col("_picked"))
+    return settle(marked.where("_n > 0").select(*rows.columns), "resampled")
+
+
+def _rebalanced(real: DataFrame, rows: DataFrame, protected: Sequence[str]) -> DataFrame:
+    for a in protected:
+        if a in rows.columns and a in real.columns:
+            rows = _resample(rows, a, group_targets(real, rows, a))
+    return rows
 
 
 def rebalance(real: DataFrame, synth: DataFrame, protected: Sequence[str]) -> DataFrame:
     """Match group shares to the real table, one attribute after the other."""
-    out = settle(synth, "start")
-    for a in protected:
-        if a in out.columns and a in real.columns:
-            out = _resample(out, a, group_targets(real, out, a))
-    return out
+    return _listed(_rebalanced(real, counted(synth), protected))
 
 
-def enforce_parity(real: DataFrame, synth: DataFrame, protected: Sequence[str], tolerance: float = 0.05) -> DataFrame:
-    """Rebalance only attributes with a share gap above the tolerance."""
-    out = synth
+def _at_parity(real: DataFrame, rows: DataFrame, protected: Sequence[str], tolerance: float) -> DataFrame:
     for a in protected:
-        if a not in out.columns or a not in real.columns:
+        if a not in rows.columns or a not in real.columns:
             continue
-        targets = group_targets(real, out, a)
+        targets = settle(group_targets(real, rows, a), "group-targets")
         worst = targets.agg(F.max("gap")).first()[0]
         if worst is not None and worst > tolerance:
-            out = _resample(out, a, targets.where("target > 0"))
-    return out
+            rows = _resample(rows, a, targets.where("target > 0"))
+    return rows
+
 
+def enforce_parity(real: DataFrame, synth: DataFrame, protected: Sequence[str], tolerance: float = 0.05) -> DataFrame:
+    """Rebalance only attributes with a share gap above the tolerance."""
+    return _listed(_at_parity(real, counted(synth), protected, tolerance))
 
-def flips_needed(synth: DataFrame, attribute: str, target: str, favorable, target_ratio: float = 0.9) -> DataFrame:
-    """(attribute, size, good, rate, to_flip) per group."""
+
+def flips_needed(rows: DataFrame, attribute: str, target: str, favorable, target_ratio: float = 0.9) -> DataFrame:
+    """(attribute, size, good, rate, to_flip) per group of counted rows."""
     good = F.coalesce((F.col(target) == F.lit(favorable)).cast("int"), F.lit(0))
     groups = (
-        synth.where(F.col(attribute).isNotNull())
+        rows.where(F.col(attribute).isNotNull())
         .groupBy(attribute)
-        .agg(F.count("*").alias("size"), F.sum(good).alias("good"))
+        .agg(F.sum("_n").alias("size"), F.sum(good * F.col("_n")).alias("good"))
         .withColumn("rate", ratio(F.col("good"), F.col("size")))
     )
     edge = groups.agg(F.struct(F.max("rate").alias("best"), F.count("*").alias("groups"))).scalar()
@@ -91,30 +140,37 @@ def flips_needed(synth: DataFrame, attribute: str, target: str, favorable, targe
     )
 
 
+def _flipped(rows: DataFrame, protected: Sequence[str], target: str, favorable, target_ratio: float) -> DataFrame:
+    kind = rows.schema[target].dataType
+    for a in protected:
+        if a not in rows.columns:
+            continue
+        good = F.coalesce(F.col(target) == F.lit(favorable), F.lit(False))
+        quota = flips_needed(rows, a, target, favorable, target_ratio).where("to_flip > 0").select(a, F.col("to_flip").alias("quota"))
+        names = _plain(rows)
+        marked = settle(pick(rows.where(~good), a, quota), "flips")
+        turned = marked.where("_picked > 0").select(*[F.lit(favorable).cast(kind).alias(c) if c == target else c for c in names], F.col("_picked").alias("_n"))
+        # what was turned, less what it was: counts of equal rows add up
+        gone = marked.where("_picked > 0").select(*names, (-F.col("_picked")).alias("_n"))
+        rows = counted(rows.select(*names, "_n").unionByName(turned).unionByName(gone), "_n").where("_n > 0")
+    return rows
+
+
 def reduce_disparate_impact(
     synth: DataFrame, protected: Sequence[str], target: str, favorable=None, target_ratio: float = 0.9
 ) -> DataFrame:
     """Turn the first unfavourable rows of short groups to favourable."""
     if favorable is None:
         favorable = favorable_value(synth, target)
-    out = synth
-    for a in protected:
-        if a not in out.columns:
-            continue
-        good = F.coalesce(F.col(target) == F.lit(favorable), F.lit(False))
-        quota = flips_needed(out, a, target, favorable, target_ratio).select(a, F.col("to_flip").alias("quota"))
-        marked = hash_quota(out.where(~good), [a], quota)
-        flipped = marked.withColumn(
-            target, F.when(F.col("picked"), F.lit(favorable).cast(out.schema[target].dataType)).otherwise(F.col(target))
-        ).drop("picked")
-        out = settle(out.where(good).unionByName(flipped), "flipped")
-    return out
+    return _listed(_flipped(counted(synth), protected, target, favorable, target_ratio))
 
 
 def apply_all(real: DataFrame, synth: DataFrame, protected: Sequence[str], target: str | None = None, favorable=None) -> DataFrame:
     """Rebalance, enforce parity, then reduce disparate impact."""
-    out = enforce_parity(real, rebalance(real, synth, protected), protected)
-    return reduce_disparate_impact(out, protected, target, favorable) if target else out
+    rows = _at_parity(real, _rebalanced(real, counted(synth), protected), protected, 0.05)
+    if target:
+        rows = _flipped(rows, protected, target, favorable if favorable is not None else favorable_value(_listed(rows), target), 0.9)
+    return _listed(rows)
 
 
 def improvement(real: DataFrame, original: DataFrame, processed: DataFrame, protected: Sequence[str]) -> DataFrame:

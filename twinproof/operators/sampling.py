@@ -21,24 +21,24 @@ from twinproof.session import bucket_count, settle
 # Digits of (32 of the row's hash, 32 of its place) that are fixed step by step.
 KEY_DIGITS = (4, 32, 36, 64)
 REPLICATE_BLOCK = 10_000
-SAMPLE_DIGITS = 4
 BUCKET_ROWS = 100_000  # distinct rows of a stratum whose places are counted together, about
 
 
 def bounded_sample(df: DataFrame, n: int, columns: Sequence[str] | None = None) -> DataFrame:
     """At most ``n`` rows in hash order.
 
-    Rows are counted by the first digits of their hash; only those up to the
-    digits that hold the n-th row are ordered, so the merge sees about ``n``
-    rows and one bucket instead of ``n`` of every partition.
+    The hash is uniform, so a threshold for a little more than ``n`` rows is known
+    from their number: only those are written and ordered, not ``n`` of every
+    partition. The threshold is raised where copies leave too few below it.
     """
-    name = "_hash"
+    name, share = "_hash", (n + 10 * math.sqrt(n) + 100) / max(1, df.count())
     hashed = df.withColumn(name, row_md5(df, columns))
-    prefix = F.substring(name, 1, SAMPLE_DIGITS)
-    counts = hashed.groupBy(prefix.alias("p")).agg(F.count("*").alias("m"))  # 16 ** SAMPLE_DIGITS rows at most
-    upto = counts.withColumn("upto", F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edge = upto.where(F.col("upto") >= n).agg(F.coalesce(F.min("p"), F.lit("g"))).scalar()
-    return hashed.where(prefix <= edge).orderBy(name).limit(n).drop(name)
+    while share < 1:
+        near = settle(hashed.where(F.col(name) < f"{int(share * 16**12):012x}"), "sample")
+        if near.count() >= n:
+            return near.orderBy(name).limit(n).drop(name)
+        share *= 16
+    return hashed.orderBy(name).limit(n).drop(name)
 
 
 def replicate(df: DataFrame, times: str, number: str | None = None) -> DataFrame:
