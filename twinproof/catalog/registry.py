@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,29 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@contextmanager
+def limits(module: ModuleType, **values: int) -> Iterator[None]:
+    """Size limits of a module while plans are built, to take the paths of large tables."""
+    before = {k: getattr(module, k) for k in values}
+    for k, v in values.items():
+        setattr(module, k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            setattr(module, k, v)
+
+
+def large(name: str, module: ModuleType, **values: int) -> None:
+    """Register ``<name>_large``: the same query by the paths of large tables, against the same SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with limits(module, **values):
+            return QUERIES[name](spark, sf_dir)
+
+    query(f"{name}_large", ORACLES[name])(run)
+
+
 def exact_sql(name: str) -> str:
     """DuckDB text of a double's bits, as ``scalar.exact_number`` gives it."""
     return f"CAST(CAST(CAST({name} + CAST(0 AS DOUBLE) AS BIT) AS BIGINT) AS VARCHAR)"

@@ -53,7 +53,7 @@ def running_totals(
     order: str,
     amounts: Sequence[str],
     buckets: int | None = None,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<amount>`` (inclusive) and ``next_value`` per row.
 
@@ -63,7 +63,7 @@ def running_totals(
     edges and offsets, at most keys x buckets rows, are broadcast.
     """
     table = settle(values, "ordered")
-    if table.count() <= small_rows:
+    if table.count() <= (SMALL_ROWS if small_rows is None else small_rows):
         whole = Window.partitionBy(*keys).orderBy(order)
         upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return table.withColumns(
@@ -202,7 +202,7 @@ def exact_quantiles(
 
 
 def group_medians(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], group_rows: int | None = None
 ) -> DataFrame:
     """Keys, ``n`` and the exact median of each column per key combination.
 
@@ -211,7 +211,7 @@ def group_medians(
     """
     keys = list(keys)
     largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= group_rows:
+    if largest <= (GROUP_ROWS if group_rows is None else group_rows):
         return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.median(c).alias(c) for c in columns])
     numbers = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     long = numbers.unpivot(keys, list(columns), "column", "value")
