@@ -8,6 +8,9 @@ finds the best labelling. The weights are learned by gradient descent on the
 labelled pages of ``html_pages``, on the driver, and sent to the tasks; pages are
 independent, so extraction is one pass without a shuffle.
 
+Pages are cut in time that grows with their length, whatever they hold. Where the chain keeps
+no block at all, the run of blocks with most text outside of menus and the like is taken.
+
 Defined results: null and empty pages have empty text; text in scripts, styles,
 titles, templates and form fields is never a block; open tags that are never closed
 end with the page; repeated rows give repeated rows, extra columns are ignored.
@@ -16,6 +19,7 @@ end with the page; repeated rows give repeated rows, extra columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import numpy as np
@@ -27,9 +31,10 @@ from twinproof.llm.tables import table
 
 TRAIN_PAGES = 400
 STEPS = 150
-PENALTY = 1e-3
+PENALTY = 1e-4
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|$)|(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[!?][^>]*>)""", re.S)
+NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+QUOTED = 64  # quoted values looked for in a tag; beyond them it ends at the next >
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORD = re.compile("[a-z]+")
 SKIPPED = frozenset("script style title textarea template svg math iframe object audio video canvas select option datalist noscript".split())
@@ -54,13 +59,95 @@ HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
 SAYS = re.compile(r"cookie|subscribe|sign up|newsletter|advert|sponsored|all rights reserved|privacy policy|log ?in\b", re.I)
 
 
+class Scanner:
+    """Finds tags in time that grows with the page, whatever it holds: what does not
+    occur any more is not looked for again, and a tag of endless quotes ends at its first ``>``."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">'\""}
+
+    def find(self, c: str, at: int) -> int:
+        return self.page.find(c, at) if at <= self.last[c] else -1
+
+    def end(self, at: int) -> int:
+        """Behind the ``>`` that ends a tag whose name ends at ``at``; quoted ones do not. 0: none."""
+        close = self.find(">", at)
+        now = at
+        for _ in range(QUOTED):
+            stop = self.find(">", now)
+            if stop < 0:
+                break
+            quotes = [q for c in "'\"" if 0 <= (q := self.page.find(c, now, stop))]
+            if not quotes:
+                return stop + 1
+            now = self.find(self.page[min(quotes)], min(quotes) + 1) + 1
+            if not now:
+                break
+        return close + 1
+
+    def tags(self):
+        """(start, end, name, attributes); the name is empty for comments and declarations, and starts with / in end tags."""
+        page, at = self.page, 0
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start > self.last[">"] and not page.startswith("<!--", start):
+                return
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+                yield start, at, "", ""
+            elif page.startswith(("<!", "<?"), start):
+                end = self.find(">", start + 2)
+                if end < 0:
+                    return
+                at = end + 1
+                yield start, at, "", ""
+            elif m := NAME.match(page, start + 1):
+                end = self.end(m.end())
+                if not end:
+                    return
+                skip = yield start, end, m[0].lower(), page[m.end() : end - 1]
+                at = max(end, skip or 0)
+                if skip is not None:
+                    yield
+            else:
+                at = start + 1
+
+
+class Open:
+    """The open tags: (name, features, nearest block's place), and where each name is open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset, int]] = [("", frozenset(), 0)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, above: frozenset) -> None:
+        place = len(self.stack)
+        self.stack.append((name, above, place if name in BLOCKS else self.stack[-1][2]))
+        self.places.setdefault(name, []).append(place)
+
+    def cut(self, depth: int) -> int:
+        """Close everything from ``depth`` on; how many links were among it."""
+        links = 0
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            links += name == "a"
+        return links
+
+    def place(self, *names: str) -> int:
+        """The innermost open one of these names; 0: none."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+
 def blocks(page: str) -> list[tuple[str, str, frozenset, float]]:
     """(text, tag, features of the ancestors, share of link text) of each leaf block in page order."""
     out: list = []
-    stack: list[tuple[str, frozenset]] = [("", frozenset())]
+    open_ = Open()
+    stack = open_.stack
     parts: list[str] = []
-    linked = links = 0
-    at = skip_to = 0
+    linked = links = at = 0
 
     def flush():
         nonlocal linked
@@ -69,8 +156,7 @@ def blocks(page: str) -> list[tuple[str, str, frozenset, float]]:
             parts.clear()
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                own = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                out.append((text, own, stack[-1][1], min(1.0, linked / len(text))))
+                out.append((text, stack[stack[-1][2]][0], stack[-1][1], min(1.0, linked / len(text))))
         linked = 0
 
     def take(text):
@@ -80,28 +166,25 @@ def blocks(page: str) -> list[tuple[str, str, frozenset, float]]:
             if links:
                 linked += len(text.strip())
 
-    for m in TAG.finditer(page):
-        if m.start() < skip_to:
-            continue
-        take(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    tags = Scanner(page).tags()
+    for start, end, name, attributes in tags:
+        take(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+        if name[0] == "/":
+            name = name[1:]
+            depth = open_.place(name)
             if name in BLOCKS:
                 flush()
-            if depth:
-                if name not in BLOCKS and any(t in BLOCKS for t, _ in stack[depth:]):
-                    continue  # an inline end tag does not close blocks
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
+            # an inline end tag does not close blocks
+            if depth and (name in BLOCKS or stack[-1][2] < depth):
+                links -= open_.cut(depth)
             continue
         if name in SKIPPED:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = skip_to = end.end() if end else len(page)
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
+            tags.send(at)
             continue
         if name == "br":
             parts.append(" ")
@@ -109,18 +192,14 @@ def blocks(page: str) -> list[tuple[str, str, frozenset, float]]:
         if name in BLOCKS:
             flush()
             ended, inside = ENDS.get(name, ("", ()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in inside:
-                    break
-                if stack[i][0] in ended.split() or stack[i][0] == "p":
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            depth = open_.place("p", *ended.split())
+            if depth > open_.place(*inside):
+                links -= open_.cut(depth)
         if name not in VOID:
-            hints = {h for _, v in ATTRIBUTE.findall(m[3]) for w in WORD.findall(v.lower()) if (h := HINT.get(w))} if m[3] else ()
+            hints = {h for _, v in ATTRIBUTE.findall(attributes) for w in WORD.findall(v.lower()) if (h := HINT.get(w))} if attributes else ()
             above = stack[-1][1]
             mine = above.union([f"in:{name}"] if name in BLOCKS and name not in ("html", "body", "head") else (), (f"hint:{h}" for h in hints))
-            stack.append((name, above if mine == above else mine))
+            open_.push(name, above if mine == above else mine)
             links += name == "a"
     if at < len(page):
         take(page[at:])
@@ -219,6 +298,27 @@ def viterbi(scores: list[float], trans: list, first: list) -> list[int]:
     return out[::-1]
 
 
+# Ancestors under which text is no main text, even where nothing else is found.
+ASIDE = frozenset([*(f"in:{t}" for t in ("nav", "aside", "footer", "form", "menu", "button", "dialog")), *(f"hint:{h}" for h in HINTS if h != "main")])
+SPOKEN = 25  # characters of a sentence that a run must have
+
+
+def best_run(found: list, scores: list[float]) -> list[int]:
+    """Labels where the chain kept nothing: the run of blocks outside of menus, side
+    boxes and the like with most text, weighed by the blocks' scores; none without a sentence."""
+    best, run, mine = (0.0, 0, 0), 0, 0.0
+    spoken = False
+    for i, ((text, _, above, _), s) in enumerate(zip(found, scores)):
+        if ASIDE & above:
+            run, mine, spoken = i + 1, 0.0, False
+            continue
+        mine += len(text) / (1 + math.exp(min(50.0, -s)))
+        spoken = spoken or (len(text) >= SPOKEN and text[-1] in ".!?") or len(text) >= 4 * SPOKEN
+        if spoken and mine > best[0]:
+            best = (mine, run, i + 1)
+    return [int(best[1] <= i < best[2]) for i in range(len(found))]
+
+
 class Extractor:
     def __init__(self, model: dict):
         self.model, self.seen = model, {}
@@ -231,7 +331,8 @@ class Extractor:
             if base is None:
                 base = self.seen[above] = sum(weight(f, 0.0) for f in ancestor_features(above))
             scores.append(base + sum(weight(f, 0.0) for f in own_features(text, tag, share)))
-        return viterbi(scores, self.model["trans"], self.model["first"]) if scores else []
+        out = viterbi(scores, self.model["trans"], self.model["first"]) if scores else []
+        return out if any(out) else best_run(found, scores)
 
     def text(self, page: str | None) -> str:
         found = blocks(page) if page else []

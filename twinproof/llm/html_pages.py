@@ -73,11 +73,23 @@ def _text_block(rng):
     return rng.choice((f"<p>{body}</p>",) * 8 + (f"<p><b>{body}<br>", f"<p>{body} {link} {body}</p>", f"<ul><li>{body}</li><li>{_sentence(rng, 2, 20)}</li></ul>", f"<h2>{words(rng, 4)}</h2>", f"<blockquote><p>{body}</p></blockquote>", f"<table><tr><td>{words(rng, 2)}</td><td>{words(rng, 3)}</td></tr></table>", f"<figure><img src=x><figcaption>{_sentence(rng, 3, 12)}</figcaption></figure>", f"<pre>{body}</pre>", f"<div>{body}</div>", f"<h3>{words(rng, 3)}</h3><ol><li>{body}</li></ol>"))
 
 
+MARKED = (("<article>", "</article>"),) * 4 + (("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content"><div class="post">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<section class="story">', "</section>"), ('<div class="entry-content">', "</div>"))
+# Containers that say nothing: the text stands in plain divisions, a table cell or the body itself.
+PLAIN = (("", ""), ("", ""), ("<div>", "</div>"), ('<div id="wrapper">', "</div>"), ('<div class="page">', "</div>"), ("<div><div>", "</div></div>"), ("<center><table><tr><td>", "</td></tr></table></center>"), ("<section>", "</section>"))
+
+
+def _bare(rng) -> list[tuple[str, int]]:
+    """Text without any tags but line breaks."""
+    return [("<br>" + "<br>".join(_sentence(rng, 5, 60) for _ in range(rng.randint(1, 6))), 1)]
+
+
 def page(rng: random.Random) -> list[tuple[str, int]]:
     """Pieces of one page with the label of all text in them."""
+    if rng.random() < 0.03:
+        return _bare(rng)
     boiler = lambda *kinds: [(rng.choice(kinds)(rng), 0)] if rng.random() < 0.55 else []
     out = [("<html><body>", 0), *boiler(_notice), *boiler(_top), *boiler(_menu), *boiler(_advert), *boiler(_form, _aside)]
-    open_, close = rng.choice((("<article>", "</article>"),) * 4 + (("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content"><div class="post">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<section class="story">', "</section>"), ('<div class="entry-content">', "</div>")))
+    open_, close = rng.choice(PLAIN if rng.random() < 0.25 else MARKED)
     out.append((open_, 0))
     out.append((rng.choice((f"<h1>{words(rng, rng.randint(1, 12))}</h1>", f"<header><h1>{words(rng, 6)}</h1></header>", "")), 1))
     for _ in range(rng.randint(1, 14)):
@@ -86,6 +98,8 @@ def page(rng: random.Random) -> list[tuple[str, int]]:
             out.append((rng.choice((_advert, _share, _aside, _notice, _form, _menu))(rng), 0))
     if rng.random() < 0.25:
         out.append((rng.choice((_comments, _share))(rng), 0))
+    if close in ("", "</div>") and rng.random() < 0.1:
+        out += _bare(rng)
     out.append((close, 0))
     out += [*boiler(_comments, _comments, _share), *boiler(_aside), *boiler(_form, _advert), *boiler(_footer)]
     if rng.random() < 0.5:
