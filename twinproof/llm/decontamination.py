@@ -1,9 +1,10 @@
 """Benchmark decontamination: runs of words that a test item also has.
 
 Test items become windows of ``n`` consecutive normalised words. Their hashes are
-broadcast in blocks of a fixed number of words, so the size of what is sent is
-bounded whatever the benchmark's size; each block makes one pass over the
-documents and adds the word spans it finds. A window is looked up by hash only
+broadcast in blocks of a fixed number of words. Of a benchmark of several blocks,
+each makes a pass of its own over the documents: its hits (no texts) are written and
+its broadcast is dropped before the next one is sent, so no task ever holds more than one
+block, whatever the benchmark's size. A window is looked up by hash only
 where all its words are words of the benchmark, and a hit is verified word by word.
 
 Defined results: null or empty texts have no words and no hits; items without
@@ -18,10 +19,12 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.tables import free_name, table
+from twinproof.llm.tables import free_name, located, table
+from twinproof.session import settle
 
 N = 10
 BLOCK_WORDS = 2_000_000  # words of test items in one broadcast
@@ -129,19 +132,49 @@ def _pass(books):
     return scan
 
 
+def _found(batches):
+    """Rows with hits only, without their texts."""
+    for batch in batches:
+        keep = pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0)
+        yield batch.filter(keep).select([0, 2, 3])
+
+
 def scan(docs: DataFrame, items: DataFrame, n: int = N, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(row: all columns of ``docs``, text as bytes, spans, items, n_words, n_hit)."""
     spark = docs.sparkSession
     own = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull()).distinct()
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))  # a word and its end take two bytes at least
-    out = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    row = out.schema["row"].dataType.simpleString()
-    for b in range(blocks):
+
+    def book(b: int) -> dict:
         rows = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        book = make_book([(r[0], bytes(r[1])) for r in rows], n)
-        out = out.select("row", "text", "spans", "items").mapInArrow(_pass(spark.sparkContext.broadcast(book)), f"row {row}, text binary, spans {SPANS}, items array<string>, n_words bigint, n_hit bigint")
-    return out
+        return make_book([(r[0], bytes(r[1])) for r in rows], n)
+
+    def passed(rows: DataFrame, sent) -> DataFrame:
+        kind = rows.schema["row"].dataType.simpleString()
+        return rows.select("row", "text", "spans", "items").mapInArrow(_pass(sent), f"row {kind}, text binary, spans {SPANS}, items array<string>, n_words bigint, n_hit bigint")
+
+    text = F.col("text").cast("binary").alias("text")
+    nothing = [F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")]
+    if blocks == 1:
+        return passed(docs.select(F.struct("*").alias("row"), text, *nothing), spark.sparkContext.broadcast(book(0)))
+
+    # One pass a block: its hits are written and its broadcast goes before the next one is sent.
+    columns = docs.columns
+    placed, a, b = located(docs)
+    place = F.struct(F.col(a).alias("a"), F.col(b).alias("b")).alias("row")
+    hits = None
+    for k in range(blocks):
+        sent = spark.sparkContext.broadcast(book(k))
+        rows = passed(placed.select(place, text, *nothing), sent).mapInArrow(_found, f"row struct<a:bigint,b:bigint>, spans {SPANS}, items array<string>")
+        part = settle(rows, "benchmark-hits")
+        sent.unpersist()
+        hits = part if hits is None else hits.unionByName(part)
+    both = hits.groupBy("row.a", "row.b").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    met = placed.join(both, (F.col(a) == both["a"]) & (F.col(b) == both["b"]), "left")
+    whole = [F.coalesce(both["spans"], nothing[0]).alias("spans"), F.coalesce(both["items"], nothing[1]).alias("items")]
+    # an empty book: spans that touch become one, words are counted
+    return passed(met.select(F.struct(*[placed[f"`{c}`"] for c in columns]).alias("row"), placed["text"].cast("binary").alias("text"), *whole), spark.sparkContext.broadcast({"vocab": {}, "windows": {}}))
 
 
 def _cut(batches):
