@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 
 import pytest
@@ -149,11 +150,74 @@ def test_quotes(spark):
     assert made[(1, 0)] == ("How are you?\nI ask for a friend.", None, 0, 0, 0, 0, 0)
     assert made[(1, 1)] == ("Fine, thanks.", 0, 0, 1, 1, 1, 1)
     assert made[(1, 2)] == ("Good to hear.", 1, 0, 2, 2, 3, 3)
-    assert made[(1, 3)] == ("Hm.", None, 3, 0, 1, 1, 0) and made[(1, 4)] == ("Yes.", 2, 0, 3, 1, 2, 0)
+    assert made[(1, 3)] == ("Hm.", None, 3, 0, 1, 1, 0) and made[(1, 4)] == ("Yes.", 2, 0, 3, 1, 2, 2)  # wrapped anew, found as a whole
     assert made[(2, 0)] == ("", None, 0, 0, 1, 1, 0) and made[(2, 1)][0] is None and made[(None, None)][0] == "x" and made[(3, 0)][0] == ""
     assert quote_links.linked(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_parts_that_were_wrapped_anew(spark):
+    rng = random.Random(5)
+    said = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(60)) for _ in range(4)]
+    rows = [
+        (1, 0, "u", f"{said[0]}\n\n{said[1]}"), (1, 1, "u", f"{said[2]}"),
+        # the second of two paragraphs, in lines of five words
+        (1, 2, "u", "\n".join("> " + " ".join(said[1].split()[i : i + 5]) for i in range(0, 60, 5)) + "\nAgreed."),
+        # twenty words out of the middle of a paragraph
+        (1, 3, "u", "\n".join("> " + " ".join(said[2].split()[i : i + 4]) for i in range(17, 37, 4)) + "\nNo."),
+        # two passages of equal length: the later origin is the parent
+        (1, 4, "u", "> Agreed.\nHm.\n> No.\nWell."),
+        (1, 5, "u", "> five words of no one here at all or so it seems\nOdd."), (2, 0, "u", said[0]), (2, 1, "u", "> " + said[1]),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)).collect()}
+    parents = {k: (r["parent_turn"], r["n_linked"], r["n_quoted"]) for k, r in got.items()}
+    assert parents[(1, 2)] == (0, 12, 12) and parents[(1, 3)] == (1, 5, 5) and parents[(1, 4)] == (3, 2, 2) and parents[(1, 5)] == (None, 0, 1) and parents[(2, 1)] == (None, 0, 1)
+    assert [got[1, t]["place"] for t in range(6)] == [0, 2, 1, 3, 4, 5] and got[1, 4]["reply_depth"] == 2
+    assert [got[2, t]["place"] for t in range(2)] == [0, 1]
+
+
+def test_places_are_those_of_one_window(spark):
+    rows = [(c, t, "u", f"> line {c} {t // 2}\nline {c} {t}", ) for c in range(5) for t in range(1 + 30 * (c == 3) + c)] + [(3, 4, "u", "again"), (None, 1, "u", "x"), (9, None, "u", "y")]
+    out = quote_links.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)).collect()
+    for c in range(5):
+        own = sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(len(own)))
+        assert [(r["root_turn"], r["reply_depth"], r["turn"]) for r in own] == sorted((r["root_turn"], r["reply_depth"], r["turn"]) for r in own)
+    assert all(r["place"] is None for r in out if r["conv_id"] in (None, 9))
+
+
+def brute_links(rows):
+    """Parents by trying every earlier message of a conversation for every quoted line."""
+
+    def norm(t):
+        return " ".join(re.findall(r"[^\W_]+", t.lower()))
+
+    out = {}
+    for conv, turn, _, text in rows:
+        quotes = [m[1] for line in text.split("\n") if (m := re.match(r"> ?([^>].*)?$", line)) and m[1]]
+        # a line is its first sayer's
+        taken = {}
+        for q in quotes:
+            first = min((t for c, t, _, other in rows if c == conv and t < turn and norm(q) in {norm(x) for x in other.split("\n") if not x.startswith(">")}), default=None)
+            if first is not None:
+                taken[first] = taken.get(first, 0) + 1
+        out[conv, turn] = max(((n, t) for t, n in taken.items()), default=(0, None))[1]
+    return out
+
+
+def test_lines_link_as_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(10):
+            own = [f"sentence {rng.randint(0, 400)} of {conv}" for _ in range(rng.randint(1, 4))]
+            quotes = [f"> {rng.choice(said)}" for _ in range(rng.randint(0, 3))] if said else []
+            rows.append((conv, turn, "u", "\n".join([*quotes, *own])))
+            said += own
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quote_links.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == brute_links(rows)
+
+
 def test_long_reply_chains(spark):
     rows = [(1, 0, "u", "message 0")] + [(1, i, "u", f"> message {i - 1}\nmessage {i}") for i in range(1, 20)]
     got = {r["turn"]: r for r in quote_links.linked(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
