@@ -57,7 +57,8 @@ def replaced(spark, texts, key=pii.KEY):
 def test_pseudonyms(spark):
     got = replaced(spark, TEXTS)
     assert [got[i][1] for i in range(12)] == [["email"], ["ipv4"], ["card", "card"], ["phone", "phone"], ["date"] * 4, ["iban", "iban"], ["ssn"], ["secret"], [], [], [], ["card"]]
-    assert got[0][0] == "mail " + feistel("jo.Smith+1", (pii.LOWER, pii.UPPER, pii.DIGITS), "email") + "@mail7.example.com now"
+    mail = feistel("jo.smith+1", (pii.LOWER, pii.DIGITS, *pii.SCRIPTS), "email")
+    assert got[0][0] == "mail " + mail[:3] + mail[3].upper() + mail[4:] + "@mail7.example.com now"
     body = feistel("411111111111111", (pii.DIGITS,), "card")
     card = next(body + str(d) for d in range(10) if luhn(body + str(d)))
     assert got[2][0].startswith("card " + " ".join(card[i : i + 4] for i in range(0, 16, 4)) + " and 4111111111111112 and ")
@@ -77,6 +78,53 @@ def test_pseudonyms(spark):
     assert replaced(spark, TEXTS[:1], "other")[0] != got[0]
 
 
+def test_spellings_of_one_value_stay_linked(spark):
+    same = [
+        ["+49 30 123456", "+4930123456", "+49-30-123456"], ["+1 (974) 555-3436", "+19745553436", "(974) 555-3436", "(974)555-3436"], ["+353 12 34567", "+3531234567"],
+        ["Jo.Smith@x.org", "jo.smith@x.org", "JO.SMITH@x.org"], ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "2001:db8:0:0::1"], ["12/25/2001", "25/12/2001"], ["1999-12-31", "31.12.1999"],
+    ]
+    flat = [f"see {v} there" for group in same for v in group]
+    got = replaced(spark, flat)
+    assert all(len(k) == 1 for _, k in got.values())
+
+    def plain(text, kind):
+        text = text[4:-6]
+        if kind == "phone":
+            d = re.sub(r"\D", "", text)
+            return d[-10:] if len(d) == 10 or d.startswith("1") else d
+        if kind == "date":
+            p = list(map(int, re.split(r"[-./]", text)))
+            return tuple(p if p[0] > 31 else (p[2], p[1], p[0]) if "." in text else (p[2], p[0], p[1]))
+        return text.lower()
+
+    at = 0
+    for group in same:
+        made = {plain(*[(t, k[0]) for t, k in [got[at + i]]][0]) for i in range(len(group))}
+        assert len(made) == 1 and not any(v in got[at + i][0] for i, v in enumerate(group)), group
+        at += len(group)
+    odd = replaced(spark, ["ü@x.de", "ñandú@x.es", "иван@x.ru", "王@x.cn", "a@b.cd", "not ::1x or 1:2:3 or 12:30:45 or a::b::c", "(555) 123-4567"])
+    assert all(odd[i][1] == ["email"] and not odd[i][0].startswith(t) for i, t in enumerate(["ü@", "ñandú@", "иван@", "王@", "a@"]))
+    assert odd[0][0][0] in pii.SCRIPTS[0] and odd[2][0][0] in pii.SCRIPTS[2]
+    assert odd[5][1] == [] and odd[6][1] == ["phone"] and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", odd[6][0])
+
+
+def test_slash_dates_of_different_days_differ(spark):
+    days = [f"{a}/{b}/2001" for a in range(1, 32) for b in range(1, 32)]
+    got = replaced(spark, days)
+
+    def day(i):
+        a, b = i // 31 + 1, i % 31 + 1
+        m, d = (a, b) if a <= 12 else (b, a)
+        return (m, d) if m <= 12 and d <= (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1] else None
+
+    made = {}
+    for i, (text, kinds) in got.items():
+        assert bool(kinds) == (day(i) is not None)
+        if kinds:
+            made.setdefault(tuple(map(int, text.split("/"))), set()).add(day(i))
+    assert all(len(v) == 1 for v in made.values()) and len(made) == 365
+
+
 def test_pseudonyms_are_one_to_one(spark):
     ips = replaced(spark, [f"10.{i}.{j}.7" for i in range(30) for j in range(30)])
     assert len({t for t, _ in ips.values()}) == 900
