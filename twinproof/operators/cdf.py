@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import ratio
-from twinproof.operators.distributions import long_values, unpivoted, value_counts
+from twinproof.operators.distributions import long_values, value_counts
 from twinproof.operators.running import running_totals
+from twinproof.session import settle
 
 
-def cdf_table(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, cdf_real, cdf_synth, next_value, t_real, t_synth)."""
-    counts = value_counts(real, synth, columns, "double")
+def counted_numbers(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n_real, n_synth), written: the one scan of both tables that the curves are made of."""
+    return settle(value_counts(real, synth, columns, "double"), "value-counts")
+
+
+def cdf_table(counts: DataFrame) -> DataFrame:
+    """(column, value, cdf_real, cdf_synth, next_value, t_real, t_synth) of counted numbers."""
     totals = counts.groupBy("column").agg(F.sum("n_real").alias("t_real"), F.sum("n_synth").alias("t_synth"))
-    running = running_totals(counts, ["column"], "value", ["n_real", "n_synth"])
+    running = running_totals(counts, ["column"], "value", ["n_real", "n_synth"], written=True)
     # One row of totals per schema column.
     return running.join(F.broadcast(totals), "column").withColumns(
         {
@@ -48,13 +53,17 @@ def numeric_distances(real: DataFrame, synth: DataFrame, columns: Sequence[str])
     """
     gap = F.abs(F.col("cdf_real") - F.col("cdf_synth"))
     width = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    raw = cdf_table(real, synth, columns).groupBy("column").agg(
+    counts = counted_numbers(real, synth, columns)
+    raw = cdf_table(counts).groupBy("column").agg(
         F.sum(gap * width).alias("area"),
         F.max(gap).alias("ks"),
         F.max("t_real").alias("n_real"),
         F.max("t_synth").alias("n_synth"),
     )
-    spread = unpivoted(real, columns, "double").groupBy("column").agg(F.stddev_pop("value").alias("sd"))
+    n = F.col("n_real")
+    means = counts.groupBy("column").agg(ratio(F.sum(F.col("value") * n), F.sum(n)).alias("mean"))  # one row per column
+    away = F.col("value") - F.col("mean")
+    spread = counts.join(F.broadcast(means), "column").groupBy("column").agg(F.sqrt(ratio(F.sum(away * away * n), F.sum(n))).alias("sd"))
     scale = F.when(F.col("sd") == 0, F.lit(1e-10)).otherwise(F.col("sd")) + 1e-10
     return (
         raw.where((F.col("n_real") > 0) & (F.col("n_synth") > 0))
@@ -75,14 +84,14 @@ def lorenz_curve(real: DataFrame, synth: DataFrame, columns: Sequence[str]) -> D
 
     At percentile k the share is that of the ceil(k % of n) smallest values.
     """
-    counts = value_counts(real, synth, columns, "double").withColumns(
+    counts = counted_numbers(real, synth, columns).withColumns(
         {"v_real": F.col("value") * F.col("n_real"), "v_synth": F.col("value") * F.col("n_synth")}
     )
-    running = running_totals(counts, ["column"], "value", ["n_real", "n_synth", "v_real", "v_synth"])
+    running = running_totals(counts, ["column"], "value", ["n_real", "n_synth", "v_real", "v_synth"], written=True)
     totals = counts.groupBy("column").agg(
         *[F.sum(c).alias(f"t_{c}") for c in ("n_real", "n_synth", "v_real", "v_synth")]
     )
-    joined = running.join(F.broadcast(totals), "column")
+    joined = settle(running.join(F.broadcast(totals), "column"), "running-shares")
 
     def side(name: str) -> DataFrame:
         n, cum, total = F.col(f"n_{name}"), F.col(f"cum_n_{name}"), F.col(f"t_n_{name}")

@@ -130,8 +130,8 @@ def whole_number_columns(df: DataFrame) -> DataFrame:
 
 def clip_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, low, high, clipped): exact 1st and 99th percentiles."""
-    counts = unpivoted(df, columns, "double").groupBy("column", "value").agg(F.count("*").alias("n"))
-    q = column_quantiles(counts, ["column"], "value", "n", [CLIP_LOW, CLIP_HIGH])
+    counts = settle(unpivoted(df, columns, "double").groupBy("column", "value").agg(F.count("*").alias("n")), "value-counts")
+    q = column_quantiles(counts, ["column"], "value", "n", [CLIP_LOW, CLIP_HIGH], written=True)
     ranges = q.groupBy("column").agg(F.min("quantile").alias("low"), F.max("quantile").alias("high"))
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     # One range per column of the schema.

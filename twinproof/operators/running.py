@@ -54,15 +54,16 @@ def running_totals(
     amounts: Sequence[str],
     buckets: int | None = None,
     small_rows: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``cum_<amount>`` (inclusive) and ``next_value`` per row.
 
     ``values`` has one row per (keys, order) and few key combinations, such as
     one per table column. It is written out once, since several passes read
-    it. A table of proven small size uses one window per key; otherwise the
+    it, unless it is ``written`` already. A table of proven small size uses one window per key; otherwise the
     edges and offsets, at most keys x buckets rows, are broadcast.
     """
-    table = settle(values, "ordered")
+    table = values if written else settle(values, "ordered")
     if table.count() <= (SMALL_ROWS if small_rows is None else small_rows):
         whole = Window.partitionBy(*keys).orderBy(order)
         upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
