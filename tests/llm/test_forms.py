@@ -184,6 +184,17 @@ def test_urls(spark):
         url_rules.judge(pages, spark.createDataFrame([("a", "b", "allow")], tie.schema))
 
 
+def test_urls_whose_hash_prefixes_meet(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "PREFIX", 1)  # sixteen keys: nearly every expression meets foreign rules
+    rules = [(f"h{i}.org", f"/{'p' * (i % 4)}", "block" if i % 2 else "allow") for i in range(60)]
+    urls = [f"http://{'a.' * (i % 3)}h{i % 70}.org/{'p' * (i % 5)}{'x' * (i % 2)}" for i in range(200)] + ["http://h1.org/" + "p" * 50_000]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), "block").collect()}
+    for i, url in enumerate(urls):
+        host, _, path = url[7:].partition("/")
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        assert got[i] == (max(fits)[1:] if fits else (None, "block"))
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How are you?\nI ask for a friend."),

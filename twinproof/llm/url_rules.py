@@ -1,9 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules by hash.
 
-A URL is expanded into every host suffix and path prefix that a rule could have
-(the label counts and path lengths that occur among the rules). Expressions meet
-rules in an equi-join on the first hex digits of their SHA-256; the full digest
-confirms, then the longest rule wins. Ties go to the longer host, then to block.
+A URL is expanded into the host suffixes and path prefixes that a rule could have: the
+pairs of a label count and a path length that occur together among the rules. Expressions
+meet rules in an equi-join on the first hex digits of their SHA-256; the full digest is
+compared behind the join, then the longest rule wins. Ties go to the longer host, then to block.
 
 Defined results: a URL that is null or has no ``://`` has empty host and path and
 fits no rule; URLs that fit no rule get ``default``; each input row gives one row,
@@ -50,21 +50,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     bad = rules.where(~F.col("path").startswith("/") | F.col("host").contains("/") | ~F.col("verdict").isin("allow", "block")).head(1)
     if bad:
         raise ValueError(f"not a rule: {bad[0]}")
-    # Shapes: small integers, no more of them than a rule has labels or characters.
-    labels = [r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect()]
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
+    # Shapes: pairs of small integers, however many rules there are.
+    shapes = sorted(tuple(r) for r in rules.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect())
     urls = pages.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("rows"))
     urls = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     parts = F.split("host", r"\.")
-    suffixes = F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in sorted(labels)])
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)])
-    pairs = F.flatten(F.transform(F.array_compact(suffixes), lambda h: F.transform(F.array_compact(prefixes), lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    tries = urls.withColumn("try", F.explode_outer(pairs) if labels else F.lit(None).cast("struct<h:string,p:string>"))
+    listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in shapes])
+    able = F.filter(listed, lambda s: (F.size(parts) >= s["n"]) & (F.length("path") >= s["k"])) if shapes else None
+    pairs = F.transform(able, lambda s: F.struct(F.array_join(F.slice(parts, -s["n"], s["n"]), ".").alias("h"), F.col("path").substr(F.lit(1), s["k"]).alias("p"))) if shapes else None
+    tries = urls.withColumn("try", F.explode_outer(pairs) if shapes else F.lit(None).cast("struct<h:string,p:string>"))
     tries = tries.withColumn("digest", F.sha2(F.concat("try.h", "try.p").cast("binary"), 256)).withColumn("key", F.substring("digest", 1, PREFIX))
     book = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_size"), F.col("verdict").alias("says")).distinct()
     book = book.withColumn("full", F.sha2(F.col("rule").cast("binary"), 256)).withColumn("short", F.substring("full", 1, PREFIX))
-    met = tries.join(book, (F.col("key") == F.col("short")) & (F.col("digest") == F.col("full")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("size"), "host_size", "says", "rule"))).alias("best")
+    met = tries.join(book, F.col("key") == F.col("short"), "left")
+    best = F.max(F.when(F.col("digest") == F.col("full"), F.struct(F.length("rule").alias("size"), "host_size", "says", "rule"))).alias("best")
     out = met.groupBy("page_id", "url", "rows", "host", "path").agg(best)
     out = out.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict"))
