@@ -161,8 +161,36 @@ def test_audit_sees_lost_pairs_beside_a_large_family(spark):
     nodes = spark.createDataFrame([(i, "a", i, i, 1, bytearray(x.tobytes())) for i, x in enumerate(rows)], "u bigint, g string, d1 bigint, d2 bigint, n bigint, vec binary")
     family, pairs = [(i, 199) for i in range(200)], [(i, 1) for i in range(200, 320)]
     of = lambda x: spark.createDataFrame(x, "u bigint, links bigint")
-    assert vector_dedup.audit(nodes, of(family)) < vector_dedup.RECALL
-    assert vector_dedup.audit(nodes, of(family + pairs)) == 1
+    exact, tells = vector_dedup.sampled(nodes)
+    assert tells and vector_dedup.recall(exact, of(family)) < vector_dedup.RECALL
+    assert vector_dedup.recall(exact, of(family + pairs)) == 1
+
+
+def test_sparse_links_are_audited_by_planted_neighbours(spark, monkeypatch):
+    """Few links among many vectors: the sample cannot tell, the planted neighbours do, and no tile of all pairs is made."""
+    monkeypatch.setattr(vector_dedup, "AUDIT_MOST", 512)
+    monkeypatch.setattr(vector_dedup, "_exact", lambda *_: pytest.fail("all pairs"))
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 48))
+    near = x[:20] + 0.1 * rng.standard_normal((20, 48))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([x, near]))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    out = {r["vec_id"]: r for r in vector_dedup.near_duplicates(frame).collect()}
+    assert len(out) == 3020 and sum(r["n_links"] for r in out.values()) >= 38
+    assert all(out[3000 + i]["component_id"] == i for i in range(20) if out[3000 + i]["n_links"])
+
+
+def test_planted_neighbours_are_just_above_the_threshold(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 24))
+    nodes = spark.createDataFrame([(i, "a", i + 1, i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "u bigint, g string, d1 bigint, d2 bigint, n bigint, vec binary")
+    made = vector_dedup.planted(nodes, 300, 0.93).collect()
+    assert 100 < len(made) < 200
+    for r in made:
+        v, own = np.frombuffer(r["vec"]), x[-r["u"] - 1]
+        assert 0.93 < v @ own / np.sqrt((v @ v) * (own @ own)) < 0.9801
+    edges = [(r["u"], -r["u"] - 1, 0.95) for r in made[:-20]]
+    assert vector_dedup.planted_found(spark.createDataFrame(edges, "u bigint, v bigint, sim float"), 0.93) == len(made) - 20
 
 
 def test_vectors_that_the_search_misses_meet_in_tiles(spark, monkeypatch):

@@ -9,10 +9,15 @@ lists stop changing. Edges are checked in double precision against the threshold
 A list whose entries all reach the threshold is saturated: more links may exist
 than it holds. The lists of its component are then enlarged to the component's
 size: members meet in tiles of bounded size and links are counted exactly, without
-emitting pairs. An audit compares a sample of nodes with all vectors: the mean recall
-of nodes with few links, and that of nodes with many, must both reach ``RECALL``. Else
-the search goes on with further hyperplanes, and after ``TRIES`` (or where the largest
-sample holds too few nodes with links to tell) all vectors of a label meet in tiles.
+emitting pairs.
+
+The search is audited in two ways. Beside the vectors, neighbours of a sample of them are
+planted at cosines just above the threshold; they take part in the search, and the share
+of them that was found tells how well it finds links, also where the data have next to none.
+And a sample of nodes is compared with all vectors, once: where it holds enough nodes
+with links, the mean recall of those with few links and that of those with many count
+as well. All must reach ``RECALL``. Else the search goes on with further hyperplanes, and
+only if that fails ``TRIES`` times all vectors of a label meet in tiles.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without label, link with nothing and are their own component;
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +51,8 @@ ENOUGH = 64  # nodes with few links that a sample has to hold
 AUDIT_MOST = 1 << 13  # nodes of the largest sample
 RECALL = 0.95
 TRIES = 3
+PLANTED = 512  # vectors that get a planted neighbour, about
+ABOVE = (0.002, 0.05)  # how far above the threshold its cosine is, at least and at most
 SLACK = 1e-4  # single precision may be off by less
 
 
@@ -56,20 +64,64 @@ def _clean(batches):
     """(vec_id, g, d1, d2, vec): g is null where a row links with nothing."""
     for batch in batches:
         ids, labels, vectors = batch.columns
-        groups, d1, d2, out = [], [], [], []
-        for label, v in zip(labels.to_pylist(), vectors.to_pylist()):
-            x = None if label is None or not v or None in v else np.array(v, np.float64)
-            if x is None or not np.isfinite(x).all() or not x.any():
-                groups.append(None), d1.append(None), d2.append(None), out.append(None)
-                continue
-            raw = (x + 0.0).tobytes()
-            whole = np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64)
+        size = pa.compute.fill_null(pa.compute.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a missing component is NaN
+        ends = np.cumsum(size)
+
+        def per_row(flags):
+            upto = np.append(0, np.cumsum(flags))
+            return upto[ends] - upto[ends - size]
+
+        ok = (size > 0) & (per_row(np.isfinite(x)) == size) & (per_row(x != 0) > 0) & labels.is_valid().to_numpy(zero_copy_only=False)
+        names = labels.to_pylist()
+        groups, d1, d2, out = ([None] * len(size) for _ in range(4))
+        for dim in np.unique(size[ok]).tolist():
+            at = np.flatnonzero(ok & (size == dim))
+            rows = x[(ends - size)[at][:, None] + np.arange(dim)] + 0.0
             # scaled by a power of two, which is exact: no square over- or underflows
-            scaled = np.ldexp(x, -np.frexp(np.abs(x).max())[1])
-            groups.append(f"{label}:{len(x)}"), d1.append(int(whole[0])), d2.append(int(whole[1])), out.append(scaled.tobytes())
+            scaled = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+            whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in rows), np.int64).reshape(-1, 2)
+            for i, (a, b), r in zip(at.tolist(), whole.tolist(), scaled):
+                groups[i], d1[i], d2[i], out[i] = f"{names[i]}:{dim}", a, b, r.tobytes()
         yield pa.RecordBatch.from_arrays([ids, pa.array(groups, pa.string()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "g", "d1", "d2", "vec"])
 
 
+def _plant(threshold):
+    """A neighbour of each vector, turned in a random direction to a cosine a little above the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            u, g, d1, d2, _, vec = batch.columns
+            made = []
+            for seed, blob in zip(d1.to_pylist(), vec.to_pylist()):
+                rng = np.random.default_rng([abs(seed), 7])
+                x = _unit(np.frombuffer(blob, np.float64)[None])[0]
+                away = rng.standard_normal(len(x))
+                away -= (away @ x) * x
+                size = np.sqrt(away @ away)
+                cos = min(1.0, threshold + rng.uniform(*ABOVE))
+                made.append((cos * x + np.sqrt(1 - cos * cos) * away / size if size > 1e-9 else x).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-k - 1 for k in u.to_pylist()], pa.int64()), g, d1, d2, pa.array([1] * len(made), pa.int64()), pa.array(made, pa.binary())], names=["u", "g", "d1", "d2", "n", "vec"]
+            )
+
+    return run
+
+
+def planted(nodes: DataFrame, count: int, threshold: float) -> DataFrame:
+    """Planted neighbours, as nodes: that of node u is -u - 1."""
+    draw = F.pmod(F.xxhash64(F.lit(1), "d1", "d2"), F.lit(1_000_003)) / 1_000_003
+    chosen = nodes.where(draw < min(0.5, PLANTED / max(count, 1))).select("u", "g", "d1", "d2", "n", "vec")
+    return settle(chosen.mapInArrow(_plant(threshold), "u bigint, g string, d1 bigint, d2 bigint, n bigint, vec binary"), "nn-planted")
+
+
+def planted_found(graph: DataFrame, threshold: float) -> int:
+    """How many planted nodes have a list that holds their vector, or is full of nearer ones."""
+    lists = graph.where("u < 0").groupBy("u").agg(F.max((F.col("v") == -F.col("u") - 1).cast("int")).alias("hit"), F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+    found = (F.col("hit") == 1) | ((F.col("n") >= LIST) & (F.col("low") >= threshold + ABOVE[1] - SLACK))
+    return lists.agg(F.sum(found.cast("int"))).first()[0] or 0
+
+
 def _unit(vec: np.ndarray) -> np.ndarray:
     return vec / np.sqrt((vec * vec).sum(axis=1, keepdims=True))
 
@@ -175,8 +227,11 @@ def _check(threshold):
     def run(batches):
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [bool(_cosines(_rows([p], np.float64), _rows([q], np.float64))[0] >= threshold) for p, q in zip(x, y)]
-            keep = pa.array(ok, pa.bool_())
+            sizes, ok = np.array([len(p) for p in x]), np.zeros(len(x), bool)
+            for size in np.unique(sizes).tolist():  # both of a pair have one length
+                at = np.flatnonzero(sizes == size)
+                ok[at] = _cosines(_rows([x[i] for i in at], np.float64), _rows([y[i] for i in at], np.float64)) >= threshold
+            keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     return run
@@ -353,18 +408,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     merged = merged.withColumn("uid", F.col("head.uid"))
     # a class has the vector of its first row
     nodes = settle(merged.join(clean.select("uid", "vec"), "uid").withColumnRenamed("uid", "u"), "nn-nodes")
-    units = settle(nodes.select("u", "vec").mapInArrow(_single, "u bigint, unit binary"), "nn-units")
+    count = nodes.count()
+    test = planted(nodes, count, threshold)
+    wanted = test.count()
+    every = nodes.select("u", "g", "d1", "d2", "n", "vec").union(test)
+    units = settle(every.select("u", "vec").mapInArrow(_single, "u bigint, unit binary"), "nn-units")
+    exact, tells = sampled(nodes, threshold)
     graph = spark.createDataFrame([], "u bigint, v bigint, sim float")
     for turn in range(TRIES):
-        graph = settle(_top(graph.union(_start(nodes, turn)), LIST), "nn-graph")
+        graph = settle(_top(graph.union(_start(every, turn)), LIST), "nn-graph")
         total = graph.agg(F.sum("sim")).first()[0]
         for _ in range(ROUNDS):
-            graph = _refined(nodes, units, graph)
+            graph = _refined(every, units, graph)
             before, total = total, graph.agg(F.sum("sim")).first()[0]
             if total is None or total - before <= SETTLED * abs(before):
                 break
-        links, tree = _links(nodes, graph, threshold)
-        if audit(nodes, links, threshold) >= RECALL:
+        if planted_found(graph, threshold) < RECALL * wanted:
+            continue
+        links, tree = _links(nodes, graph.where("u >= 0 and v >= 0"), threshold)
+        if not tells or recall(exact, links) >= RECALL:
             break
     else:
         links, tree = _exact(nodes, threshold)
@@ -376,25 +438,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> float:
-    """The lower of two mean recalls, of sampled nodes with few links and with many,
-    counted against all vectors. Samples grow until ``ENOUGH`` nodes with few links are
-    in or all nodes are; 0 where the largest sample cannot tell."""
+def sampled(nodes: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> tuple[DataFrame, bool]:
+    """(u, exact): links of sampled nodes that have any, counted against all vectors; and whether they can
+    tell a recall. Samples grow until ``ENOUGH`` nodes with few links are in or all nodes are."""
     spark = nodes.sparkSession
     count = nodes.count()
     draw = F.pmod(F.xxhash64("d1", "d2"), F.lit(1_000_003)) / 1_000_003
     while True:
         rows = nodes.where(draw < size / max(count, 1)).select("u", "g", "vec").collect()
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], [bytes(r[2]) for r in rows]))
-        exact = nodes.select("u", "g", "n", "vec").mapInArrow(_audit(sent, threshold), "u bigint, links bigint").groupBy("u").agg(F.sum("links").alias("exact")).where("exact > 0")
-        own = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("exact"))
-        means = exact.join(links, "u", "left").groupBy((F.col("exact") <= LIST).alias("few")).agg(F.avg(own).alias("recall"), F.count(F.lit(1)).alias("n")).collect()
-        if size >= count or sum(r["n"] for r in means if r["few"]) >= ENOUGH:
-            return min((r["recall"] for r in means), default=1.0)
-        if size >= AUDIT_MOST:
-            return 0.0
+        met = nodes.select("u", "g", "n", "vec").mapInArrow(_audit(sent, threshold), "u bigint, links bigint")
+        exact = settle(met.groupBy("u").agg(F.sum("links").alias("exact")).where("exact > 0"), "nn-sampled")
+        sent.unpersist()
+        tells = size >= count or exact.where(F.col("exact") <= LIST).count() >= ENOUGH
+        if tells or size >= AUDIT_MOST:
+            return exact, tells
         size = min(8 * size, AUDIT_MOST)
 
 
+def recall(exact: DataFrame, links: DataFrame) -> float:
+    """The lower of two mean recalls, of sampled nodes with few links and with many; 1 without any."""
+    own = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("exact"))
+    means = exact.join(links, "u", "left").groupBy((F.col("exact") <= LIST).alias("few")).agg(F.avg(own).alias("recall")).collect()
+    return min((r["recall"] for r in means), default=1.0)
+
+
 def op7_vector_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"))
