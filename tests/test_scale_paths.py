@@ -30,12 +30,25 @@ def test_running_totals_bucketed_text(spark):
     assert out["cum_one"].tolist() == list(range(1, 1001))
 
 
+def test_text_keys_of_unequal_size_keep_all_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("big", f"v{i:05d}", 1) for i in range(3000)] + [("small", "b", 1), ("small", "a", 1)], "k string, v string, one int")
+    out = running.running_totals(df, ["k"], "v", ["one"], buckets=4, small_rows=0)
+    got = {(r["k"], r["v"]): r["cum_one"] for r in out.collect()}
+    assert len(got) == 3002 and got["small", "b"] == 2 and all(got["big", f"v{i:05d}"] == i + 1 for i in range(3000))
+    # a sample that comes out empty
+    monkeypatch.setattr(running, "_text_edges", lambda values, keys, order, buckets: _edges(values, keys, order, 0))
+    assert running.running_totals(df, ["k"], "v", ["one"], buckets=4, small_rows=0).agg(F.max("cum_one")).first()[0] == 3000
+
+
+_edges = running._text_edges
+
+
 def test_dictionary_large_path_equals_small(spark, monkeypatch):
     df = spark.createDataFrame([(f"x{i % 300}", None if i % 5 == 0 else f"y{i % 7}") for i in range(2000)], "a string, b string")
     small = {(r["column"], r["value"]): r["code"] for r in encoding.dictionary([df], ["a", "b"]).collect()}
     monkeypatch.setattr(encoding, "SMALL_DICTIONARY", 0)
     monkeypatch.setattr(running, "SMALL_ROWS", 0)
-    monkeypatch.setattr(running.running_totals, "__defaults__", (8, 0))
+    monkeypatch.setattr(running.running_totals, "__defaults__", (8, 0, False))
     large = {(r["column"], r["value"]): r["code"] for r in encoding.dictionary([df], ["a", "b"]).collect()}
     assert small == large and ("b", "nan") in small
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 @contextmanager
-def limits(module: ModuleType, **values: int) -> Iterator[None]:
+def limits(module: ModuleType, **values: object) -> Iterator[None]:
     """Size limits of a module while plans are built, to take the paths of large tables."""
     before = {k: getattr(module, k) for k in values}
     for k, v in values.items():
@@ -41,11 +41,13 @@ def limits(module: ModuleType, **values: int) -> Iterator[None]:
             setattr(module, k, v)
 
 
-def large(name: str, module: ModuleType, **values: int) -> None:
+def large(name: str, *settings: tuple[ModuleType, dict[str, object]]) -> None:
     """Register ``<name>_large``: the same query by the paths of large tables, against the same SQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with limits(module, **values):
+        with ExitStack() as stack:
+            for module, values in settings:
+                stack.enter_context(limits(module, **values))
             return QUERIES[name](spark, sf_dir)
 
     query(f"{name}_large", ORACLES[name])(run)

@@ -38,13 +38,18 @@ def _numeric_edges(values: DataFrame, keys: Sequence[str], order: str, buckets:
 
 
 def _text_edges(values: DataFrame, keys: Sequence[str], order: str, buckets: int) -> DataFrame:
-    """Edges for text: the values with the smallest hashes, a uniform sample.
+    """Edges for text: a uniform sample of the values, those with the smallest hashes.
 
-    ``row_number() <= n`` is cut down on the map side before any shuffle.
+    A threshold from the number of rows of a key lets through about ``buckets``
+    values of each, whatever the number of partitions.
     """
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(order), F.col(order))
-    picked = values.withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") < buckets)
-    return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("edges"))
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("size"))  # few key combinations
+    spot = F.pmod(F.xxhash64(order), F.lit(1 << 40)) / float(1 << 40)
+    near = values.join(F.broadcast(sizes), list(keys)).where(spot * F.col("size") < buckets)
+    sample = F.slice(F.array_sort(F.collect_list(F.struct(spot.alias("spot"), F.col(order).alias("value")))), 1, max(1, buckets - 1))
+    edges = near.groupBy(*keys).agg(F.array_sort(F.transform(sample, lambda x: x["value"])).alias("edges"))
+    # a key whose sample came out empty has one bucket
+    return sizes.select(*keys).join(edges, list(keys), "left").select(*keys, F.coalesce("edges", F.array().cast("array<string>")).alias("edges"))
 
 
 def running_totals(
@@ -60,8 +65,9 @@ def running_totals(
 
     ``values`` has one row per (keys, order) and few key combinations, such as
     one per table column. It is written out once, since several passes read
-    it, unless it is ``written`` already. A table of proven small size uses one window per key; otherwise the
-    edges and offsets, at most keys x buckets rows, are broadcast.
+    it, unless it is ``written`` already. A table of proven small size uses one
+    window per key; otherwise the edges and offsets, at most keys x buckets rows,
+    are broadcast.
     """
     table = values if written else settle(values, "ordered")
     if table.count() <= (SMALL_ROWS if small_rows is None else small_rows):
