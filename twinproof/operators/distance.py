@@ -19,7 +19,7 @@ from twinproof.functions.scalar import ratio
 from twinproof.operators import encoding
 from twinproof.operators.running import position_in, running_totals
 from twinproof.operators.sampling import bounded_sample
-from twinproof.session import settle
+from twinproof.session import build_together, settle
 
 MATCH_DISTANCE = 1e-6
 SAMPLE_TASKS = 16
@@ -31,7 +31,7 @@ BLOCK_EDGES = 256
 PART_ROWS = 65536  # what has one value on that axis is dealt by hash
 CHUNK_ROWS = 8192
 PAIRS_AT_ONCE = 1 << 21
-WINDOWS = (1, 5, 21)  # buckets a point has asked after each round, then WINDOW more a round
+WINDOWS = (4, 20)  # buckets a point has asked after each round, then WINDOW more a round
 WINDOW = 64
 
 
@@ -305,8 +305,8 @@ def nearest_distances(real_points: DataFrame, synth_points: DataFrame) -> DataFr
     buckets, 64 at most; the boxes of a bucket's blocks leave out more.
     """
     spark = real_points.sparkSession
-    real = settle(real_points.distinct(), "real-points")
-    synth = settle(synth_points.groupBy("point").agg(F.count("*").alias("n")), "synth-points")
+    merged = synth_points.groupBy("point").agg(F.count("*").alias("n"))
+    real, synth = build_together(spark, [lambda: settle(real_points.distinct(), "real-points"), lambda: settle(merged, "synth-points")])
     n, dims = real.agg(F.count("*"), F.max(F.size("point"))).first()
     if not n:
         return synth.withColumn("distance", F.lit(None).cast("double"))
