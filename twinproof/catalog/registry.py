@@ -54,8 +54,12 @@ def large(name: str, *settings: tuple[ModuleType, dict[str, object]]) -> None:
 
 
 def exact_sql(name: str) -> str:
-    """DuckDB text of a double's bits, as ``scalar.exact_number`` gives it."""
-    return f"CAST(CAST(CAST({name} + CAST(0 AS DOUBLE) AS BIT) AS BIGINT) AS VARCHAR)"
+    """DuckDB text of a double's exact value, as ``scalar.exact_number`` gives it."""
+    step, size = f"CAST({2**52} AS DOUBLE)", f"abs({name})"
+    one = f"(({size} - floor({size})) * {step})"
+    limbs = [f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)" for x in (size, one, f"({one} - floor({one})) * {step}")]
+    text = f"CASE WHEN {name} < 0 THEN '-' ELSE '' END || {' || chr(58) || '.join(limbs)}"
+    return f"CASE WHEN {size} < {2.0**62!r} AND ({name} = 0 OR {size} >= {2.0**-52!r}) THEN {text} ELSE CAST({name} AS VARCHAR) END"
 
 
 def canon_sql(*columns: str) -> str:

@@ -33,9 +33,18 @@ def weighted_score(privacy: Column, utility: Column, fairness: Column) -> Column
 
 
 def exact_number(c: Column) -> Column:
-    """A double's 64 bits as a whole number in text: every value has one text, the same
-    in any engine. Zero has one sign."""
-    return F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c + F.lit(0.0))
+    """A double's value as text, without rounding and the same in any engine.
+
+    The magnitude is its whole part and two binary fractions of 52 bits each,
+    all exact in double arithmetic. Magnitudes outside 2^-52 to 2^62 keep the
+    engine's own round-trip notation.
+    """
+    step, size = float(2**52), F.abs(c)
+    one = (size - F.floor(size)) * step
+    limbs = [F.floor(size), F.floor(one), F.floor((one - F.floor(one)) * step)]
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.concat_ws(":", *[x.cast("string") for x in limbs]))
+    usual = (size < float(2**62)) & ((size == 0) | (size >= 2.0**-52))
+    return F.when(usual, text).otherwise(c.cast("string"))
 
 
 def canonical_text(field: T.StructField) -> Column:
