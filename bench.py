@@ -30,6 +30,7 @@ HEADLINE = (
     "audit_verify_clean",
     "ledger_blocks",
     "compliance_rollup",
+    "scorecard_models",
 )
 
 
