@@ -4,8 +4,8 @@ Two tokens are linked where their byte ranges overlap. An id pair counts the doc
 that hold it linked; a link is best where its pair's count is the highest of its A id.
 
 * ``runs``: tasks encode texts (each distinct chunk of a task once) and collect
-  (pair, document, times) records. Every ``RUN_LINKS`` records or ``RUN_DOCS`` documents
-  make a run: sorted side-major (by A id, then B id, then document), cut into ``RADIX``
+  (pair, document, times) records. Every ``RUN_LINKS`` records, ``RUN_DOCS`` documents or
+  ``RUN_TEXT`` characters of groups make a run: sorted side-major (by A id, then B id, then document), cut into ``RADIX``
   pieces by A id, compressed with zstd, and written once to the shared folder.
 * ``book``: the pairs of a radix piece are merged over runs, ``FAN`` at a time, in a heap
   that reads each run block by block; documents of equal pairs add up. In the last merge
@@ -47,6 +47,7 @@ from twinproof.session import settle
 
 RADIX = 64  # pieces of a run
 RUN_DOCS, RUN_LINKS = 1 << 12, 1 << 20  # documents and (about) records of a run
+RUN_TEXT = 1 << 26  # characters of groups kept in a run's head
 FAN = 64  # runs merged at once
 BLOCK = 1 << 14  # pairs read from a run at a time
 BITS = 28  # of an id in a key
@@ -232,7 +233,7 @@ class Writer:
         self.clear()
 
     def clear(self):
-        self.heads, self.keys, self.times, self.n = [], [], [], 0
+        self.heads, self.keys, self.times, self.n, self.text = [], [], [], 0, 0
 
     def add(self, head: tuple, links: np.ndarray) -> None:
         keys, times = np.unique(links, return_counts=True)
@@ -240,6 +241,7 @@ class Writer:
         self.keys.append(keys)
         self.times.append(times)
         self.n += len(keys)
+        self.text += len(head[-1])
 
     def rows(self) -> list[dict]:
         """The head of the run, and its pieces in side-major order."""
@@ -295,7 +297,7 @@ def _runs(sent, radix, run_docs, run_links, digest, doc_id):
                     if digest and groups:
                         groups = hashlib.sha256(groups.encode()).hexdigest()
                     writer.add((doc, n_a, n_b, n_groups, len(links), groups), links)
-                    if len(writer.heads) >= run_docs or writer.n >= run_links:
+                    if len(writer.heads) >= run_docs or writer.n >= run_links or writer.text >= RUN_TEXT:
                         yield from rows()
         if writer.heads:
             yield from rows()
