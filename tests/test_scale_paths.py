@@ -289,3 +289,12 @@ def test_forest_draw_takes_its_share_of_a_popular_vector(spark):
         assert {sum(r["label"] == v for r in popular) for v in (0.0, 1.0)} <= {149, 150, 151}
     again = models.fit_sample(vectors.repartition(7), 900).select("features", "label").collect()
     assert sorted(map(str, again)) == sorted(map(str, drawn))
+
+
+def test_missing_numbers_before_models(spark):
+    df = spark.createDataFrame([(1.0, "a", 7), (None, "b", 8), (float("nan"), "a", 9), (3.0, "a", 1), (8.0, "b", 2)], "x double, c string, dropped int")
+    for fill, value in (("median", 3.0), ("zero", 0.0)):
+        made, _ = models.feature_frames(df, df, ["x"], ["c"], fill=fill)
+        assert made.columns == ["features"] and sorted(r["features"][0] for r in made.collect()) == sorted([1.0, value, value, 3.0, 8.0])
+    with pytest.raises(ValueError):
+        models.feature_frames(df, df, ["x"], [], fill="mean")

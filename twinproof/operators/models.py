@@ -30,24 +30,29 @@ DRAW = "_draw"
 
 
 def feature_frames(
-    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = ()
+    real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = (), fill: str = "median"
 ) -> tuple[DataFrame, DataFrame]:
-    """Both tables with a ``features`` vector and the ``keep`` columns.
+    """Both tables with a ``features`` vector and the ``keep`` columns; all others are dropped.
 
-    Labels are coded on the union; missing numbers take their own table's
-    median, which is only computed when there are any.
+    Labels are coded on the union; missing numbers (NaN too) take their own table's
+    median, which is only computed when there are any, or with ``fill="zero"`` 0.
     """
+    if fill not in ("median", "zero"):
+        raise ValueError("fill is median or zero")
     columns = list(dict.fromkeys([*numeric, *categorical]))
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     out = []
     codes = encoding.dictionary([real, synth], categorical) if categorical else None
     for df in (real, synth):
-        one = df.select(*columns, *kept)
+        floats = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+        one = df.select(*[F.nanvl(F.col(c), F.lit(None)).alias(c) if c in floats else c for c in columns], *kept)
         if codes is not None:
             one = encoding.encode(one, codes, list(categorical))
         nulls = one.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in numeric]).first() if numeric else {}
         gaps = [c for c in numeric if nulls[c]]
-        if gaps:
+        if gaps and fill == "zero":
+            one = one.fillna(0.0, gaps)
+        elif gaps:
             counts = unpivoted(one, gaps, "double").groupBy("column", "value").agg(F.count("*").alias("n"))
             fills = {r["column"]: r["quantile"] for r in column_quantiles(counts, ["column"], "value", "n", [0.5]).collect()}
             one = one.fillna({c: fills.get(c, 0.0) for c in gaps})
@@ -269,7 +274,7 @@ def equal_opportunity(
     codes = _as_label(encoding.dictionary([real, synth], [target]), target)
     r0 = encoding.encode(real.withColumn("label", F.col(target)), codes, ["label"])
     s0 = encoding.encode(synth.withColumn("label", F.col(target)), codes, ["label"])
-    r, s = feature_frames(r0, s0, numbers, labels, ["label", *protected])
+    r, s = feature_frames(r0, s0, numbers, labels, ["label", *protected], fill="zero")
     model = fit(forest(trees=50, depth=depth), s)
     tested = settle(model.transform(r).select("label", "prediction", *protected), "predicted")
     rates = None
