@@ -12,7 +12,7 @@ A value is brought to one form first, so its spellings stay linked: addresses fo
 is told by the table of codes and not by the spacing, dates are days. Different days have
 different texts: with slashes the month is written first, whatever the order was.
 
-Kinds: email (local part), ipv4, ipv6, card, phone (with a country code, or ten digits with the
+Kinds: email (local part), ipv4, card, phone (with a country code, or ten digits with the
 first three in brackets), iban, ssn, date (1900 to 2099; ISO, slashes, dots) and
 secret (hexadecimal values assigned to a token, key, secret or password). Numbers that
 fail validation are left alone.
@@ -33,20 +33,16 @@ from twinproof.llm.tables import free_name, table
 KEY = "pseudonym-key-1"  # set your own
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Letters beyond a-z keep their script: each moves inside its own row.
-SCRIPTS = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
-HEX = "0123456789abcdef"
+LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"  # letters beyond a-z that move among themselves
 # Country calling codes of one and of two digits; all others have three.
 CODES = ("1", "7", "20", "27", *map(str, (30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58)), *map(str, (60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98)))
-KINDS = ("email", "ipv4", "ipv6", "card", "phone", "iban", "ssn", "date", "secret")
+KINDS = ("email", "ipv4", "card", "phone", "iban", "ssn", "date", "secret")
 
 # Every repetition is bounded and tried at the start of a run only, so long texts cost linear time.
 PATTERN = "|".join(
     (
         r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}",
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
-        r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-        r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\p{L}\p{N}:])",
         r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         r"(?<![\d+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)",
         r"(?<![\d+])\+(?!1[ .\-(])\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,8}(?:[ .\-]\d{2,4})?(?!\d)",
@@ -151,38 +147,14 @@ def dressed(template: Column, fresh: Column, fits: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The local part, folded; its case goes back on the pseudonym. What no alphabet moves
-    becomes digits of the digest."""
-    local = F.substring_index(m, "@", 1)
+    """The local part, folded; its case goes back on the pseudonym."""
 
-    def fresh(low: Column) -> Column:
-        moved = permuted(low, (LOWER, DIGITS, *SCRIPTS), "email", key)
-        return let(moved, lambda x: F.when((x != low) | low.rlike(f"[{LOWER}{DIGITS}]"), x).otherwise(F.substring(keyed(key, "email", low), 1, 16)))
+    def fresh(local: Column) -> Column:
+        one = lambda c, o: F.when(o == F.lower(o), c).otherwise(F.upper(c))
+        letters = lambda t: F.split(t, "")
+        return let(permuted(F.lower(local), (LOWER, DIGITS, LATIN), "email", key), lambda new: F.when(local == F.lower(local), new).otherwise(F.array_join(F.zip_with(letters(new), letters(local), one), "")))
 
-    def cased(new: Column) -> Column:
-        same = F.length(new) == F.length(local)
-        one = lambda i: F.when(local.substr(i, F.lit(1)) != F.lower(local.substr(i, F.lit(1))), F.upper(new.substr(i, F.lit(1)))).otherwise(new.substr(i, F.lit(1)))
-        return F.when(same & (local != F.lower(local)), F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), one), "")).otherwise(new)
-
-    return F.concat(let(let(F.lower(local), fresh), cased), m.substr(F.length(local) + 1, F.length(m)))
-
-
-def _ipv6(m: Column, key: str) -> Column:
-    """Eight groups of four digits; a left-out run of zero groups is written in full."""
-    halves = F.split(F.lower(m), "::")
-    groups = lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
-    left, right = groups(halves[0]), groups(F.get(halves, F.lit(1)))
-
-    def whole(p: Column) -> Column:
-        gap = 8 - F.size(p["l"]) - F.size(p["r"])
-        between = F.when(m.contains("::"), F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>"))
-        all_ = F.concat(p["l"], between, p["r"])
-        digits = F.array_join(F.transform(all_, lambda x: F.lpad(x, 4, "0")), "")
-        ok = F.when(m.contains("::"), gap >= 1).otherwise(gap == 0)
-        shown = let(permuted(digits, (HEX,), "ipv6", key), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: h.substr(i * 4 + 1, F.lit(4))), ":"))
-        return F.when(ok & m.rlike("[0-9]"), shown)  # letters alone are words
-
-    return let(F.struct(left.alias("l"), right.alias("r")), whole)
+    return F.concat(let(F.substring_index(m, "@", 1), fresh), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -272,7 +244,7 @@ def _date(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     lower = F.lower(m)
-    fresh = permuted(lower, (HEX,), "secret", key)
+    fresh = permuted(lower, ("0123456789abcdef",), "secret", key)
     return F.when(m == lower, fresh).when(m == F.upper(m), F.upper(fresh)).otherwise(fresh)
 
 
@@ -282,7 +254,6 @@ def pseudonym(m: Column, key: str) -> Column:
     kind = (
         F.when(m.contains("@"), "email")
         .when(m.startswith("+") | m.startswith("("), "phone")
-        .when(m.contains(":"), "ipv6")
         .when(dotted_date, "date")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -291,7 +262,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){1,30}$"), "iban")
         .when(m.rlike(r"^[0-9A-Fa-f]{16,128}$"), "secret")
     )
-    makers = {"email": _email, "phone": _phone, "date": _date, "ipv4": _ipv4, "ipv6": _ipv6, "ssn": _ssn, "card": _card, "iban": _iban, "secret": _secret}
+    makers = {"email": _email, "phone": _phone, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "card": _card, "iban": _iban, "secret": _secret}
 
     def made(k: Column) -> Column:
         out = None
@@ -307,7 +278,7 @@ def with_finds(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, str]:
     finds, parts = free_name(docs, "pii_kinds"), free_name(docs, "pii_parts")
     text = F.col("text")
     # most texts without a digit can hold nothing but an address of letters
-    maybe = text.rlike("[0-9@]|::")
+    maybe = text.rlike("[0-9@]")
     candidates = F.regexp_extract_all(text, F.lit(PATTERN), 0)
     read = docs.withColumn(parts, F.when(maybe, F.transform(candidates, lambda m: pseudonym(m, key))))
     kinds = F.filter(F.coalesce(F.col(f"{parts}.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())

@@ -159,19 +159,23 @@ def linked(messages: DataFrame) -> DataFrame:
 
     roots = reply_roots(links.where(F.col("parent").isNotNull()).groupBy("conv_id", "turn").agg(F.max("parent").alias("parent")))
     put = links.join(roots, ["conv_id", "turn"], "left").select("a", "b", "parent", "n_linked", "root", "depth")
-    out = read.join(put, ["a", "b"], "left")
+    threads = read.select("a", "b", "conv_id", "turn").join(put, ["a", "b"], "left").select(
+        "a", "b", "conv_id", "turn", "parent", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("reply_depth"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")
+    )
+    facts = _with_places(threads).drop("conv_id", "turn")
+    out = read.join(facts, ["a", "b"])
     n_quoted = F.aggregate("quotes", F.lit(0), lambda n, p: n + F.size(p["bodies"]))
     deepest = F.coalesce(F.array_max(F.transform("quotes", lambda p: p["level"])), F.lit(0))
-    return _with_places(out.select(
-        "conv_id", "turn", "role", F.col("said").alias("text"), F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("reply_depth"),
-        F.coalesce(deepest, F.lit(0)).cast("long").alias("quote_level"), F.coalesce(n_quoted, F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-    ))
+    return out.select(
+        "conv_id", "turn", "role", F.col("said").alias("text"), F.col("parent").alias("parent_turn"), "root_turn", "reply_depth",
+        F.coalesce(deepest, F.lit(0)).cast("long").alias("quote_level"), F.coalesce(n_quoted, F.lit(0)).cast("long").alias("n_quoted"), "n_linked", "place",
+    )
 
 
 def _with_places(rows: DataFrame) -> DataFrame:
     """``place``, the number of a message in its reply-ordered conversation, from 0.
 
-    The table is written sorted by range; a row's place is its position in all files less
+    The rows, without their texts, are written sorted by range; a row's place is its position in all files less
     that of its conversation's first row, so a conversation may span any number of tasks.
     """
     ordered = settle(rows.repartitionByRange(*reply_order()).sortWithinPartitions(*reply_order()), "chat-ordered")
