@@ -110,8 +110,8 @@ def scorecard_models(spark, sf):
     UNION ALL SELECT 'evaluator', nr, 1.0::DOUBLE FROM t UNION ALL SELECT 'evaluator, numbers', nr, 1.0::DOUBLE FROM t""",
 )
 def model_facts(spark, sf):
-    """Rows that the forests judge and their hit rates, where both are known: a pair told apart by one
-    label, two halves of one table (to one decimal), and a target that one feature decides (to two)."""
+    """Rows that the forests judge and their hit rates to one decimal, where both are known: a pair
+    told apart by one label, two halves of one table, and a target that one feature decides."""
     real, synth = _marked(spark, sf)
     rows = [
         ("attack", models.attack_predictions(real, synth, APPLICANT_NUMBERS, APPLICANT_LABELS), "is_real", "predicted"),
@@ -126,7 +126,7 @@ def model_facts(spark, sf):
     out = None
     for name, frame, label, guess in rows:
         hit = F.avg((F.abs(F.col(label) - F.col(guess)) < 0.5).cast("double"))
-        part = frame.agg(F.count("*").alias("n_tested"), F.round(hit, 1 if "halves" in name else 2).alias("hit_rate")).select(F.lit(name).alias("model"), "*")
+        part = frame.agg(F.count("*").alias("n_tested"), F.round(hit, 1).alias("hit_rate")).select(F.lit(name).alias("model"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
