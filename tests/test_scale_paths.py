@@ -7,8 +7,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import row_md5
-from twinproof.operators import distance, distributions, encoding, mitigation, models, running, sampling
+from twinproof.operators import consensus, distance, distributions, encoding, mitigation, models, running, sampling
 from twinproof.operators.fingerprint import fingerprint, leaf_digits_for
+from twinproof.session import settle
 
 
 def test_running_totals_bucketed_numbers(spark):
@@ -298,3 +299,33 @@ def test_missing_numbers_before_models(spark):
         assert made.columns == ["features"] and sorted(r["features"][0] for r in made.collect()) == sorted([1.0, value, value, 3.0, 8.0])
     with pytest.raises(ValueError):
         models.feature_frames(df, df, ["x"], [], fill="mean")
+
+
+def test_altered_panels_stay_where_their_request_is(spark):
+    """Between the altered panels and their verdicts no row is exchanged: only the counts are."""
+    schema = "verification_id long, verifier_id long, privacy double, utility double, fairness double, arrival long"
+    rows = [(i % 40, i // 40, 70.0 + i % 9, 65.0, 80.0 - i % 7, i) for i in range(200)]
+    grid = consensus.collusion(spark.createDataFrame(rows, schema), panels=(3,))
+    above = grid._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    assert above.count("Exchange") == 1
+    assert {(r["f"], r["verifications"]) for r in grid.collect()} == {(f, 40) for f in range(4)}
+
+
+def test_few_quotas_are_met_without_exchanging_rows(spark, monkeypatch):
+    plans = []
+
+    def kept(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, label)
+
+    monkeypatch.setattr(sampling, "settle", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        df = spark.createDataFrame([(i, i % 2) for i in range(4000)], "x long, g int")
+        quota = df.groupBy("g").agg(F.floor(F.count("*") / 2).alias("quota"))
+        assert sampling.hash_quota(df, ["g"], quota).where("picked").count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    edges = [plan for label, plan in plans if label == "quota-edge"]
+    assert edges and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in edges)
