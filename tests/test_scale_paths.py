@@ -329,3 +329,18 @@ def test_few_quotas_are_met_without_exchanging_rows(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     edges = [plan for label, plan in plans if label == "quota-edge"]
     assert edges and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in edges)
+
+
+def test_near_cells_alone_are_compared(monkeypatch):
+    rng = np.random.default_rng(3)
+    real, synth = rng.normal(size=(6000, 3)), rng.normal(size=(5000, 3))
+    pairs, nearest = [], distance._nearest
+
+    def counted(asked, others):
+        pairs.append(len(asked) * len(others))
+        return nearest(asked, others)
+
+    monkeypatch.setattr(distance, "_nearest", counted)
+    got = distance._closest(synth, np.full(len(synth), np.inf), real)
+    assert sum(pairs) < 0.35 * len(real) * len(synth)
+    assert (got == nearest(synth, real)).all()
