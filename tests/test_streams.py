@@ -127,3 +127,19 @@ def test_counters_add_up_over_batches(spark, tmp_path):
     counts = live.counters(stream, F.window("timestamp", "1 hour"), ["kind"], late="2 hours")
     out = {(str(r["start"])[11:13], r["kind"]): r["n"] for r in live.run_counters(counts, str(tmp_path / "run"), ["kind"]).collect()}
     assert out == {("00", "a"): 3, ("01", "b"): 1}
+
+
+def test_requests_of_one_bucket_are_judged_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "REQUEST_BUCKETS", 2)
+    ids = range(1, 31)
+    rows, _ = run(
+        spark,
+        tmp_path,
+        [x for i in ids for x in (request(i, 0), sent(i, 1, 1, 90.0), sent(i, 2, 2, 80.0))] + [sent(None, 2, 1, 5.0)],
+        [x for i in ids if i % 3 for x in (sent(i, 3, 2, 0.0), sent(i, 4, 3, 70.0), sent(i, 5, 4, 70.0))],
+        [request(99, 60)],
+    )
+    verdicts = {r["verification_id"]: (r["status"], r["num_verifiers"]) for r in rows if r["output"] == "verdict"}
+    assert verdicts == {i: ("approved", 3) if i % 3 else ("expired", 2) for i in ids}
+    reasons = sorted((r["verification_id"] or 0, r["verifier_id"], r["reason"]) for r in rows if r["output"] == "reject")
+    assert reasons == [(0, 1, "unknown")] + [x for i in ids if i % 3 for x in ((i, 2, "duplicate"), (i, 4, "closed"))]
