@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import row_md5
@@ -292,6 +292,22 @@ def test_forest_draw_takes_its_share_of_a_popular_vector(spark):
     assert sorted(map(str, again)) == sorted(map(str, drawn))
 
 
+def test_forest_scores_batches_like_the_model(spark):
+    """Rows judged a batch at a time get the model's own numbers, bit for bit, null labels and all."""
+    x = F.array(F.pmod(F.col("id") * 7919, F.lit(1009)).cast("double"), F.pmod(F.col("id") * 31, F.lit(97)) / 7, F.lit(0.0))
+    label = F.pmod(F.floor(F.pmod(F.col("id") * 7919, F.lit(1009)) / 300) + F.col("id") % 2, F.lit(3)).cast("double")
+    rows = spark.range(3000).select(array_to_vector(x).alias("features"), label.alias("label"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("id"))
+    rows = settle(rows, "rows")
+    for regression in (False, True):
+        model = models.fit(models.forest(trees=7, depth=6, regression=regression), rows)
+        own = [] if regression else [vector_to_array("probability")[1].alias("chance")]
+        want = model.transform(rows).select("id", "label", "prediction", *own)
+        got = models.scored(model, rows, ["id", "label"], None if regression else "chance")
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where(F.lit(False)).count() == 0
+
+
 def test_missing_numbers_before_models(spark):
     df = spark.createDataFrame([(1.0, "a", 7), (None, "b", 8), (float("nan"), "a", 9), (3.0, "a", 1), (8.0, "b", 2)], "x double, c string, dropped int")
     for fill, value in (("median", 3.0), ("zero", 0.0)):
