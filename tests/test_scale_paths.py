@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from twinproof import session
 from twinproof.functions.scalar import row_md5
 from twinproof.operators import consensus, distance, distributions, encoding, mitigation, models, running, sampling
 from twinproof.operators.fingerprint import fingerprint, leaf_digits_for
@@ -360,3 +361,21 @@ def test_near_cells_alone_are_compared(monkeypatch):
     got = distance._closest(synth, np.full(len(synth), np.inf), real)
     assert sum(pairs) < 0.35 * len(real) * len(synth)
     assert (got == nearest(synth, real)).all()
+
+
+def test_tasks_of_many_small_groups_follow_the_rows(spark, monkeypatch):
+    rows = [(i % 400, i % 3 + 10 * (i % 2), float(i % 11 * 9), 50.0, float(i % 7 * 10), i) for i in range(2400)]
+    rows += [(None, 1, 5.0, 5.0, 5.0, 1), (7, 2, None, 5.0, 5.0, 9999)]
+    df = spark.createDataFrame(rows, "verification_id int, verifier_id int, privacy double, utility double, fairness double, arrival int")
+    monkeypatch.setattr(running, "GROUP_ROWS", 0)
+    found = {f: sorted(map(str, f(df).collect())) for f in (consensus.agreement_rate,)}
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert session.deal_count(df, ["verification_id"]) == 25
+    for f, want in found.items():
+        got = f(df)
+        assert sorted(map(str, got.collect())) == want
+        assert got.rdd.getNumPartitions() >= 25  # the session has 4 shuffle partitions
+    # one key of many tasks' rows is left to folds on the map side
+    hot = df.withColumn("verification_id", F.when(F.col("arrival") % 4 > 0, 1).otherwise(F.col("verification_id")))
+    assert session.deal_count(hot, ["verification_id"]) is None
+    assert consensus.agreement_rate(hot).count() == hot.where("verification_id is not null").select("verification_id").distinct().count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.scalar import ratio, short_id, weighted_score
 from twinproof.operators.running import group_medians
-from twinproof.session import settle
+from twinproof.session import deal_count, dealt, settle
 
 QUORUM = 3
 PIVOT_QUORUM = 9
@@ -199,6 +199,8 @@ def statistics(submissions: DataFrame, quorum: int = QUORUM, threshold: float =
 
 def agreement_rate(submissions: DataFrame, within: float = AGREEMENT) -> DataFrame:
     """(verification_id, n, agreement): share of scores near the median."""
+    keys = ["verification_id"]
+    submissions = dealt(submissions.select(*keys, "verifier_id", "arrival", *SCORES), keys, deal_count(submissions, keys))
     firsts = first_submissions(submissions).select("verification_id", "overall")
     middle = group_medians(firsts, ["verification_id"], ["overall"]).withColumnRenamed("overall", "_mid")
     near = (F.abs(F.col("overall") - F.col("_mid")) <= within).cast("double")
