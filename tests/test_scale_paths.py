@@ -368,7 +368,7 @@ def test_tasks_of_many_small_groups_follow_the_rows(spark, monkeypatch):
     rows += [(None, 1, 5.0, 5.0, 5.0, 1), (7, 2, None, 5.0, 5.0, 9999)]
     df = spark.createDataFrame(rows, "verification_id int, verifier_id int, privacy double, utility double, fairness double, arrival int")
     monkeypatch.setattr(running, "GROUP_ROWS", 0)
-    found = {f: sorted(map(str, f(df).collect())) for f in (consensus.agreement_rate,)}
+    found = {f: sorted(map(str, f(df).collect())) for f in (consensus.agreement_rate, consensus.contract_consensus)}
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     assert session.deal_count(df, ["verification_id"]) == 25
     for f, want in found.items():

@@ -122,7 +122,8 @@ def _middle(values: Sequence[Column]) -> Column:
 def contract_consensus(submissions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Ledger-contract variant: median over all submissions, no guard, no quorum."""
     scored = submissions.withColumn("overall", weighted_score(*[F.col(s) for s in SCORES]))
-    medians = group_medians(scored.select("verification_id", "overall"), ["verification_id"], ["overall"])
+    keys = ["verification_id"]
+    medians = group_medians(dealt(scored.select(*keys, "overall"), keys, deal_count(submissions, keys)), keys, ["overall"])
     return medians.select(
         "verification_id",
         F.col("n").alias("verifier_count"),
