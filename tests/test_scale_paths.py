@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from twinproof import session
+from twinproof.catalog import QUERIES
 from twinproof.functions.scalar import row_md5
 from twinproof.operators import consensus, distance, distributions, encoding, mitigation, models, running, sampling
 from twinproof.operators.fingerprint import fingerprint, leaf_digits_for
@@ -379,3 +380,13 @@ def test_tasks_of_many_small_groups_follow_the_rows(spark, monkeypatch):
     hot = df.withColumn("verification_id", F.when(F.col("arrival") % 4 > 0, 1).otherwise(F.col("verification_id")))
     assert session.deal_count(hot, ["verification_id"]) is None
     assert consensus.agreement_rate(hot).count() == hot.where("verification_id is not null").select("verification_id").distinct().count()
+
+
+def test_flat_histories_follow_the_rows(spark, monkeypatch, tmp_path):
+    spark.range(300).selectExpr("id as o_orderkey", "timestamp'2024-01-05' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(900).selectExpr("id % 310 as l_orderkey", "cast(id % 7 as int) as l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted(map(str, QUERIES["history_flatten"](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    got = QUERIES["history_flatten"](spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == want and len(want) > 1100
+    assert got.rdd.getNumPartitions() >= 12

@@ -10,7 +10,7 @@ from twinproof.catalog.pairs import AUDIT_SQL, SUBMISSION_SQL, audit_events, sub
 from twinproof.catalog.registry import canon_sql, query
 from twinproof.functions.scalar import round6
 from twinproof.operators import audit, chain, compliance, consensus, ledger, tamper
-from twinproof.session import shared_dir
+from twinproof.session import deal_count, dealt, shared_dir
 from twinproof.sources import chained
 from twinproof.sources import files as sources
 
@@ -447,19 +447,21 @@ def audit_history_entries(spark, sf):
 )
 def history_flatten(spark, sf):
     """Nested history JSON per dataset, parsed back into flat entries."""
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    items, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    # as many tasks as flat entries ask for
+    tasks = deal_count(orders.select(F.col("o_orderkey").alias("dataset")).union(items.select("l_orderkey")), ["dataset"])
+    items = dealt(items.select("l_orderkey", "l_linenumber"), ["l_orderkey"], tasks).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     # At most one element per distinct line number (seven values).
     verifications = items.groupBy("l_orderkey").agg(
         F.collect_list(F.struct(F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("verification_id"), F.lit("").alias("timestamp"), "n")).alias("verifications")
     )
-    orders = table(spark, sf, "orders")
-    nested = orders.join(verifications, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    nested = dealt(orders.select("o_orderkey", "o_orderdate"), ["o_orderkey"], tasks).join(verifications, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("data_hash"),
         F.to_json(
             F.struct(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp")).alias("generation"), "verifications")
         ).alias("history"),
     )
-    flat = sources.flatten_history(nested, extra_fields={"n": "bigint"})
+    flat = dealt(sources.flatten_history(nested, extra_fields={"n": "bigint"}), ["data_hash"], tasks)
     return flat.groupBy("entry_id", "data_hash", "entry_type").agg(F.coalesce(F.sum("n"), F.count("*")).alias("n"))
 
 
