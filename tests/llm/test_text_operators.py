@@ -120,6 +120,31 @@ def test_more_than_64_languages(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(rows)
 
 
+def test_what_the_language_fit_and_the_sketch_send_to_the_driver_is_small():
+    import pyarrow as pa
+
+    from twinproof.llm import shingle_join
+
+    texts = ["le chat où été " * 9, "the thing of the ", "a b", "the cat " * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["fr", "en", "en", "en"])], names=["text", "lang"])
+    (made,) = langid._presence([batch])
+    rows = made.column(1).to_pylist()
+    marked = []
+    for text in texts:
+        c = langid.letters(text)
+        for part in (c, c[max(0, len(c) // 2 - langid.PASSAGE) :][: langid.PASSAGE]):
+            marked.append(np.zeros(1 << langid.BITS, np.uint8))
+            langid.mark(part, marked[-1])
+    assert [len(r) for r in rows] == [2 * int(m.sum()) for m in marked]
+    assert (langid._dense(rows) == np.array(marked)).all()
+    packed = [np.packbits(m).tobytes() for m in marked]  # rows keep the order of their packed bits
+    assert sorted(range(8), key=lambda i: rows[i]) == sorted(range(8), key=lambda i: packed[i])
+
+    docs = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts])], names=["text"])
+    parts = [p.column(1)[0].as_py() for p in shingle_join._add_cells(shingle_join._count_cells(2)([docs]))]
+    assert parts and max(map(len, parts)) < (1 << shingle_join.SKETCH_BITS) // shingle_join.SEGMENTS // 50
+
+
 def test_language_of_odd_rows(spark):
     taught = [(i, w * 6, lang, "s") for i in range(40) for w, lang in (("the thing of the ", "en"), ("le chat où été ", "fr"))]
     docs = docs_of(spark, taught + ODD)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from twinproof.llm.tables import table
 
 SPECTRUM = 3
 BITS = 16  # n-grams are counted in so many hashed cells
+LAST = (1 << BITS) - 1
 FIT_ROWS = 3000
 LANDMARKS = 256
 FIT_EACH = 16  # rows that a language gives at least, where it has them
@@ -81,7 +83,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _presence(batches):
-    """Packed presence rows of the whole text and of one passage of it."""
+    """Cells of the whole text and of one passage of it: two bytes a cell, highest number first,
+    counted from the last cell, so that rows sort by these bytes as they would by their packed bits."""
     for batch in batches:
         langs, rows = [], []
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -91,9 +94,17 @@ def _presence(batches):
                 if len(part) >= SPECTRUM:
                     row = np.zeros(1 << BITS, np.uint8)
                     mark(part, row)
-                    rows.append(np.packbits(row).tobytes())
+                    rows.append((LAST - np.flatnonzero(row)).astype(">u2").tobytes())
                     langs.append(lang)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "cells"])
+
+
+def _dense(rows: list[bytes]) -> np.ndarray:
+    """Presence rows with one byte a cell, of the cells that ``_presence`` wrote."""
+    out = np.zeros((len(rows), 1 << BITS), np.uint8)
+    for row, cells in zip(out, rows):
+        row[LAST - np.frombuffer(cells, ">u2").astype(np.int64)] = 1
+    return out
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> dict | None:
@@ -105,25 +116,25 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -
     each = max(fit_rows / len(counts), FIT_EACH)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003
-    rows = taught.select("text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("text", "lang").mapInArrow(_presence, "lang string, bits binary").toPandas()
-    if rows.empty:
+    found = taught.select("text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("text", "lang").mapInArrow(_presence, "lang string, cells binary").toArrow()
+    if not found.num_rows:
         return None
-    rows = rows.sort_values(["lang", "bits"], ignore_index=True)
-    packed = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
-    langs = sorted(rows["lang"].unique())
-    y = np.where(rows["lang"].to_numpy()[:, None] == np.array(langs, object)[None], 1.0, -1.0)
+    found = found.take(pc.sort_indices(found, sort_keys=[("lang", "ascending"), ("cells", "ascending")]))
+    rows, names = found["cells"].to_pylist(), np.array(found["lang"].to_pylist(), object)
+    langs = sorted(set(names))
+    y = np.where(names[:, None] == np.array(langs, object)[None], 1.0, -1.0)
     # landmarks spread evenly over the rows, which are in order of language
-    at = np.unique(np.linspace(0, len(packed) - 1, min(max(landmarks, len(langs)), len(packed))).astype(int))
-    base = np.unpackbits(packed[at], axis=1)
+    at = np.unique(np.linspace(0, len(rows) - 1, min(max(landmarks, len(langs)), len(rows))).astype(int))
+    base = _dense([rows[i] for i in at])
     cells = np.flatnonzero(base.any(axis=0))
     marks = (base[:, cells] / np.sqrt(base.sum(axis=1, dtype=np.int64))[:, None]).T.astype(np.float32)  # cells x landmarks
-    kernel = np.empty((len(packed), len(at)))
-    for s in range(0, len(packed), BATCH):
-        part = np.unpackbits(packed[s : s + BATCH], axis=1)
+    kernel = np.empty((len(rows), len(at)))
+    for s in range(0, len(rows), BATCH):
+        part = _dense(rows[s : s + BATCH])
         kernel[s : s + BATCH] = part[:, cells].astype(np.float32) @ marks / np.sqrt(part.sum(axis=1, dtype=np.int64))[:, None]
     value, vector = np.linalg.eigh(kernel[at])
     root = vector / np.sqrt(np.maximum(value, 1e-6))  # the Nyström map: kernel rows times this
-    phi = np.hstack([kernel @ root, np.ones((len(packed), 1))])
+    phi = np.hstack([kernel @ root, np.ones((len(rows), 1))])
     weight = 1 / np.bincount(y.argmax(axis=1), minlength=len(langs))[y.argmax(axis=1)]  # languages count alike
     gram = phi.T @ (phi * weight[:, None])
     coef = np.linalg.solve(gram + RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), phi.T @ (y * weight[:, None]))

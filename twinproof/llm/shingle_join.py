@@ -125,7 +125,7 @@ def _add_cells(batches):
             part = np.frombuffer(zlib.decompress(data), np.uint8)
             total[i] = np.minimum(total[i] + part.astype(np.uint16), 255) if i in total else part.astype(np.uint16)
     for i, part in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(np.uint8).tobytes()], pa.binary())], names=["segment", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())], names=["segment", "counts"])
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
@@ -133,8 +133,9 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     Its size is fixed (2 ** SKETCH_BITS bytes), whatever the corpus."""
     made = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count_cells(words), "segment int, counts binary")
     out = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.uint8)
-    for r in made.repartition("segment").mapInArrow(_add_cells, "segment int, counts binary").collect():
-        out[r[0]] = np.frombuffer(r[1], np.uint8)
+    for batch in made.repartition("segment").mapInArrow(_add_cells, "segment int, counts binary").toArrow().to_batches():
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out[i] = np.frombuffer(zlib.decompress(data), np.uint8)
     return out.ravel()
 
 
